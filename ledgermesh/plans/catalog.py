@@ -107,3 +107,98 @@ def ag03_ref_counts(spark, sf_dir):
     return g.select(M.REF, "record_count", F.size("recs").alias("source_count"), "first_seen_at",
                     F.array_join(F.array_sort(F.transform("recs", lambda x: x["source_system"])), ",")
                     .alias("present_sources"))
+
+
+# ── ingest pipeline (F2) ──────────────────────────────────────────────────
+from ledgermesh.operators import idempotency as IDM  # noqa: E402
+
+
+def _ingest(spark, sf_dir):
+    return IDM.ingest_batch(FX.f2_envelopes(spark, sf_dir), FX.F2_AS_OF)
+
+
+def tags_text(col="tags"):
+    return F.array_join(F.array_sort(F.transform(F.map_entries(col),
+                                                 lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
+
+
+_PIPE = O.pipeline_sql(FX.F2_AS_OF)
+
+
+@register("val_pipeline_outcome", f"""WITH {_PIPE}
+SELECT row_id, transaction_ref, ok, error_stage, error_reason,
+       CASE WHEN ok THEN amount END amount, CASE WHEN ok THEN currency END currency,
+       CASE WHEN ok THEN record_timestamp END record_timestamp,
+       CASE WHEN ok THEN payload_schema END payload_schema, CASE WHEN ok THEN tags_text END tags
+FROM lab""")
+def val_pipeline_outcome(spark, sf_dir):
+    lab = _ingest(spark, sf_dir).labelled
+    ok = F.col("ok")
+    return lab.select("row_id", "transaction_ref", "ok", "error_stage", "error_reason",
+                      F.when(ok, F.col("amount")).alias("amount"), F.when(ok, F.col("currency")).alias("currency"),
+                      F.when(ok, F.col("record_timestamp")).alias("record_timestamp"),
+                      F.when(ok, F.col("payload_schema")).alias("payload_schema"),
+                      F.when(ok, tags_text()).alias("tags"))
+
+
+@register("idm01_idempotency_labels", f"""WITH {_PIPE}
+SELECT row_id, idempotency_key, idem_label, stored_internal_id FROM lab""")
+def idm01_idempotency_labels(spark, sf_dir):
+    return _ingest(spark, sf_dir).labelled.select("row_id", "idempotency_key", "idem_label", "stored_internal_id")
+
+
+@register("snk01_records", f"""WITH {_PIPE}
+SELECT internal_id, idempotency_key, transaction_ref, source_system, adapter_type, amount, currency,
+       server_received_at FROM lab WHERE idem_label = 'stored'""")
+def snk01_records(spark, sf_dir):
+    return _ingest(spark, sf_dir).records.select(
+        "internal_id", "idempotency_key", "transaction_ref", "source_system", "adapter_type", "amount",
+        "currency", "server_received_at")
+
+
+@register("snk02_dlq", f"""WITH {_PIPE}
+SELECT idempotency_key, transaction_ref, source_system, adapter_type, error_stage, error_reason,
+       server_received_at created_at FROM lab WHERE idem_label = 'failed'""")
+def snk02_dlq(spark, sf_dir):
+    return _ingest(spark, sf_dir).dlq.select(
+        "idempotency_key", "transaction_ref", "source_system", "adapter_type", "error_stage", "error_reason",
+        "created_at")
+
+
+@register("src09_ingest_summary", f"""WITH {_PIPE}
+SELECT CAST(count(*) FILTER (WHERE idem_label <> 'failed') AS BIGINT) total_processed,
+       CAST(count(*) FILTER (WHERE idem_label = 'failed') AS BIGINT) total_failed FROM lab""")
+def src09_ingest_summary(spark, sf_dir):
+    return _ingest(spark, sf_dir).summary()
+
+
+@register("mon03_validation_failures", f"""WITH {_PIPE}
+SELECT source_system, error_stage, error_reason, CAST(count(*) AS BIGINT) failures
+FROM lab WHERE idem_label = 'failed' GROUP BY ALL""")
+def mon03_validation_failures(spark, sf_dir):
+    return (_ingest(spark, sf_dir).dlq.groupBy("source_system", "error_stage", "error_reason")
+            .agg(F.count(F.lit(1)).alias("failures")))
+
+
+@register("ag05_dlq_depth", f"""WITH {_PIPE}
+SELECT source_system, CAST(count(*) AS BIGINT) depth FROM lab WHERE idem_label = 'failed' GROUP BY ALL""")
+def ag05_dlq_depth(spark, sf_dir):
+    return _ingest(spark, sf_dir).dlq.groupBy("source_system").agg(F.count(F.lit(1)).alias("depth"))
+
+
+@register("mon04_duplicate_hits", f"""WITH {_PIPE}
+SELECT source_system, CAST(count(*) FILTER (WHERE idem_label = 'duplicate') AS BIGINT) duplicate_hits,
+       CAST(count(*) FILTER (WHERE idem_label = 'ignored_after_ttl') AS BIGINT) ignored_after_ttl
+FROM lab GROUP BY ALL""")
+def mon04_duplicate_hits(spark, sf_dir):
+    return (_ingest(spark, sf_dir).labelled.groupBy("source_system")
+            .agg(F.count_if(F.col("idem_label") == "duplicate").alias("duplicate_hits"),
+                 F.count_if(F.col("idem_label") == "ignored_after_ttl").alias("ignored_after_ttl")))
+
+
+@register("idm04_conflicting_duplicates", f"""WITH {O.F2_CTE}
+SELECT idempotency_key, CAST(count(DISTINCT sha256(coalesce(payload_text, ''))) AS BIGINT) distinct_payloads,
+       CAST(count(*) AS BIGINT) submissions
+FROM f2 WHERE coalesce(idempotency_key, '') <> '' GROUP BY 1 HAVING count(DISTINCT sha256(coalesce(payload_text, ''))) > 1""")
+def idm04_conflicting_duplicates(spark, sf_dir):
+    return IDM.conflicting_duplicates(FX.f2_envelopes(spark, sf_dir))

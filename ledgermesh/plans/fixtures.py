@@ -70,3 +70,59 @@ def f3_event_records(spark: SparkSession, sf_dir: str, null_every: int | None =
         F.concat(F.lit("ev-"), F.col("event_id").cast("string")).alias("internal_id"),
         amount.alias("amount"), F.lit("USD").alias("currency"),
         F.col("ts").cast("timestamp_ntz").alias("server_received_at"))
+
+
+# F2 fault rules, first match wins (fixed values of the fixture).
+F2_RULES = (
+    (101, "nokey"), (103, "noref"), (109, "nosrc"), (107, "bell"), (113, "notjson"),
+    (127, "num"), (131, "comma"), (137, "neg"), (139, "xxx"), (149, "noamt"),
+    (151, "yday"), (157, "future"),
+)
+F2_COPIES = ((0, 0, None), (1, 3600, 19), (2, 90000, 17))  # (copy, +seconds, when k % n == 0)
+
+
+def f2_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """raw submissions with faults and re-sent copies (one per order + copies)."""
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("tp"), F.col("o_orderdate").alias("d"))
+    k = F.col("k")
+    rule = F.lit("ok")
+    for n, name in reversed(F2_RULES):
+        rule = F.when(k % n == 0, F.lit(name)).otherwise(rule)
+    o = o.withColumn("rule", rule)
+    rule = F.col("rule")
+    price = F.col("tp").cast("decimal(12,2)").cast("string")
+    amount_part = (F.when(rule == "num", F.concat(F.lit('"amount":'), price, F.lit(",")))
+                   .when(rule == "comma", F.lit('"amount":"12,50",'))
+                   .when(rule == "neg", F.lit('"amount":"-5.00",'))
+                   .when(rule == "noamt", F.lit(""))
+                   .otherwise(F.concat(F.lit('"amount":"'), price, F.lit('",'))))
+    currency_part = F.when(rule == "xxx", F.lit('"currency":"XXX",')).otherwise(F.lit('"currency":" usd ",'))
+    event_part = (F.when(rule == "yday", F.lit('"event_time":"yesterday",'))
+                  .when(rule == "future", F.lit('"event_time":"2999-01-01T00:00:00Z",'))
+                  .otherwise(F.lit('"event_time":"2024-01-15T10:30:00Z",')))
+    payload = F.when(rule == "notjson", F.lit("not json")).otherwise(F.concat(
+        F.lit("{"), amount_part, currency_part, event_part,
+        F.lit('"schema":"invoice.v1.json","extra":{"region":"IN"}}')))
+    kt = k.cast("string")
+    base = o.select(
+        k, F.col("d"),
+        F.when(rule == "nokey", F.lit("")).otherwise(F.concat(F.lit("key-"), kt)).alias("idempotency_key"),
+        F.when(rule == "noref", F.lit(""))
+        .when(rule == "bell", F.concat(F.lit("ORD-"), kt, F.lit("\u0007")))
+        .otherwise(F.concat(F.lit("ORD-"), kt)).alias("transaction_ref"),
+        F.when(rule == "nosrc", F.lit(""))
+        .otherwise(F.element_at(F.array(*[F.lit(s) for s in SOURCES_BY_K3]), (k % 3 + 1).cast("int")))
+        .alias("source_system"),
+        F.when(k % 2 == 0, F.lit("file")).otherwise(F.lit("webhook")).alias("adapter_type"),
+        payload.alias("payload_text"))
+    parts = []
+    for copy, secs, every in F2_COPIES:
+        part = base if every is None else base.filter(k % every == 0)
+        parts.append(part.select(
+            (k * 10 + copy).alias("row_id"), "idempotency_key", "transaction_ref", "source_system",
+            "adapter_type", "payload_text", _secs(F.col("d"), secs).cast("timestamp_ntz").alias("server_received_at")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

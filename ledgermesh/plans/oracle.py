@@ -218,3 +218,112 @@ SELECT j.transaction_ref, j.source_system system_name, j.internal_id, j.amount,
          || ',"strategy":"majority","winning_bucket_size":' || CAST(j.max_size AS VARCHAR) || '}}' END
          discrepancy_details
 FROM j JOIN maj USING (transaction_ref)"""
+
+
+F2_CTE = r"""
+f2_o AS (
+  SELECT o_orderkey k, o_totalprice tp, o_orderdate d,
+    CASE WHEN o_orderkey % 101 = 0 THEN 'nokey' WHEN o_orderkey % 103 = 0 THEN 'noref'
+         WHEN o_orderkey % 109 = 0 THEN 'nosrc' WHEN o_orderkey % 107 = 0 THEN 'bell'
+         WHEN o_orderkey % 113 = 0 THEN 'notjson' WHEN o_orderkey % 127 = 0 THEN 'num'
+         WHEN o_orderkey % 131 = 0 THEN 'comma' WHEN o_orderkey % 137 = 0 THEN 'neg'
+         WHEN o_orderkey % 139 = 0 THEN 'xxx' WHEN o_orderkey % 149 = 0 THEN 'noamt'
+         WHEN o_orderkey % 151 = 0 THEN 'yday' WHEN o_orderkey % 157 = 0 THEN 'future' ELSE 'ok' END rule
+  FROM orders),
+f2_b AS (
+  SELECT k, d,
+    CASE WHEN rule = 'nokey' THEN '' ELSE 'key-' || CAST(k AS VARCHAR) END idempotency_key,
+    CASE WHEN rule = 'noref' THEN '' WHEN rule = 'bell' THEN 'ORD-' || CAST(k AS VARCHAR) || chr(7)
+         ELSE 'ORD-' || CAST(k AS VARCHAR) END transaction_ref,
+    CASE WHEN rule = 'nosrc' THEN '' ELSE ['erp_system', 'vendor_portal', 'payment_gateway'][(k % 3) + 1] END
+      source_system,
+    CASE WHEN k % 2 = 0 THEN 'file' ELSE 'webhook' END adapter_type,
+    CASE WHEN rule = 'notjson' THEN 'not json' ELSE '{' ||
+      CASE rule WHEN 'num' THEN '"amount":' || CAST(CAST(tp AS DECIMAL(12,2)) AS VARCHAR) || ','
+                WHEN 'comma' THEN '"amount":"12,50",' WHEN 'neg' THEN '"amount":"-5.00",'
+                WHEN 'noamt' THEN '' ELSE '"amount":"' || CAST(CAST(tp AS DECIMAL(12,2)) AS VARCHAR) || '",' END ||
+      CASE WHEN rule = 'xxx' THEN '"currency":"XXX",' ELSE '"currency":" usd ",' END ||
+      CASE rule WHEN 'yday' THEN '"event_time":"yesterday",'
+                WHEN 'future' THEN '"event_time":"2999-01-01T00:00:00Z",'
+                ELSE '"event_time":"2024-01-15T10:30:00Z",' END ||
+      '"schema":"invoice.v1.json","extra":{"region":"IN"}}' END payload_text
+  FROM f2_o),
+f2 AS (
+  SELECT k * 10 row_id, idempotency_key, transaction_ref, source_system, adapter_type, payload_text,
+         CAST(d AS TIMESTAMP) server_received_at FROM f2_b
+  UNION ALL
+  SELECT k * 10 + 1, idempotency_key, transaction_ref, source_system, adapter_type, payload_text,
+         d + INTERVAL 3600 SECOND FROM f2_b WHERE k % 19 = 0
+  UNION ALL
+  SELECT k * 10 + 2, idempotency_key, transaction_ref, source_system, adapter_type, payload_text,
+         d + INTERVAL 90000 SECOND FROM f2_b WHERE k % 17 = 0
+)"""
+
+
+def pipeline_sql(as_of, ttl_secs: int = 86400) -> str:
+    """CTEs ``pv`` (every row with its first error) and ``lab`` (idempotency label)."""
+    return F2_CTE + rf""",
+p0 AS (
+  SELECT f2.*, CASE WHEN json_valid(payload_text) THEN json_type(payload_text) = 'OBJECT' ELSE false END is_obj,
+         length(payload_text) > 0 non_empty
+  FROM f2),
+p1 AS (
+  SELECT *,
+    CASE WHEN is_obj THEN nullif(json_extract_string(payload_text, '$.amount'), '') END amount_text,
+    CASE WHEN is_obj THEN upper(trim(nullif(json_extract_string(payload_text, '$.currency'), ''))) END currency,
+    CASE WHEN is_obj THEN nullif(json_extract_string(payload_text, '$.event_time'), '') END ev_txt,
+    CASE WHEN is_obj THEN nullif(json_extract_string(payload_text, '$.schema'), '') END payload_schema,
+    CASE WHEN is_obj THEN json_extract_string(payload_text, '$.extra.region') END extra_region
+  FROM p0),
+p2 AS (
+  SELECT *,
+    coalesce(try_strptime(ev_txt, '%Y-%m-%dT%H:%M:%SZ'), try_strptime(ev_txt, '%Y-%m-%dT%H:%M:%S.%fZ'),
+             try_strptime(ev_txt, '%Y-%m-%dT%H:%M:%S'), try_strptime(ev_txt, '%Y-%m-%d %H:%M:%S')) record_timestamp,
+    CASE WHEN amount_text IS NULL THEN NULL
+         WHEN NOT regexp_full_match(amount_text, '[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?')
+           THEN 'invalid_amount'
+         WHEN try_cast(amount_text AS DECIMAL(22,6)) IS NULL
+           OR CAST(try_cast(amount_text AS DECIMAL(22,6)) AS DECIMAL(38,12)) <> try_cast(amount_text AS DECIMAL(38,12))
+           THEN 'amount_precision' END amount_err,
+    try_cast(amount_text AS DECIMAL(22,6)) amount0
+  FROM p1),
+pv AS (
+  SELECT *,
+    CASE WHEN amount_err IS NULL THEN amount0 END amount,
+    CASE WHEN idempotency_key = '' OR transaction_ref = '' OR source_system = '' THEN 'missing_field'
+         WHEN NOT regexp_full_match(transaction_ref, '[\x20-\x7E]+') THEN 'invalid_format'
+         WHEN octet_length(encode(payload_text)) > 33554432 THEN 'payload_too_large'
+         WHEN amount_err IS NOT NULL THEN amount_err
+         WHEN currency IS NOT NULL AND currency <> ''
+              AND currency NOT IN ('INR','USD','EUR','GBP','JPY','AUD','CAD','CHF','CNY','SGD','AED','MYR')
+           THEN 'invalid_currency'
+         WHEN record_timestamp > {ts_lit(as_of)} + INTERVAL 300 SECOND THEN 'future_timestamp'
+         WHEN amount0 < 0 AND amount_err IS NULL THEN 'negative_amount' END error_reason
+  FROM p2),
+pv2 AS (
+  SELECT *, error_reason IS NULL ok,
+    CASE WHEN error_reason IS NULL THEN NULL
+         WHEN idempotency_key = '' OR transaction_ref = '' OR source_system = ''
+           OR NOT regexp_full_match(transaction_ref, '[\x20-\x7E]+') THEN 'validate'
+         WHEN error_reason IN ('invalid_amount', 'amount_precision') THEN 'normalize' ELSE 'validate' END error_stage,
+    array_to_string(list_sort(list_filter([
+        'adapter_type=' || adapter_type,
+        CASE WHEN non_empty AND NOT is_obj THEN 'parse_warning=non_json_payload' END,
+        CASE WHEN ev_txt IS NOT NULL AND record_timestamp IS NULL THEN 'raw_event_time=' || ev_txt END,
+        CASE WHEN extra_region IS NOT NULL THEN 'region=' || extra_region END], lambda x: x IS NOT NULL)), ';') tags_text,
+    concat_ws('-', substr(sha256(idempotency_key), 1, 8), substr(sha256(idempotency_key), 9, 4),
+              substr(sha256(idempotency_key), 13, 4), substr(sha256(idempotency_key), 17, 4),
+              substr(sha256(idempotency_key), 21, 12)) internal_id
+  FROM pv),
+firsts AS (
+  SELECT idempotency_key, arg_min(server_received_at, (server_received_at, row_id)) first_ts,
+         arg_min(row_id, (server_received_at, row_id)) first_row, arg_min(internal_id, (server_received_at, row_id)) stored_internal_id
+  FROM pv2 WHERE ok GROUP BY idempotency_key),
+lab AS (
+  SELECT v.*, f.stored_internal_id,
+    CASE WHEN f.first_ts IS NULL THEN 'failed'
+         WHEN v.server_received_at = f.first_ts AND v.row_id = f.first_row THEN 'stored'
+         WHEN v.server_received_at < f.first_ts OR (v.server_received_at = f.first_ts AND v.row_id < f.first_row) THEN 'failed'
+         WHEN v.server_received_at < f.first_ts + INTERVAL {int(ttl_secs)} SECOND THEN 'duplicate'
+         WHEN v.ok THEN 'ignored_after_ttl' ELSE 'failed' END idem_label
+  FROM pv2 v LEFT JOIN firsts f USING (idempotency_key))"""

@@ -23,6 +23,8 @@ def get_spark(app: str = "ledgermesh", master: str | None = None,
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):  # single JVM: the driver heap is the executor heap
+            builder = builder.config("spark.driver.memory", os.environ.get("LEDGERMESH_DRIVER_MEMORY", "12g"))
     builder = (
         builder.config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
