@@ -202,3 +202,98 @@ SELECT idempotency_key, CAST(count(DISTINCT sha256(coalesce(payload_text, '')))
 FROM f2 WHERE coalesce(idempotency_key, '') <> '' GROUP BY 1 HAVING count(DISTINCT sha256(coalesce(payload_text, ''))) > 1""")
 def idm04_conflicting_duplicates(spark, sf_dir):
     return IDM.conflicting_duplicates(FX.f2_envelopes(spark, sf_dir))
+
+
+# ── state, due work, audit (F1 two-pass scenario) ─────────────────────────
+from ledgermesh.operators import audit as AU  # noqa: E402
+from ledgermesh.operators import state as ST  # noqa: E402
+from ledgermesh.plans import scenarios as SC  # noqa: E402
+
+_TWO = O.two_pass_sql(SC.RULES, SC.PASS1_AS_OF, SC.PASS2_AS_OF)
+_STATE_COLS = ("transaction_ref, status, record_count, retry_count, max_retries, last_processed_at, "
+               "resolved_at, created_at, matched_sources, mismatched_sources")
+
+
+def state_cols(state):
+    return state.select(M.REF, "status", "record_count", "retry_count", "max_retries", "last_processed_at",
+                        "resolved_at", "created_at", F.array_join("matched_sources", ",").alias("matched_sources"),
+                        F.array_join("mismatched_sources", ",").alias("mismatched_sources"))
+
+
+@register("sta01_two_pass_state", f"{_TWO}\nSELECT {_STATE_COLS} FROM s2")
+def sta01_two_pass_state(spark, sf_dir):
+    _, p2 = SC.two_pass(spark, sf_dir)
+    return state_cols(p2.tables.state)
+
+
+@register("jn01_due_refs", f"{_TWO}\nSELECT transaction_ref FROM due2")
+def jn01_due_refs(spark, sf_dir):
+    p1, _ = SC.two_pass(spark, sf_dir)
+    return ST.due_refs(FX.f1_records(spark, sf_dir), p1.tables.state, SC.PASS2_AS_OF, 30)
+
+
+@register("lm01_due_batch_top100", f"{_TWO}\nSELECT transaction_ref FROM due2 ORDER BY transaction_ref LIMIT 100")
+def lm01_due_batch_top100(spark, sf_dir):
+    p1, _ = SC.two_pass(spark, sf_dir)
+    return ST.due_refs(FX.f1_records(spark, sf_dir), p1.tables.state, SC.PASS2_AS_OF, 30, limit=100)
+
+
+@register("str04_stale_decisions", f"""{_TWO},
+cur AS (SELECT transaction_ref, CAST(count(*) AS BIGINT) current_record_count, max(server_received_at) latest_record_at
+        FROM f1 GROUP BY 1)
+SELECT s2.transaction_ref, s2.status, s2.record_count decided_record_count, cur.current_record_count
+FROM s2 JOIN cur USING (transaction_ref)
+WHERE s2.status IN ('MATCHED', 'MISMATCHED')
+  AND (cur.current_record_count > s2.record_count OR cur.latest_record_at > s2.last_processed_at)""")
+def str04_stale_decisions(spark, sf_dir):
+    _, p2 = SC.two_pass(spark, sf_dir)
+    return ST.stale_decisions(FX.f1_records(spark, sf_dir), p2.tables.state).select(
+        M.REF, "status", "decided_record_count", "current_record_count")
+
+
+@register("jn04_propagate_status", f"""{_TWO}
+SELECT f1.internal_id, f1.transaction_ref, coalesce(CASE WHEN s2.status <> 'PENDING' THEN s2.status END, 'PENDING') status
+FROM f1 LEFT JOIN s2 USING (transaction_ref)""")
+def jn04_propagate_status(spark, sf_dir):
+    _, p2 = SC.two_pass(spark, sf_dir)
+    # pass-2 records carry pass-1 propagation; re-propagate from the final state
+    return ST.propagate_status(FX.f1_records(spark, sf_dir), p2.tables.state).select(
+        "internal_id", M.REF, "status")
+
+
+@register("au01_audit_trail", f"""{_TWO},
+ev AS (
+  SELECT transaction_ref, 'pass1' batch_id, 'MATCH_ATTEMPT:NEW>' || status e FROM s1
+  UNION ALL
+  SELECT d2.transaction_ref, 'pass2', 'MATCH_ATTEMPT:' || coalesce(s1.status, 'NEW') || '>' || d2.status
+  FROM d2 LEFT JOIN s1 USING (transaction_ref))
+SELECT transaction_ref, CAST(count(*) AS BIGINT) entry_count, string_agg(e, '|' ORDER BY batch_id) events
+FROM ev GROUP BY 1""")
+def au01_audit_trail(spark, sf_dir):
+    _, p2 = SC.two_pass(spark, sf_dir)
+    tr = AU.audit_trail(p2.tables.audit)
+    return tr.select(M.REF, "entry_count", F.array_join(F.transform("entries", lambda e: F.concat(
+        e["event_type"], F.lit(":"), e["old_status"], F.lit(">"), e["new_status"])), "|").alias("events"))
+
+
+@register("au02_replay_status", f"""{_TWO}
+SELECT transaction_ref, status replayed_status, status state_status FROM s2""")
+def au02_replay_status(spark, sf_dir):
+    _, p2 = SC.two_pass(spark, sf_dir)
+    rp = AU.replay_status(p2.tables.audit)
+    return rp.join(p2.tables.state.select(M.REF, F.col("status").alias("state_status")), M.REF, "full_outer")
+
+
+@register("mt16_retrigger", f"""WITH {O.F1_CTE},
+r3 AS (SELECT * FROM f1 WHERE CAST(substr(transaction_ref, 5) AS BIGINT) % 4 = 1),
+{O.latest_sql('r3', '3')},
+{O.decisions_sql(SC.RULES, SC.RETRIGGER_AS_OF, '3')},
+{O.status_sql(SC.RULES, '3')}
+SELECT transaction_ref, status, CAST(record_count AS BIGINT) record_count, 1 retry_count,
+       CASE WHEN status = 'MISMATCHED' THEN coalesce(flagged_sorted, '') ELSE '' END mismatched_sources
+FROM dec3""")
+def mt16_retrigger(spark, sf_dir):
+    out = SC.after_retrigger(spark, sf_dir)
+    st = out.tables.state.filter(SC.order_key() % 4 == 1)
+    return st.select(M.REF, "status", "record_count", "retry_count",
+                     F.array_join("mismatched_sources", ",").alias("mismatched_sources"))

@@ -52,10 +52,10 @@ def within_sql(a: str, b: str, rules: MatchRules) -> str:
             f"greatest(abs({a}), abs({b})) * CAST('{rules.pct_factor}' AS DECIMAL(13,10))))")
 
 
-def latest_sql(src: str) -> str:
+def latest_sql(src: str, x: str = "") -> str:
     """WN-1 as a window query, plus the group order ``pos``."""
     return f"""
-latest AS (
+latest{x} AS (
   SELECT * EXCLUDE (rn) FROM (
     SELECT transaction_ref, source_system, internal_id, amount, currency, server_received_at,
            row_number() OVER (PARTITION BY transaction_ref, source_system
@@ -63,12 +63,12 @@ latest AS (
            count(*) OVER (PARTITION BY transaction_ref, source_system) n_records,
            min(server_received_at) OVER (PARTITION BY transaction_ref, source_system) first_seen_src
     FROM {src}) WHERE rn = 1),
-ord AS (
+ord{x} AS (
   SELECT *, row_number() OVER (PARTITION BY transaction_ref ORDER BY server_received_at, source_system) pos
-  FROM latest)"""
+  FROM latest{x})"""
 
 
-def decisions_sql(rules: MatchRules, as_of) -> str:
+def decisions_sql(rules: MatchRules, as_of, x: str = "") -> str:
     """CTEs ``g`` (per-ref gates) and ``flags`` (per-source flags) after ``ord``.
 
     Strategy ``exact``/``tolerance`` only; majority has its own recursion.
@@ -84,33 +84,33 @@ def decisions_sql(rules: MatchRules, as_of) -> str:
     else:
         bad = f"coalesce(NOT {within_sql('o.amount', 'g.ref_amount', rules)}, false)"
     return f"""
-agg AS (
+agg{x} AS (
   SELECT transaction_ref, sum(n_records) record_count, count(*) source_count,
          min(first_seen_src) first_seen_at,
          arg_min(amount, pos) FILTER (WHERE amount IS NOT NULL) ref_amount,
          arg_min(currency, pos) FILTER (WHERE currency IS NOT NULL) first_currency,
          count(DISTINCT currency) > 1 cur_mismatch,
          list(source_system ORDER BY pos) present
-  FROM ord GROUP BY transaction_ref),
-g0 AS (
+  FROM ord{x} GROUP BY transaction_ref),
+g0{x} AS (
   SELECT *, CAST(greatest(0, floor(epoch({ts_lit(as_of)}) - epoch(first_seen_at))) AS BIGINT) age_secs,
          list_filter({exp_list}, lambda e: NOT list_contains(present, e)) missing
-  FROM agg),
-g AS (
+  FROM agg{x}),
+g{x} AS (
   SELECT *, CASE
       WHEN len(missing) > 0 THEN CASE WHEN {timed} THEN 'missing_timeout' ELSE 'missing_wait' END
       WHEN source_count < 2 THEN CASE WHEN {timed} THEN 'single_timeout' ELSE 'single_wait' END
       WHEN cur_mismatch THEN 'currency' ELSE 'compare' END gate
-  FROM g0),
-flags AS (
+  FROM g0{x}),
+flags{x} AS (
   SELECT o.transaction_ref, o.source_system, o.internal_id, o.amount, o.currency, o.pos, g.gate,
          g.ref_amount, g.first_currency,
          (o.currency IS NOT NULL AND o.currency <> g.first_currency) cur_bad,
          CASE g.gate WHEN 'currency' THEN true WHEN 'compare' THEN {bad} ELSE false END flagged
-  FROM ord o JOIN g USING (transaction_ref))"""
+  FROM ord{x} o JOIN g{x} g USING (transaction_ref))"""
 
 
-def status_sql(rules: MatchRules) -> str:
+def status_sql(rules: MatchRules, x: str = "") -> str:
     """CTE ``dec``: status, reason and source lists per ref."""
     exp = ", ".join(f'"{s}"' for s in rules.expected_sources)
     if rules.strategy == "exact":
@@ -119,13 +119,13 @@ def status_sql(rules: MatchRules) -> str:
         cmp_reason = ("'tolerance strategy: amounts deviate beyond abs=%s / pct=%s%%'"
                       % (rules.abs_text, format_f64(rules.pct_tolerance)))
     return f"""
-fl AS (
+fl{x} AS (
   SELECT transaction_ref, bool_or(flagged) any_flag,
          string_agg(CASE WHEN cur_bad THEN source_system || '=' || currency END, ', ' ORDER BY pos) cur_list,
          string_agg(source_system, ',' ORDER BY source_system) all_sorted,
          string_agg(CASE WHEN flagged THEN source_system END, ',' ORDER BY source_system) flagged_sorted
-  FROM flags GROUP BY transaction_ref),
-dec AS (
+  FROM flags{x} GROUP BY transaction_ref),
+dec{x} AS (
   SELECT g.transaction_ref, g.record_count, g.source_count, g.gate,
     CASE WHEN g.gate IN ('missing_wait', 'single_wait') THEN 'PENDING'
          WHEN g.gate IN ('missing_timeout', 'single_timeout', 'currency') THEN 'MISMATCHED'
@@ -140,7 +140,7 @@ dec AS (
               || ''' (from first source), got: ' || fl.cur_list
          WHEN fl.any_flag THEN {cmp_reason} END reason,
     g.ref_amount, g.first_currency, fl.all_sorted, fl.flagged_sorted
-  FROM g JOIN fl USING (transaction_ref))"""
+  FROM g{x} g JOIN fl{x} fl USING (transaction_ref))"""
 
 
 def state_report_sql(src_cte: str, src: str, rules: MatchRules, as_of) -> str:
@@ -327,3 +327,59 @@ lab AS (
          WHEN v.server_received_at < f.first_ts + INTERVAL {int(ttl_secs)} SECOND THEN 'duplicate'
          WHEN v.ok THEN 'ignored_after_ttl' ELSE 'failed' END idem_label
   FROM pv2 v LEFT JOIN firsts f USING (idempotency_key))"""
+
+
+def _state_rows(dec: str, as_of, x: str) -> str:
+    return f"""
+d{x} AS (
+  SELECT transaction_ref, status, CAST(record_count AS BIGINT) record_count,
+         CASE WHEN status = 'MATCHED' THEN all_sorted ELSE '' END matched_sources,
+         CASE WHEN status = 'MISMATCHED' THEN coalesce(flagged_sorted, '') ELSE '' END mismatched_sources
+  FROM {dec})"""
+
+
+def _upsert(base: str, delta: str, as_of, out: str, max_retries: int = 3) -> str:
+    now = ts_lit(as_of)
+    return f"""
+{out} AS (
+  SELECT coalesce(b.transaction_ref, d.transaction_ref) transaction_ref,
+    CASE WHEN d.status IS NOT NULL THEN d.status ELSE b.status END status,
+    CASE WHEN d.status IS NOT NULL THEN d.record_count ELSE b.record_count END record_count,
+    CASE WHEN d.status IS NOT NULL THEN d.matched_sources ELSE b.matched_sources END matched_sources,
+    CASE WHEN d.status IS NOT NULL THEN d.mismatched_sources ELSE b.mismatched_sources END mismatched_sources,
+    CAST(CASE WHEN d.status IS NOT NULL THEN CASE WHEN b.status IS NOT NULL THEN b.retry_count + 1 ELSE 1 END
+         ELSE b.retry_count END AS INTEGER) retry_count,
+    CAST(coalesce(b.max_retries, {max_retries}) AS INTEGER) max_retries,
+    CASE WHEN d.status IS NOT NULL THEN {now} ELSE b.last_processed_at END last_processed_at,
+    CASE WHEN d.status IN ('MATCHED', 'RESOLVED') THEN {now} ELSE b.resolved_at END resolved_at,
+    coalesce(b.created_at, {now}) created_at
+  FROM {base} b FULL OUTER JOIN {delta} d ON b.transaction_ref = d.transaction_ref)"""
+
+
+def two_pass_sql(rules: MatchRules, as1, as2, backoff: int = 30) -> str:
+    """CTEs through ``s2`` (state after pass 2), ``due2`` and ``s1``."""
+    empty = f"""
+s0 AS (SELECT NULL::VARCHAR transaction_ref, NULL::VARCHAR status, NULL::BIGINT record_count,
+        NULL::VARCHAR matched_sources, NULL::VARCHAR mismatched_sources, NULL::INTEGER retry_count,
+        NULL::INTEGER max_retries, NULL::TIMESTAMP last_processed_at, NULL::TIMESTAMP resolved_at,
+        NULL::TIMESTAMP created_at WHERE false)"""
+    return f"""WITH {F1_CTE},
+r1 AS (SELECT * FROM f1 WHERE NOT (
+        (source_system <> 'erp_system' AND CAST(substr(transaction_ref, 5) AS BIGINT) % 4 = 0)
+     OR (source_system = 'payment_gateway' AND CAST(substr(transaction_ref, 5) AS BIGINT) % 4 = 1))),
+{latest_sql('r1', '1')},
+{decisions_sql(rules, as1, '1')},
+{status_sql(rules, '1')},
+{_state_rows('dec1', as1, '1')},
+{empty},
+{_upsert('s0', 'd1', as1, 's1', rules.max_retries)},
+due2 AS (
+  SELECT DISTINCT f.transaction_ref FROM f1 f LEFT JOIN s1 ON f.transaction_ref = s1.transaction_ref
+  WHERE s1.transaction_ref IS NULL OR (s1.status = 'PENDING' AND s1.retry_count < s1.max_retries
+        AND (s1.last_processed_at IS NULL OR s1.last_processed_at < {ts_lit(as2)} - INTERVAL {backoff} SECOND))),
+r2 AS (SELECT * FROM f1 WHERE transaction_ref IN (SELECT transaction_ref FROM due2)),
+{latest_sql('r2', '2')},
+{decisions_sql(rules, as2, '2')},
+{status_sql(rules, '2')},
+{_state_rows('dec2', as2, '2')},
+{_upsert('s1', 'd2', as2, 's2', rules.max_retries)}"""
