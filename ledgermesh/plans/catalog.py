@@ -297,3 +297,204 @@ def mt16_retrigger(spark, sf_dir):
     st = out.tables.state.filter(SC.order_key() % 4 == 1)
     return st.select(M.REF, "status", "record_count", "retry_count",
                      F.array_join("mismatched_sources", ",").alias("mismatched_sources"))
+
+
+# ── resolution and retry queue (F4) ───────────────────────────────────────
+from ledgermesh.config import AutoResolveConfig, RetryPolicy  # noqa: E402
+from ledgermesh.operators import resolution as RS  # noqa: E402
+from ledgermesh.operators import retry as RT  # noqa: E402
+from ledgermesh.plans.batch import ReconTables  # noqa: E402
+
+_F4 = f"WITH {O.F1_CTE},\n{O.f4_sql(SC.RULES, SC.F4_AS_OF)}"
+_K = "CAST(substr(transaction_ref, 5) AS BIGINT)"
+_NOW4 = O.ts_lit(SC.F4_AS_OF)
+
+
+def _outcome(res: RS.ResolutionOutcome):
+    return res.resolutions.select(M.REF, F.lit("resolved").alias("outcome"), "chosen_source",
+                                  F.col("resolution_reason").alias("text")).unionByName(
+        res.rejections.select(M.REF, F.lit("rejected").alias("outcome"),
+                              F.lit(None).cast("string").alias("chosen_source"), F.col("reason").alias("text")))
+
+
+def _auto(spark, sf_dir, strategy, prio=""):
+    t = SC.f4_tables(spark, sf_dir)
+    refs = t.state.filter(SC.order_key() % 5 == 0).select(M.REF)
+    return _outcome(RS.auto_resolve(refs, t.state, t.records, t.details, SC.F4_AS_OF, strategy=strategy,
+                                    cfg=AutoResolveConfig(source_priority=prio)))
+
+
+def _auto_sql(win_cte: str, text: str) -> str:
+    return f"""{_F4},
+refs AS (SELECT transaction_ref, status FROM dec4 WHERE {_K} % 5 = 0),
+{win_cte}
+SELECT r.transaction_ref,
+       CASE WHEN r.status IN ('MISMATCHED', 'RESOLVED') THEN 'resolved' ELSE 'rejected' END outcome,
+       CASE WHEN r.status IN ('MISMATCHED', 'RESOLVED') THEN w.chosen END chosen_source,
+       CASE WHEN r.status IN ('MISMATCHED', 'RESOLVED') THEN {text}
+            ELSE 'cannot resolve transaction in status ' || r.status END text
+FROM refs r LEFT JOIN win w USING (transaction_ref)"""
+
+
+@register("rs03_auto_latest_record", _auto_sql(
+    "win AS (SELECT transaction_ref, arg_max(source_system, (server_received_at, internal_id)) chosen FROM f1 GROUP BY 1)",
+    """'latest_record: "' || w.chosen || '" submitted most recently'"""))
+def rs03_auto_latest_record(spark, sf_dir):
+    return _auto(spark, sf_dir, "latest")
+
+
+@register("rs05_auto_first_submitted", _auto_sql(
+    "win AS (SELECT transaction_ref, arg_min(source_system, (server_received_at, internal_id)) chosen FROM f1 GROUP BY 1)",
+    """'first_submitted: "' || w.chosen || '" submitted earliest'"""))
+def rs05_auto_first_submitted(spark, sf_dir):
+    return _auto(spark, sf_dir, "first_submitted")
+
+
+@register("rs04_auto_highest_amount", _auto_sql(
+    "win AS (SELECT transaction_ref, arg_max(source_system, (amount, source_system)) chosen FROM flags4 "
+    "WHERE gate <> 'missing_wait' AND gate <> 'single_wait' AND amount IS NOT NULL GROUP BY 1)",
+    """'highest_amount: "' || w.chosen || '" reports the highest amount'"""))
+def rs04_auto_highest_amount(spark, sf_dir):
+    return _auto(spark, sf_dir, "highest")
+
+
+@register("rs04_auto_lowest_amount", _auto_sql(
+    "win AS (SELECT transaction_ref, arg_min(source_system, (amount, source_system)) chosen FROM flags4 "
+    "WHERE gate <> 'missing_wait' AND gate <> 'single_wait' AND amount IS NOT NULL GROUP BY 1)",
+    """'lowest_amount: "' || w.chosen || '" reports the lowest amount'"""))
+def rs04_auto_lowest_amount(spark, sf_dir):
+    return _auto(spark, sf_dir, "lowest_amount")
+
+
+@register("rs02_auto_source_priority", _auto_sql(
+    """win AS (SELECT transaction_ref, CASE WHEN bool_or(source_system = 'payment_gateway') THEN 'payment_gateway'
+                 WHEN bool_or(source_system = 'erp_system') THEN 'erp_system' END chosen FROM f1 GROUP BY 1)""",
+    """'source_priority: "' || w.chosen || '" is highest-priority source present (priority list: [payment_gateway, erp_system])'"""))
+def rs02_auto_source_priority(spark, sf_dir):
+    return _auto(spark, sf_dir, "source_priority", "payment_gateway, erp_system")
+
+
+_DECISIONS = f"""
+dcs AS (
+  SELECT transaction_ref FROM dec4 WHERE status = 'MISMATCHED' AND {_K} % 3 = 0
+  UNION ALL SELECT transaction_ref FROM dec4 WHERE status = 'PENDING' AND {_K} % 100 = 9
+  UNION ALL SELECT 'UNKNOWN-' || transaction_ref FROM dec4 WHERE {_K} % 500 = 0),
+man AS (
+  SELECT d.transaction_ref, s.status FROM dcs d LEFT JOIN dec4 s USING (transaction_ref))"""
+
+
+@register("rs07_manual_resolution", f"""{_F4},{_DECISIONS}
+SELECT transaction_ref,
+       CASE WHEN status IN ('MISMATCHED', 'RESOLVED') THEN 'resolved' ELSE 'rejected' END outcome,
+       CASE WHEN status IN ('MISMATCHED', 'RESOLVED') THEN 'erp_system' END chosen_source,
+       CASE WHEN status IN ('MISMATCHED', 'RESOLVED') THEN 'manual review'
+            WHEN status IS NULL THEN 'not_found: transaction not found'
+            ELSE 'invalid_status: cannot resolve transaction in status ' || status END text
+FROM man""")
+def rs07_manual_resolution(spark, sf_dir):
+    t = SC.f4_tables(spark, sf_dir)
+    return _outcome(RS.resolve_manually(SC.f4_decisions(t.state), t.state, SC.F4_AS_OF))
+
+
+@register("rs08_golden_records", f"""{_F4},{_DECISIONS}
+SELECT m.transaction_ref, 'erp_system' chosen_source, l.internal_id, l.amount, l.currency
+FROM man m JOIN latest4 l ON l.transaction_ref = m.transaction_ref AND l.source_system = 'erp_system'
+WHERE m.status IN ('MISMATCHED', 'RESOLVED')""")
+def rs08_golden_records(spark, sf_dir):
+    t = SC.f4_tables(spark, sf_dir)
+    res = RS.resolve_manually(SC.f4_decisions(t.state), t.state, SC.F4_AS_OF)
+    return RS.golden_records(res.resolutions, t.records).select(M.REF, "chosen_source", "internal_id", "amount",
+                                                                 "currency")
+
+
+@register("sta02_mark_resolved", f"""{_F4},{_DECISIONS}
+SELECT status, CAST(count(*) AS BIGINT) refs FROM (
+  SELECT d.transaction_ref, CASE WHEN m.transaction_ref IS NOT NULL THEN 'RESOLVED' ELSE d.status END status
+  FROM dec4 d LEFT JOIN (SELECT transaction_ref FROM man WHERE status IN ('MISMATCHED', 'RESOLVED')) m
+  USING (transaction_ref)) GROUP BY 1""")
+def sta02_mark_resolved(spark, sf_dir):
+    t = SC.f4_tables(spark, sf_dir)
+    res = RS.resolve_manually(SC.f4_decisions(t.state), t.state, SC.F4_AS_OF)
+    return res.state.groupBy("status").agg(F.count(F.lit(1)).alias("refs"))
+
+
+@register("rt01_enqueue_retry", f"""{_F4},
+qb AS (SELECT * FROM q4 WHERE {_K} % 10 <> 5),
+enq AS (SELECT transaction_ref FROM dec4 WHERE status = 'MISMATCHED' AND {_K} % 5 = 0)
+SELECT coalesce(q.transaction_ref, e.transaction_ref) transaction_ref,
+  CAST(CASE WHEN e.transaction_ref IS NOT NULL AND q.transaction_ref IS NOT NULL AND q.status <> 'EXHAUSTED'
+            THEN q.attempt_count WHEN e.transaction_ref IS NOT NULL THEN 0 ELSE q.attempt_count END AS INTEGER) attempt_count,
+  CAST(CASE WHEN e.transaction_ref IS NOT NULL THEN 5 ELSE q.max_attempts END AS INTEGER) max_attempts,
+  CASE WHEN e.transaction_ref IS NOT NULL THEN {_NOW4} ELSE q.next_retry_at END next_retry_at,
+  CASE WHEN e.transaction_ref IS NOT NULL AND q.transaction_ref IS NOT NULL AND q.status <> 'EXHAUSTED' THEN q.status
+       WHEN e.transaction_ref IS NOT NULL THEN 'PENDING' ELSE q.status END status,
+  CASE WHEN e.transaction_ref IS NOT NULL THEN 'ops' ELSE 'api' END requested_by
+FROM qb q FULL OUTER JOIN enq e ON q.transaction_ref = e.transaction_ref""")
+def rt01_enqueue_retry(spark, sf_dir):
+    t = SC.f4_tables(spark, sf_dir)
+    qb = SC.f4_queue(t.state).filter(SC.order_key() % 10 != 5)
+    refs = t.state.filter(SC.order_key() % 5 == 0).select(M.REF)
+    out = RT.enqueue_retry(qb, refs, t.state, SC.F4_AS_OF, max_attempts=5, requested_by="ops")
+    return out.queue.select(M.REF, "attempt_count", "max_attempts", "next_retry_at", "status", "requested_by")
+
+
+@register("rt02_backoff", f"""{_F4}
+SELECT transaction_ref, attempt_count,
+       CAST(least(60 * pow(2, attempt_count + 1 - 1), 3600) AS BIGINT) backoff_secs FROM q4""")
+def rt02_backoff(spark, sf_dir):
+    from ledgermesh.functions.times import backoff_seconds
+    q = SC.f4_queue(SC.f4_tables(spark, sf_dir).state)
+    return q.select(M.REF, "attempt_count", backoff_seconds(F.col("attempt_count") + 1).alias("backoff_secs"))
+
+
+@register("lm04_due_retries_top50", f"""{_F4}
+SELECT transaction_ref, attempt_count, next_retry_at FROM q4
+WHERE status = 'PENDING' AND next_retry_at <= {_NOW4} ORDER BY next_retry_at, transaction_ref LIMIT 50""")
+def lm04_due_retries_top50(spark, sf_dir):
+    q = SC.f4_queue(SC.f4_tables(spark, sf_dir).state)
+    return RT.due_retries(q, SC.RETRY_AS_OF, limit=50).select(M.REF, "attempt_count", "next_retry_at")
+
+
+@register("ag06_retry_queue_stats", f"""{_F4}
+SELECT CAST(count(*) FILTER (WHERE status = 'PENDING') AS BIGINT) pending,
+       CAST(count(*) FILTER (WHERE status = 'EXHAUSTED') AS BIGINT) exhausted,
+       CAST(count(*) FILTER (WHERE status = 'RESOLVED') AS BIGINT) resolved FROM q4""")
+def ag06_retry_queue_stats(spark, sf_dir):
+    return RT.queue_stats(SC.f4_queue(SC.f4_tables(spark, sf_dir).state))
+
+
+@register("lm03_retry_queue_page", f"""{_F4}
+SELECT transaction_ref, next_retry_at, status FROM q4 WHERE status = 'PENDING'
+ORDER BY next_retry_at, transaction_ref LIMIT 50""")
+def lm03_retry_queue_page(spark, sf_dir):
+    q = SC.f4_queue(SC.f4_tables(spark, sf_dir).state)
+    return RT.queue_page(q, page_size=50, status="PENDING").select(M.REF, "next_retry_at", "status")
+
+
+@register("rt03_run_retries", f"""WITH {O.F1_CTE}, {O.FIX_CTE},
+{O.f4_sql(SC.RULES, SC.F4_AS_OF)},
+due AS (SELECT * FROM q4 WHERE status = 'PENDING' AND next_retry_at <= {_NOW4}),
+r5 AS (SELECT * FROM f1x WHERE transaction_ref IN (SELECT transaction_ref FROM due)),
+{O.latest_sql('r5', '5')},
+{O.decisions_sql(SC.RULES, SC.RETRY_AS_OF, '5')},
+{O.status_sql(SC.RULES, '5')},
+tr AS (
+  SELECT q.*, q.attempt_count + 1 attempt, coalesce(d.status, 'ERROR') es FROM due q
+  LEFT JOIN dec5 d USING (transaction_ref)),
+tr2 AS (
+  SELECT *, es IN ('MATCHED', 'RESOLVED') done, es = 'MISMATCHED' AND attempt >= max_attempts exhaust FROM tr)
+SELECT transaction_ref, es engine_status,
+  CASE WHEN done THEN 'RESOLVED' WHEN exhaust THEN 'EXHAUSTED' ELSE status END new_status,
+  CAST(CASE WHEN done OR exhaust THEN attempt_count ELSE attempt END AS INTEGER) new_attempt_count,
+  CASE WHEN done OR exhaust THEN next_retry_at
+       ELSE {_NOW4} + to_seconds(CAST(least(60 * pow(2, attempt - 1), 3600) AS BIGINT)) END new_next_retry_at,
+  CASE WHEN done THEN 'RETRY_RESOLVED' WHEN exhaust THEN 'RETRY_EXHAUSTED' WHEN es = 'ERROR' THEN 'RETRY_ENGINE_ERROR'
+       WHEN es = 'MISMATCHED' THEN 'RETRY_ATTEMPT' END event
+FROM tr2""")
+def rt03_run_retries(spark, sf_dir):
+    t = SC.f4_tables(spark, sf_dir)
+    recs = t.records.unionByName(SC.corrections(spark, sf_dir), allowMissingColumns=True)
+    tx = ReconTables(recs, t.state, t.details, t.audit)
+    out = RT.run_retries(tx, SC.f4_queue(t.state), SC.RULES, SC.RETRY_AS_OF, RetryPolicy())
+    return out.transitions.select(M.REF, F.col("engine_status_final").alias("engine_status"), "new_status",
+                                  "new_attempt_count", "new_next_retry_at", "event")

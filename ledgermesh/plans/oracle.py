@@ -383,3 +383,25 @@ r2 AS (SELECT * FROM f1 WHERE transaction_ref IN (SELECT transaction_ref FROM du
 {status_sql(rules, '2')},
 {_state_rows('dec2', as2, '2')},
 {_upsert('s1', 'd2', as2, 's2', rules.max_retries)}"""
+
+
+def f4_sql(rules: MatchRules, as_of) -> str:
+    """CTEs: state chain over f1 (suffix 4) and the F4 retry queue ``q4``."""
+    now = ts_lit(as_of)
+    return f"""{latest_sql('f1', '4')},
+{decisions_sql(rules, as_of, '4')},
+{status_sql(rules, '4')},
+q4 AS (
+  SELECT transaction_ref, CAST(k % 6 AS INTEGER) attempt_count, 5 max_attempts, NULL::TIMESTAMP last_attempted_at,
+         {now} + to_minutes(CAST(k % 7 - 3 AS BIGINT)) next_retry_at,
+         CASE k % 9 WHEN 0 THEN 'EXHAUSTED' WHEN 1 THEN 'RESOLVED' ELSE 'PENDING' END status
+  FROM (SELECT transaction_ref, CAST(substr(transaction_ref, 5) AS BIGINT) k FROM dec4 WHERE status = 'MISMATCHED'))"""
+
+
+FIX_CTE = """
+fix AS (
+  SELECT concat('ORD-', CAST(o_orderkey AS VARCHAR)) transaction_ref, 'vendor_portal' source_system,
+         concat('venfix-', CAST(o_orderkey AS VARCHAR)) internal_id, CAST(o_totalprice AS DECIMAL(22,6)) amount,
+         'USD' currency, o_orderdate + INTERVAL 600 SECOND server_received_at
+  FROM orders WHERE o_orderkey % 7 = 1 AND o_orderkey % 10 <> 9 AND o_orderkey % 2 = 0),
+f1x AS (SELECT * FROM f1 UNION ALL SELECT * FROM fix)"""

@@ -49,3 +49,59 @@ def after_retrigger(spark, sf_dir):
     _, p2 = two_pass(spark, sf_dir)
     refs = p2.tables.state.filter(order_key() % 4 == 1).select(REF)
     return retrigger(p2.tables, refs, RULES, RETRIGGER_AS_OF, batch_id="retrigger")
+
+
+# ── F4: state derived from reconcile(F1), retry queue, manual decisions ──────
+from ledgermesh.functions.amounts import AMOUNT_SQL  # noqa: E402
+from ledgermesh.functions.times import as_ts  # noqa: E402
+from ledgermesh.plans.fixtures import F1_AS_OF, table  # noqa: E402
+
+F4_AS_OF = F1_AS_OF
+RETRY_AS_OF = F1_AS_OF
+
+
+def f4_tables(spark, sf_dir):
+    """State, details and audit after one batch over all of F1 (checkpointed:
+    later steps read the written snapshot, not the lineage)."""
+    out = reconcile_batch(ReconTables.fresh(spark, FX.f1_records(spark, sf_dir)), RULES, F4_AS_OF, batch_id="f4")
+    t = out.tables
+    return ReconTables(t.records, t.state.checkpoint(), t.details.checkpoint(), t.audit.checkpoint())
+
+
+def f4_queue(state):
+    """MISMATCHED refs with attempt_count = k%6, max 5, due at as_of + (k%7-3) min,
+    status by k%9 (0 EXHAUSTED, 1 RESOLVED, else PENDING)."""
+    k = order_key()
+    now = as_ts(RETRY_AS_OF)
+    return state.filter(F.col("status") == "MISMATCHED").select(
+        REF, (k % 6).cast("int").alias("attempt_count"), F.lit(5).alias("max_attempts"),
+        F.lit(None).cast("timestamp_ntz").alias("last_attempted_at"),
+        (now + F.make_dt_interval(F.lit(0), F.lit(0), (k % 7 - 3).cast("int"), F.lit(0))).alias("next_retry_at"),
+        F.when(k % 9 == 0, F.lit("EXHAUSTED")).when(k % 9 == 1, F.lit("RESOLVED")).otherwise(F.lit("PENDING"))
+        .alias("status"),
+        F.lit("api").alias("requested_by"), now.alias("created_at"), now.alias("updated_at"))
+
+
+def corrections(spark, sf_dir):
+    """Vendor re-sends the right amount (k%7=1, vendor present, k even), 600 s later."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    return o.filter((k % 7 == 1) & (k % 10 != 9) & (k % 2 == 0)).select(
+        F.concat(F.lit("ORD-"), k.cast("string")).alias("transaction_ref"),
+        F.lit("vendor_portal").alias("source_system"),
+        F.concat(F.lit("venfix-"), k.cast("string")).alias("internal_id"),
+        F.col("o_totalprice").cast(AMOUNT_SQL).alias("amount"), F.lit("USD").alias("currency"),
+        (F.col("o_orderdate") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(600)))
+        .cast("timestamp_ntz").alias("server_received_at"))
+
+
+def f4_decisions(state):
+    """Every third MISMATCHED ref -> erp_system; PENDING refs with k%100=9 and
+    unknown refs (rejected)."""
+    k = order_key()
+    mism = state.filter((F.col("status") == "MISMATCHED") & (k % 3 == 0))
+    pend = state.filter((F.col("status") == "PENDING") & (k % 100 == 9))
+    unknown = state.filter(k % 500 == 0).select(F.concat(F.lit("UNKNOWN-"), F.col(REF)).alias(REF))
+    cols = [F.lit("erp_system").alias("chosen_source"), F.lit("tester").alias("resolver_id"),
+            F.lit("manual review").alias("reason")]
+    return mism.select(REF, *cols).unionByName(pend.select(REF, *cols)).unionByName(unknown.select(REF, *cols))
