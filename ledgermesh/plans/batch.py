@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ledgermesh.config import MatchRules
 from ledgermesh.operators import audit as A
 from ledgermesh.operators import state as S
-from ledgermesh.operators.matching import PENDING, REF, reconcile
+from ledgermesh.operators.matching import PENDING, REF, Reconciliation, reconcile
 
 
 @dataclass
@@ -48,18 +48,25 @@ def _batch_id(as_of, batch_id):
 
 def reconcile_batch(t: ReconTables, rules: MatchRules, as_of, backoff_secs: int = 30,
                     batch_id: str | None = None, limit: int | None = None,
-                    escalate_timed_out: bool = False) -> BatchOutcome:
-    """MT-15: reconcile every due ref and return the next table snapshots."""
+                    escalate_timed_out: bool = False, materialize: bool = False) -> BatchOutcome:
+    """MT-15: reconcile every due ref and return the next table snapshots.
+
+    ``materialize=True`` checkpoints the per-ref decisions (to the shared
+    checkpoint folder) so state, details, audit and errors are all derived
+    from one computation instead of re-running the match for each output.
+    """
     bid = _batch_id(as_of, batch_id)
     due = S.due_refs(t.records, t.state, as_of, backoff_secs, limit,
                      rules.pending_timeout_secs if escalate_timed_out else None)
-    return _run(t, t.state, due, rules, as_of, bid, seq=0)
+    return _run(t, t.state, due, rules, as_of, bid, seq=0, materialize=materialize)
 
 
 def _run(t: ReconTables, state_before: DataFrame, refs: DataFrame, rules: MatchRules, as_of,
-         bid: str, seq: int) -> BatchOutcome:
+         bid: str, seq: int, materialize: bool = False) -> BatchOutcome:
     recs = t.records.join(refs, REF, "left_semi")
     rec = reconcile(recs, rules, as_of)
+    if materialize:
+        rec = Reconciliation(rec.refs.checkpoint(), rec.rules, rec.as_of)
     delta = rec.state_delta()
     state2 = S.upsert_state(state_before, delta, as_of, rules.max_retries)
     details2 = S.upsert_details(t.details, rec.details())
@@ -74,7 +81,7 @@ def _run(t: ReconTables, state_before: DataFrame, refs: DataFrame, rules: MatchR
 
 
 def retrigger(t: ReconTables, refs: DataFrame, rules: MatchRules, as_of,
-              batch_id: str | None = None) -> BatchOutcome:
+              batch_id: str | None = None, materialize: bool = False) -> BatchOutcome:
     """MT-16: reset the refs to PENDING (audit RETRIGGER), then match them now,
     whatever their status (a RESOLVED ref can be re-opened, D10)."""
     bid = _batch_id(as_of, batch_id)
@@ -82,7 +89,7 @@ def retrigger(t: ReconTables, refs: DataFrame, rules: MatchRules, as_of,
     reset = S.reset_for_retrigger(t.state, refs, as_of)
     rt = A.events(refs, "RETRIGGER", F.lit(None), F.lit(PENDING),
                   F.lit('{"triggered_by":"grpc_ReTriggerMatch"}'), as_of, bid, 0)
-    out = _run(t, reset, refs, rules, as_of, bid, seq=1)
+    out = _run(t, reset, refs, rules, as_of, bid, seq=1, materialize=materialize)
     tables = out.tables
     tables.audit = A.append_audit(A.append_audit(t.audit, rt), out.audit_delta)
     return BatchOutcome(tables, out.decisions, out.errors, rt.unionByName(out.audit_delta))

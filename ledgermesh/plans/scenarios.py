@@ -39,9 +39,9 @@ def pass1_records(records):
 def two_pass(spark, sf_dir):
     recs = FX.f1_records(spark, sf_dir)
     t0 = ReconTables.fresh(spark, pass1_records(recs))
-    p1 = reconcile_batch(t0, RULES, PASS1_AS_OF, batch_id="pass1")
+    p1 = reconcile_batch(t0, RULES, PASS1_AS_OF, batch_id="pass1", materialize=True)
     t1 = ReconTables(recs, p1.tables.state, p1.tables.details, p1.tables.audit)
-    p2 = reconcile_batch(t1, RULES, PASS2_AS_OF, batch_id="pass2")
+    p2 = reconcile_batch(t1, RULES, PASS2_AS_OF, batch_id="pass2", materialize=True)
     return p1, p2
 
 
@@ -63,9 +63,9 @@ RETRY_AS_OF = F1_AS_OF
 def f4_tables(spark, sf_dir):
     """State, details and audit after one batch over all of F1 (checkpointed:
     later steps read the written snapshot, not the lineage)."""
-    out = reconcile_batch(ReconTables.fresh(spark, FX.f1_records(spark, sf_dir)), RULES, F4_AS_OF, batch_id="f4")
-    t = out.tables
-    return ReconTables(t.records, t.state.checkpoint(), t.details.checkpoint(), t.audit.checkpoint())
+    out = reconcile_batch(ReconTables.fresh(spark, FX.f1_records(spark, sf_dir)), RULES, F4_AS_OF, batch_id="f4",
+                          materialize=True)
+    return out.tables
 
 
 def f4_queue(state):
