@@ -498,3 +498,162 @@ def rt03_run_retries(spark, sf_dir):
     out = RT.run_retries(tx, SC.f4_queue(t.state), SC.RULES, SC.RETRY_AS_OF, RetryPolicy())
     return out.transitions.select(M.REF, F.col("engine_status_final").alias("engine_status"), "new_status",
                                   "new_attempt_count", "new_next_retry_at", "event")
+
+
+# ── listings, monitoring, matcher errors ──────────────────────────────────
+from ledgermesh.operators import monitoring as MON  # noqa: E402
+from ledgermesh.operators import views as V  # noqa: E402
+
+
+@register("jn02_mismatches_with_source", f"""{_F4}
+SELECT DISTINCT d.transaction_ref FROM dec4 d JOIN flags4 f USING (transaction_ref)
+WHERE d.status = 'MISMATCHED' AND f.source_system = 'vendor_portal'""")
+def jn02_mismatches_with_source(spark, sf_dir):
+    t = SC.f4_tables(spark, sf_dir)
+    return V.mismatches_with_source(t.state, t.details, "vendor_portal").select(M.REF)
+
+
+@register("lm02_mismatch_page", f"""{_F4}
+SELECT transaction_ref FROM dec4 WHERE status = 'MISMATCHED' AND transaction_ref > 'ORD-5'
+ORDER BY transaction_ref LIMIT 100""")
+def lm02_mismatch_page(spark, sf_dir):
+    t = SC.f4_tables(spark, sf_dir)
+    return V.list_mismatches(t.state, t.details, size=100, after="ORD-5").select(M.REF)
+
+
+@register("jn03_attach_details", f"""{_F4}
+SELECT d.transaction_ref, string_agg(f.source_system || ':' || CAST(f.flagged AS VARCHAR), ','
+       ORDER BY f.source_system) details
+FROM dec4 d JOIN flags4 f USING (transaction_ref) WHERE d.status = 'MISMATCHED' GROUP BY 1""")
+def jn03_attach_details(spark, sf_dir):
+    t = SC.f4_tables(spark, sf_dir)
+    out = V.attach_details(t.state.filter(F.col("status") == "MISMATCHED").select(M.REF), t.details)
+    return out.select(M.REF, F.array_join(F.transform("details", lambda d: F.concat(
+        d["system_name"], F.lit(":"), F.lower(d["discrepancy_found"].cast("string")))), ",").alias("details"))
+
+
+@register("jn05_state_report", f"""{_F4}
+SELECT d.transaction_ref, d.status, CAST(count(f.source_system) FILTER (WHERE d.status <> 'PENDING') AS BIGINT) n_details,
+       epoch_ms({_NOW4}) last_updated_ms
+FROM dec4 d JOIN flags4 f USING (transaction_ref) WHERE {_K.replace('transaction_ref', 'd.transaction_ref')} % 50 = 0
+GROUP BY d.transaction_ref, d.status""")
+def jn05_state_report(spark, sf_dir):
+    t = SC.f4_tables(spark, sf_dir)
+    refs = t.state.filter(SC.order_key() % 50 == 0).select(M.REF)
+    return ST.state_report(t.state, t.details, refs).select(
+        M.REF, "status", F.size("details").cast("bigint").alias("n_details"), "last_updated_ms")
+
+
+@register("jn06_missing_sources", f"""WITH {O.F1_CTE}, {O.latest_sql('f1')},
+{O.decisions_sql(F1_EXPECTED, F1_TIMEOUT_AS_OF)}
+SELECT transaction_ref, array_to_string(missing, ',') missing_sources FROM g""")
+def jn06_missing_sources(spark, sf_dir):
+    rec = M.reconcile(FX.f1_records(spark, sf_dir), F1_EXPECTED, F1_TIMEOUT_AS_OF)
+    return rec.refs.select(M.REF, F.array_join("missing_sources", ",").alias("missing_sources"))
+
+
+@register("lm05_latest_per_source_top5", f"""WITH {O.F1_CTE}
+SELECT source_system, internal_id, server_received_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY source_system ORDER BY server_received_at DESC, internal_id DESC) rn
+  FROM f1) WHERE rn <= 5""")
+def lm05_latest_per_source_top5(spark, sf_dir):
+    return V.latest_records_per_source(FX.f1_records(spark, sf_dir), 5).select(
+        "source_system", "internal_id", "server_received_at")
+
+
+@register("mon01_ingestion_rate", f"""WITH {_PIPE}
+SELECT time_bucket(INTERVAL '1 minute', server_received_at) window_start, source_system,
+       CASE idem_label WHEN 'stored' THEN 'success' WHEN 'failed' THEN 'failed' ELSE 'duplicate' END status,
+       CAST(count(*) AS BIGINT) records
+FROM lab GROUP BY ALL""")
+def mon01_ingestion_rate(spark, sf_dir):
+    return MON.ingestion_rate(_ingest(spark, sf_dir).labelled).select(
+        "window_start", "source_system", "status", "records")
+
+
+@register("mon02_error_rate", f"""WITH {_PIPE}
+SELECT time_bucket(INTERVAL '1 minute', server_received_at) window_start, CAST(count(*) AS BIGINT) total,
+       CAST(count(*) FILTER (WHERE idem_label = 'failed') AS BIGINT) failed
+FROM lab GROUP BY ALL""")
+def mon02_error_rate(spark, sf_dir):
+    return MON.error_rate(_ingest(spark, sf_dir).labelled)
+
+
+_BOUNDS = MON.PAYLOAD_BUCKETS
+
+
+@register("mon05_payload_size_histogram", f"""WITH {O.F2_CTE},
+b AS (SELECT unnest([{", ".join(f"'{b}'" for b in _BOUNDS)}, '+Inf']) le,
+             unnest([{", ".join(str(b) for b in _BOUNDS)}, 9223372036854775807]) bound)
+SELECT f2.source_system, b.le, CAST(count(*) FILTER (WHERE octet_length(encode(payload_text)) <= b.bound) AS BIGINT)
+       cumulative_count
+FROM f2, b GROUP BY ALL""")
+def mon05_payload_size_histogram(spark, sf_dir):
+    env = FX.f2_envelopes(spark, sf_dir).withColumn("payload_bytes", F.octet_length("payload_text"))
+    return MON.payload_size_histogram(env)
+
+
+@register("mon06_outcomes_by_status", f"""{_F4}
+SELECT status, CAST(count(*) AS BIGINT) refs FROM dec4 GROUP BY 1""")
+def mon06_outcomes_by_status(spark, sf_dir):
+    return MON.outcomes_by_status(SC.f4_tables(spark, sf_dir).state)
+
+
+@register("mon07_decision_latency")
+def mon07_decision_latency(spark, sf_dir):
+    t = SC.f4_tables(spark, sf_dir)
+    return MON.decision_latency(t.state, t.records)
+
+
+@register("mon08_batch_size_histogram", f"""{_TWO},
+sizes AS (SELECT 'pass1' b, count(*) n FROM s1 UNION ALL SELECT 'pass2', count(*) FROM d2),
+bk AS (SELECT unnest([{", ".join(f"'{b}'" for b in MON.BATCH_BUCKETS)}, '+Inf']) le,
+              unnest([{", ".join(str(b) for b in MON.BATCH_BUCKETS)}, 9223372036854775807]) bound)
+SELECT bk.le, CAST(count(*) FILTER (WHERE sizes.n <= bk.bound) AS BIGINT) cumulative_count FROM bk, sizes GROUP BY 1""")
+def mon08_batch_size_histogram(spark, sf_dir):
+    _, p2 = SC.two_pass(spark, sf_dir)
+    return MON.batch_size_histogram(p2.tables.audit)
+
+
+@register("mon09_resolutions_by_resolver", f"""{_F4},{_DECISIONS}
+SELECT 'MANUAL' resolution_type, 'tester' resolver_id, CAST(count(*) AS BIGINT) resolutions
+FROM man WHERE status IN ('MISMATCHED', 'RESOLVED')""")
+def mon09_resolutions_by_resolver(spark, sf_dir):
+    t = SC.f4_tables(spark, sf_dir)
+    res = RS.resolve_manually(SC.f4_decisions(t.state), t.state, SC.F4_AS_OF)
+    return MON.resolutions_by_resolver(res.resolutions)
+
+
+@register("mon11_retrigger_count", f"""WITH {O.F1_CTE}
+SELECT CAST(count(DISTINCT transaction_ref) AS BIGINT) retriggers FROM f1
+WHERE CAST(substr(transaction_ref, 5) AS BIGINT) % 4 = 1""")
+def mon11_retrigger_count(spark, sf_dir):
+    return MON.retrigger_count(SC.after_retrigger(spark, sf_dir).tables.audit)
+
+
+_AMOUNT_RE = r"[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?"
+
+
+@register("mt05_amount_errors", f"""WITH {O.F1_CTE}, {O.F2_CTE},
+fa AS (
+  SELECT transaction_ref, 'f2-' || CAST(row_id AS VARCHAR) internal_id, server_received_at,
+         nullif(CASE WHEN json_valid(payload_text) AND json_type(payload_text) = 'OBJECT'
+                     THEN json_extract_string(payload_text, '$.amount') END, '') amount_text
+  FROM f2),
+lf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY transaction_ref
+                      ORDER BY server_received_at DESC, internal_id DESC) rn FROM fa) WHERE rn = 1)
+SELECT transaction_ref, 'f2_feed' error_source, amount_text error_value FROM lf
+WHERE transaction_ref IN (SELECT transaction_ref FROM f1) AND amount_text IS NOT NULL
+  AND (NOT regexp_full_match(amount_text, '{_AMOUNT_RE}') OR try_cast(amount_text AS DECIMAL(22,6)) IS NULL
+       OR CAST(try_cast(amount_text AS DECIMAL(22,6)) AS DECIMAL(38,12)) <> try_cast(amount_text AS DECIMAL(38,12)))""")
+def mt05_amount_errors(spark, sf_dir):
+    f1 = FX.f1_records(spark, sf_dir).withColumn("amount", F.col("amount").cast("string"))
+    env = FX.f2_envelopes(spark, sf_dir)
+    v = F.try_parse_json("payload_text")
+    feed = env.select("transaction_ref", F.lit("f2_feed").alias("source_system"),
+                      F.concat(F.lit("f2-"), F.col("row_id").cast("string")).alias("internal_id"),
+                      F.when(F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)),
+                             F.try_variant_get(v, "$.amount", "string")).alias("amount"),
+                      F.lit("USD").alias("currency"), "server_received_at")
+    rec = M.reconcile(f1.unionByName(feed), F1_RULES, FX.F1_AS_OF)
+    return rec.errors().select(M.REF, "error_source", "error_value")
