@@ -136,21 +136,23 @@ def _compare_to_reference(recs: Column, ref_amt: Column, rules: MatchRules) -> C
     return F.transform(recs, one)
 
 
-def _majority_buckets(recs: Column, rules: MatchRules) -> Column:
-    """MT-10 greedy bucketing in group order, as a fold.
+def _majority(recs: Column, rules: MatchRules) -> Column:
+    """MT-10 greedy bucketing in group order, as one fold.
 
     A record joins the first bucket whose representative (first member) is
-    within tolerance; a NULL amount always opens its own bucket. Returns
-    ``struct<b: array<struct<rep, size>>, a: array<int>>`` where ``a[i]`` is
-    the bucket of record ``i``.
+    within tolerance; a NULL amount always opens its own bucket. The fold's
+    ``finish`` step builds the per-source results from the accumulator, so the
+    fold is evaluated once per ref (consumers never re-run it per element).
+    Returns ``struct<results, majority_amount, max_size>``.
     """
+    item_t = "struct<source_system:string,internal_id:string,amount:decimal(22,6),currency:string,k:int>"
     init = F.struct(
         F.array().cast("array<struct<rep:decimal(22,6),size:int>>").alias("b"),
-        F.array().cast("array<int>").alias("a"),
+        F.array().cast(f"array<{item_t}>").alias("items"),
     )
 
     def step(acc, x):
-        b, a = acc["b"], acc["a"]
+        b, items = acc["b"], acc["items"]
         amt = x["amount"]
         hits = F.transform(b, lambda bb: F.coalesce(bb["rep"].isNotNull() & within(amt, bb["rep"], rules),
                                                       F.lit(False)))
@@ -160,38 +162,41 @@ def _majority_buckets(recs: Column, rules: MatchRules) -> Column:
                                                      F.struct(bb["rep"].alias("rep"),
                                                               (bb["size"] + 1).alias("size")))
                             .otherwise(bb))
-        return F.when(pos == 0, F.struct(F.concat(b, new_bucket).alias("b"),
-                                         F.concat(a, F.array(F.size(b).cast("int"))).alias("a"))) \
-                .otherwise(F.struct(grown.alias("b"), F.concat(a, F.array(pos - 1)).alias("a")))
 
-    return F.aggregate(recs, init, step)
+        def item(k):
+            return F.array(F.struct(x["source_system"].alias("source_system"),
+                                    x["internal_id"].alias("internal_id"), amt.alias("amount"),
+                                    x["currency"].alias("currency"), k.cast("int").alias("k")))
+        return F.when(pos == 0, F.struct(F.concat(b, new_bucket).alias("b"),
+                                         F.concat(items, item(F.size(b))).alias("items"))) \
+                .otherwise(F.struct(grown.alias("b"), F.concat(items, item(pos - 1)).alias("items")))
 
+    def finish(acc):
+        b, items = acc["b"], acc["items"]
+        max_size = F.array_max(F.transform(b, lambda bb: bb["size"]))
+        n_max = F.size(F.filter(b, lambda bb: bb["size"] == max_size))
+        ties_lose = F.lit(rules.majority_ties == "none_win") & (n_max > 1)
 
-def _compare_majority(recs: Column, fold: Column, rules: MatchRules):
-    sizes = F.transform(fold["b"], lambda bb: bb["size"])
-    max_size = F.array_max(sizes)
-    n_max = F.size(F.filter(sizes, lambda s: s == max_size))
-    ties_lose = F.lit(rules.majority_ties == "none_win") & (n_max > 1)
+        def wins(it):
+            return (F.get(b, it["k"])["size"] == max_size) & ~ties_lose
 
-    def bucket_size(i):
-        return F.get(fold["b"], F.get(fold["a"], i))["size"]
+        majority_amount = F.get(F.filter(items, wins), 0)["amount"]
 
-    wins = F.transform(recs, lambda x, i: (bucket_size(i) == max_size) & ~ties_lose)
-    majority_amount = F.get(F.filter(F.arrays_zip(wins.alias("w"), recs.alias("r")),
-                                     lambda z: z["w"]), 0)["r"]["amount"]
+        def one(it):
+            flagged = ~wins(it)
+            details = jobject(
+                ("actual", jstr(it["amount"])),
+                ("bucket_size", jnum(F.get(b, it["k"])["size"])),
+                ("majority_amount", jstr(majority_amount)),
+                ("strategy", F.lit('"majority"')),
+                ("winning_bucket_size", jnum(max_size)),
+            )
+            return _result(it, flagged, F.when(flagged, details))
 
-    def one(x, i):
-        flagged = ~F.get(wins, i)
-        details = jobject(
-            ("actual", jstr(x["amount"])),
-            ("bucket_size", jnum(bucket_size(i))),
-            ("majority_amount", jstr(majority_amount)),
-            ("strategy", F.lit('"majority"')),
-            ("winning_bucket_size", jnum(max_size)),
-        )
-        return _result(x, flagged, F.when(flagged, details))
+        return F.struct(F.transform(items, one).alias("results"), majority_amount.alias("majority_amount"),
+                        max_size.alias("max_size"))
 
-    return F.transform(recs, one), majority_amount, max_size
+    return F.aggregate(recs, init, step, finish)
 
 
 # ──────────────────────────────────────────────────────────────────────────
@@ -224,9 +229,11 @@ class Reconciliation:
 
     def details(self) -> DataFrame:
         """T5 rows (MT-14): one per source of each non-PENDING decided ref."""
+        # PENDING and ERROR refs carry an empty ``results`` array, so no filter
+        # is needed (a filter on ``status`` would be pushed below the decision
+        # projection and re-evaluate the strategy inside the predicate)
         return (
-            self.decisions().filter(F.col("status") != PENDING)
-            .select(REF, F.explode("results").alias("r"))
+            self.refs.select(REF, F.explode("results").alias("r"))
             .select(REF, F.col("r.source_system").alias("system_name"), "r.internal_id",
                     "r.amount", "r.currency", "r.discrepancy_found", "r.discrepancy_details",
                     as_ts(self.as_of).alias("processed_at"))
@@ -310,12 +317,11 @@ def decide(grouped: DataFrame, rules: MatchRules, as_of) -> DataFrame:
 
     # strategy results
     if rules.strategy == "majority":
-        g = g.withColumn("_fold", _majority_buckets(recs, rules))
-        cmp_results, maj_amount, max_size = _compare_majority(recs, F.col("_fold"), rules)
-        g = g.withColumn("_maj_amount", maj_amount).withColumn("_max_size", max_size)
-        cmp_ref_amount = F.col("_maj_amount")
+        g = g.withColumn("_maj", _majority(recs, rules))
+        cmp_results = F.col("_maj.results")
+        cmp_ref_amount = F.col("_maj.majority_amount")
         cmp_reason = F.format_string("majority strategy: %d/%d sources agree; outliers flagged",
-                                     F.col("_max_size"), F.col("source_count"))
+                                     F.col("_maj.max_size"), F.col("source_count"))
     else:
         cmp_results = _compare_to_reference(recs, F.col("_ref_amount"), rules)
         cmp_ref_amount = F.col("_ref_amount")
