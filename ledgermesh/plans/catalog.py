@@ -657,3 +657,38 @@ def mt05_amount_errors(spark, sf_dir):
                       F.lit("USD").alias("currency"), "server_received_at")
     rec = M.reconcile(f1.unionByName(feed), F1_RULES, FX.F1_AS_OF)
     return rec.errors().select(M.REF, "error_source", "error_value")
+
+
+# ── sources over the given tables ─────────────────────────────────────────
+from ledgermesh.sources import database as DB  # noqa: E402
+
+_SINCE = dt.datetime(1998, 1, 1)
+
+
+def _orders_as_db_table(spark, sf_dir):
+    o = FX.table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("order_id"), F.col("o_totalprice").alias("amount"),
+                    F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("updated_at"))
+
+
+@register("src07_incremental_rows", f"""
+SELECT o_orderkey order_id, o_orderdate updated_at FROM orders WHERE o_orderdate > TIMESTAMP '1998-01-01 00:00:00'""")
+def src07_incremental_rows(spark, sf_dir):
+    rows, _ = DB.read_incremental(_orders_as_db_table(spark, sf_dir), "updated_at", since=_SINCE)
+    return rows.select("order_id", "updated_at")
+
+
+@register("src07_new_watermark", """
+SELECT coalesce(max(o_orderdate), TIMESTAMP '1998-01-01 00:00:00') watermark FROM orders
+WHERE o_orderdate > TIMESTAMP '1998-01-01 00:00:00'""")
+def src07_new_watermark(spark, sf_dir):
+    _, wm = DB.read_incremental(_orders_as_db_table(spark, sf_dir), "updated_at", since=_SINCE)
+    return wm
+
+
+@register("src08_db_rows_to_envelopes", """
+SELECT CAST(o_orderkey AS VARCHAR) transaction_ref, 'db_poll' adapter_type, 'db_row.v1' payload_schema,
+       'erp_db' source_system FROM orders""")
+def src08_db_rows_to_envelopes(spark, sf_dir):
+    env = DB.pick_key(_orders_as_db_table(spark, sf_dir), "erp_db")
+    return env.select("transaction_ref", "adapter_type", "payload_schema", "source_system")
