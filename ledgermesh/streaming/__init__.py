@@ -1,0 +1,5 @@
+"""Structured Streaming jobs (STR-1, STR-3, STR-5)."""
+
+from ledgermesh.streaming.jobs import stream_ingest, incremental_match, trigger_options
+
+__all__ = ["stream_ingest", "incremental_match", "trigger_options"]
