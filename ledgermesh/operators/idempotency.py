@@ -124,3 +124,30 @@ def ingest_batch(envelopes: DataFrame, as_of, cfg: IngestConfig | None = None,
                                                      F.lit("duplicate")).otherwise(F.col("idem_label")))
                     .drop("_seen"))
     return IngestResult(labelled)
+
+
+def write_records(existing: DataFrame, new_records: DataFrame) -> DataFrame:
+    """SNK-1: insert, conflict on idempotency_key ignored — rows whose key is
+    already stored are dropped (left-anti join), the rest appended."""
+    fresh = new_records.join(existing.select(KEY), KEY, "left_anti")
+    return existing.unionByName(fresh, allowMissingColumns=True)
+
+
+def dlq_replay(dlq: DataFrame, as_of, cfg: IngestConfig | None = None, max_retries: int = 3,
+               existing_keys: DataFrame | None = None):
+    """RT-5: re-run the pipeline on retryable DLQ rows. Returns
+    ``(recovered_records, remaining_dlq)``: successes leave the DLQ, failures
+    stay with ``retry_count + 1``; exhausted rows are kept untouched."""
+    from ledgermesh.functions.times import as_ts
+    retryable = dlq.filter(F.col("retry_count") < int(max_retries))
+    exhausted = dlq.filter(F.col("retry_count") >= int(max_retries))
+    env = retryable.select(KEY, "transaction_ref", "source_system", "adapter_type",
+                           F.col("raw_payload").cast("string").alias("payload_text"),
+                           F.col("created_at").alias("server_received_at"), "retry_count")
+    res = ingest_batch(env, as_of, cfg, existing_keys=existing_keys)
+    recovered = res.records
+    still = res.labelled.filter(F.col("idem_label") == "failed").select(
+        KEY, "transaction_ref", "source_system", "adapter_type", "raw_payload", "error_stage", "error_reason",
+        "error_message", (F.col("retry_count") + 1).alias("retry_count"),
+        F.col("server_received_at").alias("created_at"), as_ts(as_of).alias("last_attempt_at"))
+    return recovered, exhausted.unionByName(still.select(*exhausted.columns))

@@ -68,7 +68,7 @@ def enrich(envelopes: DataFrame, adapter_type: str | None = None, received_at=No
         received = F.localtimestamp()
     tags0 = F.coalesce(_col_or(df, "tags", F.create_map().cast(_EMPTY_TAGS)).cast(_EMPTY_TAGS),
                        F.create_map().cast(_EMPTY_TAGS))
-    passthrough = [c for c in ("row_id",) if c in df.columns]
+    passthrough = [c for c in ("row_id", "retry_count") if c in df.columns]
     base = df.select(
         *passthrough,
         F.coalesce(F.col("idempotency_key"), F.lit("")).alias("idempotency_key"),

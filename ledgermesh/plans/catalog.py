@@ -692,3 +692,104 @@ SELECT CAST(o_orderkey AS VARCHAR) transaction_ref, 'db_poll' adapter_type, 'db_
 def src08_db_rows_to_envelopes(spark, sf_dir):
     env = DB.pick_key(_orders_as_db_table(spark, sf_dir), "erp_db")
     return env.select("transaction_ref", "adapter_type", "payload_schema", "source_system")
+
+
+# ── remaining sinks and counters ──────────────────────────────────────────
+@register("snk01_write_records_dedup", f"""WITH {_PIPE},
+base AS (SELECT * FROM lab WHERE idem_label = 'stored' AND row_id % 20 = 0),
+new AS (SELECT * FROM lab WHERE idem_label IN ('stored', 'ignored_after_ttl'))
+SELECT internal_id, idempotency_key FROM base
+UNION ALL
+SELECT internal_id, idempotency_key FROM new WHERE idempotency_key NOT IN (SELECT idempotency_key FROM base)""")
+def snk01_write_records_dedup(spark, sf_dir):
+    lab = _ingest(spark, sf_dir).labelled
+    base = lab.filter((F.col("idem_label") == "stored") & (F.col("row_id") % 20 == 0)).select("internal_id", "idempotency_key")
+    # filter on the label (computed after the key join), not on ``ok``: a
+    # filter on ``ok`` would be pushed into the pipeline projections
+    new = lab.filter(F.col("idem_label").isin("stored", "ignored_after_ttl")).select("internal_id", "idempotency_key")
+    return IDM.write_records(base, new)
+
+
+@register("lm06_dlq_replay_batch", f"""WITH {_PIPE}
+SELECT idempotency_key, error_reason FROM lab WHERE idem_label = 'failed'
+ORDER BY server_received_at, idempotency_key LIMIT 100""")
+def lm06_dlq_replay_batch(spark, sf_dir):
+    return V.dlq_replay_batch(_ingest(spark, sf_dir).dlq, 3, limit=100).select("idempotency_key", "error_reason")
+
+
+@register("rt05_dlq_replay", f"""WITH {_PIPE}
+SELECT error_reason, CAST(count(*) AS BIGINT) n, CAST(1 AS INTEGER) retry_count FROM lab
+WHERE idem_label = 'failed' GROUP BY 1""")
+def rt05_dlq_replay(spark, sf_dir):
+    recovered, remaining = IDM.dlq_replay(_ingest(spark, sf_dir).dlq, FX.F2_AS_OF)
+    return remaining.groupBy("error_reason").agg(F.count(F.lit(1)).alias("n"), F.max("retry_count").alias("retry_count"))
+
+
+@register("idm03_purge_expired", f"""WITH {_PIPE}
+SELECT idempotency_key FROM lab WHERE idem_label = 'stored'
+  AND server_received_at + INTERVAL 86400 SECOND > TIMESTAMP '1998-01-01 00:00:00'""")
+def idm03_purge_expired(spark, sf_dir):
+    idem = IDM.idempotency_table(_ingest(spark, sf_dir).labelled)
+    return IDM.purge_expired(idem, dt.datetime(1998, 1, 1)).select("idempotency_key")
+
+
+@register("ag04_present_sources", f"""WITH {O.F1_CTE}
+SELECT transaction_ref, string_agg(DISTINCT source_system, ',' ORDER BY source_system) present_sources
+FROM f1 GROUP BY 1""")
+def ag04_present_sources(spark, sf_dir):
+    return RS.present_sources(FX.f1_records(spark, sf_dir)).select(
+        M.REF, F.array_join("present_sources", ",").alias("present_sources"))
+
+
+@register("mon10_retry_attempts_by_outcome", f"""WITH {O.F1_CTE}, {O.FIX_CTE},
+{O.f4_sql(SC.RULES, SC.F4_AS_OF)},
+due AS (SELECT * FROM q4 WHERE status = 'PENDING' AND next_retry_at <= {_NOW4}),
+r5 AS (SELECT * FROM f1x WHERE transaction_ref IN (SELECT transaction_ref FROM due)),
+{O.latest_sql('r5', '5')},
+{O.decisions_sql(SC.RULES, SC.RETRY_AS_OF, '5')},
+{O.status_sql(SC.RULES, '5')}
+SELECT CASE WHEN d.status IN ('MATCHED', 'RESOLVED') THEN 'matched'
+            WHEN d.status = 'MISMATCHED' AND q.attempt_count + 1 >= q.max_attempts THEN 'exhausted'
+            WHEN d.status IS NULL THEN 'error' ELSE 'still_mismatched' END outcome,
+       CAST(count(*) AS BIGINT) attempts
+FROM due q LEFT JOIN dec5 d USING (transaction_ref) GROUP BY 1""")
+def mon10_retry_attempts_by_outcome(spark, sf_dir):
+    t = SC.f4_tables(spark, sf_dir)
+    recs = t.records.unionByName(SC.corrections(spark, sf_dir), allowMissingColumns=True)
+    out = RT.run_retries(ReconTables(recs, t.state, t.details, t.audit), SC.f4_queue(t.state), SC.RULES,
+                         SC.RETRY_AS_OF, RetryPolicy())
+    return MON.retry_attempts_by_outcome(out.transitions)
+
+
+@register("mon11_errors_by_ref", f"""WITH {O.F1_CTE}, {O.F2_CTE},
+fa AS (
+  SELECT transaction_ref, 'f2-' || CAST(row_id AS VARCHAR) internal_id, server_received_at,
+         nullif(CASE WHEN json_valid(payload_text) AND json_type(payload_text) = 'OBJECT'
+                     THEN json_extract_string(payload_text, '$.amount') END, '') amount_text
+  FROM f2),
+lf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY transaction_ref
+                      ORDER BY server_received_at DESC, internal_id DESC) rn FROM fa) WHERE rn = 1)
+SELECT transaction_ref, CAST(1 AS BIGINT) errors FROM lf
+WHERE transaction_ref IN (SELECT transaction_ref FROM f1) AND amount_text IS NOT NULL
+  AND (NOT regexp_full_match(amount_text, '{_AMOUNT_RE}') OR try_cast(amount_text AS DECIMAL(22,6)) IS NULL
+       OR CAST(try_cast(amount_text AS DECIMAL(22,6)) AS DECIMAL(38,12)) <> try_cast(amount_text AS DECIMAL(38,12)))""")
+def mon11_errors_by_ref(spark, sf_dir):
+    errs = mt05_amount_errors(spark, sf_dir)
+    return MON.errors_by_ref(errs)
+
+
+@register("snk06_upsert_resolutions", f"""{_F4},{_DECISIONS},
+win AS (SELECT transaction_ref, arg_max(source_system, (server_received_at, internal_id)) chosen FROM f1 GROUP BY 1),
+auto AS (SELECT transaction_ref FROM dec4 WHERE status = 'MISMATCHED' AND {_K} % 5 = 0),
+manual AS (SELECT transaction_ref FROM man WHERE status IN ('MISMATCHED', 'RESOLVED'))
+SELECT transaction_ref, 'MANUAL' resolution_type, 'erp_system' chosen_source FROM manual
+UNION ALL
+SELECT a.transaction_ref, 'AUTO', w.chosen FROM auto a JOIN win w USING (transaction_ref)
+WHERE a.transaction_ref NOT IN (SELECT transaction_ref FROM manual)""")
+def snk06_upsert_resolutions(spark, sf_dir):
+    t = SC.f4_tables(spark, sf_dir)
+    refs = t.state.filter(SC.order_key() % 5 == 0).select(M.REF)
+    auto = RS.auto_resolve(refs, t.state, t.records, t.details, SC.F4_AS_OF, strategy="latest_record")
+    manual = RS.resolve_manually(SC.f4_decisions(t.state), t.state, SC.F4_AS_OF)
+    merged = RS.upsert_resolutions(auto.resolutions, manual.resolutions)
+    return merged.select(M.REF, "resolution_type", "chosen_source")

@@ -26,7 +26,7 @@ RULES = MatchRules(strategy="tolerance", abs_tolerance="0.05", pct_tolerance=0.0
 
 
 def order_key(ref="transaction_ref"):
-    return F.substring(F.col(ref), 5, 32).cast("bigint")
+    return F.substring(F.col(ref), 5, 32).try_cast("bigint")
 
 
 def pass1_records(records):
