@@ -114,7 +114,9 @@ from ledgermesh.operators import idempotency as IDM  # noqa: E402
 
 
 def _ingest(spark, sf_dir):
-    return IDM.ingest_batch(FX.f2_envelopes(spark, sf_dir), FX.F2_AS_OF)
+    # checkpoint: the processed batch feeds both the per-key aggregate and the
+    # join, so it is written once instead of parsing every payload twice
+    return IDM.ingest_batch(FX.f2_envelopes(spark, sf_dir), FX.F2_AS_OF, checkpoint=True)
 
 
 def tags_text(col="tags"):
