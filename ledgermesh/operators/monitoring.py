@@ -120,3 +120,9 @@ def errors_by_ref(errors: DataFrame) -> DataFrame:
 def retrigger_count(audit: DataFrame) -> DataFrame:
     """MON-11: RETRIGGER events."""
     return audit.agg(F.count_if(F.col("event_type") == "RETRIGGER").alias("retriggers"))
+
+
+def rate_limited_by_source(labels: DataFrame) -> DataFrame:
+    """MON-4: requests denied by the rate limiter, per source."""
+    return labels.groupBy("source_system").agg(F.count_if(~F.col("allowed")).alias("rate_limited"),
+                                               F.count(F.lit(1)).alias("requests"))
