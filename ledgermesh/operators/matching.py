@@ -216,8 +216,10 @@ class Reconciliation:
     as_of: object
 
     def decisions(self) -> DataFrame:
-        """Status per ref (ERROR rows excluded)."""
-        return self.refs.filter(F.col("status") != ERROR)
+        """Status per ref (ERROR rows excluded). Filters on the cheap ``gate``
+        column: a filter on ``status`` would be pushed below the decision
+        projection and evaluate the strategy twice."""
+        return self.refs.filter(F.col("gate") != "error")
 
     def state_delta(self) -> DataFrame:
         """SNK-3 input: the new state columns of every decided ref."""
@@ -241,7 +243,7 @@ class Reconciliation:
 
     def errors(self) -> DataFrame:
         """MT-5 / D20: refs whose amounts did not parse; no state is written."""
-        return self.refs.filter(F.col("status") == ERROR).select(
+        return self.refs.filter(F.col("gate") == "error").select(
             REF, F.col("error_source"), F.col("error_value"),
             F.lit("invalid_amount").alias("error"), as_ts(self.as_of).alias("failed_at"))
 
@@ -367,7 +369,8 @@ def decide(grouped: DataFrame, rules: MatchRules, as_of) -> DataFrame:
         .otherwise(F.col("_cmp"))
     )
     out = g.select(
-        REF, status.alias("status"), reason.alias("reason"), "record_count", "source_count",
+        REF, status.alias("status"), reason.alias("reason"), F.col("_gate").alias("gate"),
+        "record_count", "source_count",
         "first_seen_at", "present_sources", "missing_sources", "age_secs",
         results.alias("results"), cmp_ref_amount.alias("_cmp_ref_amount"),
         F.col("_first_currency"),
@@ -379,7 +382,7 @@ def decide(grouped: DataFrame, rules: MatchRules, as_of) -> DataFrame:
                                 lambda r: r["source_system"])
     empty = F.array().cast("array<string>")
     return out.select(
-        REF, "status", "reason", "record_count", "source_count", "first_seen_at",
+        REF, "status", "reason", "gate", "record_count", "source_count", "first_seen_at",
         "present_sources", "missing_sources", "age_secs",
         F.when(F.col("status") == MATCHED, F.array_sort(names)).otherwise(empty).alias("matched_sources"),
         F.when(F.col("status") == MISMATCHED, F.array_sort(flagged_names)).otherwise(empty)
