@@ -112,7 +112,8 @@ def mark_resolved(state: DataFrame, refs: DataFrame, as_of, parity: bool = False
 
 
 def due_refs(records: DataFrame, state: DataFrame, as_of, backoff_secs: int = 30,
-             limit: int | None = None, pending_timeout_secs: int | None = None) -> DataFrame:
+             limit: int | None = None, pending_timeout_secs: int | None = None,
+             new_since=None) -> DataFrame:
     """JN-1 / LM-1: refs needing a match run.
 
     Never processed, or PENDING with retries left whose last run is older than
@@ -120,7 +121,14 @@ def due_refs(records: DataFrame, state: DataFrame, as_of, backoff_secs: int = 30
     first record is older than the timeout (D8: escalation stays reachable).
     ``limit`` keeps the reference's polling batch (ordered by ref); the batch
     job itself takes every due ref at once.
+
+    ``new_since`` (the previous run's ``as_of``) makes the run incremental:
+    only records received after it are scanned for never-processed refs, and
+    PENDING refs come from the state table alone, so a run does not aggregate
+    the whole record history.
     """
+    if new_since is not None and pending_timeout_secs is None:
+        return _due_refs_incremental(records, state, as_of, backoff_secs, limit, new_since)
     cutoff = as_ts(as_of) - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(int(backoff_secs)))
     refs = records.groupBy(REF).agg(F.min("server_received_at").alias("_first_seen"))
     s = state.select(REF, "status", "retry_count", "max_retries", "last_processed_at")
@@ -137,6 +145,19 @@ def due_refs(records: DataFrame, state: DataFrame, as_of, backoff_secs: int = 30
     return out
 
 
+def _due_refs_incremental(records, state, as_of, backoff_secs, limit, new_since):
+    cutoff = as_ts(as_of) - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(int(backoff_secs)))
+    fresh = (records.filter(F.col("server_received_at") > as_ts(new_since)).select(REF).distinct()
+             .join(state.select(REF), REF, "left_anti"))
+    pending = state.filter((F.col("status") == PENDING) & (F.col("retry_count") < F.col("max_retries"))
+                           & (F.col("last_processed_at").isNull() | (F.col("last_processed_at") < cutoff))
+                           ).select(REF)
+    out = fresh.unionByName(pending).distinct()
+    if limit is not None:
+        out = out.orderBy(REF).limit(int(limit))
+    return out
+
+
 def upsert_details(base: DataFrame, delta: DataFrame) -> DataFrame:
     """SNK-4: replace rows on (transaction_ref, system_name); others kept."""
     keys = [REF, "system_name"]

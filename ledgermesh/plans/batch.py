@@ -48,7 +48,8 @@ def _batch_id(as_of, batch_id):
 
 def reconcile_batch(t: ReconTables, rules: MatchRules, as_of, backoff_secs: int = 30,
                     batch_id: str | None = None, limit: int | None = None,
-                    escalate_timed_out: bool = False, materialize: bool = False) -> BatchOutcome:
+                    escalate_timed_out: bool = False, materialize: bool = False,
+                    new_since=None) -> BatchOutcome:
     """MT-15: reconcile every due ref and return the next table snapshots.
 
     ``materialize=True`` checkpoints the per-ref decisions (to the shared
@@ -57,7 +58,7 @@ def reconcile_batch(t: ReconTables, rules: MatchRules, as_of, backoff_secs: int
     """
     bid = _batch_id(as_of, batch_id)
     due = S.due_refs(t.records, t.state, as_of, backoff_secs, limit,
-                     rules.pending_timeout_secs if escalate_timed_out else None)
+                     rules.pending_timeout_secs if escalate_timed_out else None, new_since=new_since)
     return _run(t, t.state, due, rules, as_of, bid, seq=0, materialize=materialize)
 
 
