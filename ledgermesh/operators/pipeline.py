@@ -40,12 +40,30 @@ def _tag_put(tags: Column, key: str, value: Column) -> Column:
 
 
 def _tag_merge_low(tags: Column, extra: Column) -> Column:
-    """Add entries of ``extra`` whose keys are not in ``tags`` (existing win)."""
-    keep = F.map_filter(F.coalesce(extra, F.create_map().cast(_EMPTY_TAGS)),
-                        lambda k, v: ~F.array_contains(F.map_keys(tags), k))
+    """Add entries of ``extra`` whose keys are not in ``tags`` (existing win).
+
+    The per-entry filter (an interpreted lambda) only runs when the key sets
+    overlap; the common case is a plain ``map_concat``.
+    """
+    empty = F.create_map().cast(_EMPTY_TAGS)
+    ex = F.coalesce(extra, empty)
+    keep = F.when(F.size(ex) == 0, empty) \
+        .when(F.arrays_overlap(F.map_keys(ex), F.map_keys(tags)),
+              F.map_filter(ex, lambda k, v: ~F.array_contains(F.map_keys(tags), k))) \
+        .otherwise(ex)
     return F.map_concat(tags, keep)
 
 
+def _tag_override(tags: Column, new: Column, new_keys: list[str]) -> Column:
+    """``tags`` with ``new`` (keys among ``new_keys``) taking precedence."""
+    keys = F.array(*[F.lit(k) for k in new_keys])
+    base = F.when(F.size(new) == 0, tags) \
+        .when(F.arrays_overlap(F.map_keys(tags), keys),
+              F.map_filter(tags, lambda k, v: ~k.isin(*new_keys))) \
+        .otherwise(tags)
+    return F.map_concat(base, new)
+
+
 def enrich(envelopes: DataFrame, adapter_type: str | None = None, received_at=None) -> DataFrame:
     """PRJ-1 + PRJ-2: record skeleton with server stamp, tags and payload text.
 
@@ -93,8 +111,8 @@ def enrich(envelopes: DataFrame, adapter_type: str | None = None, received_at=No
         *cols,
         F.coalesce(F.nullif(F.col("_ref"), F.lit("")), F.nullif(peek_ref, F.lit("")), F.lit(""))
         .alias("transaction_ref"),
-        F.map_concat(F.map_filter("_tags0", lambda k, v: k != F.lit("adapter_type")),
-                     F.create_map(F.lit("adapter_type"), F.col("adapter_type"))).alias("tags"),
+        _tag_override(F.col("_tags0"), F.create_map(F.lit("adapter_type"), F.col("adapter_type")),
+                      ["adapter_type"]).alias("tags"),
     )
 
 
@@ -168,15 +186,14 @@ def normalize(df: DataFrame, cfg: IngestConfig | None = None) -> DataFrame:
                    parse_amount(F.col("amount_text")).alias("amount"),
                    amount_error(F.col("amount_text")).alias("_amount_err"))
     # tags: warnings overwrite, extra fields only fill missing keys
-    warn_entries = F.filter(F.array(
-        F.struct(F.lit("parse_warning").alias("key"),
-                 F.when(F.col("_warn"), F.lit("non_json_payload")).alias("value")),
-        F.struct(F.lit("raw_event_time").alias("key"),
-                 F.when(F.col("_ev_txt").isNotNull() & F.col("record_timestamp").isNull(),
-                        F.col("_ev_txt")).alias("value"))), lambda e: e["value"].isNotNull())
-    df = df.withColumn("_tags1", F.map_concat(
-        F.map_filter("tags", lambda k, v: ~k.isin("parse_warning", "raw_event_time")),
-        F.map_from_entries(warn_entries)))
+    bad_time = F.col("_ev_txt").isNotNull() & F.col("record_timestamp").isNull()
+    warn_map = (F.when(F.col("_warn") & bad_time,
+                       F.create_map(F.lit("parse_warning"), F.lit("non_json_payload"),
+                                    F.lit("raw_event_time"), F.col("_ev_txt")))
+                .when(F.col("_warn"), F.create_map(F.lit("parse_warning"), F.lit("non_json_payload")))
+                .when(bad_time, F.create_map(F.lit("raw_event_time"), F.col("_ev_txt")))
+                .otherwise(F.create_map().cast(_EMPTY_TAGS)))
+    df = df.withColumn("_tags1", _tag_override(F.col("tags"), warn_map, ["parse_warning", "raw_event_time"]))
     df = df.withColumn("_tags2", _tag_merge_low(F.col("_tags1"), F.col("_extra")))
     df = (df.withColumn("payload_schema", F.coalesce("_schema", "payload_schema"))
           .withColumn("tags", F.col("_tags2")))
