@@ -107,3 +107,22 @@ def test_db_row_mapping(spark):
     df = spark.createDataFrame([(7, "INV-1", 1.5)], "id int, invoice_id string, amount double")
     r = pick_key(df, "db").first()
     assert (r.idempotency_key, r.transaction_ref, r.payload_schema) == ("7", "INV-1", "db_row.v1")
+
+
+def test_empty_payload_is_allowed(spark):
+    r = one(spark, "")
+    assert r.ok and r.amount is None and "parse_warning" not in r.tags
+
+
+def test_ndjson_drop_folder_stream(spark):
+    d = tempfile.mkdtemp(prefix="lm-rest-")
+    os.makedirs(f"{d}/in")
+    _write(d, "in/page1.ndjson", '{"idempotency_key":"a","transaction_ref":"R1","amount":"1"}\n')
+    _write(d, "in/page2.ndjson", '{"idempotency_key":"b","transaction_ref":"R2","amount":"2"}\n')
+    stream = read_ndjson(spark, f"{d}/in", "rest_api", stream=True, adapter_type="rest", max_files_per_trigger=1)
+    q = (stream.writeStream.format("parquet").option("path", f"{d}/out")
+         .option("checkpointLocation", f"{d}/ck").trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    rows = spark.read.parquet(f"{d}/out").collect()
+    assert sorted(r.idempotency_key for r in rows) == ["a", "b"]
+    assert {r.adapter_type for r in rows} == {"rest"}
