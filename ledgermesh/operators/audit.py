@@ -41,11 +41,18 @@ def append_audit(base: DataFrame, delta: DataFrame) -> DataFrame:
 
 
 def audit_trail(audit: DataFrame, refs: DataFrame | None = None) -> DataFrame:
-    """AU-1: per ref, its events in chronological order and their count."""
+    """AU-1: each ref's events in chronological order, one row per event with
+    its ``ordinal``. A ref's history grows with every batch and retry, so it
+    is never collected into one array; the window sorts and spills."""
+    from pyspark.sql import Window
     a = audit if refs is None else audit.join(refs.select(REF).distinct(), REF, "left_semi")
-    ev = F.struct("created_at", "batch_id", "seq", "event_type", "old_status", "new_status", "details")
-    return a.groupBy(REF).agg(F.array_sort(F.collect_list(ev)).alias("entries"),
-                              F.count(F.lit(1)).alias("entry_count"))
+    w = Window.partitionBy(REF).orderBy("created_at", "batch_id", "seq", "event_type")
+    return a.withColumn("ordinal", F.row_number().over(w))
+
+
+def audit_counts(audit: DataFrame) -> DataFrame:
+    """AU-1: number of entries per ref (partial aggregate)."""
+    return audit.groupBy(REF).agg(F.count(F.lit(1)).alias("entry_count"))
 
 
 def replay_status(audit: DataFrame) -> DataFrame:

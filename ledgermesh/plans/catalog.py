@@ -265,17 +265,15 @@ def jn04_propagate_status(spark, sf_dir):
 
 @register("au01_audit_trail", f"""{_TWO},
 ev AS (
-  SELECT transaction_ref, 'pass1' batch_id, 'MATCH_ATTEMPT:NEW>' || status e FROM s1
+  SELECT transaction_ref, 'pass1' batch_id, 'NEW' old_status, status new_status FROM s1
   UNION ALL
-  SELECT d2.transaction_ref, 'pass2', 'MATCH_ATTEMPT:' || coalesce(s1.status, 'NEW') || '>' || d2.status
+  SELECT d2.transaction_ref, 'pass2', coalesce(s1.status, 'NEW'), d2.status
   FROM d2 LEFT JOIN s1 USING (transaction_ref))
-SELECT transaction_ref, CAST(count(*) AS BIGINT) entry_count, string_agg(e, '|' ORDER BY batch_id) events
-FROM ev GROUP BY 1""")
+SELECT transaction_ref, CAST(row_number() OVER (PARTITION BY transaction_ref ORDER BY batch_id) AS INTEGER) ordinal,
+       'MATCH_ATTEMPT' event_type, old_status, new_status FROM ev""")
 def au01_audit_trail(spark, sf_dir):
     _, p2 = SC.two_pass(spark, sf_dir)
-    tr = AU.audit_trail(p2.tables.audit)
-    return tr.select(M.REF, "entry_count", F.array_join(F.transform("entries", lambda e: F.concat(
-        e["event_type"], F.lit(":"), e["old_status"], F.lit(">"), e["new_status"])), "|").alias("events"))
+    return AU.audit_trail(p2.tables.audit).select(M.REF, "ordinal", "event_type", "old_status", "new_status")
 
 
 @register("au02_replay_status", f"""{_TWO}
