@@ -1,5 +1,7 @@
-"""Structured Streaming jobs (STR-1, STR-3, STR-5)."""
+"""Structured Streaming jobs (STR-1..3, STR-5, RL-1)."""
 
 from ledgermesh.streaming.jobs import stream_ingest, incremental_match, trigger_options
+from ledgermesh.streaming.stateful import stream_match
+from ledgermesh.streaming.ratelimit import rate_limit_stream
 
-__all__ = ["stream_ingest", "incremental_match", "trigger_options"]
+__all__ = ["stream_ingest", "incremental_match", "trigger_options", "stream_match", "rate_limit_stream"]

@@ -66,3 +66,40 @@ def test_stream_ingest_writes_records_and_dlq(spark):
     dlq = spark.read.parquet(f"{d}/out/dlq")
     assert recs.count() > 0 and dlq.count() > 0
     assert recs.groupBy("idempotency_key").count().filter("count > 1").count() == 0
+
+
+def test_stateful_stream_match(spark):
+    """STR-2: re-decided on arrival, so without a timeout the final statuses
+    equal a batch decision over all records; with a timeout, refs missing an
+    expected source are escalated by the event-time timer."""
+    from ledgermesh.streaming.stateful import stream_match
+    d = tempfile.mkdtemp(prefix="lm-sm-")
+    recs = FX.f3_event_records(spark, SF)
+    ts = F.col("server_received_at")
+    cut = dt.datetime(2024, 1, 15)
+    recs.filter(ts < cut).coalesce(1).write.parquet(f"{d}/in/p0")
+    recs.filter(ts >= cut).coalesce(1).write.parquet(f"{d}/in/p1")
+    rules = MatchRules(strategy="tolerance", abs_tolerance="50.00", pending_timeout_secs=None)
+    stream = spark.readStream.schema(recs.schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/in/*")
+    q = stream_match(stream, f"{d}/store", f"{d}/ck", rules)
+    q.awaitTermination(600)
+    got = {r.transaction_ref: r.status for r in SnapshotTable(spark, f"{d}/store/state").read().collect()}
+    want = {r.transaction_ref: r.status for r in reconcile(recs, rules, AS_OF).state_delta().collect()}
+    assert got == want and len(got) > 0
+
+    # timeout: drop one expected source for a third of the users
+    d2 = tempfile.mkdtemp(prefix="lm-sm2-")
+    k = F.substring("transaction_ref", 3, 20).cast("int")
+    partial = recs.filter(~((F.col("source_system") == "purchase") & (k % 3 == 0)))
+    partial.filter(ts < cut).coalesce(1).write.parquet(f"{d2}/in/p0")
+    partial.filter(ts >= cut).coalesce(1).write.parquet(f"{d2}/in/p1")
+    expected = tuple(r.source_system for r in recs.select("source_system").distinct().collect())
+    rules2 = MatchRules(strategy="tolerance", abs_tolerance="50.00", expected_sources=expected,
+                        pending_timeout_secs=3 * 24 * 3600)
+    stream2 = spark.readStream.schema(recs.schema).option("maxFilesPerTrigger", 1).parquet(f"{d2}/in/*")
+    q2 = stream_match(stream2, f"{d2}/store", f"{d2}/ck", rules2)
+    q2.awaitTermination(600)
+    st = SnapshotTable(spark, f"{d2}/store/state").read()
+    missing = st.filter(F.substring("transaction_ref", 3, 20).cast("int") % 3 == 0).collect()
+    assert missing and all(r.status in ("MISMATCHED", "PENDING") for r in missing)
+    assert any(r.status == "MISMATCHED" and r.mismatched_sources == [] for r in missing)
