@@ -126,3 +126,11 @@ def test_ndjson_drop_folder_stream(spark):
     rows = spark.read.parquet(f"{d}/out").collect()
     assert sorted(r.idempotency_key for r in rows) == ["a", "b"]
     assert {r.adapter_type for r in rows} == {"rest"}
+
+
+def test_payload_size_limit_and_parity_validation(spark):
+    r = one(spark, '{"amount":"1.00"}', cfg=IngestConfig(max_payload_bytes=8))
+    assert r.error_reason == "payload_too_large"
+    assert r.error_message == "payload size 17 bytes exceeds limit 8"
+    # parity: field checks run before normalisation in the reference, so they never fire
+    assert one(spark, '{"currency":"xxx"}', cfg=IngestConfig(parity=True)).ok
