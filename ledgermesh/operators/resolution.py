@@ -105,6 +105,18 @@ class ResolutionOutcome:
     state: DataFrame           # next T4 snapshot
     audit_delta: DataFrame     # AUTO_RESOLUTION / MANUAL_RESOLUTION rows
     rejections: DataFrame      # transaction_ref, reason
+    queue: DataFrame | None = None  # next retry queue snapshot, when one was given
+
+
+def mark_queue_resolved(queue: DataFrame, refs: DataFrame, as_of) -> DataFrame:
+    """A resolved ref's retry-queue row (if any) becomes RESOLVED."""
+    hit = refs.select(REF).distinct().withColumn("_hit", F.lit(True))
+    j = queue.join(hit, REF, "left")
+    h = F.coalesce(F.col("_hit"), F.lit(False))
+    cols = [F.when(h, F.lit(RESOLVED)).otherwise(F.col(c)).alias(c) if c == "status"
+            else F.when(h, as_ts(as_of)).otherwise(F.col(c)).alias(c) if c == "updated_at"
+            else F.col(c) for c in queue.columns]
+    return j.select(*cols)
 
 
 def upsert_resolutions(base: DataFrame, delta: DataFrame) -> DataFrame:
@@ -115,7 +127,8 @@ def upsert_resolutions(base: DataFrame, delta: DataFrame) -> DataFrame:
 
 def auto_resolve(refs: DataFrame, state: DataFrame, records: DataFrame, details: DataFrame, as_of,
                  strategy: str | None = None, cfg: AutoResolveConfig | None = None,
-                 resolver_id: str | None = None, batch_id: str = "auto", parity: bool = False) -> ResolutionOutcome:
+                 resolver_id: str | None = None, batch_id: str = "auto", parity: bool = False,
+                 queue: DataFrame | None = None) -> ResolutionOutcome:
     """RS-6: resolve MISMATCHED (or again RESOLVED) refs by strategy."""
     cfg = cfg or AutoResolveConfig()
     strat = parse_strategy(strategy if strategy is not None else cfg.default_strategy)
@@ -140,11 +153,12 @@ def auto_resolve(refs: DataFrame, state: DataFrame, records: DataFrame, details:
     details_json = F.to_json(F.struct(F.col("chosen_source"), F.col("reason"), F.lit(rid).alias("resolver_id"),
                                       F.lit(strat).alias("strategy")))
     audit = A.events(ok, "AUTO_RESOLUTION", F.col("old_status"), F.lit(RESOLVED), details_json, as_of, batch_id)
-    return ResolutionOutcome(res, new_state, audit, bad_status.unionByName(failed))
+    q = None if queue is None else mark_queue_resolved(queue, ok.select(REF), as_of)
+    return ResolutionOutcome(res, new_state, audit, bad_status.unionByName(failed), q)
 
 
 def resolve_manually(decisions: DataFrame, state: DataFrame, as_of, batch_id: str = "manual",
-                     parity: bool = False) -> ResolutionOutcome:
+                     parity: bool = False, queue: DataFrame | None = None) -> ResolutionOutcome:
     """RS-7: apply manual decisions (``transaction_ref, chosen_source,
     resolver_id`` [, ``reason``, ``decided_at``]). The last decision per ref
     wins; PENDING/MATCHED and unknown refs are rejected; the chosen source is
@@ -177,7 +191,8 @@ def resolve_manually(decisions: DataFrame, state: DataFrame, as_of, batch_id: st
                                       F.col("_d.reason").alias("reason"),
                                       F.col("_d.resolver_id").alias("resolver_id")))
     audit = A.events(ok, "MANUAL_RESOLUTION", F.col("old_status"), F.lit(RESOLVED), details_json, as_of, batch_id)
-    return ResolutionOutcome(res, new_state, audit, missing.unionByName(rejected))
+    q = None if queue is None else mark_queue_resolved(queue, ok.select(REF), as_of)
+    return ResolutionOutcome(res, new_state, audit, missing.unionByName(rejected), q)
 
 
 def golden_records(resolutions: DataFrame, records: DataFrame) -> DataFrame:

@@ -793,3 +793,15 @@ def snk06_upsert_resolutions(spark, sf_dir):
     manual = RS.resolve_manually(SC.f4_decisions(t.state), t.state, SC.F4_AS_OF)
     merged = RS.upsert_resolutions(auto.resolutions, manual.resolutions)
     return merged.select(M.REF, "resolution_type", "chosen_source")
+
+
+@register("rs06_queue_after_auto_resolve", f"""{_F4},
+auto AS (SELECT transaction_ref FROM dec4 WHERE status = 'MISMATCHED' AND {_K} % 5 = 0)
+SELECT CASE WHEN transaction_ref IN (SELECT transaction_ref FROM auto) THEN 'RESOLVED' ELSE status END status,
+       CAST(count(*) AS BIGINT) n FROM q4 GROUP BY 1""")
+def rs06_queue_after_auto_resolve(spark, sf_dir):
+    t = SC.f4_tables(spark, sf_dir)
+    refs = t.state.filter(SC.order_key() % 5 == 0).select(M.REF)
+    out = RS.auto_resolve(refs, t.state, t.records, t.details, SC.F4_AS_OF, strategy="latest_record",
+                          queue=SC.f4_queue(t.state))
+    return out.queue.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
