@@ -147,7 +147,9 @@ def dlq_replay(dlq: DataFrame, as_of, cfg: IngestConfig | None = None, max_retri
     res = ingest_batch(env, as_of, cfg, existing_keys=existing_keys)
     recovered = res.records
     still = res.labelled.filter(F.col("idem_label") == "failed").select(
-        KEY, "transaction_ref", "source_system", "adapter_type", "raw_payload", "error_stage", "error_reason",
+        KEY, "transaction_ref", "source_system", "adapter_type",
+        F.coalesce(F.col("raw_payload"), F.col("payload_text").cast("binary")).alias("raw_payload"),
+        "error_stage", "error_reason",
         "error_message", (F.col("retry_count") + 1).alias("retry_count"),
         F.col("server_received_at").alias("created_at"), as_ts(as_of).alias("last_attempt_at"))
     return recovered, exhausted.unionByName(still.select(*exhausted.columns))

@@ -76,7 +76,10 @@ def enrich(envelopes: DataFrame, adapter_type: str | None = None, received_at=No
     payload_text = _col_or(df, "payload_text", F.lit(None).cast("string"))
     if "payload_text" not in df.columns and "payload" in df.columns:
         payload_text = F.col("payload").cast("string")
-    payload_bin = _col_or(df, "payload", payload_text.cast("binary"))
+    # the raw bytes are carried only when they came as bytes; otherwise they
+    # are the text's UTF-8 bytes and are derived where records/DLQ rows are
+    # written, so a checkpointed batch does not hold the payload twice
+    payload_bin = F.col("payload") if "payload" in df.columns else F.lit(None).cast("binary")
     adapter = F.lit(adapter_type) if adapter_type else _col_or(df, "adapter_type", F.lit("grpc"))
     if "server_received_at" in df.columns:
         received = F.col("server_received_at").cast("timestamp_ntz")
@@ -142,7 +145,7 @@ def finalize_errors(df: DataFrame) -> DataFrame:
 def validate_envelope(df: DataFrame, cfg: IngestConfig | None = None) -> DataFrame:
     """VAL-1..5: required fields, ref format, payload size."""
     cfg = cfg or IngestConfig()
-    size = F.coalesce(F.octet_length("raw_payload"), F.lit(0))
+    size = F.coalesce(F.octet_length("raw_payload"), F.octet_length("payload_text"), F.lit(0))
     return _fail(df, "validate", [
         (F.col("idempotency_key") == "", "missing_field", F.lit("idempotency_key is required")),
         (F.col("transaction_ref") == "", "missing_field", F.lit("transaction_ref is required")),
@@ -249,13 +252,17 @@ def run_pipeline(envelopes: DataFrame, as_of, cfg: IngestConfig | None = None,
 
 RECORD_COLUMNS = ("internal_id", "idempotency_key", "transaction_ref", "source_system", "adapter_type",
                   "amount", "amount_text", "currency", "record_timestamp", "server_received_at",
-                  "raw_payload", "payload_schema", "tags", "trace_id")
+                  "payload_schema", "tags", "trace_id")
+
+
+def _raw_payload() -> Column:
+    return F.coalesce(F.col("raw_payload"), F.col("payload_text").cast("binary")).alias("raw_payload")
 
 
 def to_records(processed: DataFrame, status: str = "PENDING", only_ok: bool = True) -> DataFrame:
     """T1 rows of successful submissions."""
     rows = processed.filter("ok") if only_ok else processed
-    return rows.select(*RECORD_COLUMNS, F.lit(status).alias("status"),
+    return rows.select(*RECORD_COLUMNS, _raw_payload(), F.lit(status).alias("status"),
                                          F.col("server_received_at").alias("created_at"))
 
 
@@ -263,7 +270,7 @@ def route_dlq(processed: DataFrame, only_failed: bool = True) -> DataFrame:
     """SNK-2: failed rows with stage/reason/message (T3)."""
     rows = processed.filter(~F.col("ok")) if only_failed else processed
     return rows.select(
-        "idempotency_key", "transaction_ref", "source_system", "adapter_type", "raw_payload",
+        "idempotency_key", "transaction_ref", "source_system", "adapter_type", _raw_payload(),
         "error_stage", "error_reason", "error_message",
         F.lit(0).alias("retry_count"), F.col("server_received_at").alias("created_at"),
         F.col("server_received_at").alias("last_attempt_at"))
