@@ -12,7 +12,6 @@ tags map<string,string>, server_received_at, payload_schema``.
 
 from __future__ import annotations
 
-import datetime as dt
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -23,7 +22,7 @@ from ledgermesh.functions.times import as_ts, parse_event_time
 # Currencies the validator accepts, and the transaction_ref pattern.
 VALID_CURRENCIES = ("INR", "USD", "EUR", "GBP", "JPY", "AUD", "CAD", "CHF", "CNY", "SGD", "AED", "MYR")
 TXREF_PATTERN = r"^[\x20-\x7E]+$"
-ADAPTER_TYPES = ("grpc", "rest", "webhook", "kafka", "file", "db_poll")
+ADAPTER_TYPES = ("grpc", "rest", "webhook", "kafka", "file", "db_poll")  # adapter_type values
 
 _EMPTY_TAGS = "map<string,string>"
 

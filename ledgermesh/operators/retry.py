@@ -74,16 +74,12 @@ def enqueue_retry(queue: DataFrame, refs: DataFrame, state: DataFrame, as_of, ma
 
 def due_retries(queue: DataFrame, as_of, limit: int | None = None) -> DataFrame:
     """LM-4: PENDING rows with next_retry_at <= as_of, oldest first."""
-    due = queue.filter((F.col("status") == PENDING) & (F.col("next_retry_at") <= as_of_ts(as_of)))
+    due = queue.filter((F.col("status") == PENDING) & (F.col("next_retry_at") <= as_ts(as_of)))
     if limit is not None:
         return due.orderBy("next_retry_at", REF).limit(int(limit))
     return due
 
 
-def as_of_ts(as_of):
-    return as_ts(as_of)
-
-
 def queue_stats(queue: DataFrame) -> DataFrame:
     """AG-6: counts by status."""
     return queue.agg(F.count_if(F.col("status") == PENDING).alias("pending"),

@@ -13,7 +13,6 @@ is re-decided on every arrival.
 
 from __future__ import annotations
 
-import datetime as dt
 import json
 
 import pandas as pd
