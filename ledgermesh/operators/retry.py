@@ -171,14 +171,10 @@ def run_retries(tables, queue: DataFrame, rules: MatchRules, as_of, policy: Retr
         exhausted = moved.filter(F.col("new_status") == EXHAUSTED).select(REF)
         res = RS.auto_resolve(exhausted, new_tables.state, new_tables.records, new_tables.details, as_of,
                               strategy=auto.default_strategy, cfg=auto, resolver_id="system:retry_worker",
-                              batch_id=batch_id)
+                              batch_id=batch_id, queue=new_queue)
         resolutions = res.resolutions
         new_tables.state = res.state
+        new_queue = res.queue
         audit = audit.unionByName(res.audit_delta.withColumn("seq", F.lit(3)))
-        new_queue = apply_transitions(new_queue, res.resolutions.select(
-            REF, F.lit(RESOLVED).alias("new_status")).join(
-            new_queue.select(REF, F.col("attempt_count").alias("new_attempt_count"),
-                             F.col("last_attempted_at").alias("new_last_attempted_at"),
-                             F.col("next_retry_at").alias("new_next_retry_at")), REF), as_of)
     new_tables.audit = A.append_audit(new_tables.audit, audit)
     return RetryRunOutcome(new_queue, moved, audit, new_tables, resolutions)
