@@ -70,7 +70,7 @@ def stream_ingest(envelopes: DataFrame, out_dir: str, checkpoint_location: str,
 
 def incremental_match(records_stream: DataFrame, records_table: str, store_dir: str, checkpoint_location: str,
                       rules: MatchRules, schedule: str = "available_now", as_of_fn=None,
-                      backoff_secs: int = 30, reopen: bool = False):
+                      backoff_secs: int = 30, reopen: bool = False, escalate_timed_out: bool = False):
     """STR-3. ``records_table`` is where the records stream is also appended
     (the full record history the matcher reads); state, details and audit
     are versioned snapshots under ``store_dir``.
@@ -78,7 +78,9 @@ def incremental_match(records_stream: DataFrame, records_table: str, store_dir:
     Each micro-batch runs the due refs: refs first seen in this batch plus
     PENDING refs whose back-off elapsed (read from the state, not from the
     record history). Decided refs ignore later records (D9) unless
-    ``reopen=True``, which also re-decides every ref the batch touched."""
+    ``reopen=True``, which also re-decides every ref the batch touched.
+    ``escalate_timed_out=True`` also runs PENDING refs past the pending
+    timeout whatever their retry count (D8), which needs the record history."""
 
     def batch(df: DataFrame, epoch_id: int):
         spark = df.sparkSession
@@ -95,6 +97,9 @@ def incremental_match(records_stream: DataFrame, records_table: str, store_dir:
         audit = audit_t.read() or A.empty_audit(spark)
         touched = df.select(REF).distinct()
         due = S.due_refs(df, state, as_of, backoff_secs, new_since=dt.datetime(1, 1, 1))
+        if escalate_timed_out and rules.pending_timeout_secs is not None:
+            due = due.unionByName(S.due_refs(records, state, as_of, backoff_secs,
+                                             pending_timeout_secs=rules.pending_timeout_secs)).distinct()
         refs = touched.unionByName(due).distinct() if reopen else due
         t = ReconTables(records, state, details, audit)
         out = _run(t, state, refs, rules, as_of, f"epoch-{epoch_id}", seq=0, materialize=True)
