@@ -35,13 +35,22 @@ def empty_details(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], DETAILS_SCHEMA)
 
 
-def upsert_state(base: DataFrame, delta: DataFrame, as_of, max_retries: int = 3) -> DataFrame:
+def upsert_state(base: DataFrame, delta: DataFrame, as_of, max_retries: int = 3,
+                 stored_base: bool = False) -> DataFrame:
     """STA-1 / SNK-3: merge decisions into state.
 
     New ref: retry_count 1, max_retries from the rules. Existing ref: status,
     counts and source lists replaced, retry_count + 1, created_at and
     max_retries kept, resolved_at set only on MATCHED/RESOLVED else kept.
+
+    Default plan: one full outer join (each input read once, so chained
+    in-memory upserts stay linear). ``stored_base=True`` (the base is a written
+    snapshot) plans ``base LEFT JOIN delta`` plus ``delta LEFT ANTI base refs``:
+    with a small delta AQE broadcasts it and the base is read in place rather
+    than shuffled; the base is read twice, which is cheap only from storage.
     """
+    if stored_base:
+        return _upsert_split(base, delta, as_of, max_retries)
     now = as_ts(as_of)
     b = base.select(*[F.col(c).alias(f"b_{c}") if c != REF else F.col(c) for c in STATE_COLUMNS])
     d = delta.select(REF, F.col("status").alias("d_status"), F.col("record_count").alias("d_record_count"),
@@ -71,6 +80,40 @@ def upsert_state(base: DataFrame, delta: DataFrame, as_of, max_retries: int = 3)
     )
 
 
+def _upsert_split(base: DataFrame, delta: DataFrame, as_of, max_retries: int) -> DataFrame:
+    now = as_ts(as_of)
+    b = base.select(*[F.col(c).alias(f"b_{c}") if c != REF else F.col(c) for c in STATE_COLUMNS])
+    d = delta.select(REF, F.col("status").alias("d_status"), F.col("record_count").alias("d_record_count"),
+                     F.col("matched_sources").alias("d_matched"), F.col("mismatched_sources").alias("d_mismatched"))
+    has_d = F.col("d_status").isNotNull()
+
+    def pick(new, old):
+        return F.when(has_d, new).otherwise(old)
+
+    upd = b.join(d, REF, "left").select(
+        REF,
+        pick(F.col("d_status"), F.col("b_status")).alias("status"),
+        pick(F.col("d_record_count").cast("bigint"), F.col("b_record_count")).alias("record_count"),
+        pick(F.col("d_matched"), F.col("b_matched_sources")).alias("matched_sources"),
+        pick(F.col("d_mismatched"), F.col("b_mismatched_sources")).alias("mismatched_sources"),
+        pick(F.col("b_retry_count") + 1, F.col("b_retry_count")).cast("int").alias("retry_count"),
+        F.col("b_max_retries").cast("int").alias("max_retries"),
+        pick(now, F.col("b_last_processed_at")).alias("last_processed_at"),
+        pick(F.when(F.col("d_status").isin(MATCHED, RESOLVED), now).otherwise(F.col("b_resolved_at")),
+             F.col("b_resolved_at")).alias("resolved_at"),
+        F.col("b_created_at").alias("created_at"),
+        pick(now, F.col("b_updated_at")).alias("updated_at"),
+    )
+    new = d.join(base.select(REF), REF, "left_anti").select(
+        REF, F.col("d_status").alias("status"), F.col("d_record_count").cast("bigint").alias("record_count"),
+        F.col("d_matched").alias("matched_sources"), F.col("d_mismatched").alias("mismatched_sources"),
+        F.lit(1).cast("int").alias("retry_count"), F.lit(int(max_retries)).cast("int").alias("max_retries"),
+        now.alias("last_processed_at"),
+        F.when(F.col("d_status").isin(MATCHED, RESOLVED), now).alias("resolved_at"),
+        now.alias("created_at"), now.alias("updated_at"))
+    return upd.unionByName(new)
+
+
 def reset_for_retrigger(state: DataFrame, refs: DataFrame, as_of) -> DataFrame:
     """MT-16 step 1: status PENDING, retry_count 0, last_processed_at NULL."""
     hit = refs.select(REF).distinct().withColumn("_hit", F.lit(True))

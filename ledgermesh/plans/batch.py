@@ -63,13 +63,13 @@ def reconcile_batch(t: ReconTables, rules: MatchRules, as_of, backoff_secs: int
 
 
 def _run(t: ReconTables, state_before: DataFrame, refs: DataFrame, rules: MatchRules, as_of,
-         bid: str, seq: int, materialize: bool = False) -> BatchOutcome:
+         bid: str, seq: int, materialize: bool = False, stored_base: bool = False) -> BatchOutcome:
     recs = t.records.join(refs, REF, "left_semi")
     rec = reconcile(recs, rules, as_of)
     if materialize:
         rec = Reconciliation(rec.refs.checkpoint(), rec.rules, rec.as_of)
     delta = rec.state_delta()
-    state2 = S.upsert_state(state_before, delta, as_of, rules.max_retries)
+    state2 = S.upsert_state(state_before, delta, as_of, rules.max_retries, stored_base=stored_base)
     details2 = S.upsert_details(t.details, rec.details())
     old = state_before.select(REF, F.col("status").alias("_old"))
     ad = rec.audit_details().join(old, REF, "left")

@@ -102,7 +102,8 @@ def incremental_match(records_stream: DataFrame, records_table: str, store_dir:
                                              pending_timeout_secs=rules.pending_timeout_secs)).distinct()
         refs = touched.unionByName(due).distinct() if reopen else due
         t = ReconTables(records, state, details, audit)
-        out = _run(t, state, refs, rules, as_of, f"epoch-{epoch_id}", seq=0, materialize=True)
+        out = _run(t, state, refs, rules, as_of, f"epoch-{epoch_id}", seq=0, materialize=True,
+                   stored_base=state_t.latest() is not None)
         details_t.write(out.tables.details, epoch_id)
         audit_t.write(out.tables.audit, epoch_id)
         state_t.write(out.tables.state, epoch_id)  # written last: it marks the batch committed

@@ -146,7 +146,7 @@ def stream_match(records_stream: DataFrame, store_dir: str, checkpoint_location:
         rec = decide_emitted(df, rules)
         delta = rec.refs.filter(F.col("gate") != "error")
         base = state_t.read() or S.empty_state(spark)
-        state_t.write(S.upsert_state(base, delta, run_time, rules.max_retries), epoch_id)
+        state_t.write(S.upsert_state(base, delta, run_time, rules.max_retries, stored_base=True), epoch_id)
         df.unpersist()
 
     return (emitted.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint_location)
