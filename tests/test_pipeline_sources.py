@@ -134,3 +134,18 @@ def test_payload_size_limit_and_parity_validation(spark):
     assert r.error_message == "payload size 17 bytes exceeds limit 8"
     # parity: field checks run before normalisation in the reference, so they never fire
     assert one(spark, '{"currency":"xxx"}', cfg=IngestConfig(parity=True)).ok
+
+
+def test_kafka_trace_header_fallback(spark):
+    rows = [(None, b'{"transaction_ref":"R9"}', "t", 2, 9, [("trace_id", b"tr-9")])]
+    df = spark.createDataFrame(rows, "key binary, value binary, topic string, partition int, offset long, "
+                                     "headers array<struct<key:string,value:binary>>")
+    env, _ = from_kafka(df, "erp")
+    r = env.first()
+    assert (r.trace_id, r.source_system, r.idempotency_key) == ("tr-9", "erp", "kafka-t-2-9")
+
+
+def test_webhook_ndjson_with_blank_lines_and_crlf(spark):
+    df = spark.createDataFrame([("s", None, '{"transaction_ref":"A"}\r\n\r\n{"transaction_ref":"B"}\r\n')],
+                               "source_system string, trace_id string, body string")
+    assert sorted(r.transaction_ref for r in explode_bodies(df).collect()) == ["A", "B"]
