@@ -165,3 +165,11 @@ def test_upsert_plans_agree(spark):
     b = S.upsert_state(base, delta, SC.PASS2_AS_OF, stored_base=True).collect()
     key = lambda r: r.transaction_ref
     assert sorted(a, key=key) == sorted(b, key=key)
+
+
+def test_conflicting_duplicates(spark):
+    rows = [("k1", "TX-1", "a", payload("1.00"), T0), ("k1", "TX-1", "a", payload("2.00"), T0),
+            ("k2", "TX-2", "a", payload("1.00"), T0), ("k2", "TX-2", "a", payload("1.00"), T0),
+            ("", "TX-3", "a", payload("1.00"), T0), ("", "TX-3", "a", payload("9.00"), T0)]
+    out = IDM.conflicting_duplicates(envelopes(spark, rows)).collect()
+    assert [(r.idempotency_key, r.distinct_payloads, r.submissions) for r in out] == [("k1", 2, 2)]
