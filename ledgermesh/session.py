@@ -44,8 +44,8 @@ def get_spark(app: str = "ledgermesh", master: str | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's shared ``spark.checkpoint.dir``; set one only if unset.
 
-    Only local runs (tests) ever reach the fallback: a cluster names a shared
-    folder and this function just reads it back.
+    A local master falls back to a temporary folder (tests). Any other master
+    must name a shared folder: executors cannot see the driver's disk.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -53,12 +53,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="ledgermesh-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
-
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint folder for written tables."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base.rstrip("/"), name)
