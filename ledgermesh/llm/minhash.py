@@ -3,12 +3,15 @@
 1. Every whole text is sketched: ``bands * rows`` universal hash minima over
    its set of 5-word shingles, and a 128-bit hash of the set itself. Texts with
    equal sets form one class, so copies never meet as pairs.
-2. Classes that agree on all rows of a band share a bucket. Pairs are tested
-   bucket by bucket against one hub, then (two more rounds) against another
-   member of the bucket's largest component; only members that are still in
-   another component are then paired with all members outside their own.
-   A bucket of one component therefore costs one pair per member, and no pair
-   that shares a bucket is left untested unless its ends are already connected.
+2. Classes that agree on all rows of a band share a bucket. Every member is
+   tested against its bucket's hub. In buckets that still hold several
+   components, shingles found in one class only are counted: they can't be
+   shared, so ``s`` of a class's ``n`` shingles bound what any partner has in
+   common with it, and a class with ``s < 0.85 n`` has no link at all. The others
+   are tested against the member of the bucket's largest component with the
+   fewest such shingles, and finally against all members outside their own
+   component whose bound reaches the threshold. No pair that shares a bucket
+   is left untested unless its bound is too low or its ends are connected.
 3. Signatures drop pairs far below the threshold (six standard deviations);
    every remaining pair is confirmed on the full sets.
 4. Components come from alternating large-star and small-star steps, each
@@ -119,10 +122,9 @@ def _estimator(least: float):
 def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, comp)`` for every node of ``edges(u, v)``; comp is the smallest
     node of its component. Alternating large-star and small-star steps until
-    no edge changes; the largest step count is logarithmic in the component."""
+    all that is left are stars."""
     now = staged(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
                  .distinct(), "edges")
-    state = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -132,16 +134,37 @@ def connected_components(edges: DataFrame) -> DataFrame:
         joined = large.join(low, "u")
         small = staged(joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
                        .union(joined.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "small")
-        seen = small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         discard(now, large)
         now = small
-        if seen == state:
+        roots = now.select(F.col("v").alias("u")).distinct().withColumn("root", F.lit(1))
+        tops = now.groupBy("u").agg(F.count("*").alias("n")).join(roots, "u", "left").filter("n > 1 or root = 1")
+        if tops.isEmpty():  # every node points at one root and no root points on
             break
-        state = seen
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(
         now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
+def _list_shingles(batches):
+    import pyarrow as pa
+    for batch in batches:
+        nodes = batch.column(0).to_numpy()
+        for node, x in zip(nodes, _sets(batch.column(1)), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), node)), pa.array(x.view(np.int64))], ["node", "x"])
+
+
+def _open_buckets(members: DataFrame, label: DataFrame, clean: bool = False) -> DataFrame:
+    """Members of the buckets that hold several components, with ``comp``, the
+    bucket's largest component ``main`` and, if asked for, its cleanest member
+    ``pick`` (fewest shingles of its own)."""
+    placed = staged(members.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
+    best = [F.max_by(F.struct("node", "n", "s"), F.struct(F.col("s") / F.col("n"), "node")).alias("pick")] if clean else []
+    parts = placed.groupBy("bucket", "comp").agg(F.count("*").alias("size"), *best)
+    heads = parts.groupBy("bucket").agg(
+        F.count("*").alias("parts"), F.max_by("comp", F.struct("size", "comp")).alias("main"),
+        *([F.max_by("pick", F.struct("size", "comp")).alias("pick")] if clean else [])).filter("parts > 1").drop("parts")
+    return placed.join(heads, "bucket")
+
+
 def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, bands: int = BANDS, rows: int = ROWS,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, h, n_shingles, component_id, kept, leader``.
@@ -179,41 +202,39 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, bands: int =
     links = staged(confirmed(first.join(sizes, "hub").filter(ratio).select("u", F.col("hub").alias("v"))), "links")
     label = staged(connected_components(links), "label")
 
-    for step in range(3):
-        placed = members.select("bucket", "node", "n").join(label, "node", "left").select(
-            "bucket", "node", "n", F.coalesce("comp", "node").alias("comp"))
-        parts = placed.groupBy("bucket", "comp").agg(
-            F.count("*").alias("size"), F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(step))).alias("pick"))
-        heads = parts.groupBy("bucket").agg(F.count("*").alias("parts"),
-                                            F.max_by(F.struct("comp", "pick"), F.struct("size", "comp")).alias("top")
-                                            ).filter("parts > 1")
-        opened = staged(placed.join(heads, "bucket"), "open")
-        if opened.isEmpty():
-            break
-        loose = opened.filter(F.col("comp") != F.col("top.comp")).select(
-            "bucket", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("comp").alias("cu"))
-        if step < 2:
-            pairs = opened.filter(F.col("comp") != F.col("top.comp")).select(
-                F.col("node").alias("u"), F.col("n").alias("nu"), F.col("comp").alias("cu"),
-                F.col("top.pick.node").alias("v"), F.col("top.pick.n").alias("nv"), F.col("top.comp").alias("cv"))
+    opened = _open_buckets(members.select("bucket", "node", "n"), label)
+    unique = (bodies.join(opened.select("node").distinct(), "node").mapInArrow(_list_shingles, "node long, x long")
+              .groupBy("x").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1")
+              .groupBy("node").agg(F.count("*").alias("u")))
+    opened = staged(opened.join(unique, "node", "left").withColumn("s", F.col("n") - F.coalesce("u", F.lit(0)))
+                    .filter(F.col("s") * den >= F.col("n") * num).select("bucket", "node", "n", "s"), "open")
+    met = F.least("su", "sv")
+    bound = met * den >= (F.col("nu") + F.col("nv") - met) * num
+    sig = classes.select("node", "sig")
+    for step in range(2):
+        now = _open_buckets(opened, label, clean=True)
+        loose = now.filter("comp <> main").select("bucket", F.col("node").alias("u"), F.col("n").alias("nu"),
+                                                  F.col("s").alias("su"), F.col("comp").alias("cu"), "main", "pick")
+        if step == 0:
+            pairs = loose.select("u", "nu", "su", "cu", F.col("pick.node").alias("v"), F.col("pick.n").alias("nv"),
+                                 F.col("pick.s").alias("sv"), F.col("main").alias("cv"))
         else:
-            pairs = loose.join(opened.select("bucket", F.col("node").alias("v"), F.col("n").alias("nv"),
-                                             F.col("comp").alias("cv"), F.col("top.comp").alias("main")), "bucket"
-                               ).filter((F.col("cu") != F.col("cv"))
-                                        & ((F.col("cv") == F.col("main")) | (F.col("u") < F.col("v"))))
-        pairs = staged(pairs.filter(ratio).select("u", "v", "cu", "cv").distinct(), "pairs")
-        sig = classes.select("node", "sig")
+            other = now.select("bucket", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("s").alias("sv"),
+                               F.col("comp").alias("cv"))
+            pairs = loose.drop("pick").join(other, "bucket").filter(
+                (F.col("cu") != F.col("cv")) & ((F.col("cv") == F.col("main")) | (F.col("u") < F.col("v"))) & bound)
+        pairs = staged(pairs.filter(bound).select("u", "v", "cu", "cv").distinct(), "pairs")
+        if pairs.isEmpty():
+            continue
         likely = pairs.select("u", "v").join(sig.toDF("u", "a"), "u").join(sig.toDF("v", "b"), "v").select(
             "u", "v", "a", "b").mapInArrow(_estimator(_floor(num / den, bands * rows)), "u long, v long")
-        good = staged(confirmed(likely), "good")
-        joins = pairs.join(good, ["u", "v"]).select(F.col("cu").alias("u"), F.col("cv").alias("v"))
-        merged = connected_components(joins).select(F.col("node").alias("comp"), F.col("comp").alias("into"))
-        known = label.union(good.select(F.col("u").alias("node"), F.col("u").alias("comp"))).union(
-            good.select(F.col("v").alias("node"), F.col("v").alias("comp"))).groupBy("node").agg(
-            F.min("comp").alias("comp"))  # a new node enters as its own component, a known one keeps its label
+        good = staged(pairs.join(confirmed(likely), ["u", "v"]), "good")
+        merged = connected_components(good.select(F.col("cu").alias("u"), F.col("cv").alias("v"))).select(
+            F.col("node").alias("comp"), F.col("comp").alias("into"))
+        known = label.union(good.select("u", "cu")).union(good.select("v", "cv")).distinct()
         after = staged(known.join(merged, "comp", "left").select("node", F.coalesce("into", "comp").alias("comp")),
                        "label")
-        discard(label, opened, pairs, good)
+        discard(label, pairs, good)
         label = after
 
     ends = classes.select("node", "s2", "rep").join(label, "node", "left").withColumn(
