@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgermesh.llm import crf, decontam, minhash, raking, rans
+from ledgermesh.llm import adsampling, crf, decontam, minhash, ownership, raking, rans
 from ledgermesh.llm.common import load
 
 ASCII = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -25,6 +25,15 @@ def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op3_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ownership.report(load(spark, sf_dir, "documents"), F.col("source"),
+                            F.concat_ws("/", "source", "lang"))
+
+
+def op7_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adsampling.nearest(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_raked_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raking.sample(load(spark, sf_dir, "documents"))
 
@@ -43,6 +52,8 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_rans_tokens": op1_rans_tokens,
     "op2_line_quality": op2_line_quality,
+    "op3_secret_owners": op3_secret_owners,
+    "op7_adaptive_scan": op7_adaptive_scan,
     "op8_raked_mix": op8_raked_mix,
     "op9_decontaminate": op9_decontaminate,
     "op10_minhash": op10_minhash,
@@ -51,6 +62,7 @@ QUERIES = {
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), {ASCII}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 ORACLE = {
+    "op3_secret_owners": ownership.oracle(),
     "op8_raked_mix": raking.oracle(),
     "op9_decontaminate": f"""
     WITH d AS MATERIALIZED (SELECT doc_id, {_WORDS} AS w FROM documents),
