@@ -6,9 +6,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgermesh.llm import adsampling, crf, decontam, minhash, ownership, raking, rans
+from ledgermesh.llm import adsampling, crf, decontam, deobfuscate, minhash, ownership, pseudonyms, raking, rans
 from ledgermesh.llm.common import load
 
+#: Key of the registered query; a real run passes a secret of its own.
+PSEUDONYM_KEY = "registered query"
 ASCII = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
@@ -30,6 +32,14 @@ def op3_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
                             F.concat_ws("/", "source", "lang"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deobfuscate.toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymize(load(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
 def op7_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adsampling.nearest(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -53,6 +63,8 @@ QUERIES = {
     "op1_rans_tokens": op1_rans_tokens,
     "op2_line_quality": op2_line_quality,
     "op3_secret_owners": op3_secret_owners,
+    "op4_toxicity": op4_toxicity,
+    "op5_pseudonyms": op5_pseudonyms,
     "op7_adaptive_scan": op7_adaptive_scan,
     "op8_raked_mix": op8_raked_mix,
     "op9_decontaminate": op9_decontaminate,
