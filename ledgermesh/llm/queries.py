@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgermesh.llm import adsampling, crf, decontam, deobfuscate, minhash, ownership, pseudonyms, raking, rans
+from ledgermesh.llm import adsampling, crf, decontam, deobfuscate, minhash, ownership, pseudonyms, raking, rans, repeats
 from ledgermesh.llm.common import load
 
 #: Key of the registered query; a real run passes a secret of its own.
@@ -40,6 +40,10 @@ def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymize(load(spark, sf_dir, "documents"), PSEUDONYM_KEY)
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(load(spark, sf_dir, "documents")).drop("h")
+
+
 def op7_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adsampling.nearest(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -65,6 +69,7 @@ QUERIES = {
     "op3_secret_owners": op3_secret_owners,
     "op4_toxicity": op4_toxicity,
     "op5_pseudonyms": op5_pseudonyms,
+    "op6_repeats": op6_repeats,
     "op7_adaptive_scan": op7_adaptive_scan,
     "op8_raked_mix": op8_raked_mix,
     "op9_decontaminate": op9_decontaminate,
