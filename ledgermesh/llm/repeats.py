@@ -131,13 +131,15 @@ def _settle(pieces: DataFrame, ref: list[str]) -> tuple[DataFrame, DataFrame]:
     """Repeated pieces (doc_id, h, lo, n), and the references to rank again:
     unmatched members and one witness of each matched kind, wherever a key has
     both unmatched members and others."""
-    twice = pieces.groupBy("k").agg(F.count("*").alias("c")).filter("c > 1").select("k")
+    # written first: a join of two plain shuffles lets Spark split a hot key
+    twice = staged(pieces.groupBy("k").agg(F.count("*").alias("c")).filter("c > 1").select("k"), "twice")
     live = staged(pieces.join(twice, "k"), "live")
     kinds = staged(live.groupBy("k", "a", "b").agg(F.count("*").alias("c"), F.min(F.struct(*ref)).alias("ref")), "kinds")
     marks = staged(live.join(kinds.filter("c > 1").select("k", "a", "b"), ["k", "a", "b"]).select(
         "doc_id", "h", "lo", "n"), "marks")
-    rest = staged(kinds.join(kinds.filter("c = 1").select("k").distinct(), "k").select("ref.*"), "rest")
-    discard(live, kinds)
+    loose = staged(kinds.filter("c = 1").select("k").distinct(), "loose")
+    rest = staged(kinds.join(loose, "k").select("ref.*"), "rest")
+    discard(twice, live, kinds, loose)
     return marks, rest
 
 
@@ -253,7 +255,7 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     single = staged(cut.join(listed, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g"))
                              & (F.col("lo") == F.col("run"))).select("doc_id", "h", "at", "data", "blocks")
                     .mapInArrow(_starts, "doc_id long, h long, lo long, a long, b long"), "starts")
-    twice = single.groupBy("a", "b").agg(F.count("*").alias("c")).filter("c > 1").select("a", "b")
+    twice = staged(single.groupBy("a", "b").agg(F.count("*").alias("c")).filter("c > 1").select("a", "b"), "twice")
     last = single.join(twice, ["a", "b"]).select("doc_id", "h", "lo", F.lit(1).alias("n"))
     return marks.union(more).union(last)
 
