@@ -127,14 +127,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
                  .distinct(), "edges")
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = staged(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low_of_all = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")  # a hub can be split
+        large = staged(both.filter("v > u").join(low_of_all, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                        .filter("u <> v").distinct(), "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = staged(joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
                        .union(joined.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "small")
-        discard(now, large)
+        discard(now, large, low_of_all)
         now = small
         roots = now.select(F.col("v").alias("u")).distinct().withColumn("root", F.lit(1))
         tops = now.groupBy("u").agg(F.count("*").alias("n")).join(roots, "u", "left").filter("n > 1 or root = 1")
@@ -162,7 +162,7 @@ def _open_buckets(members: DataFrame, label: DataFrame, clean: bool = False) ->
     heads = parts.groupBy("bucket").agg(
         F.count("*").alias("parts"), F.max_by("comp", F.struct("size", "comp")).alias("main"),
         *([F.max_by("pick", F.struct("size", "comp")).alias("pick")] if clean else [])).filter("parts > 1").drop("parts")
-    return placed.join(heads, "bucket")
+    return placed.join(staged(heads, "heads"), "bucket")
 
 
 def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, bands: int = BANDS, rows: int = ROWS,
@@ -182,8 +182,10 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, bands: int =
                           F.first("bands").alias("bands")).withColumnRenamed("s1", "node"), "classes")
 
     spread = classes.select("node", "n", F.explode("bands").alias("bucket"))
-    hubs = spread.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("other")).filter("hub < other")
-    members = staged(spread.join(hubs.select("bucket", "hub"), "bucket"), "members")
+    # written first: a join of two plain shuffles lets Spark split a hot bucket
+    hubs = staged(spread.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("other"))
+                  .filter("hub < other").select("bucket", "hub"), "hubs")
+    members = staged(spread.join(hubs, "bucket"), "members")
 
     needed = members.select("node").distinct().join(classes.select("node", "rep.doc_id", "rep.h"), "node")
     bodies = staged(texts.join(needed.select("node", F.col("doc_id").alias("i"), F.col("h").alias("k")),

@@ -94,9 +94,9 @@ def scan(docs: DataFrame, owner: Column, repository: Column, max_owners: int = M
     found = staged(rows.select("doc_id", "h", "owner", "repo", F.explode(F.concat("c.base", apart)).alias("s"))
                    .select("doc_id", "h", "owner", "repo", "s.start", "s.kind", "s.end", "s.value",
                            F.sha2("s.value", 256).alias("sha")), "candidates")
-    frequency = (found.groupBy("sha", "owner", "repo").agg(F.count("*").alias("n"))
+    frequency = staged(found.groupBy("sha", "owner", "repo").agg(F.count("*").alias("n"))
                  .groupBy("sha", "owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
-                 .groupBy("sha").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.sum("n").alias("n")))
+                 .groupBy("sha").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.sum("n").alias("n")), "owners")  # written: a join of two plain shuffles splits hot values
     judged = (found.dropDuplicates(["doc_id", "h", "kind", "start"]).join(frequency, "sha")
               .withColumn("live", (F.col("owners") <= max_owners) & looks_live(F.col("value")))
               .filter((F.col("kind") < 3) | F.col("live")))
