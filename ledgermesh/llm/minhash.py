@@ -8,10 +8,12 @@
    components, shingles found in one class only are counted: they can't be
    shared, so ``s`` of a class's ``n`` shingles bound what any partner has in
    common with it, and a class with ``s < 0.85 n`` has no link at all. The others
-   are tested against the member of the bucket's largest component with the
-   fewest such shingles, and finally against all members outside their own
-   component whose bound reaches the threshold. No pair that shares a bucket
-   is left untested unless its bound is too low or its ends are connected.
+   are compared with one pick, the member of the bucket's largest component
+   with the fewest such shingles, and finally with all members outside their own
+   component, where two bounds allow it: two classes share at most what each
+   shares with the pick, plus what each could share beside it. No pair that
+   shares a bucket is left untested unless its bound is too low or its ends are
+   connected already.
 3. Signatures drop pairs far below the threshold (six standard deviations);
    every remaining pair is confirmed on the full sets.
 4. Components come from alternating large-star and small-star steps, each
@@ -152,19 +154,38 @@ def _list_shingles(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), node)), pa.array(x.view(np.int64))], ["node", "x"])
 
 
-def _open_buckets(members: DataFrame, label: DataFrame, clean: bool = False) -> DataFrame:
+def _overlaps(batches):
+    import pyarrow as pa
+    for batch in batches:
+        both = [(len(np.intersect1d(a, b, assume_unique=True)), len(b))
+                for a, b in zip(_sets(batch.column(2)), _sets(batch.column(3)), strict=True)]
+        c, n = zip(*both, strict=True) if both else ((), ())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(c, pa.int64()),
+                                          pa.array(n, pa.int64())], ["node", "pick", "c", "np"])
+
+
+def _open_buckets(members: DataFrame, label: DataFrame) -> DataFrame:
     """Members of the buckets that hold several components, with ``comp``, the
-    bucket's largest component ``main`` and, if asked for, its cleanest member
-    ``pick`` (fewest shingles of its own)."""
+    bucket's largest component ``main`` and that one's ``pick``, the member with
+    the smallest share of shingles of its own."""
     placed = staged(members.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
-    best = [F.max_by(F.struct("node", "n", "s"), F.struct(F.col("s") / F.col("n"), "node")).alias("pick")] if clean else []
-    parts = placed.groupBy("bucket", "comp").agg(F.count("*").alias("size"), *best)
+    parts = placed.groupBy("bucket", "comp").agg(
+        F.count("*").alias("size"), F.max_by("node", F.struct(F.col("s") / F.col("n"), "node")).alias("pick"))
     heads = parts.groupBy("bucket").agg(
-        F.count("*").alias("parts"), F.max_by("comp", F.struct("size", "comp")).alias("main"),
-        *([F.max_by("pick", F.struct("size", "comp")).alias("pick")] if clean else [])).filter("parts > 1").drop("parts")
+        F.count("*").alias("parts"), F.max_by(F.struct("comp", "pick"), F.struct("size", "comp")).alias("top")
+    ).filter("parts > 1").select("bucket", F.col("top.comp").alias("main"), F.col("top.pick").alias("pick"))
     return placed.join(staged(heads, "heads"), "bucket")
 
 
+def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """``label`` after links (u, cu, v, cv) between members of two components."""
+    links = staged(links, "links")
+    joined = connected_components(links.select(F.col("cu").alias("u"), F.col("cv").alias("v"))).select(
+        F.col("node").alias("comp"), F.col("comp").alias("into"))
+    known = label.union(links.select("u", "cu")).union(links.select("v", "cv")).distinct()
+    return staged(known.join(joined, "comp", "left").select("node", F.coalesce("into", "comp").alias("comp")), "label")
+
+
 def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, bands: int = BANDS, rows: int = ROWS,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, h, n_shingles, component_id, kept, leader``.
@@ -204,40 +225,47 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, bands: int =
     links = staged(confirmed(first.join(sizes, "hub").filter(ratio).select("u", F.col("hub").alias("v"))), "links")
     label = staged(connected_components(links), "label")
 
-    opened = _open_buckets(members.select("bucket", "node", "n"), label)
+    opened = _open_buckets(members.select("bucket", "node", "n").withColumn("s", F.col("n")), label).select(
+        "bucket", "node", "n")
     unique = (bodies.join(opened.select("node").distinct(), "node").mapInArrow(_list_shingles, "node long, x long")
               .groupBy("x").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1")
               .groupBy("node").agg(F.count("*").alias("u")))
     opened = staged(opened.join(unique, "node", "left").withColumn("s", F.col("n") - F.coalesce("u", F.lit(0)))
                     .filter(F.col("s") * den >= F.col("n") * num).select("bucket", "node", "n", "s"), "open")
-    met = F.least("su", "sv")
-    bound = met * den >= (F.col("nu") + F.col("nv") - met) * num
-    sig = classes.select("node", "sig")
-    for step in range(2):
-        now = _open_buckets(opened, label, clean=True)
-        loose = now.filter("comp <> main").select("bucket", F.col("node").alias("u"), F.col("n").alias("nu"),
-                                                  F.col("s").alias("su"), F.col("comp").alias("cu"), "main", "pick")
-        if step == 0:
-            pairs = loose.select("u", "nu", "su", "cu", F.col("pick.node").alias("v"), F.col("pick.n").alias("nv"),
-                                 F.col("pick.s").alias("sv"), F.col("main").alias("cv"))
-        else:
-            other = now.select("bucket", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("s").alias("sv"),
-                               F.col("comp").alias("cv"))
-            pairs = loose.drop("pick").join(other, "bucket").filter(
-                (F.col("cu") != F.col("cv")) & ((F.col("cv") == F.col("main")) | (F.col("u") < F.col("v"))) & bound)
-        pairs = staged(pairs.filter(bound).select("u", "v", "cu", "cv").distinct(), "pairs")
-        if pairs.isEmpty():
-            continue
-        likely = pairs.select("u", "v").join(sig.toDF("u", "a"), "u").join(sig.toDF("v", "b"), "v").select(
-            "u", "v", "a", "b").mapInArrow(_estimator(_floor(num / den, bands * rows)), "u long, v long")
-        good = staged(pairs.join(confirmed(likely), ["u", "v"]), "good")
-        merged = connected_components(good.select(F.col("cu").alias("u"), F.col("cv").alias("v"))).select(
-            F.col("node").alias("comp"), F.col("comp").alias("into"))
-        known = label.union(good.select("u", "cu")).union(good.select("v", "cv")).distinct()
-        after = staged(known.join(merged, "comp", "left").select("node", F.coalesce("into", "comp").alias("comp")),
-                       "label")
-        discard(label, pairs, good)
-        label = after
+    now = staged(_open_buckets(opened, label), "now")
+    if not now.isEmpty():
+        # every member against its bucket's pick: how many shingles they share
+        body, twin = bodies.toDF("node", "a"), bodies.toDF("pick", "b")
+        met = staged(now.filter("node <> pick").select("node", "pick").distinct().join(body, "node").join(twin, "pick")
+                     .select("node", "pick", "a", "b").mapInArrow(_overlaps, "node long, pick long, c long, np long"), "met")
+        close = now.filter("comp <> main").join(met, ["node", "pick"]).filter(
+            F.col("c") * den >= (F.col("n") + F.col("np") - F.col("c")) * num)
+        label = _merged(label, close.select(F.col("node").alias("u"), F.col("comp").alias("cu"),
+                                            F.col("pick").alias("v"), F.col("main").alias("cv")).distinct())
+
+        # the others against all members outside their component, bounded by what both share with the pick
+        comp = label.select(F.col("node").alias("__n"), F.col("comp").alias("__c"))
+        placed = (now.drop("comp", "main").join(comp, F.col("node") == F.col("__n"), "left")
+                  .withColumn("comp", F.coalesce("__c", "node")).drop("__n", "__c")
+                  .join(comp, F.col("pick") == F.col("__n"), "left")
+                  .withColumn("main", F.coalesce("__c", "pick")).drop("__n", "__c")
+                  .join(met.select("node", "pick", "c"), ["node", "pick"], "left").withColumn("c", F.coalesce("c", "n")))
+        # shared with the pick, and shareable but not with the pick
+        placed = staged(placed.withColumn("e", F.greatest(F.col("s") - F.col("c"), F.lit(0))), "placed")
+        loose = staged(placed.filter("comp <> main"), "loose")
+        mine = loose.select("bucket", *[F.col(x).alias(f"{x}u") for x in ("node", "n", "s", "comp", "c", "e")])
+        rest = placed.select("bucket", "main", *[F.col(x).alias(f"{x}v") for x in ("node", "n", "s", "comp", "c", "e")])
+        most = F.least(F.least("su", "sv"), F.least("cu", "cv") + F.least("eu", "ev"))
+        pairs = mine.join(rest, "bucket").filter(
+            (F.col("compu") != F.col("compv")) & ((F.col("compv") == F.col("main")) | (F.col("nodeu") < F.col("nodev")))
+            & (most * den >= (F.col("nu") + F.col("nv") - most) * num))
+        pairs = staged(pairs.select(F.col("nodeu").alias("u"), F.col("compu").alias("cu"), F.col("nodev").alias("v"),
+                                    F.col("compv").alias("cv")).distinct(), "pairs")
+        if not pairs.isEmpty():
+            sig = classes.select("node", "sig")
+            likely = staged(pairs.select("u", "v").join(sig.toDF("u", "a"), "u").join(sig.toDF("v", "b"), "v").select(
+                "u", "v", "a", "b").mapInArrow(_estimator(_floor(num / den, bands * rows)), "u long, v long"), "likely")
+            label = _merged(label, pairs.join(confirmed(likely), ["u", "v"]))
 
     ends = classes.select("node", "s2", "rep").join(label, "node", "left").withColumn(
         "comp", F.coalesce("comp", "node"))
