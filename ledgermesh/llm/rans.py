@@ -37,25 +37,43 @@ from pyspark.sql import functions as F
 from ledgermesh.llm.common import chunks, scratch, staged, utf8
 
 SCALE = 20
-LANES, SEGMENT, BLOCK = 512, 256, 1 << 19
+LANES, SEGMENT, BLOCK = 1024, 256, 1 << 19
 MAGIC = b"RNS1"
 HEADER, MARK = struct.Struct("<4sIIIII"), struct.Struct("<II")
 U = np.uint64
 _LOW = U(1 << 31)
+_PLAIN = re.compile(rb"[a-z]+")
 _TAIL = re.compile(rb"(.*[a-z])([!#$%&*.,;:?]+)", re.S)
-_WORDS_KEPT = 400_000
+_WORDS_KEPT = 1_000_000
 _memory: dict[tuple, dict] = {}
 
 
-def _encode_words(tokenizer, words: list[bytes], known: dict[bytes, bytes], dtype) -> None:
+def _encode_words(tokenizer, words: list[bytes], known: dict[bytes, bytes], ends: np.ndarray, dtype) -> None:
     """Put the ids of ``words`` into ``known`` as bytes."""
-    split = {}
+    split, plain, other = {}, set(), set()
     for w in words:
         low = w.lower()
         m = _TAIL.fullmatch(low)
-        split[w] = m.groups() if m else (low,)
-    fresh = list({p for parts in split.values() for p in parts if p not in known})
-    for p, e in zip(fresh, tokenizer.encode_batch([p.decode() for p in fresh], add_special_tokens=False), strict=True):
+        split[w] = parts = m.groups() if m else (low,)
+        for p in parts:
+            if p not in known:
+                (plain if _PLAIN.fullmatch(p) else other).add(p)
+    # plain words are one piece each, and the last id of a piece is marked as a word's end: many go in one call
+    plain = list(plain)
+    lines = [plain[i:i + 512] for i in range(0, len(plain), 512)]
+    for line, e in zip(lines, tokenizer.encode_batch([b" ".join(x).decode() for x in lines], add_special_tokens=False),
+                       strict=True):
+        ids = np.array(e.ids, dtype)
+        stops = np.flatnonzero(ends[ids]) + 1
+        if len(stops) != len(line) or stops[-1] != len(ids):  # a vocabulary without such marks
+            other.update(line)
+            continue
+        data, k = ids.tobytes(), dtype.itemsize
+        at = [0, *(stops * k).tolist()]
+        for p, i, j in zip(line, at, at[1:], strict=False):
+            known[p] = data[i:j]
+    other = list(other)
+    for p, e in zip(other, tokenizer.encode_batch([p.decode() for p in other], add_special_tokens=False), strict=True):
         known[p] = np.array(e.ids, dtype).tobytes()
     for w, parts in split.items():
         known[w] = b"".join([known[p] for p in parts])
@@ -67,24 +85,33 @@ def _tokenize(path: str, end_id: int, dtype):
 
         import pyarrow as pa
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if (path, "tokenizer") not in _memory:
+        if path not in _memory:
             from tokenizers import Tokenizer
-            _memory[path, "tokenizer"] = Tokenizer.from_file(path)
-            _memory[path, "words"] = {}
-        tokenizer, known = _memory[path, "tokenizer"], _memory[path, "words"]
+            tokenizer = Tokenizer.from_file(path)
+            pieces = tokenizer.get_vocab()
+            ends = np.zeros(max(pieces.values()) + 1, bool)
+            ends[[i for p, i in pieces.items() if p.endswith("</w>")]] = True
+            _memory[path] = tokenizer, ends, {}
+        tokenizer, ends, known = _memory[path]
         end = np.array([end_id], dtype).tobytes()
         for batch in batches:
             buf, offsets = utf8(batch.column(2))
             out = []
             for i, j in chunks(offsets):
                 texts = [buf[offsets[r]:offsets[r + 1]].tobytes().split() for r in range(i, j)]
-                fresh = {w for t in texts for w in t}.difference(known)
-                if len(known) + len(fresh) > _WORDS_KEPT:
+                words = [w for t in texts for w in t]
+                if len(known) > _WORDS_KEPT:
                     known.clear()
-                    fresh = {w for t in texts for w in t}
+                ids = list(map(known.get, words))
+                fresh = [k for k, x in enumerate(ids) if x is None]
                 if fresh:
-                    _encode_words(tokenizer, list(fresh), known, dtype)
-                out += [b"".join([known[w] for w in t]) + end for t in texts]
+                    _encode_words(tokenizer, list({words[k] for k in fresh}), known, ends, dtype)
+                    for k in fresh:
+                        ids[k] = known[words[k]]
+                k = 0
+                for t in texts:
+                    out.append(b"".join(ids[k:k + len(t)]) + end)
+                    k += len(t)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())],
                                              ["doc_id", "h", "ids"])
     return run
