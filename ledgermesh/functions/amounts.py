@@ -16,7 +16,7 @@ _WIDE_SQL = "decimal(38,12)"
 
 # Plain decimal text: optional sign, digits with an optional fraction, optional
 # exponent. No padding, no thousands separators, no comma decimals.
-DECIMAL_PATTERN = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+DECIMAL_PATTERN = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 
 
 def strict_decimal_text(text: Column) -> Column:

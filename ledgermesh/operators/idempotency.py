@@ -127,9 +127,12 @@ def ingest_batch(envelopes: DataFrame, as_of, cfg: IngestConfig | None = None,
 
 
 def write_records(existing: DataFrame, new_records: DataFrame) -> DataFrame:
-    """SNK-1: insert, conflict on idempotency_key ignored — rows whose key is
-    already stored are dropped (left-anti join), the rest appended."""
-    fresh = new_records.join(existing.select(KEY), KEY, "left_anti")
+    """SNK-1: insert, conflict on idempotency_key ignored: one row per new key
+    (the first received, ties to the smaller internal_id), and none whose key is
+    already stored (left-anti join)."""
+    first = [F.col(c) for c in ("server_received_at", "internal_id") if c in new_records.columns]
+    one = new_records.groupBy(KEY).agg(F.min_by(F.struct(*new_records.columns), F.struct(*first)).alias("r")).select("r.*")
+    fresh = one.join(existing.select(KEY), KEY, "left_anti")
     return existing.unionByName(fresh, allowMissingColumns=True)
 
 

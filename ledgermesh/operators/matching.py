@@ -118,7 +118,7 @@ def _compare_to_reference(recs: Column, ref_amt: Column, rules: MatchRules) -> C
             flagged = F.coalesce(a != ref_amt, F.lit(False))
             details = jobject(
                 ("actual", jstr(a)),
-                ("diff", jstr(F.abs(a - ref_amt).cast(AMOUNT_SQL))),
+                ("diff", jstr(F.abs(a - ref_amt))),
                 ("reference", jstr(ref_amt)),
                 ("strategy", F.lit('"exact"')),
             )
@@ -127,7 +127,7 @@ def _compare_to_reference(recs: Column, ref_amt: Column, rules: MatchRules) -> C
             details = jobject(
                 ("absolute_tolerance", F.lit('"' + rules.abs_text + '"')),
                 ("actual", jstr(a)),
-                ("diff", jstr(F.abs(a - ref_amt).cast(AMOUNT_SQL))),
+                ("diff", jstr(F.abs(a - ref_amt))),
                 ("pct_tolerance", F.lit(repr(float(rules.pct_tolerance)))),
                 ("reference", jstr(ref_amt)),
                 ("strategy", F.lit('"tolerance"')),
@@ -388,7 +388,10 @@ def decide(grouped: DataFrame, rules: MatchRules, as_of) -> DataFrame:
         F.when(F.col("status") == MISMATCHED, F.array_sort(flagged_names)).otherwise(empty)
         .alias("mismatched_sources"),
         F.when(F.col("status") == MATCHED, F.col("_cmp_ref_amount")).alias("reference_amount"),
-        F.when(F.col("status") == MATCHED, F.col("_first_currency")).alias("currency"),
+        # MT-8 / MT-9: without any amount there is nothing that the currency belongs to
+        F.when((F.col("status") == MATCHED)
+               & (F.exists("results", lambda r: r["amount"].isNotNull()) if rules.strategy != "majority" else F.lit(True)),
+               F.col("_first_currency")).alias("currency"),
         "results", "error_source", "error_value",
     )
 

@@ -21,7 +21,7 @@ from ledgermesh.functions.times import as_ts, parse_event_time
 
 # Currencies the validator accepts, and the transaction_ref pattern.
 VALID_CURRENCIES = ("INR", "USD", "EUR", "GBP", "JPY", "AUD", "CAD", "CHF", "CNY", "SGD", "AED", "MYR")
-TXREF_PATTERN = r"^[\x20-\x7E]+$"
+TXREF_PATTERN = r"^[\x20-\x7E]+\z"
 ADAPTER_TYPES = ("grpc", "rest", "webhook", "kafka", "file", "db_poll")  # adapter_type values
 
 _EMPTY_TAGS = "map<string,string>"

@@ -605,8 +605,6 @@ lat AS (SELECT s.status, CAST(epoch({_NOW4}) - epoch(d.first_seen_at) AS BIGINT)
 SELECT status, quantile_disc(latency_s, 0.5) p50_s, quantile_disc(latency_s, 0.95) p95_s,
        CAST(count(*) AS BIGINT) refs FROM lat GROUP BY 1""")
 def mon07_decision_latency(spark, sf_dir):
-    # percentile_approx keeps a bounded sketch; with groups within its accuracy
-    # it returns the exact discrete quantile, which the oracle computes
     t = SC.f4_tables(spark, sf_dir)
     return MON.decision_latency(t.state, t.records)
 
@@ -706,14 +704,16 @@ base AS (SELECT * FROM lab WHERE idem_label = 'stored' AND row_id % 20 = 0),
 new AS (SELECT * FROM lab WHERE idem_label IN ('stored', 'ignored_after_ttl'))
 SELECT internal_id, idempotency_key FROM base
 UNION ALL
-SELECT internal_id, idempotency_key FROM new WHERE idempotency_key NOT IN (SELECT idempotency_key FROM base)""")
+SELECT internal_id, idempotency_key FROM new WHERE idempotency_key NOT IN (SELECT idempotency_key FROM base)
+QUALIFY row_number() OVER (PARTITION BY idempotency_key ORDER BY server_received_at, internal_id) = 1""")
 def snk01_write_records_dedup(spark, sf_dir):
     lab = _ingest(spark, sf_dir).labelled
     base = lab.filter((F.col("idem_label") == "stored") & (F.col("row_id") % 20 == 0)).select("internal_id", "idempotency_key")
     # filter on the label (computed after the key join), not on ``ok``: a
     # filter on ``ok`` would be pushed into the pipeline projections
-    new = lab.filter(F.col("idem_label").isin("stored", "ignored_after_ttl")).select("internal_id", "idempotency_key")
-    return IDM.write_records(base, new)
+    new = lab.filter(F.col("idem_label").isin("stored", "ignored_after_ttl")).select(
+        "internal_id", "idempotency_key", "server_received_at")
+    return IDM.write_records(base, new).select("internal_id", "idempotency_key")
 
 
 @register("lm06_dlq_replay_batch", f"""WITH {_PIPE}

@@ -30,3 +30,24 @@ def test_auto_resolutions_per_minute_and_page_token(spark):
     token = V.next_page_token(page).first().next_page_token
     nxt = V.list_mismatches(t.state, t.details, size=20, after=token).first().transaction_ref
     assert nxt > token
+
+
+def test_exact_latency_and_rate_width(spark):
+    from pyspark.sql import functions as F
+    n = 5001
+    state = spark.range(n).select(F.concat(F.lit("r"), "id").alias("transaction_ref"), F.lit("MATCHED").alias("status"),
+                                  (F.timestamp_seconds(F.lit(10**6) + F.col("id") * 97)).cast("timestamp_ntz").alias("last_processed_at"))
+    records = spark.range(n).select(F.concat(F.lit("r"), "id").alias("transaction_ref"),
+                                    F.timestamp_seconds(F.lit(10**6)).cast("timestamp_ntz").alias("server_received_at"))
+    r = MON.decision_latency(state, records).first()
+    assert (r.p50_s, r.p95_s, r.refs) == (2500 * 97, 4750 * 97, n)  # ranks 2501 and 4751
+    lab = spark.range(300).select(F.lit("erp").alias("source_system"), F.lit("stored").alias("idem_label"),
+                                  F.timestamp_seconds(F.lit(600) + F.col("id") % 300).cast("timestamp_ntz").alias("server_received_at"))
+    assert [x.per_second for x in MON.ingestion_rate(lab, width="5 minutes").collect()] == [1.0]
+
+
+def test_write_records_keeps_one_row_per_key(spark):
+    from ledgermesh.operators.idempotency import write_records
+    base = spark.createDataFrame([("a", "k1")], "internal_id string, idempotency_key string")
+    new = spark.createDataFrame([("b", "k1"), ("c", "k2"), ("d", "k2"), ("c", "k2")], base.schema)
+    assert sorted(map(tuple, write_records(base, new).collect())) == [("a", "k1"), ("c", "k2")]
