@@ -24,30 +24,66 @@ KEY = "idempotency_key"
 
 
 def _order(df: DataFrame) -> Column:
-    tie = F.col("row_id") if "row_id" in df.columns else F.xxhash64("source_system", "payload_text")
-    return F.struct(F.col("server_received_at").alias("ts"), tie.alias("tie"))
+    """Arrival order of the submissions of a key. Without ``row_id`` equal
+    arrival times fall back to the content, then to ``_arrival`` (see
+    ``ingest_batch``), so exactly one of several identical rows comes first."""
+    ties = ([F.col("row_id")] if "row_id" in df.columns else
+            [F.xxhash64("source_system", "payload_text")] + [F.col(c) for c in ("_arrival",) if c in df.columns])
+    return F.struct(F.col("server_received_at").alias("ts"), *[c.alias(f"tie{k}") for k, c in enumerate(ties)])
 
 
-def label_idempotent(processed: DataFrame, ttl_secs: int = 24 * 3600) -> DataFrame:
+def _plus(ts: Column, secs: int) -> Column:
+    return ts + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(secs))
+
+
+def stored_keys(existing: DataFrame) -> DataFrame:
+    """``(key, id, time)`` of what earlier batches stored, from the records (T1)
+    or the idempotency table (T2); one row per key."""
+    if "response" in existing.columns:
+        rows = existing.select(KEY, F.col("response.internal_id").alias("_old_id"), F.col("created_at").alias("_old_ts"))
+    else:
+        rows = existing.select(KEY, F.col("internal_id").alias("_old_id"), F.col("server_received_at").alias("_old_ts"))
+    return (rows.groupBy(KEY).agg(F.min_by("_old_id", F.struct("_old_ts", "_old_id")).alias("_old_id"),
+                                  F.min("_old_ts").alias("_old_ts")))
+
+
+def label_idempotent(processed: DataFrame, ttl_secs: int = 24 * 3600, existing: DataFrame | None = None) -> DataFrame:
     """IDM-1/IDM-2: add ``idem_label`` in {stored, duplicate, ignored_after_ttl, failed}
-    and ``stored_internal_id`` (the id a duplicate is answered with)."""
+    and ``stored_internal_id`` (the id a duplicate is answered with).
+
+    ``existing`` (records or T2 rows of earlier batches) came before this
+    batch: of a key stored there nothing is stored again, re-sends within the
+    TTL of that store are duplicates whether they would pass or not, later ones
+    are ``ignored_after_ttl`` or ``failed``. Rows without a key are ``failed``
+    (VAL-1); they join nothing and are spread over all partitions.
+    """
     df = processed.withColumn("_ord", _order(processed))
+    has_key = F.col(KEY) != ""
     # conditional aggregation, not a filter: a filter on ``ok`` would be pushed
     # below the pipeline projections and re-evaluate them inside the predicate
     ok_ord = F.when(F.col("ok"), F.col("_ord"))
-    first = (df.groupBy(KEY)
-             .agg(F.min(ok_ord).alias("_first"), F.min_by("internal_id", ok_ord).alias("stored_internal_id")))
-    j = df.join(first, KEY, "left")
-    ttl_end = F.col("_first.ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(ttl_secs))
+    first = (df.filter(has_key).groupBy(KEY)
+             .agg(F.min(ok_ord).alias("_first"), F.min_by("internal_id", ok_ord).alias("stored_internal_id"))
+             .withColumnRenamed(KEY, "_key"))
+    if existing is not None:
+        first = (first.join(stored_keys(existing).withColumnRenamed(KEY, "_key"), "_key", "left")
+                 .withColumn("stored_internal_id", F.coalesce("_old_id", "stored_internal_id")).drop("_old_id"))
+    else:
+        first = first.withColumn("_old_ts", F.lit(None).cast("timestamp_ntz"))
+    spread = F.concat(F.lit("\u0000"), F.xxhash64("_ord", "payload_text", "transaction_ref").cast("string"))
+    j = (df.withColumn("_jk", F.when(has_key, F.col(KEY)).otherwise(spread))
+         .join(first, F.col("_jk") == F.col("_key"), "left").drop("_jk", "_key"))
+    stored_at = F.coalesce(F.col("_old_ts"), F.col("_first.ts"))
+    new = F.col("_old_ts").isNull()
     label = (
-        F.when(F.col("_first").isNull(), F.lit("failed"))
-        .when(F.col("_ord") == F.col("_first"), F.lit("stored"))
-        .when(F.col("_ord") < F.col("_first"), F.lit("failed"))
-        .when(F.col("server_received_at") < ttl_end, F.lit("duplicate"))
+        F.when(stored_at.isNull(), F.lit("failed"))
+        .when(new & (F.col("_ord") == F.col("_first")), F.lit("stored"))
+        .when(new & (F.col("_ord") < F.col("_first")), F.lit("failed"))
+        .when(F.col("server_received_at") < _plus(stored_at, ttl_secs), F.lit("duplicate"))
         .when(F.col("ok"), F.lit("ignored_after_ttl"))
         .otherwise(F.lit("failed"))
     )
-    return j.withColumn("idem_label", label).drop("_ord", "_first")
+    return j.withColumn("idem_label", label).drop("_ord", "_first", "_old_ts", "_arrival")
 
 
 def conflicting_duplicates(envelopes: DataFrame) -> DataFrame:
@@ -70,8 +106,7 @@ def idempotency_table(labelled: DataFrame, ttl_secs: int = 24 * 3600) -> DataFra
                  F.lit(None).cast("string").alias("error_msg"),
                  F.col("server_received_at").alias("stored_at")).alias("response"),
         "source_system",
-        (F.col("server_received_at") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(ttl_secs)))
-        .alias("expires_at"),
+        _plus(F.col("server_received_at"), ttl_secs).alias("expires_at"),
         F.col("server_received_at").alias("created_at"))
 
 
@@ -105,25 +140,22 @@ def ingest_batch(envelopes: DataFrame, as_of, cfg: IngestConfig | None = None,
                  checkpoint: bool = False) -> IngestResult:
     """SRC-9: pipeline + idempotency for one batch.
 
-    ``existing_keys`` (``idempotency_key`` column, e.g. the stored records)
-    makes uniqueness global across batches: rows whose key is already stored
-    are labelled ``duplicate`` instead of being stored again (SNK-1).
+    ``existing_keys`` (the stored records, or the idempotency table) makes the
+    labels hold across batches as if all were one (SNK-1, IDM-2).
     ``checkpoint=True`` writes the processed batch to the shared checkpoint
     folder first, so the payload is parsed once even though the per-key
-    aggregate and the join both read it (use it for large batches).
+    aggregate and the join both read it (use it for large batches). A batch
+    without ``row_id`` is always written: its rows are numbered as they arrive,
+    and the numbers must not change when a lost task runs again.
     """
     cfg = cfg or IngestConfig()
     processed = P.run_pipeline(envelopes, as_of, cfg, adapter_type=adapter_type)
+    if "row_id" not in envelopes.columns:
+        processed = processed.withColumn("_arrival", F.monotonically_increasing_id())
+        checkpoint = True
     if checkpoint:  # parse once: both sides of the key join read the written batch
         processed = processed.checkpoint()
-    labelled = label_idempotent(processed, cfg.idempotency_ttl_secs)
-    if existing_keys is not None:
-        seen = existing_keys.select(KEY).distinct().withColumn("_seen", F.lit(True))
-        labelled = (labelled.join(seen, KEY, "left")
-                    .withColumn("idem_label", F.when(F.col("_seen") & (F.col("idem_label") != "failed"),
-                                                     F.lit("duplicate")).otherwise(F.col("idem_label")))
-                    .drop("_seen"))
-    return IngestResult(labelled)
+    return IngestResult(label_idempotent(processed, cfg.idempotency_ttl_secs, existing_keys))
 
 
 def write_records(existing: DataFrame, new_records: DataFrame) -> DataFrame:

@@ -396,8 +396,14 @@ def decide(grouped: DataFrame, rules: MatchRules, as_of) -> DataFrame:
     )
 
 
-def reconcile(records: DataFrame, rules: MatchRules | None = None, as_of=None) -> Reconciliation:
-    """MT-0: decide every ref present in ``records`` as of ``as_of``.
+def reconcile(records: DataFrame, rules: MatchRules | None = None, as_of=None,
+              refs: DataFrame | None = None) -> Reconciliation:
+    """MT-0: decide every ref present in ``records`` (and in ``refs``, if
+    given) as of ``as_of``.
+
+    ``refs`` is joined after the records are collapsed to one row per (ref,
+    source), which happens map-side first: a ref with a third of all records
+    reaches the join as a handful of rows.
 
     ``records`` needs ``transaction_ref, source_system, internal_id, amount,
     currency, server_received_at`` (``amount`` as DECIMAL(22,6) or text).
@@ -405,5 +411,8 @@ def reconcile(records: DataFrame, rules: MatchRules | None = None, as_of=None) -
     rules = rules or MatchRules()
     if as_of is None:
         raise ValueError("as_of is required (results must be reproducible)")
-    grouped = group_records(latest_per_source(records))
+    latest = latest_per_source(records)
+    if refs is not None:
+        latest = latest.join(refs.select(REF), REF, "left_semi")
+    grouped = group_records(latest)
     return Reconciliation(decide(grouped, rules, as_of), rules, as_of)

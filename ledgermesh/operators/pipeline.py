@@ -103,9 +103,10 @@ def enrich(envelopes: DataFrame, adapter_type: str | None = None, received_at=No
         tags0.alias("_tags0"),
         F.try_parse_json(payload_text).alias("_v"),
     )
-    # valid JSON whose first non-blank character is '{' is an object; cheaper
-    # than rendering the variant's schema
-    is_obj = F.col("_v").isNotNull() & F.coalesce(F.ltrim("payload_text").startswith("{"), F.lit(False))
+    # valid JSON whose first character after JSON's white space (blank, tab,
+    # line ends) is '{' is an object; cheaper than rendering the variant's schema
+    is_obj = F.col("_v").isNotNull() & F.coalesce(F.ltrim(F.col("payload_text"), F.lit(" \t\r\n")).startswith("{"),
+                                                  F.lit(False))
     base = base.withColumn("_is_obj", is_obj)
     peek_ref = F.when(F.col("_is_obj"), F.try_variant_get("_v", "$.transaction_ref", "string"))
     cols = [c for c in base.columns if c not in ("_ref", "_tags0")]
@@ -167,9 +168,10 @@ def normalize(df: DataFrame, cfg: IngestConfig | None = None) -> DataFrame:
     cfg = cfg or IngestConfig()
     non_empty = F.coalesce(F.length("payload_text"), F.lit(0)) > 0
     string_fields_ok = F.lit(True)
-    if cfg.parity:  # the reference's decoder only takes strings for these fields
-        kind = F.schema_of_variant(F.try_variant_get("_v", "$.amount", "variant"))
-        string_fields_ok = F.coalesce(kind, F.lit("STRING")) == "STRING"
+    if cfg.parity:  # the reference's decoder only takes strings (or null) for these fields
+        for name in ("amount", "currency", "event_time", "schema"):
+            kind = F.schema_of_variant(F.try_variant_get("_v", f"$.{name}", "variant"))
+            string_fields_ok = string_fields_ok & F.coalesce(kind, F.lit("VOID")).isin("STRING", "VOID")
     df = df.withColumn("_usable", non_empty & F.col("_is_obj") & string_fields_ok) \
            .withColumn("_warn", non_empty & ~F.col("_usable"))
 

@@ -156,7 +156,7 @@ def mark_resolved(state: DataFrame, refs: DataFrame, as_of, parity: bool = False
 
 def due_refs(records: DataFrame, state: DataFrame, as_of, backoff_secs: int = 30,
              limit: int | None = None, pending_timeout_secs: int | None = None,
-             new_since=None) -> DataFrame:
+             landed: DataFrame | None = None) -> DataFrame:
     """JN-1 / LM-1: refs needing a match run.
 
     Never processed, or PENDING with retries left whose last run is older than
@@ -165,37 +165,22 @@ def due_refs(records: DataFrame, state: DataFrame, as_of, backoff_secs: int = 30
     ``limit`` keeps the reference's polling batch (ordered by ref); the batch
     job itself takes every due ref at once.
 
-    ``new_since`` (the previous run's ``as_of``) makes the run incremental:
-    only records received after it are scanned for never-processed refs, and
-    PENDING refs come from the state table alone, so a run does not aggregate
-    the whole record history.
+    ``landed`` (the records that arrived in storage since the previous run,
+    whatever their time stamps say) makes the run incremental: never-processed
+    refs can only be among them, and all others come from the state, so a run
+    does not aggregate the whole record history. The result is the same.
     """
-    if new_since is not None and pending_timeout_secs is None:
-        return _due_refs_incremental(records, state, as_of, backoff_secs, limit, new_since)
     cutoff = as_ts(as_of) - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(int(backoff_secs)))
-    refs = records.groupBy(REF).agg(F.min("server_received_at").alias("_first_seen"))
-    s = state.select(REF, "status", "retry_count", "max_retries", "last_processed_at")
-    j = refs.join(s, REF, "left")
-    cond = F.col("status").isNull() | (
-        (F.col("status") == PENDING) & (F.col("retry_count") < F.col("max_retries"))
-        & (F.col("last_processed_at").isNull() | (F.col("last_processed_at") < cutoff)))
+    retry = ((F.col("status") == PENDING) & (F.col("retry_count") < F.col("max_retries"))
+             & (F.col("last_processed_at").isNull() | (F.col("last_processed_at") < cutoff)))
+    fresh = (records if landed is None else landed).select(REF).distinct().join(state.select(REF), REF, "left_anti")
+    out = fresh.unionByName(state.filter(retry).select(REF))
     if pending_timeout_secs is not None:
         limit_ts = as_ts(as_of) - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(int(pending_timeout_secs)))
-        cond = cond | ((F.col("status") == PENDING) & (F.col("_first_seen") <= limit_ts))
-    out = j.filter(cond).select(REF)
-    if limit is not None:
-        out = out.orderBy(REF).limit(int(limit))
-    return out
-
-
-def _due_refs_incremental(records, state, as_of, backoff_secs, limit, new_since):
-    cutoff = as_ts(as_of) - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(int(backoff_secs)))
-    fresh = (records.filter(F.col("server_received_at") > as_ts(new_since)).select(REF).distinct()
-             .join(state.select(REF), REF, "left_anti"))
-    pending = state.filter((F.col("status") == PENDING) & (F.col("retry_count") < F.col("max_retries"))
-                           & (F.col("last_processed_at").isNull() | (F.col("last_processed_at") < cutoff))
-                           ).select(REF)
-    out = fresh.unionByName(pending).distinct()
+        old = (records.filter(F.col("server_received_at") <= limit_ts).select(REF).distinct()
+               .join(state.filter(F.col("status") == PENDING).select(REF), REF, "left_semi"))
+        out = out.unionByName(old)
+    out = out.distinct() if pending_timeout_secs is not None else out
     if limit is not None:
         out = out.orderBy(REF).limit(int(limit))
     return out

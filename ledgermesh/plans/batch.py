@@ -48,24 +48,26 @@ def _batch_id(as_of, batch_id):
 
 def reconcile_batch(t: ReconTables, rules: MatchRules, as_of, backoff_secs: int = 30,
                     batch_id: str | None = None, limit: int | None = None,
-                    escalate_timed_out: bool = False, materialize: bool = False,
-                    new_since=None) -> BatchOutcome:
+                    escalate_timed_out: bool = True, materialize: bool = False,
+                    landed: DataFrame | None = None) -> BatchOutcome:
     """MT-15: reconcile every due ref and return the next table snapshots.
 
     ``materialize=True`` checkpoints the per-ref decisions (to the shared
     checkpoint folder) so state, details, audit and errors are all derived
     from one computation instead of re-running the match for each output.
+    ``landed`` (records new since the previous run) finds due refs without the
+    record history; PENDING refs past the rules' timeout are due whatever their
+    retries (D8) unless ``escalate_timed_out=False``.
     """
     bid = _batch_id(as_of, batch_id)
     due = S.due_refs(t.records, t.state, as_of, backoff_secs, limit,
-                     rules.pending_timeout_secs if escalate_timed_out else None, new_since=new_since)
+                     rules.pending_timeout_secs if escalate_timed_out else None, landed=landed)
     return _run(t, t.state, due, rules, as_of, bid, seq=0, materialize=materialize)
 
 
 def _run(t: ReconTables, state_before: DataFrame, refs: DataFrame, rules: MatchRules, as_of,
          bid: str, seq: int, materialize: bool = False, stored_base: bool = False) -> BatchOutcome:
-    recs = t.records.join(refs, REF, "left_semi")
-    rec = reconcile(recs, rules, as_of)
+    rec = reconcile(t.records, rules, as_of, refs=refs)
     if materialize:
         rec = Reconciliation(rec.refs.checkpoint(), rec.rules, rec.as_of)
     delta = rec.state_delta()

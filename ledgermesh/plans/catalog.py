@@ -149,6 +149,32 @@ def idm01_idempotency_labels(spark, sf_dir):
     return _ingest(spark, sf_dir).labelled.select("row_id", "idempotency_key", "idem_label", "stored_internal_id")
 
 
+@register("idm01_identical_resend", f"""WITH {_PIPE}
+SELECT idempotency_key, idem_label, CAST(count(*) AS BIGINT) n FROM (
+  SELECT idempotency_key, idem_label FROM lab
+  UNION ALL
+  SELECT idempotency_key, CASE idem_label WHEN 'stored' THEN 'duplicate' ELSE idem_label END FROM lab) GROUP BY ALL""")
+def idm01_identical_resend(spark, sf_dir):
+    """Every submission sent twice, equal in all columns and without a row id."""
+    env = FX.f2_envelopes(spark, sf_dir).drop("row_id")
+    lab = IDM.ingest_batch(env.unionByName(env), FX.F2_AS_OF).labelled
+    return lab.groupBy("idempotency_key", "idem_label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("idm02_cross_batch", f"""WITH {_PIPE}
+SELECT row_id, idempotency_key, idem_label, stored_internal_id FROM lab""")
+def idm02_cross_batch(spark, sf_dir):
+    """The copies arrive as batches of their own: labels as in one batch."""
+    env = FX.f2_envelopes(spark, sf_dir)
+    records = labelled = None
+    for copy, _, _ in FX.F2_COPIES:
+        res = IDM.ingest_batch(env.filter(F.col("row_id") % 10 == copy), FX.F2_AS_OF, checkpoint=True,
+                               existing_keys=records)
+        records = res.records if records is None else records.unionByName(res.records)
+        labelled = res.labelled if labelled is None else labelled.unionByName(res.labelled)
+    return labelled.select("row_id", "idempotency_key", "idem_label", "stored_internal_id")
+
+
 @register("snk01_records", f"""WITH {_PIPE}
 SELECT internal_id, idempotency_key, transaction_ref, source_system, adapter_type, amount, currency,
        server_received_at FROM lab WHERE idem_label = 'stored'""")
@@ -285,8 +311,7 @@ def au02_replay_status(spark, sf_dir):
 
 
 @register("mt16_retrigger", f"""WITH {O.F1_CTE},
-r3 AS (SELECT * FROM f1 WHERE CAST(substr(transaction_ref, 5) AS BIGINT) % 4 = 1),
-{O.latest_sql('r3', '3')},
+{O.latest_sql('f1', '3')},
 {O.decisions_sql(SC.RULES, SC.RETRIGGER_AS_OF, '3')},
 {O.status_sql(SC.RULES, '3')}
 SELECT transaction_ref, status, CAST(record_count AS BIGINT) record_count, 1 retry_count,
@@ -294,8 +319,7 @@ SELECT transaction_ref, status, CAST(record_count AS BIGINT) record_count, 1 ret
 FROM dec3""")
 def mt16_retrigger(spark, sf_dir):
     out = SC.after_retrigger(spark, sf_dir)
-    st = out.tables.state.filter(SC.order_key() % 4 == 1)
-    return st.select(M.REF, "status", "record_count", "retry_count",
+    return out.tables.state.select(M.REF, "status", "record_count", "retry_count",
                      F.array_join("mismatched_sources", ",").alias("mismatched_sources"))
 
 
@@ -319,14 +343,14 @@ def _outcome(res: RS.ResolutionOutcome):
 
 def _auto(spark, sf_dir, strategy, prio=""):
     t = SC.f4_tables(spark, sf_dir)
-    refs = t.state.filter(SC.order_key() % 5 == 0).select(M.REF)
+    refs = t.state.select(M.REF)
     return _outcome(RS.auto_resolve(refs, t.state, t.records, t.details, SC.F4_AS_OF, strategy=strategy,
                                     cfg=AutoResolveConfig(source_priority=prio)))
 
 
 def _auto_sql(win_cte: str, text: str) -> str:
     return f"""{_F4},
-refs AS (SELECT transaction_ref, status FROM dec4 WHERE {_K} % 5 = 0),
+refs AS (SELECT transaction_ref, status FROM dec4),
 {win_cte}
 SELECT r.transaction_ref,
        CASE WHEN r.status IN ('MISMATCHED', 'RESOLVED') THEN 'resolved' ELSE 'rejected' END outcome,
@@ -408,19 +432,18 @@ def rs08_golden_records(spark, sf_dir):
 
 
 @register("sta02_mark_resolved", f"""{_F4},{_DECISIONS}
-SELECT status, CAST(count(*) AS BIGINT) refs FROM (
-  SELECT d.transaction_ref, CASE WHEN m.transaction_ref IS NOT NULL THEN 'RESOLVED' ELSE d.status END status
-  FROM dec4 d LEFT JOIN (SELECT transaction_ref FROM man WHERE status IN ('MISMATCHED', 'RESOLVED')) m
-  USING (transaction_ref)) GROUP BY 1""")
+SELECT d.transaction_ref, CASE WHEN m.transaction_ref IS NOT NULL THEN 'RESOLVED' ELSE d.status END status
+FROM dec4 d LEFT JOIN (SELECT transaction_ref FROM man WHERE status IN ('MISMATCHED', 'RESOLVED')) m
+USING (transaction_ref)""")
 def sta02_mark_resolved(spark, sf_dir):
     t = SC.f4_tables(spark, sf_dir)
     res = RS.resolve_manually(SC.f4_decisions(t.state), t.state, SC.F4_AS_OF)
-    return res.state.groupBy("status").agg(F.count(F.lit(1)).alias("refs"))
+    return res.state.select(M.REF, "status")
 
 
 @register("rt01_enqueue_retry", f"""{_F4},
-qb AS (SELECT * FROM q4 WHERE {_K} % 10 <> 5),
-enq AS (SELECT transaction_ref FROM dec4 WHERE status = 'MISMATCHED' AND {_K} % 5 = 0)
+qb AS (SELECT * FROM q4 WHERE status <> 'RESOLVED'),
+enq AS (SELECT transaction_ref FROM dec4 WHERE status = 'MISMATCHED')
 SELECT coalesce(q.transaction_ref, e.transaction_ref) transaction_ref,
   CAST(CASE WHEN e.transaction_ref IS NOT NULL AND q.transaction_ref IS NOT NULL AND q.status <> 'EXHAUSTED'
             THEN q.attempt_count WHEN e.transaction_ref IS NOT NULL THEN 0 ELSE q.attempt_count END AS INTEGER) attempt_count,
@@ -432,8 +455,8 @@ SELECT coalesce(q.transaction_ref, e.transaction_ref) transaction_ref,
 FROM qb q FULL OUTER JOIN enq e ON q.transaction_ref = e.transaction_ref""")
 def rt01_enqueue_retry(spark, sf_dir):
     t = SC.f4_tables(spark, sf_dir)
-    qb = SC.f4_queue(t.state).filter(SC.order_key() % 10 != 5)
-    refs = t.state.filter(SC.order_key() % 5 == 0).select(M.REF)
+    qb = SC.f4_queue(t.state).filter("status <> 'RESOLVED'")  # finished entries were removed
+    refs = t.state.select(M.REF)
     out = RT.enqueue_retry(qb, refs, t.state, SC.F4_AS_OF, max_attempts=5, requested_by="ops")
     return out.queue.select(M.REF, "attempt_count", "max_attempts", "next_retry_at", "status", "requested_by")
 
@@ -535,12 +558,11 @@ def jn03_attach_details(spark, sf_dir):
 @register("jn05_state_report", f"""{_F4}
 SELECT d.transaction_ref, d.status, CAST(count(f.source_system) FILTER (WHERE d.status <> 'PENDING') AS BIGINT) n_details,
        epoch_ms({_NOW4}) last_updated_ms
-FROM dec4 d JOIN flags4 f USING (transaction_ref) WHERE {_K.replace('transaction_ref', 'd.transaction_ref')} % 50 = 0
+FROM dec4 d JOIN flags4 f USING (transaction_ref)
 GROUP BY d.transaction_ref, d.status""")
 def jn05_state_report(spark, sf_dir):
     t = SC.f4_tables(spark, sf_dir)
-    refs = t.state.filter(SC.order_key() % 50 == 0).select(M.REF)
-    return ST.state_report(t.state, t.details, refs).select(
+    return ST.state_report(t.state, t.details).select(
         M.REF, "status", F.size("details").cast("bigint").alias("n_details"), "last_updated_ms")
 
 
@@ -564,11 +586,11 @@ def lm05_latest_per_source_top5(spark, sf_dir):
 @register("mon01_ingestion_rate", f"""WITH {_PIPE}
 SELECT time_bucket(INTERVAL '1 minute', server_received_at) window_start, source_system,
        CASE idem_label WHEN 'stored' THEN 'success' WHEN 'failed' THEN 'failed' ELSE 'duplicate' END status,
-       CAST(count(*) AS BIGINT) records
+       CAST(count(*) AS BIGINT) records, count(*) / 60.0 per_second
 FROM lab GROUP BY ALL""")
 def mon01_ingestion_rate(spark, sf_dir):
     return MON.ingestion_rate(_ingest(spark, sf_dir).labelled).select(
-        "window_start", "source_system", "status", "records")
+        "window_start", "source_system", "status", "records", "per_second")
 
 
 @register("mon02_error_rate", f"""WITH {_PIPE}
@@ -629,8 +651,7 @@ def mon09_resolutions_by_resolver(spark, sf_dir):
 
 
 @register("mon11_retrigger_count", f"""WITH {O.F1_CTE}
-SELECT CAST(count(DISTINCT transaction_ref) AS BIGINT) retriggers FROM f1
-WHERE CAST(substr(transaction_ref, 5) AS BIGINT) % 4 = 1""")
+SELECT CAST(count(DISTINCT transaction_ref) AS BIGINT) retriggers FROM f1""")
 def mon11_retrigger_count(spark, sf_dir):
     return MON.retrigger_count(SC.after_retrigger(spark, sf_dir).tables.audit)
 
@@ -700,7 +721,7 @@ def src08_db_rows_to_envelopes(spark, sf_dir):
 
 # ── remaining sinks and counters ──────────────────────────────────────────
 @register("snk01_write_records_dedup", f"""WITH {_PIPE},
-base AS (SELECT * FROM lab WHERE idem_label = 'stored' AND row_id % 20 = 0),
+base AS (SELECT * FROM lab WHERE idem_label = 'stored' AND adapter_type = 'file'),
 new AS (SELECT * FROM lab WHERE idem_label IN ('stored', 'ignored_after_ttl'))
 SELECT internal_id, idempotency_key FROM base
 UNION ALL
@@ -708,7 +729,7 @@ SELECT internal_id, idempotency_key FROM new WHERE idempotency_key NOT IN (SELEC
 QUALIFY row_number() OVER (PARTITION BY idempotency_key ORDER BY server_received_at, internal_id) = 1""")
 def snk01_write_records_dedup(spark, sf_dir):
     lab = _ingest(spark, sf_dir).labelled
-    base = lab.filter((F.col("idem_label") == "stored") & (F.col("row_id") % 20 == 0)).select("internal_id", "idempotency_key")
+    base = lab.filter((F.col("idem_label") == "stored") & (F.col("adapter_type") == "file")).select("internal_id", "idempotency_key")
     # filter on the label (computed after the key join), not on ``ok``: a
     # filter on ``ok`` would be pushed into the pipeline projections
     new = lab.filter(F.col("idem_label").isin("stored", "ignored_after_ttl")).select(
@@ -786,7 +807,7 @@ def mon11_errors_by_ref(spark, sf_dir):
 
 @register("snk06_upsert_resolutions", f"""{_F4},{_DECISIONS},
 win AS (SELECT transaction_ref, arg_max(source_system, (server_received_at, internal_id)) chosen FROM f1 GROUP BY 1),
-auto AS (SELECT transaction_ref FROM dec4 WHERE status = 'MISMATCHED' AND {_K} % 5 = 0),
+auto AS (SELECT transaction_ref FROM dec4 WHERE status = 'MISMATCHED'),
 manual AS (SELECT transaction_ref FROM man WHERE status IN ('MISMATCHED', 'RESOLVED'))
 SELECT transaction_ref, 'MANUAL' resolution_type, 'erp_system' chosen_source FROM manual
 UNION ALL
@@ -794,7 +815,7 @@ SELECT a.transaction_ref, 'AUTO', w.chosen FROM auto a JOIN win w USING (transac
 WHERE a.transaction_ref NOT IN (SELECT transaction_ref FROM manual)""")
 def snk06_upsert_resolutions(spark, sf_dir):
     t = SC.f4_tables(spark, sf_dir)
-    refs = t.state.filter(SC.order_key() % 5 == 0).select(M.REF)
+    refs = t.state.select(M.REF)
     auto = RS.auto_resolve(refs, t.state, t.records, t.details, SC.F4_AS_OF, strategy="latest_record")
     manual = RS.resolve_manually(SC.f4_decisions(t.state), t.state, SC.F4_AS_OF)
     merged = RS.upsert_resolutions(auto.resolutions, manual.resolutions)
@@ -802,12 +823,12 @@ def snk06_upsert_resolutions(spark, sf_dir):
 
 
 @register("rs06_queue_after_auto_resolve", f"""{_F4},
-auto AS (SELECT transaction_ref FROM dec4 WHERE status = 'MISMATCHED' AND {_K} % 5 = 0)
-SELECT CASE WHEN transaction_ref IN (SELECT transaction_ref FROM auto) THEN 'RESOLVED' ELSE status END status,
-       CAST(count(*) AS BIGINT) n FROM q4 GROUP BY 1""")
+auto AS (SELECT transaction_ref FROM dec4 WHERE status = 'MISMATCHED')
+SELECT transaction_ref, CASE WHEN transaction_ref IN (SELECT transaction_ref FROM auto) THEN 'RESOLVED' ELSE status END status,
+       attempt_count FROM q4""")
 def rs06_queue_after_auto_resolve(spark, sf_dir):
     t = SC.f4_tables(spark, sf_dir)
-    refs = t.state.filter(SC.order_key() % 5 == 0).select(M.REF)
+    refs = t.state.select(M.REF)
     out = RS.auto_resolve(refs, t.state, t.records, t.details, SC.F4_AS_OF, strategy="latest_record",
                           queue=SC.f4_queue(t.state))
-    return out.queue.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return out.queue.select(M.REF, "status", "attempt_count")

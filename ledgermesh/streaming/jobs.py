@@ -54,7 +54,8 @@ def stream_ingest(envelopes: DataFrame, out_dir: str, checkpoint_location: str,
         df = df.persist()
         existing = None
         if _exists(spark, records_dir):
-            existing = spark.read.parquet(records_dir).filter(F.col("epoch") < epoch_id).select("idempotency_key")
+            existing = spark.read.parquet(records_dir).filter(F.col("epoch") < epoch_id) \
+                .select("idempotency_key", "internal_id", "server_received_at")
         res = IDM.ingest_batch(df, as_of, cfg, existing_keys=existing)
         labelled = res.labelled.persist()
         res = IDM.IngestResult(labelled)
@@ -70,7 +71,7 @@ def stream_ingest(envelopes: DataFrame, out_dir: str, checkpoint_location: str,
 
 def incremental_match(records_stream: DataFrame, records_table: str, store_dir: str, checkpoint_location: str,
                       rules: MatchRules, schedule: str = "available_now", as_of_fn=None,
-                      backoff_secs: int = 30, reopen: bool = False, escalate_timed_out: bool = False):
+                      backoff_secs: int = 30, reopen: bool = False, escalate_timed_out: bool = True):
     """STR-3. ``records_table`` is where the records stream is also appended
     (the full record history the matcher reads); state, details and audit
     are versioned snapshots under ``store_dir``.
@@ -79,8 +80,8 @@ def incremental_match(records_stream: DataFrame, records_table: str, store_dir:
     PENDING refs whose back-off elapsed (read from the state, not from the
     record history). Decided refs ignore later records (D9) unless
     ``reopen=True``, which also re-decides every ref the batch touched.
-    ``escalate_timed_out=True`` also runs PENDING refs past the pending
-    timeout whatever their retry count (D8), which needs the record history."""
+    PENDING refs past the rules' pending timeout run whatever their retry count
+    (D8, a scan of the record history) unless ``escalate_timed_out=False``."""
 
     def batch(df: DataFrame, epoch_id: int):
         spark = df.sparkSession
@@ -96,10 +97,8 @@ def incremental_match(records_stream: DataFrame, records_table: str, store_dir:
         details = details_t.read() or S.empty_details(spark)
         audit = audit_t.read() or A.empty_audit(spark)
         touched = df.select(REF).distinct()
-        due = S.due_refs(df, state, as_of, backoff_secs, new_since=dt.datetime(1, 1, 1))
-        if escalate_timed_out and rules.pending_timeout_secs is not None:
-            due = due.unionByName(S.due_refs(records, state, as_of, backoff_secs,
-                                             pending_timeout_secs=rules.pending_timeout_secs)).distinct()
+        due = S.due_refs(records, state, as_of, backoff_secs, landed=df,
+                         pending_timeout_secs=rules.pending_timeout_secs if escalate_timed_out else None)
         refs = touched.unionByName(due).distinct() if reopen else due
         t = ReconTables(records, state, details, audit)
         out = _run(t, state, refs, rules, as_of, f"epoch-{epoch_id}", seq=0, materialize=True,

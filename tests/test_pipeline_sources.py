@@ -53,6 +53,13 @@ def test_numeric_amount_default_and_parity(spark):
     assert r.tags.get("parse_warning") == "non_json_payload" and str(r.amount) == "0.000000"
 
 
+def test_json_white_space_and_parity_kinds(spark):
+    assert str(one(spark, '\n\t{"amount":"2.00"}').amount) == "2.000000"
+    par = IngestConfig(parity=True)
+    assert "parse_warning" not in one(spark, '{"amount":null,"currency":"USD"}', cfg=par).tags
+    assert one(spark, '{"amount":"1.00","currency":7}', cfg=par).tags["parse_warning"] == "non_json_payload"
+
+
 def test_ref_peeked_from_payload(spark):
     assert one(spark, '{"transaction_ref":"P-1"}', ref="").transaction_ref == "P-1"
 

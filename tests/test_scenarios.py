@@ -148,12 +148,61 @@ def test_incremental_due_refs_equal_full(spark):
     p1, _ = SC.two_pass(spark, SF)
     recs = FX.f1_records(spark, SF)
     full = {r.transaction_ref for r in S.due_refs(recs, p1.tables.state, SC.PASS2_AS_OF).collect()}
-    # every record is newer than 1990, so "since 1990" must find the same due set
-    inc = {r.transaction_ref for r in S.due_refs(recs, p1.tables.state, SC.PASS2_AS_OF,
-                                                 new_since=dt.datetime(1990, 1, 1)).collect()}
+    landed = recs.join(SC.pass1_records(recs).select("internal_id"), "internal_id", "left_anti")
+    inc = {r.transaction_ref for r in S.due_refs(recs, p1.tables.state, SC.PASS2_AS_OF, landed=landed).collect()}
     assert full == inc and len(full) > 0
 
 
+def test_late_landed_ref_is_due(spark):
+    """Stamped long before the last run, landed after it: still due."""
+    from ledgermesh.operators import state as S
+    cols = "transaction_ref string, server_received_at timestamp_ntz"
+    old = spark.createDataFrame([("A", T0)], cols)
+    late = spark.createDataFrame([("B", T0 - dt.timedelta(days=900))], cols)
+    state = spark.createDataFrame([("A", "MATCHED", 1, [], [], 1, 3, T0, T0, T0, T0)], S.STATE_SCHEMA)
+    due = S.due_refs(old.unionByName(late), state, T0 + dt.timedelta(days=1), landed=late, pending_timeout_secs=60)
+    assert [r.transaction_ref for r in due.collect()] == ["B"]
+
+
+def test_hot_ref_is_collapsed_before_the_due_join(spark):
+    from ledgermesh.plans.batch import ReconTables, reconcile_batch
+    n = 3000  # one ref holds a third of the records
+    recs = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise(F.concat(F.lit("R"), (F.col("id") % 97).cast("string")))
+        .alias("transaction_ref"),
+        F.when(F.col("id") % 2 == 0, F.lit("a")).otherwise(F.lit("b")).alias("source_system"),
+        F.concat(F.lit("i"), F.col("id").cast("string")).alias("internal_id"),
+        F.lit("1.00").alias("amount"), F.lit("USD").alias("currency"), F.lit(T0).cast("timestamp_ntz").alias("server_received_at"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = reconcile_batch(ReconTables.fresh(spark, recs), MatchRules(abs_tolerance="0.01"), T0)
+        plan = out.decisions._jdf.queryExecution().optimizedPlan().toString()
+        state = {r.transaction_ref: (r.status, r.record_count) for r in out.tables.state.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert state["HOT"] == ("MATCHED", n // 3)
+    join = plan.index("LeftSemi")
+    assert "max_by" in plan[join:]  # the collapse lies below the join
+
+
+def test_idempotency_across_batches(spark):
+    def batch(text, hours, existing=None):
+        rows = [("k1", "TX-1", "a", payload(text), T0 + dt.timedelta(hours=hours))]
+        return IDM.ingest_batch(envelopes(spark, rows), T0 + dt.timedelta(days=3), existing_keys=existing)
+    first = batch("1.00", 0)
+    for known in (first.records, IDM.idempotency_table(first.labelled)):
+        got = [batch(text, h, known).labelled.first() for text, h in (("1,00", 1), ("1.00", 1), ("1.00", 30), ("1,00", 30))]
+        assert [r.idem_label for r in got] == ["duplicate", "duplicate", "ignored_after_ttl", "failed"]
+        assert {r.stored_internal_id for r in got} == {first.records.first().internal_id}
+
+
+def test_identical_rows_and_rows_without_key(spark):
+    rows = [("k1", "TX-1", "a", payload("1.00"), T0)] * 3 + [("", "TX-2", "a", payload("1.00"), T0)] * 2
+    ing = IDM.ingest_batch(envelopes(spark, rows), T0)
+    labels = sorted((r.idempotency_key, r.idem_label) for r in ing.labelled.collect())
+    assert labels == [("", "failed")] * 2 + [("k1", "duplicate")] * 2 + [("k1", "stored")]
+
+
 def test_upsert_plans_agree(spark):
     from ledgermesh.operators import state as S
     from ledgermesh.plans import scenarios as SC
