@@ -719,6 +719,96 @@ def src08_db_rows_to_envelopes(spark, sf_dir):
     return env.select("transaction_ref", "adapter_type", "payload_schema", "source_system")
 
 
+from ledgermesh.sources import (csv_lines_to_envelopes, explode_bodies, from_kafka,  # noqa: E402
+                                ndjson_lines_to_envelopes)
+
+# The submissions of F2 as the adapters see them (payloads that are no object stay as they are).
+_LANDED = f"""{_PIPE},
+landed AS (SELECT *, CASE WHEN payload_text LIKE '{{%' THEN '{{"idempotency_key":"' || idempotency_key || '","transaction_ref":"'
+       || replace(transaction_ref, chr(7), '') || '",' || substr(payload_text, 2) ELSE payload_text END line FROM f2)"""
+
+
+def _landed(spark, sf_dir):
+    env = FX.f2_envelopes(spark, sf_dir)
+    head = F.concat(F.lit('{"idempotency_key":"'), "idempotency_key", F.lit('","transaction_ref":"'),
+                    F.translate("transaction_ref", "\u0007", ""), F.lit('",'))
+    return env.withColumn("line", F.when(F.col("payload_text").startswith("{"), F.concat(
+        head, F.substr("payload_text", F.lit(2)))).otherwise(F.col("payload_text")))
+
+
+# Keyless records get keys of their own, which the statements count and do not rebuild.
+_KEYED = "CASE WHEN line LIKE '{%' THEN nullif(idempotency_key, '') END"
+_REF = "CASE WHEN line LIKE '{%' THEN replace(transaction_ref, chr(7), '') ELSE '' END"
+
+
+def _mapped(env, payload=True):
+    own = F.col("idempotency_key").startswith("key-")
+    cols = [M.REF, "source_system", "adapter_type"] + (["payload_text"] if payload else [])
+    return env.groupBy(*cols, F.when(own, F.col("idempotency_key")).alias("own_key")).agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("idempotency_key").alias("keys"))
+
+
+@register("src01_ndjson_lines", f"""WITH {_LANDED}
+SELECT transaction_ref, 'feed' source_system, 'file' adapter_type, payload_text, own_key,
+       CAST(count(*) AS BIGINT) n, CAST(if(own_key IS NULL, count(*), 1) AS BIGINT) keys
+FROM (SELECT {_REF} transaction_ref, line payload_text, {_KEYED} own_key FROM landed)
+GROUP BY transaction_ref, payload_text, own_key""")
+def src01_ndjson_lines(spark, sf_dir):
+    return _mapped(ndjson_lines_to_envelopes(_landed(spark, sf_dir), "feed", text_col="line"))
+
+
+@register("src02_csv_lines", """
+SELECT 'ORD-' || o_orderkey transaction_ref, 'feed' source_system, 'file' adapter_type, 'key-' || o_orderkey own_key,
+       'csv.v1' payload_schema, CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS VARCHAR) amount,
+       CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE 'a "b", c' END note FROM orders""")
+def src02_csv_lines(spark, sf_dir):
+    """Two files whose headers differ in order, case and width."""
+    k = F.col("o_orderkey").cast("string")
+    price = F.col("o_totalprice").cast("decimal(12,2)").cast("string")
+    even = F.col("o_orderkey") % 2 == 0
+    key, ref = F.concat(F.lit("key-"), k), F.concat(F.lit("ORD-"), k)
+    lines = FX.table(spark, sf_dir, "orders").select(
+        F.when(even, F.lit("a.csv")).otherwise(F.lit("b.csv")).alias("_path"),
+        F.when(even, F.lit("Idempotency_Key, Amount ,transaction_ref"))
+        .otherwise(F.lit("amount,transaction_ref,idempotency_key,Note")).alias("_header"),
+        F.when(even, F.concat_ws(",", key, price, ref))
+        .otherwise(F.concat_ws(",", price, ref, key, F.lit('"a ""b"", c"'))).alias("value"))
+    env = csv_lines_to_envelopes(lines, "feed", 4)
+    return env.select(M.REF, "source_system", "adapter_type", F.col("idempotency_key").alias("own_key"), "payload_schema",
+                      F.get_json_object("payload_text", "$.amount").alias("amount"),
+                      F.get_json_object("payload_text", "$.note").alias("note"))
+
+
+@register("src04_webhook_bodies", f"""WITH {_LANDED}
+SELECT transaction_ref, 'feed' source_system, 'webhook' adapter_type, own_key,
+       CAST(count(*) AS BIGINT) n, CAST(if(own_key IS NULL, count(*), 1) AS BIGINT) keys
+FROM (SELECT {_REF} transaction_ref, {_KEYED} own_key FROM landed) GROUP BY transaction_ref, own_key""")
+def src04_webhook_bodies(spark, sf_dir):
+    """One request per submission: an object over several lines, an array of
+    one, or a line, by the copy it is."""
+    line, obj = F.col("line"), F.col("line").startswith("{")
+    copy = F.col("row_id") % 10
+    bodies = _landed(spark, sf_dir).select(
+        F.lit("feed").alias("source_system"), F.col("row_id").cast("string").alias("request_id"),
+        F.when(obj & (copy == 0), F.regexp_replace(line, '^\\{', '{\n  '))
+        .when(obj & (copy == 1), F.concat(F.lit("["), line, F.lit("]"))).otherwise(line).alias("body"))
+    return _mapped(explode_bodies(bodies), payload=False)
+
+
+@register("src06_kafka_messages", f"""WITH {_LANDED}
+SELECT {_REF} transaction_ref, 'feed' source_system, 'kafka' adapter_type,
+       coalesce({_KEYED}, 'kafka-submissions-0-' || row_id) idempotency_key, line payload_text FROM landed""")
+def src06_kafka_messages(spark, sf_dir):
+    rows = _landed(spark, sf_dir).select(
+        F.lit(None).cast("binary").alias("key"), F.col("line").cast("binary").alias("value"),
+        F.lit("submissions").alias("topic"), F.lit(0).alias("partition"), F.col("row_id").cast("bigint").alias("offset"),
+        F.array().cast("array<struct<key:string,value:binary>>").alias("headers"))
+    env, _ = from_kafka(rows, "feed")
+    text = "payload_text" if "payload_text" in env.columns else "payload"
+    return env.select(M.REF, "source_system", "adapter_type", "idempotency_key",
+                      F.col(text).cast("string").alias("payload_text"))
+
+
 # ── remaining sinks and counters ──────────────────────────────────────────
 @register("snk01_write_records_dedup", f"""WITH {_PIPE},
 base AS (SELECT * FROM lab WHERE idem_label = 'stored' AND adapter_type = 'file'),

@@ -6,10 +6,10 @@ adapter_type, payload_text, payload_schema, trace_id, tags`` (+ optional
 same mapping serves batch and ``readStream`` inputs.
 """
 
-from ledgermesh.sources.files import read_ndjson, read_csv, route_files, ndjson_lines_to_envelopes
-from ledgermesh.sources.webhook import explode_bodies
+from ledgermesh.sources.files import csv_lines_to_envelopes, read_ndjson, read_csv, route_files, ndjson_lines_to_envelopes
+from ledgermesh.sources.webhook import explode_bodies, rejected_bodies
 from ledgermesh.sources.kafka import from_kafka
 from ledgermesh.sources.database import read_incremental, pick_key
 
-__all__ = ["read_ndjson", "read_csv", "route_files", "ndjson_lines_to_envelopes", "explode_bodies",
+__all__ = ["read_ndjson", "read_csv", "route_files", "ndjson_lines_to_envelopes", "csv_lines_to_envelopes", "explode_bodies", "rejected_bodies",
            "from_kafka", "read_incremental", "pick_key"]

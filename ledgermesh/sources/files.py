@@ -7,34 +7,61 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 _EMPTY_TAGS = "map<string,string>"
 
 
-def _generated_key(*parts) -> F.Column:
-    """Missing key -> stable hash of (source, file, line), so a re-read of the
-    same file produces the same keys (the reference draws a random UUID)."""
+def generated_key(*parts) -> F.Column:
+    """Key of a record that brings none: a hash of where it stands, so a re-read
+    of the same file gives the same keys (the reference draws a random UUID)."""
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 
-def ndjson_lines_to_envelopes(lines: DataFrame, source_system: str, adapter_type: str = "file",
-                              text_col: str = "value", path_col: str | None = "_path") -> DataFrame:
-    """SRC-1 mapping: one JSON object per line; blank lines skipped; key and
-    ref peeked from the line; a missing key is generated."""
-    text = F.col(text_col)
-    nonblank = lines.filter(F.length(F.trim(text)) > 0)
-    key = F.get_json_object(text, "$.idempotency_key")
-    ref = F.get_json_object(text, "$.transaction_ref")
-    path = F.col(path_col) if path_col and path_col in lines.columns else F.lit("")
-    return nonblank.select(
-        F.coalesce(F.nullif(key, F.lit("")), _generated_key(F.lit(source_system), path, text))
-        .alias("idempotency_key"),
+def numbered(rows: DataFrame, cols: list[str], step: int = 10000) -> DataFrame:
+    """Rows of ``cols`` with ``_nth``, 1..n among n equal rows (null in a stream,
+    which cannot count them). Equal rows are counted map-side and dealt out
+    again in pieces of ``step``, so no task or group holds them all."""
+    if rows.isStreaming:
+        return rows.select(*cols, F.lit(None).cast("bigint").alias("_nth"))
+    counted = rows.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+    pieces = counted.select(*cols, "_n", F.explode(F.sequence(F.lit(1).cast("bigint"), "_n", F.lit(step).cast("bigint")))
+                            .alias("_from"))
+    return pieces.select(*cols, F.explode(F.sequence("_from", F.least(F.col("_n"), F.col("_from") + (step - 1))))
+                         .alias("_nth"))
+
+
+def with_keys(rows: DataFrame, key: F.Column, cols: list[str], source_system: str) -> DataFrame:
+    """``cols`` and ``idempotency_key``: the row's own, else one generated from
+    ``cols`` and the number among equal rows (equal rows stay separate records);
+    in a stream a random one, as rows cannot be counted there."""
+    df = rows.withColumn("_key", F.nullif(key, F.lit("")))
+    own = df.filter(F.col("_key").isNotNull()).select(*cols, F.col("_key").alias("idempotency_key"))
+    rest = numbered(df.filter(F.col("_key").isNull()), cols)
+    made = F.uuid() if rows.isStreaming else generated_key(F.lit(source_system), *cols, F.col("_nth").cast("string"))
+    return own.unionByName(rest.select(*cols, made.alias("idempotency_key")))
+
+
+def _envelopes(rows: DataFrame, ref, source_system: str, adapter_type: str, payload, schema) -> DataFrame:
+    return rows.select(
+        "idempotency_key",
         F.coalesce(ref, F.lit("")).alias("transaction_ref"),
         F.lit(source_system).alias("source_system"),
         F.lit(adapter_type).alias("adapter_type"),
-        text.alias("payload_text"),
-        F.lit(None).cast("string").alias("payload_schema"),
+        payload.alias("payload_text"),
+        F.lit(schema).cast("string").alias("payload_schema"),
         F.lit(None).cast("string").alias("trace_id"),
         F.create_map().cast(_EMPTY_TAGS).alias("tags"),
     )
 
 
+def ndjson_lines_to_envelopes(lines: DataFrame, source_system: str, adapter_type: str = "file",
+                              text_col: str = "value", path_col: str | None = "_path") -> DataFrame:
+    """SRC-1 mapping: one JSON object per line; blank lines skipped; key and
+    ref peeked from the line; a missing key is generated, one per line."""
+    text = F.col(text_col)
+    path = F.col(path_col) if path_col and path_col in lines.columns else F.lit("")
+    rows = lines.filter(F.length(F.trim(text)) > 0).select(path.alias("_path"), text.alias("_text"))
+    rows = with_keys(rows, F.get_json_object("_text", "$.idempotency_key"), ["_path", "_text"], source_system)
+    return _envelopes(rows, F.get_json_object("_text", "$.transaction_ref"), source_system, adapter_type,
+                      F.col("_text"), None)
+
+
 def read_ndjson(spark: SparkSession, path: str, source_system: str, stream: bool = False,
                 adapter_type: str = "file", max_files_per_trigger: int | None = None) -> DataFrame:
     """SRC-1 / SRC-5: NDJSON files (batch, or a file stream for landed pages)."""
@@ -49,27 +76,48 @@ def read_ndjson(spark: SparkSession, path: str, source_system: str, stream: bool
     return ndjson_lines_to_envelopes(lines, source_system, adapter_type)
 
 
+_CSV = {"ignoreLeadingWhiteSpace": "true", "escape": '"'}
+
+
+def _fields(text: str, width: int) -> F.Column:
+    parsed = F.from_csv(F.col(text), ", ".join(f"c{i} string" for i in range(width)), _CSV)
+    return F.transform(F.array(parsed), lambda r: F.array(*[r[f"c{i}"] for i in range(width)]))[0]
+
+
+def csv_lines_to_envelopes(lines: DataFrame, source_system: str, width: int) -> DataFrame:
+    """SRC-2 mapping: lines (``value``) with the header line of their own file
+    (``_header``) and ``_path``. Header names are trimmed and lower-cased (the
+    last of equal names counts), leading blanks trimmed; each row becomes a
+    JSON object of all header fields (missing ones empty) with schema
+    ``csv.v1``. ``width`` is the greatest number of header fields; fields
+    beyond a file's header are ignored, as are blank lines and lines equal to
+    the header."""
+    rows = lines.filter((F.length("value") > 0) & (F.col("value") != F.col("_header")))
+    names = F.transform(_fields("_header", width), lambda x: F.lower(F.trim(x)))
+    rows = rows.withColumn("_names", names).withColumn("_values", _fields("value", width))
+    pairs = F.transform("_names", lambda name, i: F.struct(
+        name.alias("k"), F.coalesce(F.get("_values", i), F.lit("")).alias("v"), i.alias("i")))
+    last = F.filter(pairs, lambda e: e["k"].isNotNull() & ~F.exists(
+        pairs, lambda o: o["k"].eqNullSafe(e["k"]) & (o["i"] > e["i"])))
+    rows = rows.withColumn("_obj", F.map_from_entries(F.transform(
+        F.array_sort(last), lambda e: F.struct(e["k"].alias("key"), e["v"].alias("value")))))
+    rows = rows.withColumn("_json", F.to_json("_obj"))
+    rows = with_keys(rows, F.get_json_object("_json", "$.idempotency_key"), ["_path", "_json"], source_system)
+    return _envelopes(rows, F.get_json_object("_json", "$.transaction_ref"), source_system, "file",
+                      F.col("_json"), "csv.v1")
+
+
 def read_csv(spark: SparkSession, path: str, source_system: str) -> DataFrame:
-    """SRC-2: header names trimmed and lower-cased, leading blanks trimmed,
-    each row becomes a JSON object payload with schema ``csv.v1``."""
-    raw = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).csv(path)
-    renamed = raw.select(*[F.col(f"`{c}`").alias(c.strip().lower()) for c in raw.columns])
-    cols = renamed.columns
-    payload = F.to_json(F.struct(*[F.col(f"`{c}`") for c in cols]))
-    key = F.col("idempotency_key") if "idempotency_key" in cols else F.lit(None).cast("string")
-    ref = F.col("transaction_ref") if "transaction_ref" in cols else F.lit(None).cast("string")
-    path_col = F.col("_metadata.file_path")
-    return renamed.select(
-        F.coalesce(F.nullif(key, F.lit("")), _generated_key(F.lit(source_system), path_col, payload))
-        .alias("idempotency_key"),
-        F.coalesce(ref, F.lit("")).alias("transaction_ref"),
-        F.lit(source_system).alias("source_system"),
-        F.lit("file").alias("adapter_type"),
-        payload.alias("payload_text"),
-        F.lit("csv.v1").alias("payload_schema"),
-        F.lit(None).cast("string").alias("trace_id"),
-        F.create_map().cast(_EMPTY_TAGS).alias("tags"),
-    )
+    """SRC-2: CSV files, each by its own header (its first non-empty line), one
+    record per line. Headers are found in the files' first blocks and joined
+    back on the path; only their greatest width comes to the driver."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_path"),
+                                         F.col("_metadata.file_block_start").alias("_start"))
+    heads = (lines.filter((F.col("_start") == 0) & (F.length("value") > 0))
+             .withColumn("_at", F.monotonically_increasing_id())  # grows along a file's first block
+             .groupBy("_path").agg(F.min_by("value", "_at").alias("_header")))
+    width = heads.agg(F.max(F.length("_header") - F.length(F.replace("_header", F.lit(","), F.lit(""))) + 1)).first()[0]
+    return csv_lines_to_envelopes(lines.join(heads, "_path"), source_system, int(width or 1))
 
 
 ALLOWED_EXTENSIONS = (".json", ".ndjson", ".csv")
@@ -78,11 +126,13 @@ ALLOWED_EXTENSIONS = (".json", ".ndjson", ".csv")
 def route_files(spark: SparkSession, directory: str, source_system: str) -> DataFrame:
     """SRC-3: ``.csv`` files as CSV, ``.json``/``.ndjson`` as NDJSON; other
     extensions are not read."""
-    import glob
     import os
     parts = []
-    local = not directory.startswith(("s3", "hdfs", "abfs", "gs", "dbfs"))
-    has = (lambda pat: bool(glob.glob(os.path.join(directory, pat)))) if local else (lambda pat: True)
+
+    def has(pattern: str) -> bool:
+        path = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(directory, pattern))
+        return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path))
+
     if has("*.csv"):
         parts.append(read_csv(spark, os.path.join(directory, "*.csv"), source_system))
     for ext in ("json", "ndjson"):

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ledgermesh.config import IngestConfig
 from ledgermesh.operators import pipeline as P
-from ledgermesh.sources import explode_bodies, from_kafka, pick_key, read_csv, read_ndjson, route_files
+from ledgermesh.sources import (explode_bodies, from_kafka, pick_key, read_csv, read_ndjson, rejected_bodies,
+                                route_files)
 
 T0 = dt.datetime(2025, 1, 1)
 ENV = "idempotency_key string, transaction_ref string, source_system string, payload_text string"
@@ -85,6 +86,40 @@ def test_file_sources(spark):
     assert route_files(spark, d, "x").count() == 3
 
 
+def test_equal_lines_without_key_stay_records(spark):
+    d = tempfile.mkdtemp(prefix="lm-src-")
+    _write(d, "a.ndjson", '{"transaction_ref":"R1"}\n' * 3 + '{"transaction_ref":"R2"}\n')
+    keys = [r.idempotency_key for r in read_ndjson(spark, f"{d}/a.ndjson", "s").collect()]
+    again = [r.idempotency_key for r in read_ndjson(spark, f"{d}/a.ndjson", "s").collect()]
+    assert len(keys) == len(set(keys)) == 4 and sorted(keys) == sorted(again)
+    _write(d, "b.csv", "transaction_ref,amount\nR1,1\nR1,1\n")
+    assert len({r.idempotency_key for r in read_csv(spark, f"file://{d}/b.csv", "s").collect()}) == 2
+
+
+def test_csv_files_with_their_own_headers(spark):
+    d = tempfile.mkdtemp(prefix="lm-csv-")
+    _write(d, "a.csv", "idempotency_key,transaction_ref,amount\nk1,R1,10\n")
+    _write(d, "b.csv", 'Amount, transaction_ref ,idempotency_key,note\n20,R2,k2,"a ""b"", c"\n30,R3,k3\n')
+    _write(d, "empty.csv", "")
+    got = {r.idempotency_key: json.loads(r.payload_text) for r in read_csv(spark, f"{d}/*.csv", "erp").collect()}
+    assert got == {
+        "k1": {"idempotency_key": "k1", "transaction_ref": "R1", "amount": "10"},
+        "k2": {"idempotency_key": "k2", "transaction_ref": "R2", "amount": "20", "note": 'a "b", c'},
+        "k3": {"idempotency_key": "k3", "transaction_ref": "R3", "amount": "30", "note": ""}}
+    assert route_files(spark, f"file://{d}", "x").count() == 3
+
+
+def test_webhook_whole_objects_repeats_and_rejects(spark):
+    pretty = '{\n "transaction_ref": "A",\n "amount": "1"\n}'
+    df = spark.createDataFrame([("s", "t", pretty), ("s", "t", '{"transaction_ref":"B"}'), ("s", "t", '{"transaction_ref":"B"}'),
+                                ("s", "t", '[{"transaction_ref":"C"},'), ("s", "t", ""), ("s", "t", None)],
+                               "source_system string, trace_id string, body string")
+    rows = explode_bodies(df).collect()
+    assert sorted(r.transaction_ref for r in rows) == ["A", "B", "B"]
+    assert len({r.idempotency_key for r in rows}) == 3
+    assert [r.body for r in rejected_bodies(df).collect()] == ['[{"transaction_ref":"C"},']
+
+
 def test_webhook_bodies(spark):
     df = spark.createDataFrame([
         ("s", "t1", '[{"transaction_ref":"A"},{"transaction_ref":"B"}]'),
