@@ -1,7 +1,9 @@
 """Versioned snapshot tables on a shared file system.
 
-Each table is ``<path>/v=<N>/`` parquet plus a ``_LATEST`` marker written last;
-an update reads v=N and writes v=N+1 (a plan never overwrites its own input).
+Each table is ``<path>/v=<N>/`` parquet; a version counts once its own marker
+file ``_done/<N>,<batch>`` exists, which is created last and never rewritten, so
+a crash at any point leaves the last whole version in place. An update reads v=N
+and writes v=N+1 (a plan never overwrites its own input).
 The micro-batch id is kept with the version, so a replayed ``foreachBatch``
 that already committed is a no-op. Paths go through Hadoop's FileSystem, so
 the same code works on HDFS/S3-style storage named by the cluster.
@@ -13,35 +15,34 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 class SnapshotTable:
-    def __init__(self, spark: SparkSession, path: str, bucket_by_ref: int | None = None):
+    def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
-        self.bucket_by_ref = bucket_by_ref
         jvm = spark._jvm
         self._jpath = jvm.org.apache.hadoop.fs.Path(self.path)
         self._fs = self._jpath.getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _marker(self):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(self.path + "/_LATEST")
+    def _marker(self, name: str = ""):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_done/{name}".rstrip("/"))
 
     def latest(self) -> tuple[int, int | None] | None:
-        """(version, batch_id) of the committed snapshot, or None."""
-        m = self._marker()
-        if not self._fs.exists(m):
+        """(version, batch_id) of the committed snapshot, or None. The marker's
+        name says it all, so a marker that exists is whole."""
+        return max(self._done(), default=None, key=lambda d: d[0])
+
+    def _done(self) -> list[tuple[int, int | None]]:
+        if not self._fs.exists(self._marker()):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._marker())]
+        pairs = [n.split(",") for n in names if n.count(",") == 1]
+        return [(int(v), int(b) if b != "None" else None) for v, b in pairs]
+
+    def read(self, before: int | None = None) -> DataFrame | None:
+        """The committed snapshot; ``before`` leaves out those of that batch and later."""
+        done = [d for d in self._done() if before is None or d[1] is None or d[1] < before]
+        if not done:
             return None
-        stream = self._fs.open(m)
-        try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        v, b = (text.strip().split(",") + [""])[:2]
-        return int(v), (int(b) if b not in ("", "None") else None)
-
-    def read(self) -> DataFrame | None:
-        cur = self.latest()
-        if cur is None:
-            return None
-        return self.spark.read.parquet(f"{self.path}/v={cur[0]}")
+        return self.spark.read.parquet(f"{self.path}/v={max(d[0] for d in done)}")
 
     def committed(self, batch_id: int) -> bool:
         cur = self.latest()
@@ -52,9 +53,5 @@ class SnapshotTable:
         v = 0 if cur is None else cur[0] + 1
         target = f"{self.path}/v={v}"
         df.write.mode("overwrite").parquet(target)
-        out = self._fs.create(self._marker(), True)
-        try:
-            out.write(bytearray(f"{v},{batch_id}", "utf-8"))
-        finally:
-            out.close()
+        self._fs.create(self._marker(f"{v},{batch_id}"), True).close()
         return v

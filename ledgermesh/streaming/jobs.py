@@ -50,7 +50,7 @@ def stream_ingest(envelopes: DataFrame, out_dir: str, checkpoint_location: str,
 
     def batch(df: DataFrame, epoch_id: int):
         spark = df.sparkSession
-        as_of = as_of_fn(epoch_id) if as_of_fn else dt.datetime.utcnow()
+        as_of = as_of_fn(epoch_id) if as_of_fn else dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
         df = df.persist()
         existing = None
         if _exists(spark, records_dir):
@@ -73,8 +73,10 @@ def incremental_match(records_stream: DataFrame, records_table: str, store_dir:
                       rules: MatchRules, schedule: str = "available_now", as_of_fn=None,
                       backoff_secs: int = 30, reopen: bool = False, escalate_timed_out: bool = True):
     """STR-3. ``records_table`` is where the records stream is also appended
-    (the full record history the matcher reads); state, details and audit
-    are versioned snapshots under ``store_dir``.
+    (the full record history the matcher reads); state and details are
+    versioned snapshots under ``store_dir``, audit events and errors are added
+    there as ``epoch=<id>``. A batch that failed between two of these writes
+    and is replayed leaves what one run would have left.
 
     Each micro-batch runs the due refs: refs first seen in this batch plus
     PENDING refs whose back-off elapsed (read from the state, not from the
@@ -89,13 +91,14 @@ def incremental_match(records_stream: DataFrame, records_table: str, store_dir:
         if state_t.committed(epoch_id):
             return  # replayed micro-batch: its snapshot is already committed
         details_t = SnapshotTable(spark, f"{store_dir}/details")
-        audit_t = SnapshotTable(spark, f"{store_dir}/audit")
-        as_of = as_of_fn(epoch_id) if as_of_fn else dt.datetime.utcnow()
+        audit_dir = f"{store_dir}/audit"
+        as_of = as_of_fn(epoch_id) if as_of_fn else dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
         df.withColumn("epoch", F.lit(epoch_id)).write.mode("overwrite").parquet(f"{records_table}/epoch={epoch_id}")
         records = spark.read.parquet(records_table).drop("epoch")
         state = state_t.read() or S.empty_state(spark)
-        details = details_t.read() or S.empty_details(spark)
-        audit = audit_t.read() or A.empty_audit(spark)
+        # a version of this very batch is what a run that failed later left behind
+        details = details_t.read(before=epoch_id) or S.empty_details(spark)
+        audit = A.empty_audit(spark)  # events are appended, earlier ones are not read
         touched = df.select(REF).distinct()
         due = S.due_refs(records, state, as_of, backoff_secs, landed=df,
                          pending_timeout_secs=rules.pending_timeout_secs if escalate_timed_out else None)
@@ -104,7 +107,8 @@ def incremental_match(records_stream: DataFrame, records_table: str, store_dir:
         out = _run(t, state, refs, rules, as_of, f"epoch-{epoch_id}", seq=0, materialize=True,
                    stored_base=state_t.latest() is not None)
         details_t.write(out.tables.details, epoch_id)
-        audit_t.write(out.tables.audit, epoch_id)
+        out.audit_delta.write.mode("overwrite").parquet(f"{audit_dir}/epoch={epoch_id}")
+        out.errors.write.mode("overwrite").parquet(f"{store_dir}/errors/epoch={epoch_id}")
         state_t.write(out.tables.state, epoch_id)  # written last: it marks the batch committed
 
     return (records_stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint_location)

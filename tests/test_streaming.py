@@ -6,6 +6,7 @@ import datetime as dt
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF
@@ -55,6 +56,38 @@ def test_incremental_match_equals_batch_sequence(spark):
     assert any(v[2] < final_counts[k] for k, v in got.items())
 
 
+def test_replay_after_a_crash_before_the_state_write(spark, monkeypatch):
+    """The second run of a batch that failed before its commit leaves what one run leaves."""
+    d = tempfile.mkdtemp(prefix="lm-crash-")
+    recs = FX.f3_event_records(spark, SF)
+    recs.coalesce(1).write.parquet(f"{d}/in")
+    rules = MatchRules(strategy="tolerance", abs_tolerance="50.00", pending_timeout_secs=None)
+
+    def go():
+        stream = spark.readStream.schema(recs.schema).parquet(f"{d}/in")
+        q = incremental_match(stream, f"{d}/records", f"{d}/store", f"{d}/ckpt", rules, as_of_fn=lambda e: AS_OF)
+        q.awaitTermination(300)
+
+    write = SnapshotTable.write
+
+    def fail_on_state(self, df, batch_id=None):
+        if self.path.endswith("/state"):
+            raise RuntimeError("lost")
+        return write(self, df, batch_id)
+
+    monkeypatch.setattr(SnapshotTable, "write", fail_on_state)
+    with pytest.raises(Exception):
+        go()
+    monkeypatch.undo()
+    go()
+    n = recs.select("transaction_ref").distinct().count()
+    audit = spark.read.parquet(f"{d}/store/audit")
+    assert audit.count() == audit.select("transaction_ref").distinct().count() == n
+    details = SnapshotTable(spark, f"{d}/store/details").read()
+    assert details.count() == details.select("transaction_ref", "system_name").distinct().count() > 0
+    assert SnapshotTable(spark, f"{d}/store/state").read().count() == n
+
+
 def test_stream_ingest_writes_records_and_dlq(spark):
     d = tempfile.mkdtemp(prefix="lm-ing-")
     env = FX.f2_envelopes(spark, SF)
