@@ -7,10 +7,11 @@ nothing or a word break. Viterbi decoding under a character trigram model, whose
 counts are summed over all documents, picks the reading; a token with one
 reading is taken as it is. A letter run spelled with spaces is one token.
 
-The restored words are then scored by a logistic model over the words that mark
-toxic documents, both learned from at most ``sample_docs`` labelled documents
-(smallest hash of their id); the words are chosen by log odds over their
-standard error, in Spark.
+The restored words are then scored by a logistic model over log counts of the
+words and word starts (4 to 7 letters, so that a word's endings count together)
+that mark toxic documents, both learned from at most ``sample_docs`` labelled
+documents (smallest hash of their id), whatever their language; they are chosen
+by log odds over their standard error, in Spark.
 
 Edge cases: null or empty text has no words and scores as such; repeated rows
 score alike; without labels of both kinds every score is 0.5; an empty table
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from ledgermesh.llm.common import chunks, utf8
 from ledgermesh.llm.crf import held_out, labelled_sample
 
-SAMPLE_DOCS, THRESHOLD, VOCABULARY, LEAST_Z, LEAST_DOCS = 20_000, 0.5, 256, 4.0, 5
+SAMPLE_DOCS, THRESHOLD, VOCABULARY, LEAST_Z, LEAST_DOCS = 20_000, 0.5, 1024, 4.0, 5
+STARTS = (4, 5, 6, 7)
 _KEPT = 400_000
 
 #: Readings of look-alike symbols.
@@ -171,53 +173,75 @@ class Restorer:
 @dataclass
 class Model:
     language: np.ndarray
-    words: list[str]
+    pieces: list[str]
     weights: np.ndarray
     bias: float
 
     def restorer(self) -> Restorer:
-        return Restorer(self.language, frozenset(_PAIR.sub(r"\1", w) for w in self.words))
+        return Restorer(self.language, frozenset(_PAIR.sub(r"\1", w) for w in self.pieces if w[-1] != "*"))
 
 
-def _count_words(restorer: Restorer, place: dict[str, int], text: str) -> np.ndarray:
-    out = np.zeros(len(place))
-    for w in restorer.words(text):
-        k = place.get(w)
-        if k is not None:
-            out[k] += 1
-    return out
+def _pieces(word: str) -> list[str]:
+    """The word and its starts; no restored word holds a star."""
+    return [word, *(word[:n] + "*" for n in STARTS if n < len(word))]
 
 
-def _distinct_words(language: np.ndarray):
+class _Counter:
+    """Counts of the model's pieces in a text, with a bounded memory of words."""
+
+    def __init__(self, model: Model):
+        self.restorer, self.place, self.known = model.restorer(), {w: i for i, w in enumerate(model.pieces)}, {}
+
+    def count(self, text: str) -> np.ndarray:
+        place, known, out = self.place, self.known, np.zeros(len(self.place))
+        if len(known) > _KEPT:
+            known.clear()
+        for w in self.restorer.words(text):
+            at = known.get(w)
+            if at is None:
+                at = known[w] = tuple(place[p] for p in _pieces(w) if p in place)
+            for k in at:
+                out[k] += 1
+        return out
+
+
+def _distinct_pieces(language: np.ndarray):
     def run(batches):
         import pyarrow as pa
         restorer = Restorer(language)
         for batch in batches:
-            words = [sorted(set(restorer.words(t or ""))) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], ["label", "words"])
+            found = [sorted({p for w in set(restorer.words(t or "")) for p in _pieces(w)})
+                     for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], ["label", "pieces"])
     return run
 
 
 def _features(model: Model):
     def run(batches):
         import pyarrow as pa
-        restorer, place = model.restorer(), {w: i for i, w in enumerate(model.words)}
+        counter = _Counter(model)
         for batch in batches:
-            rows = [np.minimum(_count_words(restorer, place, t or ""), 255).astype(np.uint8).tobytes()
+            rows = [np.minimum(counter.count(t or ""), 255).astype(np.uint8).tobytes()
                     for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["label", "x"])
     return run
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Newton steps with a small ridge."""
-    x = np.column_stack([x, np.ones(len(x))])
-    ridge = np.full(x.shape[1], 0.3)
+    """Newton steps with a small ridge, over log counts; ``x`` holds counts and
+    is read in blocks of rows."""
+    k = x.shape[1] + 1
+    ridge = np.full(k, 0.3)
     ridge[-1] = 1e-3
-    w = np.zeros(x.shape[1])
+    w = np.zeros(k)
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (p - y) + ridge * w)
+        hessian, slope = np.diag(ridge), ridge * w
+        for i in range(0, len(x), 2000):
+            part = np.column_stack([np.log1p(x[i:i + 2000].astype(float)), np.ones(len(x[i:i + 2000]))])
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            hessian += (part * (p * (1 - p))[:, None]).T @ part
+            slope += part.T @ (p - y[i:i + 2000])
+        step = np.linalg.solve(hessian, slope)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -233,19 +257,19 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, vo
         if not sizes.get(0) or not sizes.get(1):
             return None
         n1, n0 = sizes[1], sizes[0]
-        odds = (sample.mapInArrow(_distinct_words(language), "label int, words array<string>")
-                .select("label", F.explode("words").alias("word")).groupBy("word")
+        odds = (sample.mapInArrow(_distinct_pieces(language), "label int, pieces array<string>")
+                .select("label", F.explode("pieces").alias("piece")).groupBy("piece")
                 .agg(F.sum("label").alias("a"), F.count("*").alias("n")).filter(F.col("a") >= LEAST_DOCS)
                 .withColumn("b", F.col("n") - F.col("a"))
                 .withColumn("z", (F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1)))
                             / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5)))
-                .filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(vocabulary))
-        model = Model(language, [r.word for r in odds.select("word").collect()], np.zeros(0), 0.0)
+                .filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "piece").limit(vocabulary))
+        model = Model(language, [r.piece for r in odds.select("piece").collect()], np.zeros(0), 0.0)
         rows = sample.mapInArrow(_features(model), "label int, x binary").collect()
     finally:
         sample.unpersist()
-    x = np.stack([np.frombuffer(r.x, np.uint8) for r in rows]).astype(float)
-    model.weights, model.bias = _logistic(np.log1p(x), np.array([r.label for r in rows], float))
+    x = np.stack([np.frombuffer(r.x, np.uint8) for r in rows])
+    model.weights, model.bias = _logistic(x, np.array([r.label for r in rows], float))
     return model
 
 
@@ -253,14 +277,14 @@ def _score(model: Model | None):
     def run(batches):
         import pyarrow as pa
         if model is not None:
-            restorer, place = model.restorer(), {w: i for i, w in enumerate(model.words)}
+            counter = _Counter(model)
         for batch in batches:
             n = batch.num_rows
             score = np.full(n, 0.5)
             if model is not None:
                 column = batch.column(1)
                 for i in range(n):
-                    x = _count_words(restorer, place, column[i].as_py() or "")
+                    x = counter.count(column[i].as_py() or "")
                     score[i] = 1 / (1 + np.exp(-np.clip(np.log1p(x) @ model.weights + model.bias, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["doc_id", "score"])
     return run

@@ -320,3 +320,20 @@ def test_toxicity(spark, docs, empty):
     assert len(scored) == docs.count() and all(0 <= r.score <= 1 for r in scored)
     assert deobfuscate.toxicity(docs, labels.limit(0)).first().score == 0.5
     assert deobfuscate.toxicity(empty, labels).count() == 0
+
+
+def test_toxic_words_with_many_endings(spark):
+    """No whole word is in five documents; their common start is in all."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(1000):
+        words, toxic = prose(rng, 40).split(), i % 5 == 0
+        if toxic:
+            for k in range(2):
+                words[rng.randrange(40)] = f"bomente{chr(97 + i // 5 % 26)}{chr(97 + i // 130)}{'xyz'[k]}"
+        rows.append((i, " ".join(words), int(toxic)))
+    got = deobfuscate.toxicity(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"),
+                               spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    got = {r.doc_id: r for r in got.collect() if r.held_out}
+    assert np.mean([got[i].predicted for i, _, y in rows if y and i in got]) > 0.9
+    assert np.mean([got[i].predicted for i, _, y in rows if not y and i in got]) < 0.05
