@@ -7,20 +7,21 @@
    tested against its bucket's hub. In buckets that still hold several
    components, shingles found in one class only are counted: they can't be
    shared, so ``s`` of a class's ``n`` shingles bound what any partner has in
-   common with it, and a class with ``s < 0.85 n`` has no link at all. The others
-   are compared with one pick, the member of the bucket's largest component
-   with the fewest such shingles, and finally with all members outside their own
-   component, where two bounds allow it: two classes share at most what each
-   shares with the pick, plus what each could share beside it. No pair that
-   shares a bucket is left untested unless its bound is too low or its ends are
-   connected already.
+   common with it, and a class with ``s`` below the threshold's part of ``n`` has
+   no link at all. The others are compared with one pick, the member of the
+   bucket's largest component with the fewest such shingles, and finally with all
+   members outside their own component, where two bounds allow it: two classes
+   share at most what each shares with the pick, plus what each could share beside
+   it. No pair that shares a bucket is left untested unless its bound is too low or
+   its ends are connected already.
 3. Signatures drop pairs far below the threshold (six standard deviations);
    every remaining pair is confirmed on the full sets.
 4. Components come from alternating large-star and small-star steps, each
    written to the shared folder.
 
-With 24 bands of 5 rows a pair at similarity 0.85 shares no bucket with
-probability 8e-7, one at 0.9 with 2e-10.
+Links start at similarity 0.8 unless a caller names another threshold (op10 has
+0.85). With 36 bands of 5 rows a pair at 0.8 shares no bucket with probability
+6e-7; with op10's 24 bands one at 0.85 with 8e-7, one at 0.9 with 2e-10.
 
 Edge cases: null or blank text has no shingles and is linked with nothing; a
 null id takes part, and a component's id is its smallest non-null doc_id (null
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from ledgermesh.llm.common import chunks, discard, staged, utf8
 from ledgermesh.llm.shingles import U, mix, shingle_hashes
 
-BANDS, ROWS = 24, 5
+BANDS, ROWS = 36, 5
 _SKETCH = "doc_id long, h long, n_shingles long, s1 long, s2 long, sig binary, bands array<long>"
 
 
@@ -186,7 +187,7 @@ def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
     return staged(known.join(joined, "comp", "left").select("node", F.coalesce("into", "comp").alias("comp")), "label")
 
 
-def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, bands: int = BANDS, rows: int = ROWS,
+def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, bands: int = BANDS, rows: int = ROWS,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, h, n_shingles, component_id, kept, leader``.
 

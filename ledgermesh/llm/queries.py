@@ -59,7 +59,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(load(spark, sf_dir, "documents")).select(
+    return minhash.near_duplicates(load(spark, sf_dir, "documents"), num=85, den=100, bands=24).select(
         "doc_id", "n_shingles", "component_id", "kept")
 
 

@@ -1,8 +1,11 @@
 """The corpus pipeline stage by stage on the smallest table."""
 
+import random
+
 import corpus_pipeline
 from ledgermesh.llm import crf, minhash, raking
 from ledgermesh.llm.common import load, staged
+from ledgermesh.llm.queries import op10_minhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,3 +27,21 @@ def test_stages(spark):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert {r.doc_id for r in last} == ids
     assert sum(r.n_tokens for r in last) == max(r.start + r.n_tokens for r in last)
+
+
+def test_near_copies_from_four_fifths_on_go(spark, tmp_path):
+    """Pairs of 100 shingles each whose last words differ: their similarity,
+    counted here, is 0.87, 0.80 to 0.82 or below 0.79. op10 keeps its 0.85."""
+    rng, rows, want, thin = random.Random(3), [], set(), set()
+    for k, other in enumerate([10, 11, 7, 11, 12, 13] * 4):
+        words = [f"w{rng.randrange(10 ** 9)}" for _ in range(104)]
+        near = [*words[:-other], *(f"v{rng.randrange(10 ** 9)}" for _ in range(other))]
+        a, b = ({tuple(t[i:i + 5]) for i in range(len(t) - 4)} for t in (words, near))
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(near))]
+        for least, kept in ((80, want), (85, thin)):
+            kept |= {2 * k} if 100 * len(a & b) >= least * len(a | b) else {2 * k, 2 * k + 1}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert (len(want), len(thin)) == (32, 44)
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()} == want
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id for r in op10_minhash(spark, str(tmp_path)).filter("kept").collect()} == thin
