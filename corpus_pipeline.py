@@ -3,7 +3,8 @@
 Each stage takes ``(spark, docs, sf_dir)``, works on everything the stage before
 it kept, and returns a DataFrame that is written as Parquet and read back as the
 next stage's ``docs``. All but the last keep the columns of ``documents``; the
-last returns one row per remaining document from the token files. Null ids and
+last returns one row per remaining document, and per copy that the mix made of
+it, from the token files. Null ids and
 texts, repeated rows and empty tables are treated as each operator's docstring
 says: blank text scores 0 for quality and goes, rows equal in id and text count
 as one document.
@@ -40,8 +41,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sample documents at rates raked to source, language and topic targets."""
-    return raking.mix_documents(docs)
+    """Sample documents at rates raked to source, language and topic targets;
+    documents of cells wanted more than once are repeated."""
+    return raking.mix_documents(docs, repeat=True)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

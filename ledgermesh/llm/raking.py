@@ -5,7 +5,9 @@ the cell weights in turn to the target share of every source, language and
 topic; after ``rounds`` rounds a cell's weight over its tokens is the rate at
 which its documents are wanted. A document is kept with probability
 ``keep * rate``, at most 1, decided by a hash of seed, id and text: the same
-document always gets the same draw, whatever the partitioning.
+document always gets the same draw, whatever the partitioning. Cut at 1, the shares
+miss their targets; with ``repeat`` a document of a cell wanted more than once is
+returned that many times on average, and the expected shares are the targets.
 
 Targets are given as shares per value, or as an exponent per margin: share
 proportional to tokens ** exponent (1: as observed, 0: all values equal).
@@ -80,14 +82,17 @@ def _placed(docs: DataFrame, seed: str) -> DataFrame:
     return docs.withColumns({"__topic": topic(F.col("text")), "__n": n_tokens(F.col("text")), "__u": _draw(seed)})
 
 
-def _chance(table: DataFrame, fitted: DataFrame, keep: float, names: dict[str, str]) -> DataFrame:
-    """``table`` with ``__p``, the probability per million of its cell."""
+def _chance(table: DataFrame, fitted: DataFrame, keep: float, names: dict[str, str],
+            repeat: bool = False) -> DataFrame:
+    """``table`` with ``__p``, the probability per million of its cell; with
+    ``repeat`` its copies per million, which can be over a million."""
     cells = fitted.select(*[F.col(k).alias(f"__c{i}") for i, k in enumerate(names)], F.col("rate").alias("__rate"))
     same = None
     for i, column in enumerate(names.values()):
         part = F.col(column).eqNullSafe(F.col(f"__c{i}"))
         same = part if same is None else same & part
-    p = F.least(F.lit(1.0), F.coalesce("__rate", F.lit(0.0)) * keep)
+    p = F.coalesce("__rate", F.lit(0.0)) * keep
+    p = p if repeat else F.least(F.lit(1.0), p)
     return table.join(cells, same, "left").withColumn("__p", F.floor(p * 1_000_000 + 0.5))
 
 
@@ -104,14 +109,18 @@ def sample(docs: DataFrame, exponents: dict[str, float] | None = None, rounds: i
 
 
 def mix_documents(docs: DataFrame, exponents: dict[str, float] | None = None, rounds: int = ROUNDS,
-                  keep: float = KEEP, seed: str = SEED) -> DataFrame:
-    """The sampled rows of ``docs``; columns stay as they are."""
+                  keep: float = KEEP, seed: str = SEED, repeat: bool = False) -> DataFrame:
+    """The sampled rows of ``docs``; columns stay as they are. With ``repeat`` a row
+    comes once for each whole million of ``__p`` and the rest decides on one more."""
     exponents = exponents or EXPONENTS
     names = {k: "__topic" if k == "topic" else k for k in exponents}
     placed = _placed(docs, seed)
     cells = placed.groupBy(*[F.col(v).alias(k) for k, v in names.items()]).agg(F.sum("__n").alias("tokens"))
-    out = _chance(placed, rates(cells, exponents, rounds), keep, names)
-    return out.filter(F.col("__u") < F.col("__p")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = _chance(placed, rates(cells, exponents, rounds), keep, names, repeat).filter(F.col("__u") < F.col("__p"))
+    if repeat:  # the number of v in 0, 1, ... with u + v million < p
+        out = out.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.floor(
+            (F.col("__p") - F.col("__u") - 1) / 1_000_000).cast("int"))))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def oracle(exponents: dict[str, float] | None = None, rounds: int = ROUNDS, keep: float = KEEP, seed: str = SEED) -> str:

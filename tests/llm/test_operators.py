@@ -167,6 +167,28 @@ def test_raking_meets_the_margins(spark, docs, empty):
     assert raking.sample(empty).count() == 0
 
 
+def test_margins_of_the_pipelines_mix(spark):
+    """The rows the stage returns have the target shares, though one source is hot
+    and some cells are wanted several times over."""
+    import corpus_pipeline
+    rng = random.Random(8)
+    rows = []
+    for i in range(3000):
+        source = rng.choice(["hot"] * 27 + ["a", "b", None])
+        extra = rng.choice([""] * 30 + [" ann@mail.org", " 12345678"])
+        rows.append((i, "word " * rng.randint(20, 60) + extra, rng.choice(["en"] * 8 + ["de", "fr"]), source))
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    every = raking.sample(table).toPandas()
+    times = collections.Counter(r.doc_id for r in corpus_pipeline.mix(spark, table, "").collect())
+    assert set(times) == set(every.doc_id[every.kept]) and max(times.values()) > 1
+    every["got"] = every.n_tokens * every.doc_id.map(lambda k: times[k])
+    assert abs(every.got.sum() / every.n_tokens.sum() - raking.KEEP) < 0.03
+    for name, power in raking.EXPONENTS.items():
+        by = every.groupby(name, dropna=False)
+        goal = by.n_tokens.sum() ** power
+        assert np.allclose(by.got.sum() / every.got.sum(), goal / goal.sum(), rtol=0.1), name
+
+
 def test_repeats(docs, rows, empty):
     seen = collections.Counter()
     blobs = [(r[1] or "").encode() for r in rows]
