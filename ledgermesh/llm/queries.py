@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgermesh.llm import adsampling, crf, decontam, deobfuscate, minhash, ownership, pseudonyms, raking, rans, repeats
+from ledgermesh.llm import (adsampling, bundles, crf, decontam, deobfuscate, laesa, minhash, negatives, ownership,
+                            pseudonyms, raking, rans, repeats)
 from ledgermesh.llm.common import load
 
 #: Key of the registered query; a real run passes a secret of its own.
@@ -63,6 +64,20 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, relabelled)
+
+
+def op12_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bundles.archive(load(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_pivot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return laesa.cluster(load(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_rans_tokens": op1_rans_tokens,
     "op2_line_quality": op2_line_quality,
@@ -74,11 +89,17 @@ QUERIES = {
     "op8_raked_mix": op8_raked_mix,
     "op9_decontaminate": op9_decontaminate,
     "op10_minhash": op10_minhash,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_warc_bundles": op12_warc_bundles,
+    "op13_pivot_clusters": op13_pivot_clusters,
 }
 
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), {ASCII}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 ORACLE = {
+    "op11_hard_negatives": negatives.oracle(),
+    "op12_warc_bundles": bundles.oracle(),
+    "op13_pivot_clusters": laesa.oracle(),
     "op3_secret_owners": ownership.oracle(),
     "op8_raked_mix": raking.oracle(),
     "op9_decontaminate": f"""
