@@ -1,10 +1,10 @@
 """Reconciliation state (T4), match details (T5), due work and status
 propagation (STA-1/2, SNK-3/4, JN-1/4/5, LM-1, STR-4).
 
-State tables are immutable snapshots: an update reads snapshot N and returns
-snapshot N+1 as a DataFrame (``plans.store`` writes it). All joins are
-equi-joins on ``transaction_ref``; store snapshots bucketed by ref and the
-upsert joins do not shuffle the base.
+State tables are immutable snapshots: an update reads one and returns the next
+as a DataFrame. ``plans.store`` keeps them in hash buckets of the ref, so an
+update reads and rewrites only the buckets that its refs fall into. All joins
+are equi-joins on ``transaction_ref``.
 """
 
 from __future__ import annotations
@@ -156,7 +156,7 @@ def mark_resolved(state: DataFrame, refs: DataFrame, as_of, parity: bool = False
 
 def due_refs(records: DataFrame, state: DataFrame, as_of, backoff_secs: int = 30,
              limit: int | None = None, pending_timeout_secs: int | None = None,
-             landed: DataFrame | None = None) -> DataFrame:
+             landed: DataFrame | None = None, waiting: DataFrame | None = None) -> DataFrame:
     """JN-1 / LM-1: refs needing a match run.
 
     Never processed, or PENDING with retries left whose last run is older than
@@ -168,7 +168,9 @@ def due_refs(records: DataFrame, state: DataFrame, as_of, backoff_secs: int = 30
     ``landed`` (the records that arrived in storage since the previous run,
     whatever their time stamps say) makes the run incremental: never-processed
     refs can only be among them, and all others come from the state, so a run
-    does not aggregate the whole record history. The result is the same.
+    does not aggregate the whole record history. ``waiting`` (refs whose timeout
+    may have passed, from ``operators.due``) spares the scan of the record
+    history for old PENDING refs. The result is the same.
     """
     cutoff = as_ts(as_of) - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(int(backoff_secs)))
     retry = ((F.col("status") == PENDING) & (F.col("retry_count") < F.col("max_retries"))
@@ -177,7 +179,9 @@ def due_refs(records: DataFrame, state: DataFrame, as_of, backoff_secs: int = 30
     out = fresh.unionByName(state.filter(retry).select(REF))
     if pending_timeout_secs is not None:
         limit_ts = as_ts(as_of) - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(int(pending_timeout_secs)))
-        old = (records.filter(F.col("server_received_at") <= limit_ts).select(REF).distinct()
+        if waiting is None:
+            waiting = records.filter(F.col("server_received_at") <= limit_ts)
+        old = (waiting.select(REF).distinct()
                .join(state.filter(F.col("status") == PENDING).select(REF), REF, "left_semi"))
         out = out.unionByName(old)
     out = out.distinct() if pending_timeout_secs is not None else out

@@ -70,6 +70,13 @@ def _run(t: ReconTables, state_before: DataFrame, refs: DataFrame, rules: MatchR
     rec = reconcile(t.records, rules, as_of, refs=refs)
     if materialize:
         rec = Reconciliation(rec.refs.checkpoint(), rec.rules, rec.as_of)
+    return apply_decisions(t, state_before, rec, bid, seq, stored_base)
+
+
+def apply_decisions(t: ReconTables, state_before: DataFrame, rec: Reconciliation, bid: str, seq: int = 0,
+                    stored_base: bool = False) -> BatchOutcome:
+    """State, details, audit and record statuses after the decisions of ``rec``."""
+    rules, as_of = rec.rules, rec.as_of
     delta = rec.state_delta()
     state2 = S.upsert_state(state_before, delta, as_of, rules.max_retries, stored_base=stored_base)
     details2 = S.upsert_details(t.details, rec.details())

@@ -1,153 +1,175 @@
 """STR-2: per-ref stateful stream matching with a pending-timeout timer.
 
-``applyInPandasWithState`` keyed by ``transaction_ref`` keeps, per ref, the
-latest record of each source (so the state is bounded by the number of source
-systems) plus the record count and first arrival. Whenever a ref receives
-records, or its event-time timer (first arrival + pending timeout) fires
-after the watermark passes it, the operator emits the ref's current
-per-source rows. The decision itself is not made in Python: ``foreachBatch``
-runs the same ``group_records`` + ``decide`` plan as the batch engine over the
-emitted rows and upserts the state snapshot. Unlike the polling engine, a ref
-is re-decided on every arrival.
+``transformWithState`` keyed by ``transaction_ref`` keeps, per ref, a map of the
+latest record of each source (bounded by the number of source systems), the
+first arrival, and whether the ref is closed. When a ref receives records, or
+when its event-time timer (first arrival + pending timeout) fires, the
+operator emits the ref's current per-source rows. The decision itself is not
+made in Python: ``foreachBatch`` runs the same ``decide`` plan as the batch
+engine over the emitted rows and updates the touched buckets of state and
+details, the audit events and the errors. Unlike the polling engine, a ref is
+re-decided on every arrival.
+
+An open ref keeps its sources until it is decided by its timer, however late its
+next record comes; the watermark moves timers only and drops no record. A closed
+ref keeps one flag, so that later records are ignored (D9) and never start from
+nothing. State lives in RocksDB on the executors, checkpointed to the shared
+checkpoint location.
 """
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
-from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampNTZType
+from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ledgermesh.config import MatchRules
 from ledgermesh.functions.amounts import AMOUNT_SQL
-from ledgermesh.operators import state as S
+from ledgermesh.operators import audit as A
 from ledgermesh.operators.matching import REF, Reconciliation, canonical_records, decide
-from ledgermesh.plans.store import SnapshotTable
-
-EMIT_SCHEMA = StructType([
-    StructField(REF, StringType()), StructField("source_system", StringType()),
-    StructField("internal_id", StringType()), StructField("amount", StringType()),
-    StructField("currency", StringType()), StructField("server_received_at", TimestampNTZType()),
-    StructField("amount_text", StringType()), StructField("n_records", LongType()),
-    StructField("first_seen_src", TimestampNTZType()), StructField("as_of", TimestampNTZType()),
-    StructField("trigger", StringType()),
-])
-STATE_SCHEMA = StructType([StructField("sources_json", StringType()), StructField("first_seen_ms", LongType()),
-                           StructField("closed", LongType())])
+from ledgermesh.plans.batch import ReconTables, apply_decisions
+from ledgermesh.plans.store import buckets_of
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+SOURCE = "internal_id string, amount string, currency string, amount_text string, at long, first long, n long"
+EMIT = f"transaction_ref string, source_system string, {SOURCE}, as_of long, timed_out boolean"
+Emitted = Row(*[c.split()[0] for c in EMIT.split(", ")])
+
+
+def start_stateful(writer):
+    """Start a query with RocksDB state, leaving the session's setting as it was."""
+    conf = writer._spark.conf
+    before = conf.get(PROVIDER, None)
+    conf.set(PROVIDER, ROCKSDB)
+    try:
+        return writer.start()
+    finally:
+        conf.set(PROVIDER, before) if before else conf.unset(PROVIDER)
+
+
+class LatestBySource(StatefulProcessor):
+    """Times are microseconds; ``timeout`` too, or None for no timer."""
+
+    def __init__(self, timeout: int | None):
+        self.timeout = timeout
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sources = handle.getMapState("sources", "source_system string", SOURCE)
+        self.first = handle.getValueState("first", "first long")
+        self.closed = handle.getValueState("closed", "closed boolean")
+
+    def _emit(self, ref: str, as_of: int | None):
+        rows = [(k[0], *v) for k, v in self.sources.iterator()]
+        now = max(r[5] for r in rows) if as_of is None else as_of
+        return [Emitted(ref, *r, now, as_of is not None) for r in rows]
+
+    def _close(self, ref: str, first: int):
+        out = self._emit(ref, first + self.timeout)
+        self.sources.clear()
+        self.first.clear()
+        self.closed.update((True,))
+        return out
+
+    def handleInputRows(self, key, rows, timerValues):
+        if self.closed.exists():
+            return  # decided by the timer: later records are ignored (D9)
+        rows = list(rows)  # a ref's records in one micro-batch, which the source's options bound
+        before = self.first.get()[0] if self.first.exists() else None
+        first = min([r.at for r in rows] + ([] if before is None else [before]))
+        if self.timeout is not None:
+            rows = [r for r in rows if r.at <= first + self.timeout]  # the ref is closed from then on
+        new: dict[str, tuple] = {}
+        for r in rows:
+            old = new.get(r.source_system)
+            if old is None and self.sources.containsKey((r.source_system,)):
+                old = tuple(self.sources.getValue((r.source_system,)))
+            own = (r.internal_id, r.amount, r.currency, r.amount_text, r.at, r.at, 1)
+            if old is not None:  # a source's latest record; times and ids order them
+                last = own if (r.at, r.internal_id) > (old[4], old[0]) else old
+                own = (*last[:5], min(r.at, old[5]), old[6] + 1)
+            new[r.source_system] = own
+        for source, value in new.items():
+            self.sources.updateValue((source,), value)
+        if first != before:
+            self.first.update((first,))
+        if self.timeout is not None:
+            due = -(-(first + self.timeout) // 1000)  # timers are in milliseconds
+            if due <= timerValues.getCurrentWatermarkInMs():
+                yield from self._close(key[0], first)  # late records of a ref already past its timeout
+                return
+            if first != before:
+                if before is not None:
+                    self.handle.deleteTimer(-(-(before + self.timeout) // 1000))
+                self.handle.registerTimer(due)
+        if rows:
+            yield from self._emit(key[0], None)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if not self.closed.exists() and self.first.exists():
+            yield from self._close(key[0], self.first.get()[0])
 
-def _ms(ts) -> int:
-    return int(pd.Timestamp(ts).value // 1_000_000)
+    def close(self) -> None:
+        pass
 
 
 def latest_by_source_state(records: DataFrame, pending_timeout_secs: int | None,
-                           watermark_delay: str = "10 minutes",
-                           retention_secs: int = 90 * 24 * 3600) -> DataFrame:
-    """The stateful step: emits each touched or timed-out ref's per-source rows.
-
-    Timer = first arrival + pending timeout. When it fires the ref is emitted
-    once more (decided as of the timer) and closed: later records are ignored
-    (D9). Closed refs, and open refs after ``retention_secs``, are evicted when
-    the watermark passes their eviction time, so the state store does not grow
-    with the whole history of refs.
-    """
-    rec = canonical_records(records).withColumn("amount", F.col("amount").cast("string"))
-    rec = rec.withColumn("_event_ts", F.col("server_received_at").cast("timestamp")) \
-             .withWatermark("_event_ts", watermark_delay)
-    timeout_ms = None if pending_timeout_secs is None else int(pending_timeout_secs) * 1000
-    retention_ms = int(retention_secs) * 1000
-    cols = [f.name for f in EMIT_SCHEMA.fields]
-
-    def emit(ref, sources, as_of_ms, trigger):
-        as_of = pd.Timestamp(as_of_ms, unit="ms")
-        rows = [{REF: ref, "source_system": src, "internal_id": v["id"], "amount": v["amount"],
-                 "currency": v["currency"], "server_received_at": pd.Timestamp(v["ts"], unit="ms"),
-                 "amount_text": v["text"], "n_records": v["n"],
-                 "first_seen_src": pd.Timestamp(v["first"], unit="ms"), "as_of": as_of, "trigger": trigger}
-                for src, v in sources.items()]
-        return pd.DataFrame(rows, columns=cols)
-
-    def wm_floor(state):
-        return int(state.getCurrentWatermarkMs()) + 1
-
-    def step(key, pdfs, state):
-        ref = key[0]
-        if state.hasTimedOut:
-            sources_json, first_ms, closed = state.get
-            if closed or timeout_ms is None:
-                state.remove()  # eviction
-                return
-            sources = json.loads(sources_json)
-            state.update((sources_json, first_ms, 1))
-            state.setTimeoutTimestamp(max(int(first_ms) + timeout_ms + retention_ms, wm_floor(state)))
-            yield emit(ref, sources, first_ms + timeout_ms, "timeout")
-            return
-        if state.exists and state.get[2]:
-            return  # decided by the timer: later records are ignored (D9)
-        sources, first_ms = ({}, None) if not state.exists else (json.loads(state.get[0]), state.get[1])
-        pdf = pd.concat(list(pdfs), ignore_index=True)
-        for r in pdf.itertuples(index=False):
-            ts = _ms(r.server_received_at)
-            cur = sources.get(r.source_system)
-            n = (cur["n"] if cur else 0) + 1
-            first_src = min(ts, cur["first"]) if cur else ts
-            if cur is None or (ts, r.internal_id) > (cur["ts"], cur["id"]):
-                cur = {"ts": ts, "id": r.internal_id, "amount": r.amount, "currency": r.currency,
-                       "text": r.amount_text}
-            cur.update(n=n, first=first_src)
-            sources[r.source_system] = cur
-            first_ms = ts if first_ms is None else min(first_ms, ts)
-        if timeout_ms is not None and int(first_ms) + timeout_ms < wm_floor(state):
-            # the timer is already overdue (late records): escalate as of the timer
-            state.update((json.dumps(sources), int(first_ms), 1))
-            state.setTimeoutTimestamp(max(int(first_ms) + timeout_ms + retention_ms, wm_floor(state)))
-            yield emit(ref, sources, int(first_ms) + timeout_ms, "timeout")
-            return
-        state.update((json.dumps(sources), int(first_ms), 0))
-        state.setTimeoutTimestamp(max(int(first_ms) + (timeout_ms if timeout_ms is not None else retention_ms),
-                                      wm_floor(state)))
-        yield emit(ref, sources, max(v["ts"] for v in sources.values()), "arrival")
-
-    return rec.groupBy(REF).applyInPandasWithState(
-        step, EMIT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def decide_emitted(rows: DataFrame, rules: MatchRules) -> Reconciliation:
-    """Group the emitted per-source rows per ref and decide them as of each
-    ref's emission time (arrival or timer)."""
-    elem = F.struct(F.col("server_received_at").alias("ts"), F.col("source_system").alias("source_system"),
-                    "internal_id", F.col("amount").cast(AMOUNT_SQL).alias("amount"), "currency", "amount_text")
-    grouped = rows.groupBy(REF).agg(F.array_sort(F.collect_list(elem)).alias("recs"),
-                                    F.sum("n_records").alias("record_count"),
-                                    F.min("first_seen_src").alias("first_seen_at"),
-                                    F.max("as_of").alias("as_of"))
-    return Reconciliation(decide(grouped, rules, F.col("as_of")), rules, F.col("as_of"))
+                           watermark_delay: str = "10 minutes") -> DataFrame:
+    """The stateful step: the per-source rows of each ref that received records
+    or timed out."""
+    rec = canonical_records(records).withColumn("_event", F.col("server_received_at").cast("timestamp"))
+    rec = rec.withWatermark("_event", watermark_delay).select(
+        # without the event-time column: Spark must not drop late records here
+        REF, "source_system", "internal_id", F.col("amount").cast("string").alias("amount"), "currency", "amount_text",
+        F.unix_micros("_event").alias("at"))
+    timeout = None if pending_timeout_secs is None else int(pending_timeout_secs) * 1_000_000
+    return rec.groupBy(REF).transformWithState(LatestBySource(timeout), EMIT, "Append", "EventTime")
+
+
+def decide_emitted(rows: DataFrame, rules: MatchRules, run_time) -> Reconciliation:
+    """Decide each emitted ref once, by its last emission of the batch (its
+    timer's, if that fired), as of that emission."""
+    at = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
+    last = rows.groupBy(REF).agg(F.max(F.struct("timed_out", "as_of")).alias("last"))
+    rows = rows.join(last, REF).filter((F.col("timed_out") == F.col("last.timed_out")) & (F.col("as_of") == F.col("last.as_of")))
+    elem = F.struct(at("at").alias("ts"), F.col("source_system").alias("source_system"), "internal_id",
+                    F.col("amount").cast(AMOUNT_SQL).alias("amount"), "currency", "amount_text")
+    grouped = rows.groupBy(REF).agg(F.array_sort(F.collect_list(elem)).alias("recs"),  # one per source
+                                    F.sum("n").alias("record_count"), at(F.min("first")).alias("first_seen_at"),
+                                    at(F.max("as_of")).alias("as_of"))
+    return Reconciliation(decide(grouped, rules, F.col("as_of")), rules, run_time)
 
 
 def stream_match(records_stream: DataFrame, store_dir: str, checkpoint_location: str, rules: MatchRules,
-                 schedule: str = "available_now", watermark_delay: str = "10 minutes"):
-    """STR-2 end to end: stateful emission + set-based decision per micro-batch,
-    upserted into the ``state`` snapshot under ``store_dir``."""
-    from ledgermesh.streaming.jobs import trigger_options
+                 schedule: str = "available_now", watermark_delay: str = "10 minutes", buckets: int = 64):
+    """STR-2 end to end: stateful emission, a set-based decision per micro-batch,
+    and the touched buckets of state and details, audit events and errors under
+    ``store_dir`` (``jobs.EngineTables``). A batch's run time is the latest time
+    of its emissions."""
+    from ledgermesh.streaming.jobs import EngineTables, trigger_options
     emitted = latest_by_source_state(records_stream, rules.pending_timeout_secs, watermark_delay)
 
     def batch(df: DataFrame, epoch_id: int):
-        spark = df.sparkSession
-        state_t = SnapshotTable(spark, f"{store_dir}/state")
-        if state_t.committed(epoch_id):
-            return
-        df = df.persist()
-        run_time = df.agg(F.max("as_of")).first()[0]  # one scalar: the batch's decision time
-        if run_time is None:
-            df.unpersist()
-            return
-        rec = decide_emitted(df, rules)
-        delta = rec.refs.filter(F.col("gate") != "error")
-        base = state_t.read() or S.empty_state(spark)
-        state_t.write(S.upsert_state(base, delta, run_time, rules.max_retries, stored_base=True), epoch_id)
+        t = EngineTables(df.sparkSession, store_dir, buckets)
+        if t.state.done(epoch_id):
+            return  # replayed micro-batch: it had come to its end
+        df = df.persist()  # the stateful operator must run once a batch
+        run_time = df.agg(F.timestamp_micros(F.max("as_of")).cast("timestamp_ntz")).first()[0]
+        if run_time is not None:
+            rec = decide_emitted(df, rules, run_time)
+            rec = Reconciliation(rec.refs.checkpoint(), rules, run_time)
+            bucket = t.state.bucket()
+            changed = buckets_of(rec.decisions(), bucket)
+            state, details = t.state.read(changed, epoch_id), t.details.read(changed, epoch_id)
+            out = apply_decisions(ReconTables(df, state, details, A.empty_audit(df.sparkSession)), state, rec,
+                                  f"epoch-{epoch_id}", stored_base=True)
+            t.details.write(out.tables.details, epoch_id)
+            out.audit_delta.write.mode("overwrite").parquet(f"{t.audit_dir}/epoch={epoch_id}")
+            out.errors.write.mode("overwrite").parquet(f"{t.errors_dir}/epoch={epoch_id}")
+            t.state.write(out.tables.state, epoch_id)  # written last: it marks the batch done
+            t.state.tidy()
+            t.details.tidy()
         df.unpersist()
 
-    return (emitted.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint_location)
-            .trigger(**trigger_options(schedule)).start())
+    return start_stateful(emitted.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint_location)
+                          .trigger(**trigger_options(schedule)))

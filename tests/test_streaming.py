@@ -13,126 +13,252 @@ from conftest import SF
 from ledgermesh.config import MatchRules
 from ledgermesh.operators.matching import reconcile
 from ledgermesh.plans import fixtures as FX
-from ledgermesh.plans.store import SnapshotTable
-from ledgermesh.streaming import incremental_match, stream_ingest
+from ledgermesh.operators.matching import REF
+from ledgermesh.plans.store import BucketTable
+from ledgermesh.streaming import IngestTables, incremental_match, stream_ingest
+from ledgermesh.streaming.jobs import EngineTables, records_with_status
 
 AS_OF = dt.datetime(2025, 1, 1)
 
 
-def test_incremental_match_equals_batch_sequence(spark):
-    """The stream over three time-ordered files gives exactly the state of
-    three batch runs over the cumulative records at the same times."""
-    from ledgermesh.plans.batch import ReconTables, reconcile_batch
-    d = tempfile.mkdtemp(prefix="lm-str-")
-    recs = FX.f3_event_records(spark, SF)
+def three_parts(spark, d):
+    """F3 in three files by time, with amounts that do not parse for some users of
+    the second and repaired ones in the third."""
+    recs = FX.f3_event_records(spark, SF).withColumn("amount", F.col("amount").cast("string"))
     cuts = [dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 20)]
-    ts = F.col("server_received_at")
-    parts = [recs.filter(ts < cuts[0]), recs.filter((ts >= cuts[0]) & (ts < cuts[1])), recs.filter(ts >= cuts[1])]
-    land = f"{d}/landing"
+    ts, user = F.col("server_received_at"), F.substring(REF, 3, 20).cast("int")
+    parts = [recs.filter((ts < cuts[0]) & (user % 3 > 0)),
+             recs.filter((ts >= cuts[0]) & (ts < cuts[1]) & (user % 3 > 0))
+             .withColumn("amount", F.when(user % 5 == 0, "12,50").otherwise(F.col("amount"))),
+             recs.filter((ts >= cuts[1]) | (user % 3 == 0))]
     for i, p in enumerate(parts):
-        p.coalesce(1).write.mode("overwrite").parquet(f"{land}/part{i}")
-    rules = MatchRules(strategy="tolerance", abs_tolerance="50.00", pending_timeout_secs=None)
+        p.coalesce(1).write.mode("overwrite").parquet(f"{d}/landing/part{i}")
+    return [spark.read.schema(recs.schema).parquet(f"{d}/landing/part{i}") for i in range(3)]
+
+
+STATE = ("status", "retry_count", "record_count", "matched_sources", "mismatched_sources", "last_processed_at",
+         "resolved_at", "created_at")
+DETAILS = ("system_name", "internal_id", "amount", "discrepancy_found", "discrepancy_details", "processed_at")
+AUDIT = ("event_type", "old_status", "new_status", "details", "created_at", "batch_id")
+
+
+def rows(df, columns):
+    return sorted((tuple(r[c] for c in (REF, *columns)) for r in df.collect()), key=str)
+
+
+@pytest.mark.parametrize("timeout", [None, 20 * 24 * 3600])
+def test_incremental_match_equals_batch_sequence(spark, timeout):
+    """The stream over three files gives exactly the state, details, audit and
+    record statuses of three batch runs over the cumulative records."""
+    from ledgermesh.plans.batch import ReconTables, reconcile_batch
+    d = tempfile.mkdtemp(prefix="lm-str-")
+    parts = three_parts(spark, d)
+    expected = ("click", "purchase") if timeout else ()
+    rules = MatchRules(strategy="tolerance", abs_tolerance="50.00", expected_sources=expected, pending_timeout_secs=timeout)
 
     def as_of(epoch):
-        return AS_OF + dt.timedelta(hours=epoch)
+        return dt.datetime(2024, 1, 20) + dt.timedelta(days=epoch * 6)
 
-    stream = spark.readStream.schema(recs.schema).option("maxFilesPerTrigger", 1).parquet(f"{land}/*")
-    q = incremental_match(stream, f"{d}/records", f"{d}/store", f"{d}/ckpt", rules, as_of_fn=as_of)
+    stream = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/landing/*")
+    q = incremental_match(stream, f"{d}/records", f"{d}/store", f"{d}/ckpt", rules, as_of_fn=as_of, buckets=8)
     q.awaitTermination(600)
-    got = {r.transaction_ref: (r.status, r.retry_count, r.record_count)
-           for r in SnapshotTable(spark, f"{d}/store/state").read().collect()}
+    store = EngineTables(spark, f"{d}/store", 8)
 
-    t = ReconTables.fresh(spark, parts[0])
-    cumulative = parts[0]
+    t = ReconTables.fresh(spark, parts[0].withColumn("status", F.lit("PENDING")))
     for i in range(3):
         if i:
-            cumulative = cumulative.unionByName(parts[i])
-            t = ReconTables(cumulative, t.state, t.details, t.audit)
-        t = reconcile_batch(t, rules, as_of(i), materialize=True).tables
-    want = {r.transaction_ref: (r.status, r.retry_count, r.record_count) for r in t.state.collect()}
-    assert got == want and len(got) > 0
-    # decided refs kept their early decision (D9): their record_count is below the final count
-    final_counts = {r.transaction_ref: r.n for r in recs.groupBy("transaction_ref").agg(F.count("*").alias("n")).collect()}
-    assert any(v[2] < final_counts[k] for k, v in got.items())
-
-
-def test_replay_after_a_crash_before_the_state_write(spark, monkeypatch):
-    """The second run of a batch that failed before its commit leaves what one run leaves."""
-    d = tempfile.mkdtemp(prefix="lm-crash-")
+            more = t.records.unionByName(parts[i].withColumn("status", F.lit("PENDING"))).checkpoint()
+            t = ReconTables(more, t.state, t.details, t.audit)
+        t = reconcile_batch(t, rules, as_of(i), materialize=True, batch_id=f"epoch-{i}").tables
+        t = ReconTables(*[x.checkpoint() for x in (t.records, t.state, t.details, t.audit)])
+    assert rows(store.state.read(), STATE) == rows(t.state, STATE) != []
+    assert rows(store.details.read(), DETAILS) == rows(t.details, DETAILS) != []
+    assert rows(store.audit(), AUDIT) == rows(t.audit, AUDIT)
+    stored = records_with_status(store, store.records(f"{d}/records", ", ".join(
+        f"{f.name} {f.dataType.simpleString()}" for f in parts[0].schema)))
+    statuses = rows(stored, ("internal_id", "status"))
+    assert statuses == rows(t.records, ("internal_id", "status")) and {s for *_, s in statuses} > {"PENDING"}
+    if timeout is None:  # decided refs kept their early decision (D9): their record_count is below the final count
+        final = {r[REF]: r.n for r in t.records.groupBy(REF).agg(F.count("*").alias("n")).collect()}
+        assert any(r[3] < final[r[0]] for r in rows(store.state.read(), STATE))
+    else:  # the calendar kept only slots that may still be due
+        assert any(r[1] == "MISMATCHED" for r in rows(store.state.read(), STATE))
+        assert all(slot >= int(as_of(2).timestamp()) // 3600 for e, slot in store.due.parts(before=2))
+
+
+def test_a_batch_reads_and_writes_the_buckets_of_its_refs(spark):
+    d = tempfile.mkdtemp(prefix="lm-bk-")
     recs = FX.f3_event_records(spark, SF)
-    recs.coalesce(1).write.parquet(f"{d}/in")
+    recs.coalesce(1).write.parquet(f"{d}/in/p0")
+    bucket = EngineTables(spark, f"{d}/store").state.bucket()
+    used = sorted(r[0] for r in recs.select(bucket).distinct().collect())
+    one, two, three = used[:3]
+    few = recs.filter(bucket.isin(one, two)).withColumn("internal_id", F.concat("internal_id", F.lit("-late")))
+    few = few.unionByName(recs.filter(bucket == three).withColumn(REF, F.lit("new ref")))
+    few.coalesce(1).write.parquet(f"{d}/in/p1")
+    new = few.filter(F.col(REF) == "new ref").select(bucket).first()[0]
     rules = MatchRules(strategy="tolerance", abs_tolerance="50.00", pending_timeout_secs=None)
+    seen = []
 
     def go():
-        stream = spark.readStream.schema(recs.schema).parquet(f"{d}/in")
-        q = incremental_match(stream, f"{d}/records", f"{d}/store", f"{d}/ckpt", rules, as_of_fn=lambda e: AS_OF)
+        stream = spark.readStream.schema(recs.schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/in/*")
+        incremental_match(stream, f"{d}/records", f"{d}/store", f"{d}/ckpt", rules, as_of_fn=lambda e: AS_OF,
+                          on_batch=lambda *x: seen.append(x)).awaitTermination(300)
+
+    go()
+    store = EngineTables(spark, f"{d}/store")
+    assert seen[0] == (0, used, used) and len(used) > 3
+    # late records of decided refs touch their buckets; only the new ref's is written
+    assert seen[1] == (1, sorted({one, two, new}), [new])
+    assert {x for x in store.state.parts() if x[0] == 1} == {(1, new)} == {x for x in store.details.parts() if x[0] == 1}
+    files = store.state.read([one, two]).inputFiles()
+    assert files and all(f"bucket={one}/" in f or f"bucket={two}/" in f for f in files)
+    with pytest.raises(ValueError):
+        EngineTables(spark, f"{d}/store", 32)
+
+
+@pytest.mark.parametrize("fails_at", ["details", "state"])
+def test_replay_after_a_crash(spark, monkeypatch, fails_at):
+    """The second run of a batch that failed before its end leaves what one run
+    leaves, also when a first batch had written the same buckets."""
+    d = tempfile.mkdtemp(prefix="lm-crash-")
+    recs = FX.f3_event_records(spark, SF)
+    early = F.col("server_received_at") < dt.datetime(2024, 1, 15)
+    recs.filter(early).coalesce(1).write.parquet(f"{d}/in/p0")
+    recs.filter(~early).coalesce(1).write.parquet(f"{d}/in/p1")
+    rules = MatchRules(strategy="tolerance", abs_tolerance="50.00", pending_timeout_secs=None)
+
+    def go(to):
+        stream = spark.readStream.schema(recs.schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/in/*")
+        q = incremental_match(stream, f"{d}/{to}/records", f"{d}/{to}/store", f"{d}/{to}/ckpt", rules,
+                              as_of_fn=lambda e: AS_OF + dt.timedelta(hours=e), reopen=True, buckets=8)
         q.awaitTermination(300)
 
-    write = SnapshotTable.write
+    write = BucketTable.write
 
-    def fail_on_state(self, df, batch_id=None):
-        if self.path.endswith("/state"):
+    def fail(self, df, epoch):
+        if f"/{fails_at}/" in self.path and epoch == 1:
+            if fails_at == "state":  # files of a lost attempt stay behind without Spark's _SUCCESS
+                write(self, df, epoch)
+                self._fs.delete(self._at("epoch=1/_SUCCESS"), False)
             raise RuntimeError("lost")
-        return write(self, df, batch_id)
+        write(self, df, epoch)
 
-    monkeypatch.setattr(SnapshotTable, "write", fail_on_state)
+    go("whole")
+    monkeypatch.setattr(BucketTable, "write", fail)
     with pytest.raises(Exception):
-        go()
+        go("crashed")
     monkeypatch.undo()
-    go()
-    n = recs.select("transaction_ref").distinct().count()
-    audit = spark.read.parquet(f"{d}/store/audit")
-    assert audit.count() == audit.select("transaction_ref").distinct().count() == n
-    details = SnapshotTable(spark, f"{d}/store/details").read()
-    assert details.count() == details.select("transaction_ref", "system_name").distinct().count() > 0
-    assert SnapshotTable(spark, f"{d}/store/state").read().count() == n
+    go("crashed")
+    whole, crashed = EngineTables(spark, f"{d}/whole/store", 8), EngineTables(spark, f"{d}/crashed/store", 8)
+    assert rows(crashed.state.read(), STATE) == rows(whole.state.read(), STATE) != []
+    assert rows(crashed.details.read(), DETAILS) == rows(whole.details.read(), DETAILS) != []
+    assert rows(crashed.audit(), AUDIT) == rows(whole.audit(), AUDIT)
 
 
-def test_stream_ingest_writes_records_and_dlq(spark):
+def land(df, path, condition=None):
+    (df if condition is None else df.filter(condition)).coalesce(1).write.parquet(path)
+
+
+def test_stream_ingest_equals_batch_labels(spark):
+    """Re-sends within and after the TTL, in later files and after a restart, get the
+    labels of one batch; records, DLQ and counters follow."""
+    from ledgermesh.operators import idempotency as IDM
     d = tempfile.mkdtemp(prefix="lm-ing-")
     env = FX.f2_envelopes(spark, SF)
-    env.coalesce(2).write.mode("overwrite").parquet(f"{d}/landing")
-    stream = spark.readStream.schema(env.schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/landing")
-    q = stream_ingest(stream, f"{d}/out", f"{d}/ckpt", as_of_fn=lambda e: AS_OF)
-    q.awaitTermination(600)
-    recs = spark.read.parquet(f"{d}/out/records")
-    dlq = spark.read.parquet(f"{d}/out/dlq")
-    assert recs.count() > 0 and dlq.count() > 0
-    assert recs.groupBy("idempotency_key").count().filter("count > 1").count() == 0
+    k = F.col("row_id") % 10
+    land(env, f"{d}/in/p0", (k == 0) | (F.col("row_id") % 38 == 1))  # some re-sends in the same file
+    land(env, f"{d}/in/p1", (k == 1) & (F.col("row_id") % 38 != 1))
+
+    def go(out):
+        stream = spark.readStream.schema(env.schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/in/*")
+        q = stream_ingest(stream, out, f"{d}/ckpt", as_of=AS_OF)
+        q.awaitTermination(600)
+        return q
+
+    q = go(f"{d}/out")
+    land(env, f"{d}/in/p2", k == 2)
+    after = go(f"{d}/after")  # a restart; the records of the first run are elsewhere
+    assert [s["description"].startswith("FileStreamSource") for s in after.lastProgress["sources"]] == [True]
+    one, two = IngestTables(spark, f"{d}/out"), IngestTables(spark, f"{d}/after")
+    lab = IDM.ingest_batch(env, AS_OF, checkpoint=True)
+    columns = ("row_id", "idempotency_key", "idem_label", "stored_internal_id")
+    pick = lambda df: sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str)
+    got = pick(one.submissions().select(*columns).unionByName(two.submissions().select(*columns)))
+    assert got == pick(lab.labelled.filter("idempotency_key <> ''").unionByName(
+        lab.labelled.filter("idempotency_key = ''"))) and {r[2] for r in got} == {"stored", "duplicate", "ignored_after_ttl", "failed"}
 
+    names = [c for c in lab.records.columns if c != "tags"]
+    same = lambda a, b: sorted(map(str, a.select(*names).collect())) == sorted(map(str, b.select(*names).collect()))
+    assert same(one.records().unionByName(two.records()), lab.records)
+    names = lab.dlq.columns
+    assert same(one.dlq().unionByName(two.dlq()), lab.dlq)
+    n = {r.idem_label: r["count"] for r in lab.labelled.groupBy("idem_label").count().collect()}
+    sums = one.counters().unionByName(two.counters()).agg(*[F.sum(c).alias(c) for c in (
+        "total_processed", "total_failed", "total_stored", "duplicate_hits", "ignored_after_ttl")]).first()
+    summary = lab.summary().first()
+    assert (sums.total_processed, sums.total_failed) == (summary.total_processed, summary.total_failed)
+    assert (sums.total_stored, sums.duplicate_hits, sums.ignored_after_ttl) == (
+        n["stored"], n["duplicate"], n["ignored_after_ttl"])
+    keys = q.lastProgress["stateOperators"][0]["numRowsTotal"]  # a row per stored key, none for failures
+    assert keys == one.records().count()
 
-def test_stateful_stream_match(spark):
-    """STR-2: re-decided on arrival, so without a timeout the final statuses
-    equal a batch decision over all records; with a timeout, refs missing an
-    expected source are escalated by the event-time timer."""
+
+def test_stateful_stream_match_equals_batch(spark):
+    """STR-2: re-decided on arrival, so state, details and audit equal batch runs
+    over the refs of each file, also for records 91 days late."""
+    from ledgermesh.operators import audit as A, state as S
+    from ledgermesh.plans.batch import ReconTables, _run
     from ledgermesh.streaming.stateful import stream_match
     d = tempfile.mkdtemp(prefix="lm-sm-")
-    recs = FX.f3_event_records(spark, SF)
+    recs = FX.f3_event_records(spark, SF).withColumn("amount", F.col("amount").cast("string"))
+    user = F.substring(REF, 3, 20).cast("int")
+    recs = recs.withColumn("amount", F.when((user % 7 == 0) & (F.col("source_system") == "purchase"), "1,5")
+                           .otherwise(F.col("amount")))
     ts = F.col("server_received_at")
-    cut = dt.datetime(2024, 1, 15)
-    recs.filter(ts < cut).coalesce(1).write.parquet(f"{d}/in/p0")
-    recs.filter(ts >= cut).coalesce(1).write.parquet(f"{d}/in/p1")
+    late = (user % 2 == 0) & (F.col("source_system") == "click")
+    recs = recs.withColumn("server_received_at", F.when(late, ts - F.expr("INTERVAL 91 DAYS")).otherwise(ts))
+    parts = [recs.filter(~late & (ts < dt.datetime(2024, 1, 15))), recs.filter(~late & (ts >= dt.datetime(2024, 1, 15))),
+             recs.filter(late)]
+    for i, p in enumerate(parts):
+        p.coalesce(1).write.parquet(f"{d}/in/p{i}")
     rules = MatchRules(strategy="tolerance", abs_tolerance="50.00", pending_timeout_secs=None)
     stream = spark.readStream.schema(recs.schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/in/*")
-    q = stream_match(stream, f"{d}/store", f"{d}/ck", rules)
-    q.awaitTermination(600)
-    got = {r.transaction_ref: r.status for r in SnapshotTable(spark, f"{d}/store/state").read().collect()}
-    want = {r.transaction_ref: r.status for r in reconcile(recs, rules, AS_OF).state_delta().collect()}
-    assert got == want and len(got) > 0
-
-    # timeout: drop one expected source for a third of the users
-    d2 = tempfile.mkdtemp(prefix="lm-sm2-")
-    k = F.substring("transaction_ref", 3, 20).cast("int")
-    partial = recs.filter(~((F.col("source_system") == "purchase") & (k % 3 == 0)))
-    partial.filter(ts < cut).coalesce(1).write.parquet(f"{d2}/in/p0")
-    partial.filter(ts >= cut).coalesce(1).write.parquet(f"{d2}/in/p1")
-    expected = tuple(r.source_system for r in recs.select("source_system").distinct().collect())
-    rules2 = MatchRules(strategy="tolerance", abs_tolerance="50.00", expected_sources=expected,
-                        pending_timeout_secs=3 * 24 * 3600)
-    stream2 = spark.readStream.schema(recs.schema).option("maxFilesPerTrigger", 1).parquet(f"{d2}/in/*")
-    q2 = stream_match(stream2, f"{d2}/store", f"{d2}/ck", rules2)
-    q2.awaitTermination(600)
-    st = SnapshotTable(spark, f"{d2}/store/state").read()
-    missing = st.filter(F.substring("transaction_ref", 3, 20).cast("int") % 3 == 0).collect()
-    assert missing and all(r.status in ("MISMATCHED", "PENDING") for r in missing)
-    assert any(r.status == "MISMATCHED" and r.mismatched_sources == [] for r in missing)
+    stream_match(stream, f"{d}/store", f"{d}/ck", rules, buckets=4).awaitTermination(600)
+    store = EngineTables(spark, f"{d}/store", 4)
+
+    t = ReconTables(recs.limit(0), S.empty_state(spark), S.empty_details(spark), A.empty_audit(spark))
+    for i in range(3):
+        part = spark.read.parquet(f"{d}/in/p{i}")
+        refs = part.select(REF).distinct()
+        records = t.records.unionByName(part).checkpoint()
+        # a batch runs as of the latest record among the sources of its refs
+        latest = records.join(refs, REF, "left_semi").agg(F.max("server_received_at")).first()[0]
+        t = _run(ReconTables(records, t.state, t.details, t.audit), t.state, refs, rules, latest, f"epoch-{i}", 0, True).tables
+        t = ReconTables(records, *[x.checkpoint() for x in (t.state, t.details, t.audit)])
+    assert rows(store.state.read(), STATE) == rows(t.state, STATE) != []
+    assert rows(store.details.read(), DETAILS) == rows(t.details, DETAILS) != []
+    assert rows(store.audit(), AUDIT) == rows(t.audit, AUDIT)
+    assert spark.read.parquet(f"{store.errors_dir}").count() > 0
+
+
+def test_stateful_stream_match_times_out_and_stays_closed(spark):
+    from ledgermesh.streaming.stateful import stream_match
+    d = tempfile.mkdtemp(prefix="lm-sm2-")
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    schema = "transaction_ref string, source_system string, internal_id string, amount string, currency string, " \
+             "server_received_at timestamp_ntz"
+    files = [[("A", "erp", "a1", "1", "USD", day(0)), ("B", "erp", "b1", "1", "USD", day(1)), ("C", "erp", "c1", "1", "USD", day(9))],
+             [("A", "bank", "a2", "1", "USD", day(8)), ("Z", "erp", "z", "1", "USD", day(30))],  # A's timer is overdue
+             [("B", "bank", "b2", "1", "USD", day(31)), ("C", "bank", "c2", "1", "USD", day(9)), ("Z", "bank", "z2", "2", "USD", day(31))],
+             [("A", "bank", "a3", "1", "USD", day(121))]]
+    for i, f in enumerate(files):
+        spark.createDataFrame(f, schema).coalesce(1).write.parquet(f"{d}/in/p{i}")
+    rules = MatchRules(strategy="tolerance", abs_tolerance="0.50", expected_sources=("erp", "bank"),
+                       pending_timeout_secs=3 * 24 * 3600)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/in/*")
+    stream_match(stream, f"{d}/store", f"{d}/ck", rules, buckets=4).awaitTermination(600)
+    state = {r[REF]: (r.status, r.record_count) for r in EngineTables(spark, f"{d}/store", 4).state.read().collect()}
+    # A and B missed a source when their timers fired; later records, also 91 days on, do not re-open them.
+    # C's second record is late to arrive but was received in time
+    assert state == {"A": ("MISMATCHED", 1), "B": ("MISMATCHED", 1), "C": ("MATCHED", 2), "Z": ("MISMATCHED", 2)}
