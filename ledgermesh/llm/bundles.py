@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from ledgermesh.llm.common import discard, scratch, staged
 
-FRAME_BYTES, BUNDLE_BYTES, LEVEL = 1 << 20, 1 << 28, 3
+FRAME_BYTES, BUNDLE_BYTES, LEVEL, TASK_FRAMES = 1 << 20, 1 << 28, 3, 64
 DATE = "2000-01-01T00:00:00Z"
 # The Zstandard seekable format and WARC 1.1
 SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -298,7 +298,17 @@ def read_bundles(spark: SparkSession, path: str) -> DataFrame:
     index = spark.read.schema(INDEX).parquet(f"{path}/index")
     frames = index.groupBy("bundle", "frame", "frame_start").agg(F.count("*").alias("records")).select(
         "bundle", "frame", "frame_start", "records")
-    return frames.sortWithinPartitions("bundle", "frame").mapInArrow(_read(path), RECORDS)
+    return _dealt(frames).mapInArrow(_read(path), RECORDS)
+
+
+def _dealt(frames: DataFrame) -> DataFrame:
+    """Rows of the index in tasks of ``TASK_FRAMES`` neighbouring frames, or fewer for
+    every core to have work; left to itself, Spark would judge by the size of
+    these few numbers and read all frames in one task."""
+    n = frames.select("bundle", "frame").distinct().count()
+    cores = frames.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, -(-n // TASK_FRAMES), min(n, 4 * cores))
+    return frames.repartitionByRange(tasks, "bundle", "frame").sortWithinPartitions("bundle", "frame")
 
 
 def fetch(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
@@ -316,8 +326,7 @@ def fetch(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
                 out.append(data[offset:offset + length])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["record_id", "record"])
     index = spark.read.schema(INDEX).parquet(f"{path}/index")
-    found = index.join(wanted.select("record_id").distinct(), "record_id")
-    found = found.repartition("bundle", "frame").sortWithinPartitions("bundle", "frame")
+    found = _dealt(index.join(wanted.select("record_id").distinct(), "record_id"))
     return found.select("record_id", "bundle", "frame", "offset", "length").mapInArrow(run, "record_id string, record binary")
 
 
