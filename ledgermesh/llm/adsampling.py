@@ -3,9 +3,11 @@
 Vectors are scaled to length one and rotated by one random orthogonal matrix,
 so any run of columns is a fair sample of a distance. An inverted file over
 spherical k-means centroids (fitted on at most ``sample`` vectors, those with the
-smallest hash) places every vector in one list; a query probes the nearest
-``probe_share`` of the lists (vectors without clusters, like those of the test
-tables, need most of them: 0.3 gives recall 0.82-0.85, 0.6 0.95-0.97). Within a list columns are read in blocks: after each block a
+smallest hash) places every vector in one list. A query probes the same number of
+its nearest lists: as many as hold ``recall`` of the true neighbours of queries
+drawn from the sample, searched exhaustively there, so clustered vectors need few
+lists and vectors without clusters most of them. A query whose lists hold too few
+candidates for ``k`` results probes on until they do or all lists are read. Within a list columns are read in blocks: after each block a
 hypothesis test compares the distance so far, scaled to all columns, with
 the best k found, and abandons candidates that can hardly come closer. The
 survivors' cosines are computed on the original vectors in double precision.
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ledgermesh.llm.common import staged
 
-K, PROBE_SHARE, SAMPLE, MAX_LISTS, PIECE = 5, 0.6, 20_000, 4096, 4096
+K, RECALL, SAMPLE, SAMPLE_QUERIES, MAX_LISTS, PIECE = 5, 0.98, 20_000, 256, 4096, 4096
 COLUMNS, EPSILON = 16, 2.1
 
 
@@ -93,23 +95,58 @@ def adaptive_scan(x: np.ndarray, q: np.ndarray, k: int, block: int = 1024) -> tu
     return best_i, best
 
 
-def _place(rotation: np.ndarray, centers: np.ndarray, probes: int):
-    """Rotated unit vector and its nearest lists."""
+def needed_lists(x: np.ndarray, centers: np.ndarray, k: int, recall: float, queries: int = SAMPLE_QUERIES) -> int:
+    """How many of its nearest lists a query must probe to meet ``recall`` of its
+    ``k`` nearest rows of the sample ``x`` (unit vectors, in the order of their hash)."""
+    q = min(queries, len(x))
+    if len(x) <= 1 or len(centers) == 1:
+        return len(centers)
+    home = np.concatenate([(x[i:i + 4096] @ centers.T).argmax(axis=1) for i in range(0, len(x), 4096)])
+    near = x[:q] @ x.T
+    near[np.arange(q), np.arange(q)] = -np.inf
+    k = min(k, len(x) - 1)
+    best = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    place = np.empty((q, len(centers)), np.int64)  # how near each list is to each query
+    np.put_along_axis(place, np.argsort(-(x[:q] @ centers.T), axis=1, kind="stable"),
+                      np.broadcast_to(np.arange(len(centers)), place.shape), axis=1)
+    ranks = np.sort(np.take_along_axis(place, home[best], axis=1).reshape(-1))
+    return int(ranks[int(np.ceil(recall * len(ranks))) - 1]) + 1
+
+
+def _place(rotation: np.ndarray, centers: np.ndarray):
+    """Rotated unit vector and its own list."""
     def run(batches):
         import pyarrow as pa
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = _unit(_matrix(batch.column(1))) @ rotation
-            near = np.concatenate([np.argsort(-(x[i:i + 1024] @ centers.T), axis=1, kind="stable")[:, :probes]
-                                   for i in range(0, len(x), 1024)])
-            k, d = near.shape[1], x.shape[1]
+            home = np.concatenate([(x[i:i + 1024] @ centers.T).argmax(axis=1) for i in range(0, len(x), 1024)])
+            d = x.shape[1]
+            ends = np.arange(0, x.size + 1, d, dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0),
-                 pa.ListArray.from_arrays(np.arange(0, (len(x) + 1) * d, d, dtype=np.int32)[:len(x) + 1], x.reshape(-1)),
-                 pa.ListArray.from_arrays(np.arange(0, (len(x) + 1) * k, k, dtype=np.int32)[:len(x) + 1],
-                                          near.reshape(-1).astype(np.int32))],
-                ["rep", "x", "lists"])
+                [batch.column(0), pa.ListArray.from_arrays(ends, x.reshape(-1)), pa.array(home, pa.int32())],
+                ["rep", "x", "list"])
+    return run
+
+
+def _probe(centers: np.ndarray, held: np.ndarray, probes: int, least: int):
+    """The lists that a query probes: the nearest ``probes``, and on until they
+    hold ``least`` vectors."""
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _matrix(batch.column(1))
+            order = np.concatenate([np.argsort(-(x[i:i + 1024] @ centers.T), axis=1, kind="stable")
+                                    for i in range(0, len(x), 1024)])
+            short = (np.cumsum(held[order], axis=1) < least).sum(axis=1) + 1
+            n = np.minimum(np.maximum(short, probes), len(centers))
+            flat = order[np.arange(order.shape[1]) < n[:, None]].astype(np.int32)
+            ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, flat)],
+                                             ["rep", "x", "lists"])
     return run
 
 
@@ -137,7 +174,7 @@ def _cosine(a: str, b: str) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = K, probe_share: float = PROBE_SHARE, sample: int = SAMPLE,
+def nearest(vectors: DataFrame, is_query: Column, k: int = K, recall: float = RECALL, sample: int = SAMPLE,
             max_lists: int = MAX_LISTS, piece: int = PIECE, id_col: str = "vec_id",
             vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest found of every row that
@@ -160,12 +197,17 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, probe_share: float
 
     rotation = _rotation(d)
     chosen = distinct.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("v").toArrow().column(0).combine_chunks()
-    centers = centroids(_unit(_matrix(chosen)) @ rotation, min(max_lists, max(1, round(total ** 0.5))))
-    probes = int(np.ceil(probe_share * len(centers)))
-    schema = "rep long, x array<double>, lists array<int>"
-    placed = staged(distinct.select("rep", "v").mapInArrow(_place(rotation, centers, probes), schema), "placed")
-    home = placed.select("rep", "x", F.get("lists", F.lit(0)).alias("list"))
-    query = (placed.join(asked.select("rep").distinct(), "rep", "left_semi")
+    known = _unit(_matrix(chosen)) @ rotation
+    centers = centroids(known, min(max_lists, max(1, round(total ** 0.5))))
+    probes = needed_lists(known, centers, k, recall)
+    placed = staged(distinct.select("rep", "v").mapInArrow(_place(rotation, centers),
+                                                           "rep long, x array<double>, list int"), "placed")
+    home = placed.select("rep", "x", "list")
+    held = np.zeros(len(centers), np.int64)
+    for r in placed.groupBy("list").count().collect():  # max_lists rows at most
+        held[r.list] = r["count"]
+    query = (placed.join(asked.select("rep").distinct(), "rep", "left_semi").select("rep", "x")
+             .mapInArrow(_probe(centers, held, probes, k + 1), "rep long, x array<double>, lists array<int>")
              .select("rep", "x", F.explode("lists").alias("list")))
     # pieces per list, at most max_lists rows each
     sizes = home.groupBy("list").count().select("list", F.ceil(F.col("count") / piece).alias("pv"))

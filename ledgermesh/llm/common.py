@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import string
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +34,26 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.staged_path = path
+    if _staged:
+        _staged[-1].append(out)
+    return out
+
+
+#: Tables staged by the calls of ``tidied`` that run, innermost last.
+_staged: list[list[DataFrame]] = []
+
+
+def tidied(name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build`` returns, staged; the tables that it staged on its way are
+    deleted."""
+    _staged.append([])
+    try:
+        result = build()
+        on_the_way = list(_staged[-1])
+        out = staged(result, name)
+        discard(*on_the_way)
+    finally:
+        _staged.pop()
     return out
 
 

@@ -5,7 +5,8 @@ puts separators between them. A token so disguised becomes a lattice: each
 symbol has its readings, each run of a letter one or two of it, each separator
 nothing or a word break. Viterbi decoding under a character trigram model, whose
 counts are summed over all documents, picks the reading; a token with one
-reading is taken as it is. A letter run spelled with spaces is one token.
+reading is taken as it is. Decoding is linear in a token's length, so texts without
+blanks are decoded whole. A letter run spelled with spaces is one token.
 
 The restored words are then scored by a logistic model over log counts of the
 words and word starts (4 to 7 letters, so that a word's endings count together)
@@ -32,7 +33,7 @@ from ledgermesh.llm.crf import held_out, labelled_sample
 
 SAMPLE_DOCS, THRESHOLD, VOCABULARY, LEAST_Z, LEAST_DOCS = 20_000, 0.5, 1024, 4.0, 5
 STARTS = (4, 5, 6, 7)
-_KEPT = 400_000
+_KEPT, _LONG = 400_000, 200
 
 #: Readings of look-alike symbols.
 READINGS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a",
@@ -140,8 +141,8 @@ class Restorer:
                 return (core,)
             if lead:
                 core = low.strip(_EDGE)
-        elif not any(c.isalpha() for c in core) or len(core) > 200:
-            return tuple(re.findall(r"[^\W\d_]+", core))  # numbers, or too long for a word
+        elif not any(c.isalpha() for c in core):
+            return ()  # numbers
         else:
             core = _TAIL.sub("", low.strip(_EDGE))
         return tuple(decode(core, self.model).split())
@@ -160,7 +161,9 @@ class Restorer:
                 spelled = []
             w = known.get(t)
             if w is None:
-                w = known[t] = self.token(t)
+                w = self.token(t)
+                if len(t) <= _LONG:  # long tokens, texts without blanks, are not worth remembering
+                    known[t] = w
             out += w
         return out + self._spelled(spelled)
 
@@ -221,9 +224,14 @@ def _features(model: Model):
         import pyarrow as pa
         counter = _Counter(model)
         for batch in batches:
-            rows = [np.minimum(counter.count(t or ""), 255).astype(np.uint8).tobytes()
-                    for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["label", "x"])
+            at, n = [], []
+            for t in batch.column(1).to_pylist():
+                x = counter.count(t or "")
+                seen = np.flatnonzero(x)
+                at.append(seen.astype("<u2").tobytes())
+                n.append(x[seen].astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.binary()), pa.array(n, pa.binary())],
+                                             ["label", "at", "n"])
     return run
 
 
@@ -265,10 +273,12 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, vo
                             / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5)))
                 .filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "piece").limit(vocabulary))
         model = Model(language, [r.piece for r in odds.select("piece").collect()], np.zeros(0), 0.0)
-        rows = sample.mapInArrow(_features(model), "label int, x binary").collect()
+        rows = sample.mapInArrow(_features(model), "label int, at binary, n binary").collect()
     finally:
         sample.unpersist()
-    x = np.stack([np.frombuffer(r.x, np.uint8) for r in rows])
+    x = np.zeros((len(rows), len(model.pieces)), np.uint32)
+    for k, r in enumerate(rows):
+        x[k, np.frombuffer(r.at, "<u2")] = np.frombuffer(r.n, "<u4")
     model.weights, model.bias = _logistic(x, np.array([r.label for r in rows], float))
     return model
 

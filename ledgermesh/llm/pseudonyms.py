@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 KINDS = ("email", "iban", "phone", "ip", "date", "ssn", "card")
 ROUNDS = 10
 _TOKEN = re.compile(r"""
-    (?P<email>[\w.+-]+@[\w-]+(?:\.[\w-]+)+)
+    (?P<email>(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+)
   | (?<![0-9A-Za-z])(?:
       (?P<iban>[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)
     | (?P<phone>\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?(?:[\x20.-]?[0-9]{2,4}){1,4})

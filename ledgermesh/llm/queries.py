@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgermesh.llm import (adsampling, bundles, crf, decontam, deobfuscate, laesa, minhash, negatives, ownership,
                             pseudonyms, raking, rans, repeats)
-from ledgermesh.llm.common import load
+from ledgermesh.llm.common import load, tidied
 
 #: Key of the registered query; a real run passes a secret of its own.
 PSEUDONYM_KEY = "registered query"
@@ -29,8 +29,8 @@ def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ownership.report(load(spark, sf_dir, "documents"), F.col("source"),
-                            F.concat_ws("/", "source", "lang"))
+    return tidied("op3", lambda: ownership.report(load(spark, sf_dir, "documents"), F.col("source"),
+                                                  F.concat_ws("/", "source", "lang")))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,11 +46,11 @@ def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adsampling.nearest(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return tidied("op7", lambda: adsampling.nearest(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0))
 
 
 def op8_raked_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raking.sample(load(spark, sf_dir, "documents"))
+    return tidied("op8", lambda: raking.sample(load(spark, sf_dir, "documents")))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

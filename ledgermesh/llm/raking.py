@@ -3,11 +3,11 @@
 Token counts are summed into cells (source, language, topic). Each round scales
 the cell weights in turn to the target share of every source, language and
 topic; after ``rounds`` rounds a cell's weight over its tokens is the rate at
-which its documents are wanted. A document is kept with probability
-``keep * rate``, at most 1, decided by a hash of seed, id and text: the same
-document always gets the same draw, whatever the partitioning. Cut at 1, the shares
-miss their targets; with ``repeat`` a document of a cell wanted more than once is
-returned that many times on average, and the expected shares are the targets.
+which its documents are wanted. A document is drawn ``keep * rate`` times on average: the
+whole part of it for certain, and once more with the rest as probability, decided
+by a hash of seed, id and text, so the same document always gets the same draw,
+whatever the partitioning. Documents of cells wanted more than once are thus
+repeated, and the expected shares are the targets and ``keep``.
 
 Targets are given as shares per value, or as an exponent per margin: share
 proportional to tokens ** exponent (1: as observed, 0: all values equal).
@@ -82,44 +82,42 @@ def _placed(docs: DataFrame, seed: str) -> DataFrame:
     return docs.withColumns({"__topic": topic(F.col("text")), "__n": n_tokens(F.col("text")), "__u": _draw(seed)})
 
 
-def _chance(table: DataFrame, fitted: DataFrame, keep: float, names: dict[str, str],
-            repeat: bool = False) -> DataFrame:
-    """``table`` with ``__p``, the probability per million of its cell; with
-    ``repeat`` its copies per million, which can be over a million."""
+def _chance(table: DataFrame, fitted: DataFrame, keep: float, names: dict[str, str]) -> DataFrame:
+    """``table`` with ``__p``, the expected copies of its cell per million, and
+    ``__copies``, those that the draw gives: the number of v = 0, 1, ... with
+    u + v million < p."""
     cells = fitted.select(*[F.col(k).alias(f"__c{i}") for i, k in enumerate(names)], F.col("rate").alias("__rate"))
     same = None
     for i, column in enumerate(names.values()):
         part = F.col(column).eqNullSafe(F.col(f"__c{i}"))
         same = part if same is None else same & part
     p = F.coalesce("__rate", F.lit(0.0)) * keep
-    p = p if repeat else F.least(F.lit(1.0), p)
-    return table.join(cells, same, "left").withColumn("__p", F.floor(p * 1_000_000 + 0.5))
+    return table.join(cells, same, "left").withColumn("__p", F.floor(p * 1_000_000 + 0.5)).withColumn(
+        "__copies", F.floor((F.col("__p") - F.col("__u") + 999_999) / 1_000_000).cast("long"))
 
 
 def sample(docs: DataFrame, exponents: dict[str, float] | None = None, rounds: int = ROUNDS, keep: float = KEEP,
            seed: str = SEED) -> DataFrame:
-    """``doc_id, source, lang, topic, n_tokens, prob_ppm, kept`` of every document."""
+    """``doc_id, source, lang, topic, n_tokens, rate_ppm, copies`` of every document."""
     exponents = exponents or EXPONENTS
     slim = staged(_placed(docs.select("doc_id", "text", "source", "lang"), seed).select(
         "doc_id", "source", "lang", F.col("__topic").alias("topic"), F.col("__n").alias("n_tokens"), "__u"), "mix")
     cells = slim.groupBy(*exponents).agg(F.sum("n_tokens").alias("tokens"))
     out = _chance(slim, rates(cells, exponents, rounds), keep, {k: k for k in exponents})
-    return out.select("doc_id", "source", "lang", "topic", "n_tokens", F.col("__p").alias("prob_ppm"),
-                      (F.col("__u") < F.col("__p")).alias("kept"))
+    return out.select("doc_id", "source", "lang", "topic", "n_tokens", F.col("__p").alias("rate_ppm"),
+                      F.col("__copies").alias("copies"))
 
 
 def mix_documents(docs: DataFrame, exponents: dict[str, float] | None = None, rounds: int = ROUNDS,
-                  keep: float = KEEP, seed: str = SEED, repeat: bool = False) -> DataFrame:
-    """The sampled rows of ``docs``; columns stay as they are. With ``repeat`` a row
-    comes once for each whole million of ``__p`` and the rest decides on one more."""
+                  keep: float = KEEP, seed: str = SEED) -> DataFrame:
+    """The drawn rows of ``docs``, each as often as it was drawn; columns stay as
+    they are."""
     exponents = exponents or EXPONENTS
     names = {k: "__topic" if k == "topic" else k for k in exponents}
     placed = _placed(docs, seed)
     cells = placed.groupBy(*[F.col(v).alias(k) for k, v in names.items()]).agg(F.sum("__n").alias("tokens"))
-    out = _chance(placed, rates(cells, exponents, rounds), keep, names, repeat).filter(F.col("__u") < F.col("__p"))
-    if repeat:  # the number of v in 0, 1, ... with u + v million < p
-        out = out.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.floor(
-            (F.col("__p") - F.col("__u") - 1) / 1_000_000).cast("int"))))
+    out = _chance(placed, rates(cells, exponents, rounds), keep, names).filter("__copies > 0")
+    out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -146,6 +144,7 @@ def oracle(exponents: dict[str, float] | None = None, rounds: int = ROUNDS, keep
             k += 1
     same = " AND ".join(f"s.{x} IS NOT DISTINCT FROM c.{x}" for x in exponents)
     return f"""WITH {', '.join(steps)}
-    SELECT doc_id, s.source, s.lang, s.topic, n_tokens, p AS prob_ppm, u < p AS kept FROM (
-      SELECT s.*, floor(least(1.0, coalesce(w / tokens, 0) * {keep}) * 1000000 + 0.5)::BIGINT AS p
+    SELECT doc_id, s.source, s.lang, s.topic, n_tokens, p AS rate_ppm,
+      CASE WHEN u < p THEN (p - u + 999999) // 1000000 ELSE 0 END AS copies FROM (
+      SELECT s.*, floor(coalesce(w / tokens, 0) * {keep} * 1000000 + 0.5)::BIGINT AS p
       FROM slim s LEFT JOIN c{k} c ON {same}) s"""

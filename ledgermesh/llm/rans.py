@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgermesh.llm.common import chunks, scratch, staged, utf8
+from ledgermesh.llm.common import chunks, discard, scratch, staged, utf8
 
 SCALE = 20
 LANES, SEGMENT, BLOCK = 1024, 256, 1 << 19
@@ -52,8 +52,9 @@ def _encode_words(tokenizer, words: list[bytes], known: dict[bytes, bytes], ends
     """Put the ids of ``words`` into ``known`` as bytes."""
     split, plain, other = {}, set(), set()
     for w in words:
-        low = w.lower()
-        m = _TAIL.fullmatch(low)
+        # special ids are given to their exact spelling only, so such words stay as they are
+        low = w if b"<|" in w else w.lower()
+        m = None if b"<|" in w else _TAIL.fullmatch(low)
         split[w] = parts = m.groups() if m else (low,)
         for p in parts:
             if p not in known:
@@ -289,6 +290,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, vocabulary: int = 4
     (ids.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "ids")
      .mapInArrow(_pack(freq, dtype, block), "shard long, block long, n_tokens long, doc_ids array<long>, "
                                             "lengths array<long>, payload binary").write.parquet(f"{path}/blocks"))
+    discard(ids)
 
 
 def read_tokens(spark: SparkSession, path: str, vocabulary: int = 49_408) -> DataFrame:

@@ -76,7 +76,8 @@ def test_words_with_odd_characters_encode_like_whole_texts():
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(tokenizer_path())
     texts = ["It's they'll o'clock don't. A.B,c!! x###", "nbsp here   sep", "é É ß 12 3a", "a\x1cb \x85c",
-             "<|endoftext|> <|endoftext|>x", "end... wow!?,", "ÀB.c", "́ lone", "日本 語。"]
+             "<|endoftext|> <|endoftext|>x", "<|ENDOFTEXT|> a <|EndOfText|>B.",
+             "<|STARTOFTEXT|> ABC<|startoftext|>Def!! <|", "It<|endoftext|>'S", "end... wow!?,", "ÀB.c", "́ lone", "日本 語。"]
     step = rans._tokenize(tokenizer_path(), 2, np.dtype("<u2"))
     import pyarrow as pa
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)))] * 2 + [pa.array(texts)], ["doc_id", "h", "text"])
@@ -108,9 +109,9 @@ def test_near_duplicates(docs, rows, empty):
     for k, r in enumerate(rows):
         ids = [rows[j][0] for j in range(len(rows)) if group[j] == group[k] and rows[j][0] is not None]
         want.append((r[0], len(sets[k]), min(ids, default=None) if sets[k] else r[0]))
-    found = minhash.near_duplicates(docs)
+    found = minhash.near_duplicates(docs, num=85, den=100, bands=24)
     assert by_row(found, "doc_id", "n_shingles", "component_id") == sorted(want, key=str)
-    kept = minhash.drop_near_duplicates(docs)
+    kept = minhash.drop_near_duplicates(docs, num=85, den=100, bands=24)
     assert kept.columns == docs.columns
     # one row for each group with words; rows without words stand alone, equal ones once
     assert kept.count() == len({group[k] for k, s in enumerate(sets) if s}) + len({rows[k][:2] for k, s in enumerate(sets) if not s})
@@ -161,9 +162,10 @@ def test_raking_meets_the_margins(spark, docs, empty):
     assert np.allclose(by_source, total / 3, rtol=1e-6)
     assert np.allclose(got.groupby("lang").w.sum(), got.groupby("lang").tokens.sum(), rtol=1e-6)
     sample = raking.sample(docs).collect()
-    assert len(sample) == docs.count() and {r.kept for r in sample} <= {True, False}
+    assert len(sample) == docs.count()
+    assert all(abs(r.copies - r.rate_ppm / 1e6) < 1 for r in sample)
     assert raking.mix_documents(docs).columns == docs.columns
-    assert raking.mix_documents(docs).count() == sum(r.kept for r in sample)
+    assert raking.mix_documents(docs).count() == sum(r.copies for r in sample)
     assert raking.sample(empty).count() == 0
 
 
@@ -180,7 +182,7 @@ def test_margins_of_the_pipelines_mix(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     every = raking.sample(table).toPandas()
     times = collections.Counter(r.doc_id for r in corpus_pipeline.mix(spark, table, "").collect())
-    assert set(times) == set(every.doc_id[every.kept]) and max(times.values()) > 1
+    assert times == dict(zip(every.doc_id[every.copies > 0], every.copies[every.copies > 0])) and max(times.values()) > 1
     every["got"] = every.n_tokens * every.doc_id.map(lambda k: times[k])
     assert abs(every.got.sum() / every.n_tokens.sum() - raking.KEEP) < 0.03
     for name, power in raking.EXPONENTS.items():
@@ -257,6 +259,47 @@ def test_pseudonyms(spark, docs, rows, empty):
     assert pseudonyms.pseudonymize(empty, "k").count() == 0
 
 
+def test_long_runs_of_word_characters_are_scanned_once():
+    """A megabyte that was quadratic before; what holds an address still gives it."""
+    import time
+    began = time.time()
+    text = "A1b2" * 250_000 + " ann@mail.org " + "x." * 100_000 + "@"
+    new, counts = pseudonyms.pseudonymize_text(text, b"k")
+    assert counts["email"] == sum(counts.values()) == 1 and time.time() - began < 20
+    assert new[:1_000_000] == text[:1_000_000] and len(new) == len(text)
+
+
+def test_pseudonyms_touch_what_an_independent_finder_finds():
+    """Valid values planted between words are replaced, equal ones alike, all else stays."""
+    rng = random.Random(5)
+    luhn = lambda d: sum(x if i % 2 else x * 2 - 9 * (x > 4) for i, x in enumerate(map(int, reversed(d)))) % 10
+
+    def card():
+        body = "".join(rng.choices("0123456789", k=15))
+        return body + str(-luhn(body) % 10)
+
+    def value():
+        return rng.choice([
+            card, lambda: f"{rng.choice('abc')}{rng.randint(10, 99)}@mail.example.org",
+            lambda: f"{rng.randint(1950, 2040)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}",
+            lambda: ".".join(str(rng.randint(1, 255)) for _ in range(4))])()
+    for _ in range(30):
+        planted = [value() for _ in range(8)]
+        planted += planted[:2]
+        words = [w for v in planted for w in (rng.choice(["the", "of", "Wert", "É:", "é"]), v)] + ["end"]
+        new, counts = pseudonyms.pseudonymize_text(" ".join(words), b"key")
+        after = new.split(" ")
+        assert after[::2] == words[::2] and sum(counts.values()) == len(planted)
+        got = after[1::2]
+        assert got[-2:] == got[:2] and sum(a != b for a, b in zip(got, planted)) >= len(planted) - 1
+        for a, b in zip(got, planted):  # the format stays: digits for digits, and cards stay valid
+            if "@" not in b:
+                assert re.sub("[0-9]+" if b.count(".") == 3 else "[0-9]", "0", a) == re.sub(
+                    "[0-9]+" if b.count(".") == 3 else "[0-9]", "0", b)
+            if b.isdigit():
+                assert luhn(a[:-1]) == -int(a[-1]) % 10
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((1500, 12)).astype(np.float32)
@@ -267,7 +310,7 @@ def test_nearest(spark):
              (5250, [1.0] * 3), (5300, [float("inf")] * 12), (None, [1.0] * 12), rows[50]]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
     got = collections.defaultdict(list)
-    for r in adsampling.nearest(table, F.col("vec_id") % 50 == 0, probe_share=1.0, piece=300).orderBy("query_id", "rank").collect():
+    for r in adsampling.nearest(table, F.col("vec_id") % 50 == 0, piece=300).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     assert sorted(got) == list(range(0, 1500, 50))
     y = x.astype(float)
@@ -281,10 +324,56 @@ def test_nearest(spark):
         assert all(abs(s[v] - score) < 1e-6 for v, score in found)
         if 100 <= q < 400:
             assert [v for v, _ in found] == [v for v in (7, 100, 101, 102, 103, 104) if v != q][:5]
-    assert hit >= 0.97 * 5 * len(got)
+    assert hit >= 0.95 * 5 * len(got)
     assert adsampling.nearest(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 7, 10, 23, 60])
+def test_nearest_in_small_tables(spark, n):
+    """Every candidate is found where there are no more than k, k are found elsewhere."""
+    x = np.random.default_rng(n).standard_normal((n, 8))
+    table = spark.createDataFrame([(i, v.tolist(), i, "x", 0) for i, v in enumerate(x)],
+                                  "vec_id long, embedding array<double>, rep int, x string, list int")
+    found = adsampling.nearest(table, F.col("vec_id") % 10 == 0).collect()
+    got = collections.Counter(r.query_id for r in found)
+    assert got == {q: min(5, n - 1) for q in range(0, n, 10) if n > 1}
+
+
+def test_lists_needed_follow_the_clusters():
+    rng = np.random.default_rng(4)
+    clustered = adsampling._unit(np.repeat(rng.standard_normal((40, 16)), 50, axis=0) + 0.05 * rng.standard_normal((2000, 16)))
+    clustered = clustered[rng.permutation(len(clustered))]
+    flat = adsampling._unit(rng.standard_normal((2000, 16)))
+    few, many = (adsampling.needed_lists(v, adsampling.centroids(v, 45), 5, 0.98) for v in (clustered, flat))
+    assert few <= 4 < many <= 45
+
+
+def test_secrets_of_long_texts_and_copies(spark):
+    """Positions stay exact over many blocks of matches; repositories tell copies."""
+    rng = random.Random(11)
+    parts = []
+    for _ in range(6000):
+        parts.append(rng.choice(["é", "word ", "", "\n"]) * rng.randint(0, 4) + " ")
+        parts.append(rng.choice(["token=%s", "AKIA%s", "password: '%s'"]) % "".join(rng.choices("ABCDEFGHJK23", k=rng.randint(4, 24))))
+    long = "".join(parts)
+    live = "secret=Zq8Lw2Xv9Rt4Yp6Nc1"
+    rows = [(1, long, "s", "en", 1), (2, live, "a", "en", 1), (3, live, "a", "de", 1), (4, None, None, None, 1),
+            (None, live.replace("Zq8", "Zq9"), None, "en", 1), (5, "token=Kq8Lw2Xv9Rt4Yp6Nc1", "b", "en", 1)]
+    rows += [rows[5]] * 4 + [(9 + i, rows[5][1].replace("K", "J"), "a", f"l{i}", 1) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, owners int")
+    got = collections.defaultdict(list)
+    for r in ownership.report(docs, F.col("source"), F.concat_ws("/", "source", "lang")).collect():
+        got[r.doc_id].append(r)
+    want = []
+    for k, (name, p, g, least) in enumerate([("assign", ownership.ASSIGN, 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24)]):
+        want += [(m.start(), k, f"{name}:{m.start()}:{m.end()}") for m in re.finditer(p, long, re.A) if len(m[g]) >= least]
+    assert got[1][0].base_sha256 == hashlib.sha256(",".join(w[2] for w in sorted(want)).encode()).hexdigest() and len(want) > 3000
+    assert [(r.n_live, r.most_repos) for r in got[2] + got[3]] == [(1, 2)] * 2
+    assert [(r.n_live, r.n_example, r.most_repos) for r in got[9]] == [(0, 1, 5)]  # one owner, too many repositories
+    assert [(r.n_live, r.most_repos) for r in got[5]] == [(1, 1)] * 5 and got[None][0].n_live == 1
+    assert (got[4][0].spans, got[4][0].most_repos) == ("", 0)
+
+
 def test_quality(spark, docs, empty):
     rng = random.Random(9)
     good = [(i, prose(rng, rng.randint(20, 80)), 1) for i in range(150)]
@@ -344,6 +433,73 @@ def test_toxicity(spark, docs, empty):
     assert deobfuscate.toxicity(empty, labels).count() == 0
 
 
+def test_decoding_takes_the_best_of_all_readings():
+    """Against an enumeration of every path through the lattice."""
+    rng = np.random.default_rng(3)
+    model = np.log(rng.dirichlet(np.full(28, 0.3), (28, 28)))
+    alphabet = "ab0e1$.-3i!"
+
+    def readings(token):
+        i, ways = 0, []
+        while i < len(token):
+            j = i
+            while j < len(token) and token[j] == token[i]:
+                j += 1
+            c, n = token[i], j - i
+            if c in deobfuscate.READINGS:
+                opts = [(x * k, deobfuscate.READ * k) for x in deobfuscate.READINGS[c] for k in {1, min(n, 2)}]
+                opts.append((" ", deobfuscate.LITERAL if c.isdigit() else deobfuscate.BREAK))
+            elif c.isalpha():
+                opts = [(c, 0.0 if n == 1 else deobfuscate.DOUBLE)]
+                if n > 1:
+                    opts.append((c * 2, 0.0 if n == 2 else deobfuscate.DOUBLE))
+            else:
+                opts = [("", 0.0), (" ", deobfuscate.BREAK)]
+            ways.append(opts)
+            i = j
+        for path in itertools.product(*ways):
+            yield "".join(t for t, _ in path) + " ", sum(c for _, c in path)
+
+    def score(text, cost):
+        a = b = 0
+        for ch in text:
+            z = ord(ch) - 96 if "a" <= ch <= "z" else 0
+            cost += model[a, b, z]
+            a, b = b, z
+        return cost
+    for n in [1, 2, 3, 5, 8, 10, 12] * 6:
+        token = "".join(rng.choice(list(alphabet), n))
+        best = max(score(*r) for r in readings(token))
+        got = deobfuscate.decode(token, model)
+        assert any(t.strip() == got and abs(score(t, c) - best) < 1e-9 for t, c in readings(token)), token
+
+
+def test_long_tokens_and_long_texts(spark):
+    """Words joined by dots are decoded whatever their number, and a word counts as
+    often in training as in scoring."""
+    rng = random.Random(13)
+    rows = []
+    for i in range(600):
+        words = prose(rng, 30).split()
+        if i % 3 == 0:
+            words[rng.randrange(30)] = "moron"
+        rows.append((i, " ".join(words), int(i % 3 == 0)))
+    rows += [(600 + i, "moron " * 400, 1) for i in range(6)]
+    clean = [w for w in prose(rng, 800).lower().split() if w.isalpha()]
+    hidden = ".".join(clean[:150]) + "." + ".".join(["m0r0n", *clean[150:152]] * 4) + "." + ".".join(clean[152:300])
+    plain = ".".join(clean[:320])
+    table = spark.createDataFrame([r[:2] for r in rows] + [(9001, hidden), (9002, plain)], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in deobfuscate.toxicity(table, labels).filter("doc_id > 9000").collect()}
+    assert len(hidden) > 800 and got == {9001: 1, 9002: 0}
+    model = deobfuscate.train(table, labels)
+    assert deobfuscate._Counter(model).count("moron " * 400).max() == 400
+    step = deobfuscate._features(model)
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["moron " * 400])], ["label", "text"])
+    assert np.frombuffer(next(iter(step([batch]))).column(2)[0].as_py(), "<u4").max() == 400
+
+
 def test_toxic_words_with_many_endings(spark):
     """No whole word is in five documents; their common start is in all."""
     rng = random.Random(6)
