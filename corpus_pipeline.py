@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgermesh.llm import crf, decontam, minhash, raking, rans
-from ledgermesh.llm.common import load, staged
+from ledgermesh.llm.common import discard, load, tidied
 from ledgermesh.llm.queries import tokenizer_path
 
 ORACLE_SQL = None
@@ -43,7 +43,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sample documents at rates raked to source, language and topic targets;
     documents of cells wanted more than once are repeated."""
-    return raking.mix_documents(docs, repeat=True)
+    return raking.mix_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,9 +61,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``. What a stage writes on its way, and its input
+    once it has been read, is deleted."""
     docs = load(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = staged(docs, f"pipeline-{name}")
+        before, docs = docs, tidied(f"pipeline-{name}", lambda: stage(spark, docs, sf_dir))
+        if k:
+            discard(before)
     return docs
