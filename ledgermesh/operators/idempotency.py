@@ -70,7 +70,8 @@ def label_idempotent(processed: DataFrame, ttl_secs: int = 24 * 3600, existing:
                  .withColumn("stored_internal_id", F.coalesce("_old_id", "stored_internal_id")).drop("_old_id"))
     else:
         first = first.withColumn("_old_ts", F.lit(None).cast("timestamp_ntz"))
-    spread = F.concat(F.lit("\u0000"), F.xxhash64("_ord", "payload_text", "transaction_ref").cast("string"))
+    own = ["_spread"] if "_spread" in df.columns else ["payload_text", "transaction_ref"]
+    spread = F.concat(F.lit("\u0000"), F.xxhash64("_ord", *own).cast("string"))
     j = (df.withColumn("_jk", F.when(has_key, F.col(KEY)).otherwise(spread))
          .join(first, F.col("_jk") == F.col("_key"), "left").drop("_jk", "_key"))
     stored_at = F.coalesce(F.col("_old_ts"), F.col("_first.ts"))
@@ -83,7 +84,7 @@ def label_idempotent(processed: DataFrame, ttl_secs: int = 24 * 3600, existing:
         .when(F.col("ok"), F.lit("ignored_after_ttl"))
         .otherwise(F.lit("failed"))
     )
-    return j.withColumn("idem_label", label).drop("_ord", "_first", "_old_ts", "_arrival")
+    return j.withColumn("idem_label", label).drop("_ord", "_first", "_old_ts", "_arrival", "_spread")
 
 
 def conflicting_duplicates(envelopes: DataFrame) -> DataFrame:
@@ -116,6 +117,36 @@ def purge_expired(idem: DataFrame, as_of) -> DataFrame:
     return idem.filter(F.col("expires_at") > as_ts(as_of))
 
 
+def write_keys(idem: DataFrame, path: str) -> None:
+    """Append T2 rows to the key table, in folders by their day of expiry."""
+    (idem.withColumn("expires_on", F.to_date("expires_at")).hint("rebalance", F.col("expires_on"))
+     .write.mode("append").partitionBy("expires_on").parquet(path))
+
+
+def live_keys(spark, path: str, as_of) -> DataFrame:
+    """The key table's entries that have not expired: expired days are pruned, the
+    day of ``as_of`` is filtered by the hour."""
+    from ledgermesh.functions.times import as_ts
+    rows = spark.read.parquet(path)
+    return purge_expired(rows.filter(F.col("expires_on") >= F.to_date(as_ts(as_of))), as_of).drop("expires_on")
+
+
+def purge_expired_days(spark, path: str, as_of) -> list[str]:
+    """IDM-3 on the stored key table: delete the folders of days before ``as_of``'s;
+    no file is rewritten. Returns the days deleted. Expired entries of the day
+    itself go a day later and are filtered by ``live_keys`` until then."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    today = as_of.date().isoformat()
+    gone = []
+    for f in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(root, "expires_on=*")) or []:
+        day = f.getPath().getName().split("=")[1]
+        if day < today:  # ISO days order as text
+            fs.delete(f.getPath(), True)
+            gone.append(day)
+    return sorted(gone)
+
+
 @dataclass
 class IngestResult:
     labelled: DataFrame
@@ -137,14 +168,16 @@ class IngestResult:
 
 def ingest_batch(envelopes: DataFrame, as_of, cfg: IngestConfig | None = None,
                  adapter_type: str | None = None, existing_keys: DataFrame | None = None,
-                 checkpoint: bool = False) -> IngestResult:
+                 checkpoint: bool = False, keep: tuple[str, ...] | None = None) -> IngestResult:
     """SRC-9: pipeline + idempotency for one batch.
 
     ``existing_keys`` (the stored records, or the idempotency table) makes the
     labels hold across batches as if all were one (SNK-1, IDM-2).
     ``checkpoint=True`` writes the processed batch to the shared checkpoint
     folder first, so the payload is parsed once even though the per-key
-    aggregate and the join both read it (use it for large batches). A batch
+    aggregate and the join both read it (use it for large batches). ``keep`` names
+    the columns that later steps read beside keys, times and outcomes: counters
+    need no payload, so none is written for them. A batch
     without ``row_id`` is always written: its rows are numbered as they arrive,
     and the numbers must not change when a lost task runs again.
     """
@@ -153,6 +186,12 @@ def ingest_batch(envelopes: DataFrame, as_of, cfg: IngestConfig | None = None,
     if "row_id" not in envelopes.columns:
         processed = processed.withColumn("_arrival", F.monotonically_increasing_id())
         checkpoint = True
+    if keep is not None:
+        spread = F.xxhash64("payload_text", "transaction_ref").alias("_spread")
+        needed = [KEY, "internal_id", "server_received_at", "ok", "row_id", "_arrival"]
+        if "row_id" not in processed.columns:  # equal times are ordered by the content
+            needed += ["source_system", "payload_text"]
+        processed = processed.select(*[c for c in processed.columns if c in {*needed, *keep}], spread)
     if checkpoint:  # parse once: both sides of the key join read the written batch
         processed = processed.checkpoint()
     return IngestResult(label_idempotent(processed, cfg.idempotency_ttl_secs, existing_keys))

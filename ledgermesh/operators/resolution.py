@@ -161,7 +161,8 @@ def resolve_manually(decisions: DataFrame, state: DataFrame, as_of, batch_id: st
                      parity: bool = False, queue: DataFrame | None = None) -> ResolutionOutcome:
     """RS-7: apply manual decisions (``transaction_ref, chosen_source,
     resolver_id`` [, ``reason``, ``decided_at``]). The last decision per ref
-    wins; PENDING/MATCHED and unknown refs are rejected; the chosen source is
+    by ``decided_at`` wins, of equal times the greatest by source, resolver and
+    reason; PENDING/MATCHED and unknown refs are rejected; the chosen source is
     not checked for presence (as in the reference)."""
     cols = decisions.columns
     d = decisions.select(
@@ -169,13 +170,12 @@ def resolve_manually(decisions: DataFrame, state: DataFrame, as_of, batch_id: st
         F.coalesce(F.col("chosen_source"), F.lit("")).alias("chosen_source"),
         F.coalesce(F.col("resolver_id"), F.lit("")).alias("resolver_id"),
         (F.col("reason") if "reason" in cols else F.lit("")).alias("reason"),
-        (F.col("decided_at").cast("timestamp_ntz") if "decided_at" in cols else as_ts(as_of)).alias("decided_at"),
-        F.monotonically_increasing_id().alias("_seq") if "decided_at" not in cols else F.lit(0).alias("_seq"))
+        (F.col("decided_at").cast("timestamp_ntz") if "decided_at" in cols else as_ts(as_of)).alias("decided_at"))
     missing = d.filter((F.col(REF) == "") | (F.col("chosen_source") == "") | (F.col("resolver_id") == "")).select(
         REF, F.lit("missing_field: transaction_ref, chosen_source and resolver_id are required").alias("reason"))
     valid = d.filter((F.col(REF) != "") & (F.col("chosen_source") != "") & (F.col("resolver_id") != ""))
     last = valid.groupBy(REF).agg(F.max_by(F.struct("chosen_source", "resolver_id", "reason"),
-                                           F.struct("decided_at", "_seq", "chosen_source")).alias("_d"))
+                                           F.struct("decided_at", "chosen_source", "resolver_id", "reason")).alias("_d"))
     j = last.join(state.select(REF, F.col("status").alias("old_status")), REF, "left")
     rejected = j.filter(~F.coalesce(F.col("old_status").isin(MISMATCHED, RESOLVED), F.lit(False))).select(
         REF, F.when(F.col("old_status").isNull(), F.lit("not_found: transaction not found"))
@@ -196,12 +196,23 @@ def resolve_manually(decisions: DataFrame, state: DataFrame, as_of, batch_id: st
 
 
 def golden_records(resolutions: DataFrame, records: DataFrame) -> DataFrame:
-    """RS-8: the chosen source's surviving record per resolved ref."""
-    latest = latest_per_source(records)
-    return resolutions.select(REF, "chosen_source", "resolution_type", "resolver_id").join(
-        latest.withColumnRenamed("source_system", "chosen_source"), [REF, "chosen_source"], "left"
-    ).select(REF, "chosen_source", "resolution_type", "resolver_id", "internal_id", "amount", "currency",
-             "server_received_at")
+    """RS-8: the chosen source's surviving record per resolved ref, with its payload
+    where the records carry one (``raw_payload`` or ``payload_text``)."""
+    mine = resolutions.select(REF, "chosen_source", "resolution_type", "resolver_id")
+    same = [F.col("chosen_source") == F.col("source_system")]
+    wanted = records.join(mine.select(F.col(REF).alias("_ref"), "chosen_source"),
+                          [F.col(REF) == F.col("_ref"), *same], "left_semi")
+    payload = [c for c in ("raw_payload", "payload_text") if c in records.columns]
+    latest = latest_per_source(wanted).withColumnRenamed("source_system", "chosen_source")
+    out = mine.join(latest, [REF, "chosen_source"], "left")
+    columns = [REF, "chosen_source", "resolution_type", "resolver_id", "internal_id", "amount", "currency",
+               "server_received_at"]
+    if payload:  # of equal records one; the payload is fetched for the records that survived
+        body = wanted.groupBy(F.col(REF).alias("_ref"), F.col("internal_id").alias("_id"),
+                              F.col("server_received_at").alias("_at")).agg(*[F.max(c).alias(c) for c in payload])
+        out = out.join(body, (F.col(REF) == F.col("_ref")) & F.col("internal_id").eqNullSafe(F.col("_id"))
+                       & F.col("server_received_at").eqNullSafe(F.col("_at")), "left")
+    return out.select(*columns, *payload)
 
 
 __all__ = ["parse_strategy", "pick", "present_sources", "auto_resolve", "resolve_manually",

@@ -152,13 +152,15 @@ class RetryRunOutcome:
 def run_retries(tables, queue: DataFrame, rules: MatchRules, as_of, policy: RetryPolicy | None = None,
                 auto: AutoResolveConfig | None = None, limit: int | None = None,
                 batch_id: str = "retry") -> RetryRunOutcome:
-    """RT-3/RT-4: one retry run over every due queue row."""
+    """RT-3/RT-4: one retry run over every due queue row. The retrigger's decisions
+    and the transitions are written once (to the checkpoint folder): queue, audit,
+    tables and resolutions all read them."""
     from ledgermesh.plans.batch import retrigger  # local import: plans depend on operators
     policy = policy or RetryPolicy()
     due = due_retries(queue, as_of, limit)
-    rt = retrigger(tables, due.select(REF), rules, as_of, batch_id=batch_id)
+    rt = retrigger(tables, due.select(REF), rules, as_of, batch_id=batch_id, materialize=True)
     outcome = rt.decisions.select(REF, "status")
-    moved = transition(due, outcome, as_of, policy)
+    moved = transition(due, outcome, as_of, policy).checkpoint()
     details = F.to_json(F.struct(F.col("attempt"), F.col("max_attempts"), F.col("engine_status_final")
                                  .alias("engine_status")))
     audit = A.events(moved.filter(F.col("event").isNotNull()), F.col("event"), F.lit(MISMATCHED),

@@ -113,10 +113,14 @@ def ag03_ref_counts(spark, sf_dir):
 from ledgermesh.operators import idempotency as IDM  # noqa: E402
 
 
-def _ingest(spark, sf_dir):
+def _ingest(spark, sf_dir, *keep):
+    """All columns, or keys, times, outcomes and ``keep`` only."""
     # checkpoint: the processed batch feeds both the per-key aggregate and the
     # join, so it is written once instead of parsing every payload twice
-    return IDM.ingest_batch(FX.f2_envelopes(spark, sf_dir), FX.F2_AS_OF, checkpoint=True)
+    return IDM.ingest_batch(FX.f2_envelopes(spark, sf_dir), FX.F2_AS_OF, checkpoint=True, keep=keep or None)
+
+
+_ERRORS = ("source_system", "error_stage", "error_reason")
 
 
 def tags_text(col="tags"):
@@ -134,7 +138,12 @@ SELECT row_id, transaction_ref, ok, error_stage, error_reason,
        CASE WHEN ok THEN payload_schema END payload_schema, CASE WHEN ok THEN tags_text END tags
 FROM lab""")
 def val_pipeline_outcome(spark, sf_dir):
-    lab = _ingest(spark, sf_dir).labelled
+    lab = _ingest(spark, sf_dir, M.REF, "error_stage", "error_reason", "amount", "currency", "record_timestamp",
+                  "payload_schema", "tags").labelled
+    return _outcomes(lab)
+
+
+def _outcomes(lab):
     ok = F.col("ok")
     return lab.select("row_id", "transaction_ref", "ok", "error_stage", "error_reason",
                       F.when(ok, F.col("amount")).alias("amount"), F.when(ok, F.col("currency")).alias("currency"),
@@ -146,7 +155,7 @@ def val_pipeline_outcome(spark, sf_dir):
 @register("idm01_idempotency_labels", f"""WITH {_PIPE}
 SELECT row_id, idempotency_key, idem_label, stored_internal_id FROM lab""")
 def idm01_idempotency_labels(spark, sf_dir):
-    return _ingest(spark, sf_dir).labelled.select("row_id", "idempotency_key", "idem_label", "stored_internal_id")
+    return _ingest(spark, sf_dir, "row_id").labelled.select("row_id", "idempotency_key", "idem_label", "stored_internal_id")
 
 
 @register("idm01_identical_resend", f"""WITH {_PIPE}
@@ -197,21 +206,23 @@ def snk02_dlq(spark, sf_dir):
 SELECT CAST(count(*) FILTER (WHERE idem_label <> 'failed') AS BIGINT) total_processed,
        CAST(count(*) FILTER (WHERE idem_label = 'failed') AS BIGINT) total_failed FROM lab""")
 def src09_ingest_summary(spark, sf_dir):
-    return _ingest(spark, sf_dir).summary()
+    return _ingest(spark, sf_dir, "row_id").summary()
 
 
 @register("mon03_validation_failures", f"""WITH {_PIPE}
 SELECT source_system, error_stage, error_reason, CAST(count(*) AS BIGINT) failures
 FROM lab WHERE idem_label = 'failed' GROUP BY ALL""")
 def mon03_validation_failures(spark, sf_dir):
-    return (_ingest(spark, sf_dir).dlq.groupBy("source_system", "error_stage", "error_reason")
+    failed = _ingest(spark, sf_dir, *_ERRORS).labelled.filter("idem_label = 'failed'")
+    return (failed.groupBy("source_system", "error_stage", "error_reason")
             .agg(F.count(F.lit(1)).alias("failures")))
 
 
 @register("ag05_dlq_depth", f"""WITH {_PIPE}
 SELECT source_system, CAST(count(*) AS BIGINT) depth FROM lab WHERE idem_label = 'failed' GROUP BY ALL""")
 def ag05_dlq_depth(spark, sf_dir):
-    return _ingest(spark, sf_dir).dlq.groupBy("source_system").agg(F.count(F.lit(1)).alias("depth"))
+    failed = _ingest(spark, sf_dir, "source_system").labelled.filter("idem_label = 'failed'")
+    return failed.groupBy("source_system").agg(F.count(F.lit(1)).alias("depth"))
 
 
 @register("mon04_duplicate_hits", f"""WITH {_PIPE}
@@ -219,7 +230,7 @@ SELECT source_system, CAST(count(*) FILTER (WHERE idem_label = 'duplicate') AS B
        CAST(count(*) FILTER (WHERE idem_label = 'ignored_after_ttl') AS BIGINT) ignored_after_ttl
 FROM lab GROUP BY ALL""")
 def mon04_duplicate_hits(spark, sf_dir):
-    return (_ingest(spark, sf_dir).labelled.groupBy("source_system")
+    return (_ingest(spark, sf_dir, "source_system").labelled.groupBy("source_system")
             .agg(F.count_if(F.col("idem_label") == "duplicate").alias("duplicate_hits"),
                  F.count_if(F.col("idem_label") == "ignored_after_ttl").alias("ignored_after_ttl")))
 
@@ -256,13 +267,13 @@ def sta01_two_pass_state(spark, sf_dir):
 
 @register("jn01_due_refs", f"{_TWO}\nSELECT transaction_ref FROM due2")
 def jn01_due_refs(spark, sf_dir):
-    p1, _ = SC.two_pass(spark, sf_dir)
+    p1 = SC.first_pass(spark, sf_dir)
     return ST.due_refs(FX.f1_records(spark, sf_dir), p1.tables.state, SC.PASS2_AS_OF, 30)
 
 
 @register("lm01_due_batch_top100", f"{_TWO}\nSELECT transaction_ref FROM due2 ORDER BY transaction_ref LIMIT 100")
 def lm01_due_batch_top100(spark, sf_dir):
-    p1, _ = SC.two_pass(spark, sf_dir)
+    p1 = SC.first_pass(spark, sf_dir)
     return ST.due_refs(FX.f1_records(spark, sf_dir), p1.tables.state, SC.PASS2_AS_OF, 30, limit=100)
 
 
@@ -421,14 +432,16 @@ def rs07_manual_resolution(spark, sf_dir):
 
 
 @register("rs08_golden_records", f"""{_F4},{_DECISIONS}
-SELECT m.transaction_ref, 'erp_system' chosen_source, l.internal_id, l.amount, l.currency
+SELECT m.transaction_ref, 'erp_system' chosen_source, l.internal_id, l.amount, l.currency,
+       '{{"id":"' || l.internal_id || '"}}' payload_text
 FROM man m JOIN latest4 l ON l.transaction_ref = m.transaction_ref AND l.source_system = 'erp_system'
 WHERE m.status IN ('MISMATCHED', 'RESOLVED')""")
 def rs08_golden_records(spark, sf_dir):
     t = SC.f4_tables(spark, sf_dir)
     res = RS.resolve_manually(SC.f4_decisions(t.state), t.state, SC.F4_AS_OF)
-    return RS.golden_records(res.resolutions, t.records).select(M.REF, "chosen_source", "internal_id", "amount",
-                                                                 "currency")
+    records = t.records.withColumn("payload_text", F.concat(F.lit('{"id":"'), "internal_id", F.lit('"}')))
+    return RS.golden_records(res.resolutions, records).select(M.REF, "chosen_source", "internal_id", "amount",
+                                                              "currency", "payload_text")
 
 
 @register("sta02_mark_resolved", f"""{_F4},{_DECISIONS}
@@ -589,7 +602,7 @@ SELECT time_bucket(INTERVAL '1 minute', server_received_at) window_start, source
        CAST(count(*) AS BIGINT) records, count(*) / 60.0 per_second
 FROM lab GROUP BY ALL""")
 def mon01_ingestion_rate(spark, sf_dir):
-    return MON.ingestion_rate(_ingest(spark, sf_dir).labelled).select(
+    return MON.ingestion_rate(_ingest(spark, sf_dir, "source_system").labelled).select(
         "window_start", "source_system", "status", "records", "per_second")
 
 
@@ -598,7 +611,7 @@ SELECT time_bucket(INTERVAL '1 minute', server_received_at) window_start, CAST(c
        CAST(count(*) FILTER (WHERE idem_label = 'failed') AS BIGINT) failed
 FROM lab GROUP BY ALL""")
 def mon02_error_rate(spark, sf_dir):
-    return MON.error_rate(_ingest(spark, sf_dir).labelled)
+    return MON.error_rate(_ingest(spark, sf_dir, "row_id").labelled)
 
 
 _BOUNDS = MON.PAYLOAD_BUCKETS
@@ -713,10 +726,23 @@ def src07_new_watermark(spark, sf_dir):
 
 @register("src08_db_rows_to_envelopes", """
 SELECT CAST(o_orderkey AS VARCHAR) transaction_ref, 'db_poll' adapter_type, 'db_row.v1' payload_schema,
-       'erp_db' source_system FROM orders""")
+       'erp_db' source_system, CAST(o_orderkey AS VARCHAR) payload_ref, o_orderstatus payload_status,
+       CASE WHEN o_orderkey % 3 = 0 THEN 'id-' || o_orderkey END own_key,
+       CAST(CASE WHEN o_orderkey % 5 = 0 THEN 2 ELSE 1 END AS BIGINT) n,
+       CAST(CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 3 <> 0 THEN 2 ELSE 1 END AS BIGINT) keys FROM orders""")
 def src08_db_rows_to_envelopes(spark, sf_dir):
-    env = DB.pick_key(_orders_as_db_table(spark, sf_dir), "erp_db")
-    return env.select("transaction_ref", "adapter_type", "payload_schema", "source_system")
+    """A third of the rows bring an id, a fifth come twice: equal rows without an id
+    have keys of their own."""
+    rows = _orders_as_db_table(spark, sf_dir).withColumn("id", F.when(
+        F.col("order_id") % 3 == 0, F.concat(F.lit("id-"), F.col("order_id").cast("string"))))
+    twice = rows.withColumn("_n", F.explode(F.when(F.col("order_id") % 5 == 0, F.array(F.lit(1), F.lit(2)))
+                                            .otherwise(F.array(F.lit(1))))).drop("_n")
+    env = DB.pick_key(twice, "erp_db")
+    own = F.when(F.col("idempotency_key").startswith("id-"), F.col("idempotency_key"))
+    field = lambda name: F.get_json_object("payload_text", f"$.{name}")
+    return env.groupBy("transaction_ref", "adapter_type", "payload_schema", "source_system",
+                       field("order_id").alias("payload_ref"), field("status").alias("payload_status"),
+                       own.alias("own_key")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("idempotency_key").alias("keys"))
 
 
 from ledgermesh.sources import (csv_lines_to_envelopes, explode_bodies, from_kafka,  # noqa: E402
@@ -779,6 +805,68 @@ def src02_csv_lines(spark, sf_dir):
                       F.get_json_object("payload_text", "$.note").alias("note"))
 
 
+def _order_files(spark, sf_dir, kind):
+    """The orders as 16 CSV (or NDJSON) files in the checkpoint folder: their path."""
+    import uuid
+    from ledgermesh.session import ensure_checkpoint_dir
+    k = F.col("o_orderkey").cast("string")
+    price = F.col("o_totalprice").cast("decimal(12,2)").cast("string")
+    o = FX.table(spark, sf_dir, "orders").withColumn("file", (F.col("o_orderkey") % 16).cast("int"))
+    key, ref, even = F.concat(F.lit("key-"), k), F.concat(F.lit("ORD-"), k), F.col("file") % 2 == 0
+    if kind == "csv":  # headers differ by file; every seventh note spans lines, every eleventh row is a header again
+        heads = F.when(even, F.lit("Idempotency_Key, Amount ,transaction_ref,note")).otherwise(
+            F.lit("amount,transaction_ref,idempotency_key,Note,more"))
+        note = F.when(F.col("o_orderkey") % 7 == 0, F.lit('"two\nlines, ""quoted"""')).otherwise(F.lit("plain"))
+        value = F.when(even, F.concat_ws(",", key, price, ref, note)).otherwise(F.concat_ws(",", price, ref, key, note))
+        value = F.when(F.col("o_orderkey") % 11 == 0, F.concat(value, F.lit("\n"), heads)).otherwise(value)
+        first = o.select("file").distinct().select("file", F.lit(-1).cast("long").alias("at"), heads.alias("value"))
+        rows = first.unionByName(o.select("file", F.col("o_orderkey").alias("at"), value.alias("value")))
+    else:
+        line = F.concat(F.lit('{"idempotency_key":"'), key, F.lit('","transaction_ref":"'), ref, F.lit('"}'))
+        rows = o.select("file", F.col("o_orderkey").alias("at"), line.alias("value"))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+    rows.repartition("file").sortWithinPartitions("file", "at").select("file", "value").write.partitionBy("file").text(path)
+    return path
+
+
+@register("src02_csv_files", """
+SELECT 'ORD-' || o_orderkey transaction_ref, 'key-' || o_orderkey idempotency_key,
+       CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS VARCHAR) amount,
+       CASE WHEN o_orderkey % 7 = 0 THEN 'two' || chr(10) || 'lines, "quoted"' ELSE 'plain' END note,
+       CAST(1 AS BIGINT) n FROM orders
+UNION ALL
+SELECT 'transaction_ref', CASE WHEN o_orderkey % 2 = 0 THEN 'Idempotency_Key' ELSE 'idempotency_key' END,
+       CASE WHEN o_orderkey % 2 = 0 THEN 'Amount ' ELSE 'amount' END, CASE WHEN o_orderkey % 2 = 0 THEN 'note' ELSE 'Note' END,
+       CAST(count(*) AS BIGINT) FROM orders WHERE o_orderkey % 11 = 0 GROUP BY ALL""")
+def src02_csv_files(spark, sf_dir):
+    """Files with their own headers, quoted line ends and data rows that equal the header."""
+    from ledgermesh.sources import read_csv
+    env = read_csv(spark, _order_files(spark, sf_dir, "csv"), "feed")
+    field = lambda name: F.get_json_object("payload_text", f"$.{name}")
+    return env.groupBy(M.REF, "idempotency_key", field("amount").alias("amount"), field("note").alias("note")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@register("src03_route_files", """
+SELECT 'ORD-' || o_orderkey transaction_ref, 'key-' || o_orderkey idempotency_key, 'file' adapter_type, 'erp' source_system,
+       payload_schema FROM orders, (VALUES ('csv.v1'), (NULL)) t(payload_schema)""")
+def src03_route_files(spark, sf_dir):
+    """One folder with the orders as CSV and as NDJSON files, and a file of another
+    kind that is not read."""
+    import uuid
+    from ledgermesh.session import ensure_checkpoint_dir
+    from ledgermesh.sources import route_files
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/route-{uuid.uuid4().hex}"
+    k = F.col("o_orderkey").cast("string")
+    o = FX.table(spark, sf_dir, "orders")
+    csv = [F.concat(F.lit("key-"), k).alias("idempotency_key"), F.concat(F.lit("ORD-"), k).alias("transaction_ref")]
+    line = F.concat(F.lit('{"idempotency_key":"key-'), k, F.lit('","transaction_ref":"ORD-'), k, F.lit('"}'))
+    o.select(*csv).write.option("header", "true").csv(f"{folder}/a.csv")
+    o.select(line.alias("value")).write.text(f"{folder}/b.ndjson")
+    o.select(line.alias("value")).write.text(f"{folder}/c.log")
+    return route_files(spark, folder, "erp").select(M.REF, "idempotency_key", "adapter_type", "source_system", "payload_schema")
+
+
 @register("src04_webhook_bodies", f"""WITH {_LANDED}
 SELECT transaction_ref, 'feed' source_system, 'webhook' adapter_type, own_key,
        CAST(count(*) AS BIGINT) n, CAST(if(own_key IS NULL, count(*), 1) AS BIGINT) keys
@@ -818,7 +906,7 @@ UNION ALL
 SELECT internal_id, idempotency_key FROM new WHERE idempotency_key NOT IN (SELECT idempotency_key FROM base)
 QUALIFY row_number() OVER (PARTITION BY idempotency_key ORDER BY server_received_at, internal_id) = 1""")
 def snk01_write_records_dedup(spark, sf_dir):
-    lab = _ingest(spark, sf_dir).labelled
+    lab = _ingest(spark, sf_dir, "adapter_type").labelled
     base = lab.filter((F.col("idem_label") == "stored") & (F.col("adapter_type") == "file")).select("internal_id", "idempotency_key")
     # filter on the label (computed after the key join), not on ``ok``: a
     # filter on ``ok`` would be pushed into the pipeline projections
@@ -834,19 +922,31 @@ def lm06_dlq_replay_batch(spark, sf_dir):
     return V.dlq_replay_batch(_ingest(spark, sf_dir).dlq, 3, limit=100).select("idempotency_key", "error_reason")
 
 
+_REPLAY_AS_OF = dt.datetime(2999, 1, 2)
+
+
 @register("rt05_dlq_replay", f"""WITH {_PIPE}
-SELECT error_reason, CAST(count(*) AS BIGINT) n, CAST(1 AS INTEGER) retry_count FROM lab
-WHERE idem_label = 'failed' GROUP BY 1""")
+SELECT 'remaining' outcome, error_reason, CAST(count(*) AS BIGINT) n, CAST(1 AS INTEGER) retry_count FROM lab
+WHERE idem_label = 'failed' AND error_reason <> 'future_timestamp' GROUP BY ALL
+UNION ALL
+SELECT 'recovered', 'future_timestamp', CAST(count(DISTINCT idempotency_key) AS BIGINT), 0 FROM lab
+WHERE idem_label = 'failed' AND error_reason = 'future_timestamp'
+HAVING count(*) > 0""")
 def rt05_dlq_replay(spark, sf_dir):
-    recovered, remaining = IDM.dlq_replay(_ingest(spark, sf_dir).dlq, FX.F2_AS_OF)
-    return remaining.groupBy("error_reason").agg(F.count(F.lit(1)).alias("n"), F.max("retry_count").alias("retry_count"))
+    """By the time of the replay the records from the future are no longer ahead:
+    one of each key recovers, its copies are duplicates."""
+    recovered, remaining = IDM.dlq_replay(_ingest(spark, sf_dir).dlq, _REPLAY_AS_OF)
+    kept = remaining.groupBy(F.lit("remaining").alias("outcome"), "error_reason").agg(
+        F.count(F.lit(1)).alias("n"), F.max("retry_count").alias("retry_count"))
+    return kept.unionByName(recovered.groupBy(F.lit("recovered").alias("outcome"), F.lit("future_timestamp").alias("error_reason"))
+                            .agg(F.count(F.lit(1)).alias("n"), F.lit(0).alias("retry_count")))
 
 
 @register("idm03_purge_expired", f"""WITH {_PIPE}
 SELECT idempotency_key FROM lab WHERE idem_label = 'stored'
   AND server_received_at + INTERVAL 86400 SECOND > TIMESTAMP '1998-01-01 00:00:00'""")
 def idm03_purge_expired(spark, sf_dir):
-    idem = IDM.idempotency_table(_ingest(spark, sf_dir).labelled)
+    idem = IDM.idempotency_table(_ingest(spark, sf_dir, "source_system").labelled)
     return IDM.purge_expired(idem, dt.datetime(1998, 1, 1)).select("idempotency_key")
 
 
@@ -922,3 +1022,156 @@ def rs06_queue_after_auto_resolve(spark, sf_dir):
     out = RS.auto_resolve(refs, t.state, t.records, t.details, SC.F4_AS_OF, strategy="latest_record",
                           queue=SC.f4_queue(t.state))
     return out.queue.select(M.REF, "status", "attempt_count")
+
+
+# ── operators without a query of their own so far ─────────────────────────
+from ledgermesh.config import IngestConfig  # noqa: E402
+from ledgermesh.operators import due as DUE  # noqa: E402
+
+
+_PIPE_V = O.pipeline_sql(FX.F2_AS_OF, src="f2v")
+_SMALL_PAYLOAD = 115
+
+
+@register("nrm_payload_variants", f"""WITH {_PIPE_V}
+SELECT row_id, transaction_ref, ok, error_stage, error_reason,
+       CASE WHEN ok THEN amount END amount, CASE WHEN ok THEN currency END currency,
+       CASE WHEN ok THEN record_timestamp END record_timestamp,
+       CASE WHEN ok THEN payload_schema END payload_schema, CASE WHEN ok THEN tags_text END tags
+FROM lab""")
+def nrm_payload_variants(spark, sf_dir):
+    """NRM-1 (no payload), NRM-7 (extra fields that clash with tags) and NRM-8 (the
+    ref in the payload only)."""
+    return _outcomes(IDM.ingest_batch(FX.f2_variants(spark, sf_dir), FX.F2_AS_OF, checkpoint=True).labelled)
+
+
+@register("val05_payload_too_large", f"""WITH {O.pipeline_sql(FX.F2_AS_OF, max_payload=_SMALL_PAYLOAD)}
+SELECT error_stage, error_reason, CAST(count(*) AS BIGINT) n FROM lab GROUP BY ALL""")
+def val05_payload_too_large(spark, sf_dir):
+    cfg = IngestConfig(max_payload_bytes=_SMALL_PAYLOAD)
+    lab = IDM.ingest_batch(FX.f2_envelopes(spark, sf_dir), FX.F2_AS_OF, cfg, checkpoint=True, keep=_ERRORS).labelled
+    return lab.groupBy("error_stage", "error_reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+_NO_AMOUNT = """, f1n AS (SELECT * REPLACE (CASE WHEN CAST(substr(transaction_ref, 5) AS BIGINT) % 3 = 0 THEN NULL
+  ELSE amount END AS amount) FROM f1)"""
+
+
+@register("mt08_no_amounts", O.state_report_sql(O.F1_CTE + _NO_AMOUNT, "f1n", F1_EXACT, FX.F1_AS_OF))
+def mt08_no_amounts(spark, sf_dir):
+    recs = FX.f1_records(spark, sf_dir)
+    return state_report(M.reconcile(recs.withColumn("amount", F.when(SC.order_key() % 3 != 0, F.col("amount"))),
+                                    F1_EXACT, FX.F1_AS_OF))
+
+
+@register("mt13_audit_payloads", f"""WITH {O.F1_CTE},
+{O.latest_sql('f1')},
+{O.decisions_sql(F1_RULES, FX.F1_AS_OF)},
+{O.status_sql(F1_RULES)}
+SELECT d.transaction_ref, d.status, CASE WHEN d.status <> 'MATCHED' THEN d.reason END reason,
+  CASE WHEN d.status = 'MATCHED' THEN d.first_currency END currency,
+  CASE WHEN d.status = 'MATCHED' THEN CAST(d.ref_amount AS VARCHAR) END reference_amount,
+  CASE WHEN d.status = 'PENDING' THEN CAST(d.source_count AS VARCHAR) END record_count,
+  CASE WHEN d.status <> 'PENDING' THEN string_agg(f.source_system || '=' || CAST(f.amount AS VARCHAR)
+    || CASE WHEN d.status = 'MATCHED' THEN '' ELSE ':' || CAST(f.flagged AS VARCHAR) END, ',' ORDER BY f.pos) END sources
+FROM dec d JOIN flags f USING (transaction_ref)
+GROUP BY d.transaction_ref, d.status, d.reason, d.first_currency, d.ref_amount, d.source_count""")
+def mt13_audit_payloads(spark, sf_dir):
+    rec = M.reconcile(FX.f1_records(spark, sf_dir), F1_RULES, FX.F1_AS_OF)
+    field = lambda name: F.get_json_object("details", f"$.{name}")
+    sources = F.from_json(field("sources"), "array<struct<amount:string,system:string,discrepancy:boolean>>")
+    text = F.transform(sources, lambda r: F.concat(r["system"], F.lit("="), r["amount"], F.coalesce(
+        F.concat(F.lit(":"), r["discrepancy"].cast("string")), F.lit(""))))
+    return rec.audit_details().select(
+        M.REF, field("outcome").alias("status"), field("reason").alias("reason"), field("currency").alias("currency"),
+        field("reference_amount").alias("reference_amount"), field("record_count").alias("record_count"),
+        F.array_join(text, ",").alias("sources"))
+
+
+@register("snk04_upsert_details", f"""{_TWO}
+SELECT f.transaction_ref, f.source_system system_name, f.internal_id, f.amount, f.flagged discrepancy_found
+FROM flags1 f JOIN dec1 d USING (transaction_ref) LEFT JOIN dec2 n USING (transaction_ref)
+WHERE d.status <> 'PENDING' AND n.transaction_ref IS NULL
+UNION ALL
+SELECT f.transaction_ref, f.source_system, f.internal_id, f.amount, f.flagged
+FROM flags2 f JOIN dec2 d USING (transaction_ref) WHERE d.status <> 'PENDING'""")
+def snk04_upsert_details(spark, sf_dir):
+    _, p2 = SC.two_pass(spark, sf_dir)
+    return p2.tables.details.select(M.REF, "system_name", "internal_id", "amount", "discrepancy_found")
+
+
+_RUN = f"""WITH {O.F1_CTE}, {O.FIX_CTE},
+{O.f4_sql(SC.RULES, SC.F4_AS_OF)},
+due AS (SELECT * FROM q4 WHERE status = 'PENDING' AND next_retry_at <= {_NOW4}),
+r5 AS (SELECT * FROM f1x WHERE transaction_ref IN (SELECT transaction_ref FROM due)),
+{O.latest_sql('r5', '5')},
+{O.decisions_sql(SC.RULES, SC.RETRY_AS_OF, '5')},
+{O.status_sql(SC.RULES, '5')},
+tr AS (SELECT q.transaction_ref, q.attempt_count + 1 attempt, d.status es,
+         d.status IN ('MATCHED', 'RESOLVED') done, d.status = 'MISMATCHED' AND q.attempt_count + 1 >= q.max_attempts exhaust
+       FROM due q LEFT JOIN dec5 d USING (transaction_ref))"""
+
+
+def _retry_run(spark, sf_dir, auto=None):
+    t = SC.f4_tables(spark, sf_dir)
+    recs = t.records.unionByName(SC.corrections(spark, sf_dir), allowMissingColumns=True)
+    return RT.run_retries(ReconTables(recs, t.state, t.details, t.audit), SC.f4_queue(t.state), SC.RULES,
+                          SC.RETRY_AS_OF, RetryPolicy(), auto)
+
+
+@register("snk07_queue_after_run", f"""{_RUN}
+SELECT q.transaction_ref, CASE WHEN done THEN 'RESOLVED' WHEN exhaust THEN 'EXHAUSTED' ELSE q.status END status,
+  CAST(CASE WHEN es IS NULL AND attempt IS NULL OR done OR exhaust THEN attempt_count ELSE attempt END AS INTEGER) attempt_count,
+  CASE WHEN attempt IS NULL OR done OR exhaust THEN next_retry_at
+       ELSE {_NOW4} + to_seconds(CAST(least(60 * pow(2, attempt - 1), 3600) AS BIGINT)) END next_retry_at
+FROM q4 q LEFT JOIN tr USING (transaction_ref)""")
+def snk07_queue_after_run(spark, sf_dir):
+    return _retry_run(spark, sf_dir).queue.select(M.REF, "status", "attempt_count", "next_retry_at")
+
+
+@register("rt04_auto_apply_exhausted", f"""{_RUN},
+win AS (SELECT transaction_ref, arg_max(source_system, (server_received_at, internal_id)) chosen FROM f1x GROUP BY 1)
+SELECT q.transaction_ref, CASE WHEN done OR exhaust THEN 'RESOLVED' ELSE q.status END queue_status,
+  CASE WHEN exhaust THEN 'RESOLVED' ELSE coalesce(tr.es, 'MISMATCHED') END state_status,
+  CASE WHEN exhaust THEN w.chosen END chosen_source, CASE WHEN exhaust THEN 'system:retry_worker' END resolver_id
+FROM q4 q LEFT JOIN tr USING (transaction_ref) LEFT JOIN win w USING (transaction_ref)""")
+def rt04_auto_apply_exhausted(spark, sf_dir):
+    out = _retry_run(spark, sf_dir, AutoResolveConfig(auto_apply_on_exhaustion=True, default_strategy="latest_record"))
+    return (out.queue.select(M.REF, F.col("status").alias("queue_status"))
+            .join(out.tables.state.select(M.REF, F.col("status").alias("state_status")), M.REF)
+            .join(out.resolutions.select(M.REF, "chosen_source", "resolver_id"), M.REF, "left"))
+
+
+@register("mon09_auto_resolutions_per_minute", f"""{_F4}
+SELECT {_NOW4} window_start, 'latest_record' strategy,
+       CASE WHEN status IN ('MISMATCHED', 'RESOLVED') THEN 'success' ELSE 'failed' END outcome,
+       CAST(count(*) AS BIGINT) resolutions FROM dec4 GROUP BY ALL""")
+def mon09_auto_resolutions_per_minute(spark, sf_dir):
+    t = SC.f4_tables(spark, sf_dir)
+    out = RS.auto_resolve(t.state.select(M.REF), t.state, t.records, t.details, SC.F4_AS_OF, strategy="latest_record")
+    return MON.auto_resolutions_per_minute(out.resolutions, out.rejections, "latest_record", SC.F4_AS_OF)
+
+
+_DUE_TIMEOUT = 30 * 365 * 24 * 3600
+
+
+@register("jn01_due_calendar", f"""{_TWO},
+old AS (SELECT transaction_ref FROM f1 GROUP BY 1
+        HAVING min(server_received_at) <= {O.ts_lit(SC.PASS2_AS_OF)} - INTERVAL {_DUE_TIMEOUT} SECOND)
+SELECT transaction_ref FROM due2
+UNION
+SELECT transaction_ref FROM s1 JOIN old USING (transaction_ref) WHERE s1.status = 'PENDING'""")
+def jn01_due_calendar(spark, sf_dir):
+    """Due refs, pending timeouts included, from the calendar that pass 1 wrote, the
+    state and the records that landed since; the record history is not read."""
+    p1 = SC.first_pass(spark, sf_dir)
+    all_records = FX.f1_records(spark, sf_dir)
+    late = SC.late_records(all_records)
+    state = p1.tables.state
+    calendar = DUE.retry_entries(state, 30).unionByName(
+        DUE.timeout_entries(SC.pass1_records(all_records), _DUE_TIMEOUT)).checkpoint()
+    called = DUE.due_now(calendar, SC.PASS2_AS_OF)
+    limit = SC.PASS2_AS_OF - dt.timedelta(seconds=_DUE_TIMEOUT)
+    waiting = called.filter(F.col("kind") == DUE.TIMEOUT).select(M.REF).unionByName(
+        late.filter(F.col("server_received_at") <= F.lit(limit).cast("timestamp_ntz")).select(M.REF))
+    return ST.due_refs(late, state, SC.PASS2_AS_OF, 30, landed=late, waiting=waiting, pending_timeout_secs=_DUE_TIMEOUT)

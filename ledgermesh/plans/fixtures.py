@@ -33,26 +33,27 @@ def f1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_totalprice").cast(AMOUNT_SQL).alias("p"),
         F.col("o_orderdate").alias("d"))
     k, p, d = F.col("k"), F.col("p"), F.col("d")
-    ref = F.concat(F.lit("ORD-"), k.cast("string"))
 
     def dec(x):
         return F.lit(x).cast(AMOUNT_SQL)
 
-    def rows(frame, source, prefix, amount, currency, ts):
-        return frame.select(ref.alias("transaction_ref"), F.lit(source).alias("source_system"),
-                            F.concat(F.lit(prefix), k.cast("string")).alias("internal_id"),
-                            amount.cast(AMOUNT_SQL).alias("amount"), currency.alias("currency"),
-                            ts.cast("timestamp_ntz").alias("server_received_at"))
-
-    erp = rows(o, "erp_system", "erp-", p, F.lit("USD"), d)
-    ven = rows(o.filter(k % 10 != 9), "vendor_portal", "ven-",
-               F.when(k % 7 == 0, p + dec("0.03")).when(k % 7 == 1, p + dec("250")).otherwise(p),
-               F.when(k % 97 == 0, F.lit("EUR")).otherwise(F.lit("USD")), _secs(d, 60))
-    ven0 = rows(o.filter((k % 13 == 0) & (k % 10 != 9)), "vendor_portal", "ven0-",
-                p + dec("999"), F.lit("USD"), _secs(d, 30))
-    pay = rows(o.filter((k % 10).isin(0, 1, 2, 3, 4, 5)), "payment_gateway", "pay-",
-               F.when(k % 11 == 0, p - dec("99.99")).otherwise(p), F.lit("USD"), _secs(d, 120))
-    return erp.unionByName(ven).unionByName(ven0).unionByName(pay)
+    def row(when, source, prefix, amount, currency, ts):
+        made = F.struct(F.lit(source).alias("source_system"),
+                        F.concat(F.lit(prefix), k.cast("string")).alias("internal_id"),
+                        amount.cast(AMOUNT_SQL).alias("amount"), currency.alias("currency"),
+                        ts.cast("timestamp_ntz").alias("server_received_at"))
+        return made if when is None else F.when(when, made)
+
+    rows = F.array(  # one scan of the orders; a source that does not report an order is null
+        row(None, "erp_system", "erp-", p, F.lit("USD"), d),
+        row(k % 10 != 9, "vendor_portal", "ven-",
+            F.when(k % 7 == 0, p + dec("0.03")).when(k % 7 == 1, p + dec("250")).otherwise(p),
+            F.when(k % 97 == 0, F.lit("EUR")).otherwise(F.lit("USD")), _secs(d, 60)),
+        row((k % 13 == 0) & (k % 10 != 9), "vendor_portal", "ven0-", p + dec("999"), F.lit("USD"), _secs(d, 30)),
+        row((k % 10).isin(0, 1, 2, 3, 4, 5), "payment_gateway", "pay-",
+            F.when(k % 11 == 0, p - dec("99.99")).otherwise(p), F.lit("USD"), _secs(d, 120)))
+    return (o.select("k", F.explode(rows).alias("r")).filter("r is not null")
+            .select(F.concat(F.lit("ORD-"), F.col("k").cast("string")).alias("transaction_ref"), "r.*"))
 
 
 def f3_event_records(spark: SparkSession, sf_dir: str, null_every: int | None = None) -> DataFrame:
@@ -79,6 +80,7 @@ F2_RULES = (
     (151, "yday"), (157, "future"),
 )
 F2_COPIES = ((0, 0, None), (1, 3600, 19), (2, 90000, 17))  # (copy, +seconds, when k % n == 0)
+F2_CONFLICT = 7  # copies of these orders name another schema in their payload
 
 
 def f2_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,13 +118,27 @@ def f2_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("source_system"),
         F.when(k % 2 == 0, F.lit("file")).otherwise(F.lit("webhook")).alias("adapter_type"),
         payload.alias("payload_text"))
-    parts = []
-    for copy, secs, every in F2_COPIES:
-        part = base if every is None else base.filter(k % every == 0)
-        parts.append(part.select(
-            (k * 10 + copy).alias("row_id"), "idempotency_key", "transaction_ref", "source_system",
-            "adapter_type", "payload_text", _secs(F.col("d"), secs).cast("timestamp_ntz").alias("server_received_at")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    again = F.when(k % F2_CONFLICT == 0, F.replace("payload_text", F.lit("invoice.v1"), F.lit("invoice.v2"))) \
+        .otherwise(F.col("payload_text"))
+    copies = [F.struct((k * 10 + copy).alias("row_id"), _secs(F.col("d"), secs).cast("timestamp_ntz").alias("at"),
+                       (again if copy else F.col("payload_text")).alias("payload_text"))
+              for copy, secs, _ in F2_COPIES]
+    sent = F.array(*[c if every is None else F.when(k % every == 0, c)
+                     for c, (_, _, every) in zip(copies, F2_COPIES, strict=True)])
+    return base.withColumn("c", F.explode(sent)).filter("c is not null").select(
+        "c.row_id", "idempotency_key", "transaction_ref", "source_system", "adapter_type", "c.payload_text",
+        F.col("c.at").alias("server_received_at"))
+
+
+def f2_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F2 with other bodies: none at all (k % 5 = 0), the ref in the payload only
+    (k % 3 = 1), or extra fields that clash with tags the pipeline sets."""
+    f2 = f2_envelopes(spark, sf_dir)
+    k = F.floor(F.col("row_id") / 10)
+    empty, inside = k % 5 == 0, k % 3 == 1
+    head = F.concat(F.lit('{"transaction_ref":"PAY-'), k.cast("string"), F.lit('",'))
+    clash = F.lit('"extra":{"adapter_type":"other","region":"IN"}')
+    text = F.replace(F.col("payload_text"), F.lit('"extra":{"region":"IN"}'), clash)
+    return f2.withColumn("payload_text", F.when(empty, F.lit("")).when(
+        inside, F.regexp_replace("payload_text", r"^\{", head)).otherwise(text)).withColumn(
+        "transaction_ref", F.when(inside, F.lit("")).otherwise(F.col("transaction_ref")))

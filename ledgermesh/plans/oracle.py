@@ -153,7 +153,7 @@ SELECT transaction_ref, status, reason, CAST(record_count AS BIGINT) record_coun
        CASE WHEN status = 'MATCHED' THEN all_sorted ELSE '' END matched_sources,
        CASE WHEN status = 'MISMATCHED' THEN coalesce(flagged_sorted, '') ELSE '' END mismatched_sources,
        CASE WHEN status = 'MATCHED' THEN ref_amount END reference_amount,
-       CASE WHEN status = 'MATCHED' THEN first_currency END currency
+       CASE WHEN status = 'MATCHED' AND ref_amount IS NOT NULL THEN first_currency END currency
 FROM dec"""
 
 
@@ -252,21 +252,35 @@ f2 AS (
   SELECT k * 10 row_id, idempotency_key, transaction_ref, source_system, adapter_type, payload_text,
          CAST(d AS TIMESTAMP) server_received_at FROM f2_b
   UNION ALL
-  SELECT k * 10 + 1, idempotency_key, transaction_ref, source_system, adapter_type, payload_text,
-         d + INTERVAL 3600 SECOND FROM f2_b WHERE k % 19 = 0
+  SELECT k * 10 + 1, idempotency_key, transaction_ref, source_system, adapter_type,
+         CASE WHEN k % 7 = 0 THEN replace(payload_text, 'invoice.v1', 'invoice.v2') ELSE payload_text END, d + INTERVAL 3600 SECOND FROM f2_b WHERE k % 19 = 0
   UNION ALL
-  SELECT k * 10 + 2, idempotency_key, transaction_ref, source_system, adapter_type, payload_text,
-         d + INTERVAL 90000 SECOND FROM f2_b WHERE k % 17 = 0
+  SELECT k * 10 + 2, idempotency_key, transaction_ref, source_system, adapter_type,
+         CASE WHEN k % 7 = 0 THEN replace(payload_text, 'invoice.v1', 'invoice.v2') ELSE payload_text END, d + INTERVAL 90000 SECOND FROM f2_b WHERE k % 17 = 0
 )"""
 
 
-def pipeline_sql(as_of, ttl_secs: int = 86400) -> str:
+F2_VARIANTS = r""",
+f2v AS (
+  SELECT * REPLACE (
+    CASE WHEN row_id // 10 % 3 = 1 THEN '' ELSE transaction_ref END AS transaction_ref,
+    CASE WHEN row_id // 10 % 5 = 0 THEN ''
+         WHEN row_id // 10 % 3 = 1 THEN regexp_replace(payload_text, '^\{',
+           '{"transaction_ref":"PAY-' || CAST(row_id // 10 AS VARCHAR) || '",')
+         ELSE replace(payload_text, '"extra":{"region":"IN"}', '"extra":{"adapter_type":"other","region":"IN"}')
+    END AS payload_text) FROM f2)"""
+
+
+def pipeline_sql(as_of, ttl_secs: int = 86400, src: str = "f2", max_payload: int = 33554432) -> str:
     """CTEs ``pv`` (every row with its first error) and ``lab`` (idempotency label)."""
-    return F2_CTE + rf""",
+    return F2_CTE + (F2_VARIANTS if src == "f2v" else "") + rf""",
 p0 AS (
-  SELECT f2.*, CASE WHEN json_valid(payload_text) THEN json_type(payload_text) = 'OBJECT' ELSE false END is_obj,
+  SELECT v.* REPLACE (coalesce(nullif(v.transaction_ref, ''),
+      CASE WHEN json_valid(payload_text) AND json_type(payload_text) = 'OBJECT'
+           THEN nullif(json_extract_string(payload_text, '$.transaction_ref'), '') END, '') AS transaction_ref),
+    CASE WHEN json_valid(payload_text) THEN json_type(payload_text) = 'OBJECT' ELSE false END is_obj,
          length(payload_text) > 0 non_empty
-  FROM f2),
+  FROM {src} v),
 p1 AS (
   SELECT *,
     CASE WHEN is_obj THEN nullif(json_extract_string(payload_text, '$.amount'), '') END amount_text,
@@ -292,7 +306,7 @@ pv AS (
     CASE WHEN amount_err IS NULL THEN amount0 END amount,
     CASE WHEN idempotency_key = '' OR transaction_ref = '' OR source_system = '' THEN 'missing_field'
          WHEN NOT regexp_full_match(transaction_ref, '[\x20-\x7E]+') THEN 'invalid_format'
-         WHEN octet_length(encode(payload_text)) > 33554432 THEN 'payload_too_large'
+         WHEN octet_length(encode(payload_text)) > {max_payload} THEN 'payload_too_large'
          WHEN amount_err IS NOT NULL THEN amount_err
          WHEN currency IS NOT NULL AND currency <> ''
               AND currency NOT IN ('INR','USD','EUR','GBP','JPY','AUD','CAD','CHF','CNY','SGD','AED','MYR')

@@ -29,17 +29,28 @@ def order_key(ref="transaction_ref"):
     return F.substring(F.col(ref), 5, 32).try_cast("bigint")
 
 
-def pass1_records(records):
+def _late():
     k4 = order_key() % 4
-    late = ((F.col("source_system") != "erp_system") & (k4 == 0)) | \
+    return ((F.col("source_system") != "erp_system") & (k4 == 0)) | \
            ((F.col("source_system") == "payment_gateway") & (k4 == 1))
-    return records.filter(~late)
+
+
+def pass1_records(records):
+    return records.filter(~_late())
+
+
+def late_records(records):
+    return records.filter(_late())
+
+
+def first_pass(spark, sf_dir):
+    t0 = ReconTables.fresh(spark, pass1_records(FX.f1_records(spark, sf_dir)))
+    return reconcile_batch(t0, RULES, PASS1_AS_OF, batch_id="pass1", materialize=True)
 
 
 def two_pass(spark, sf_dir):
     recs = FX.f1_records(spark, sf_dir)
-    t0 = ReconTables.fresh(spark, pass1_records(recs))
-    p1 = reconcile_batch(t0, RULES, PASS1_AS_OF, batch_id="pass1", materialize=True)
+    p1 = first_pass(spark, sf_dir)
     t1 = ReconTables(recs, p1.tables.state, p1.tables.details, p1.tables.audit)
     p2 = reconcile_batch(t1, RULES, PASS2_AS_OF, batch_id="pass2", materialize=True)
     return p1, p2

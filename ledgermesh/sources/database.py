@@ -11,7 +11,9 @@ import datetime as dt
 from pyspark.sql import DataFrame, functions as F
 
 from ledgermesh.functions.times import as_ts
+from ledgermesh.sources.files import with_keys
 
+# The columns that may hold a row's reference or key, in this order.
 REF_COLUMNS = ("transaction_ref", "ref", "reference_id", "order_id", "invoice_id")
 KEY_COLUMNS = ("idempotency_key", "id")
 FIRST_POLL_LOOKBACK = dt.timedelta(hours=24)
@@ -33,17 +35,19 @@ def read_incremental(table: DataFrame, watermark_col: str = "updated_at", since=
 def pick_key(rows: DataFrame, source_system: str) -> DataFrame:
     """SRC-8: ref from the first present of ``transaction_ref, ref,
     reference_id, order_id, invoice_id``; key from ``idempotency_key`` or
-    ``id`` (else a hash of the row); the row as a JSON payload ``db_row.v1``."""
+    ``id``, else generated from the row and its number among equal rows, so that
+    equal rows stay separate records; the row as a JSON payload ``db_row.v1``."""
     cols = rows.columns
     ref_cols = [c for c in REF_COLUMNS if c in cols]
     key_cols = [c for c in KEY_COLUMNS if c in cols]
-    payload = F.to_json(F.struct(*[F.col(c) for c in cols]))
     ref = F.coalesce(*[F.col(c).cast("string") for c in ref_cols], F.lit("")) if ref_cols else F.lit("")
-    key = F.coalesce(*[F.nullif(F.col(c).cast("string"), F.lit("")) for c in key_cols],
-                     F.sha2(F.concat_ws("|", F.lit(source_system), payload), 256)) if key_cols \
-        else F.sha2(F.concat_ws("|", F.lit(source_system), payload), 256)
-    return rows.select(key.alias("idempotency_key"), ref.alias("transaction_ref"),
-                       F.lit(source_system).alias("source_system"), F.lit("db_poll").alias("adapter_type"),
-                       payload.alias("payload_text"), F.lit("db_row.v1").alias("payload_schema"),
-                       F.lit(None).cast("string").alias("trace_id"),
-                       F.create_map().cast("map<string,string>").alias("tags"))
+    key = F.coalesce(*[F.nullif(F.col(c).cast("string"), F.lit("")) for c in key_cols], F.lit("")) \
+        if key_cols else F.lit("")
+    mapped = rows.select(key.alias("_own"), ref.alias("transaction_ref"),
+                         F.to_json(F.struct(*[F.col(c) for c in cols])).alias("payload_text"))
+    mapped = with_keys(mapped, F.col("_own"), ["transaction_ref", "payload_text"], source_system)
+    return mapped.select("idempotency_key", "transaction_ref",
+                         F.lit(source_system).alias("source_system"), F.lit("db_poll").alias("adapter_type"),
+                         "payload_text", F.lit("db_row.v1").alias("payload_schema"),
+                         F.lit(None).cast("string").alias("trace_id"),
+                         F.create_map().cast("map<string,string>").alias("tags"))

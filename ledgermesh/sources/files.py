@@ -84,17 +84,12 @@ def _fields(text: str, width: int) -> F.Column:
     return F.transform(F.array(parsed), lambda r: F.array(*[r[f"c{i}"] for i in range(width)]))[0]
 
 
-def csv_lines_to_envelopes(lines: DataFrame, source_system: str, width: int) -> DataFrame:
-    """SRC-2 mapping: lines (``value``) with the header line of their own file
-    (``_header``) and ``_path``. Header names are trimmed and lower-cased (the
-    last of equal names counts), leading blanks trimmed; each row becomes a
-    JSON object of all header fields (missing ones empty) with schema
-    ``csv.v1``. ``width`` is the greatest number of header fields; fields
-    beyond a file's header are ignored, as are blank lines and lines equal to
-    the header."""
-    rows = lines.filter((F.length("value") > 0) & (F.col("value") != F.col("_header")))
-    names = F.transform(_fields("_header", width), lambda x: F.lower(F.trim(x)))
-    rows = rows.withColumn("_names", names).withColumn("_values", _fields("value", width))
+def csv_rows_to_envelopes(rows: DataFrame, source_system: str) -> DataFrame:
+    """SRC-2 mapping: rows of ``_path``, ``_names`` (their file's header fields) and
+    ``_values``. Header names are trimmed and lower-cased (the last of equal names
+    counts); each row becomes a JSON object of all header fields (missing ones
+    empty) with schema ``csv.v1``; fields beyond the header are ignored."""
+    rows = rows.withColumn("_names", F.transform("_names", lambda x: F.lower(F.trim(x))))
     pairs = F.transform("_names", lambda name, i: F.struct(
         name.alias("k"), F.coalesce(F.get("_values", i), F.lit("")).alias("v"), i.alias("i")))
     last = F.filter(pairs, lambda e: e["k"].isNotNull() & ~F.exists(
@@ -107,17 +102,35 @@ def csv_lines_to_envelopes(lines: DataFrame, source_system: str, width: int) ->
                       F.col("_json"), "csv.v1")
 
 
+def csv_lines_to_envelopes(lines: DataFrame, source_system: str, width: int) -> DataFrame:
+    """SRC-2 mapping of data lines (``value``) that each hold one record, with the
+    header line of their own file (``_header``) and ``_path``; leading blanks are
+    trimmed, blank lines skipped. ``width`` is the greatest number of header fields."""
+    rows = lines.filter(F.length("value") > 0)
+    return csv_rows_to_envelopes(rows.withColumn("_names", _fields("_header", width))
+                                 .withColumn("_values", _fields("value", width)), source_system)
+
+
 def read_csv(spark: SparkSession, path: str, source_system: str) -> DataFrame:
-    """SRC-2: CSV files, each by its own header (its first non-empty line), one
-    record per line. Headers are found in the files' first blocks and joined
-    back on the path; only their greatest width comes to the driver."""
+    """SRC-2: CSV files, each by its own header (its first record, on one line).
+
+    Quoted fields may hold line ends, so a file is read as a whole by one task
+    (the reference takes files up to 100 MB); many files make many tasks. The
+    header is found by its place, so data rows equal to it are kept. Only the
+    headers' greatest width comes to the driver."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_path"),
                                          F.col("_metadata.file_block_start").alias("_start"))
     heads = (lines.filter((F.col("_start") == 0) & (F.length("value") > 0))
              .withColumn("_at", F.monotonically_increasing_id())  # grows along a file's first block
              .groupBy("_path").agg(F.min_by("value", "_at").alias("_header")))
     width = heads.agg(F.max(F.length("_header") - F.length(F.replace("_header", F.lit(","), F.lit(""))) + 1)).first()[0]
-    return csv_lines_to_envelopes(lines.join(heads, "_path"), source_system, int(width or 1))
+    names = [f"c{i}" for i in range(int(width or 1))]
+    rows = (spark.read.schema(", ".join(f"{c} string" for c in names)).option("multiLine", "true").options(**_CSV)
+            .csv(path).select(F.col("_metadata.file_path").alias("_path"), F.array(*names).alias("_values"))
+            .withColumn("_at", F.monotonically_increasing_id()))  # grows along a file, which is one task's
+    first = rows.groupBy("_path").agg(F.min_by("_values", "_at").alias("_names"), F.min("_at").alias("_first"))
+    return csv_rows_to_envelopes(rows.join(first, "_path").filter(F.col("_at") > F.col("_first"))
+                                 .select("_path", "_names", "_values"), source_system)
 
 
 ALLOWED_EXTENSIONS = (".json", ".ndjson", ".csv")

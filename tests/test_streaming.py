@@ -262,3 +262,158 @@ def test_stateful_stream_match_times_out_and_stays_closed(spark):
     # A and B missed a source when their timers fired; later records, also 91 days on, do not re-open them.
     # C's second record is late to arrive but was received in time
     assert state == {"A": ("MISMATCHED", 1), "B": ("MISMATCHED", 1), "C": ("MATCHED", 2), "Z": ("MISMATCHED", 2)}
+
+
+def test_streamed_windows_equal_the_batch_queries(spark):
+    """MON-1, MON-2 and MON-5 from a stream over three files, the second of which
+    corrects windows of the first; a row behind the watermark is counted apart."""
+    from ledgermesh.operators import idempotency as IDM, monitoring as MON
+    from ledgermesh.streaming import windows as W
+    d = tempfile.mkdtemp(prefix="lm-win-")
+    lab = IDM.ingest_batch(FX.f2_envelopes(spark, SF), AS_OF, checkpoint=True).labelled.select(
+        "row_id", "source_system", "idem_label", "server_received_at", F.octet_length("payload_text").alias("payload_bytes"))
+    lab = lab.checkpoint()
+    k = F.col("row_id") % 3
+    for i in range(2):
+        land(lab, f"{d}/in/p{i}", k == i)
+    # the third file lifts the watermark past 1998; the fourth is behind it by years
+    future = lab.limit(1).withColumn("server_received_at", F.lit(dt.datetime(2020, 1, 1)).cast("timestamp_ntz"))
+    land(lab.filter(k == 2).unionByName(future), f"{d}/in/p2")
+
+    def go():
+        stream = spark.readStream.schema(lab.schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/in/*")
+        W.stream_rates(stream, f"{d}/rates", f"{d}/ckpt", watermark="4000 days").awaitTermination(600)
+
+    go()
+    every = lab.unionByName(future)
+    rates = W.rate_table(spark, f"{d}/rates").read()
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
+    assert same(MON.ingestion_rate(every), W.ingestion_rate(rates))
+    assert same(MON.error_rate(every), W.error_rate(rates))
+    assert same(MON.payload_size_histogram(every), W.payload_size_histogram(rates))
+    assert {r.late for r in W.behind_watermark(every, rates).collect()} == {0}
+
+    # after a restart with the watermark well past them, 7 old rows of one source change nothing
+    old = lab.filter("source_system = 'erp_system'").limit(7).withColumn(
+        "server_received_at", F.lit(dt.datetime(1990, 1, 1)).cast("timestamp_ntz")).checkpoint()
+    land(old, f"{d}/in/p3")
+    before = sorted(map(str, rates.collect()))
+    go()
+    rates = W.rate_table(spark, f"{d}/rates").read()
+    assert sorted(map(str, rates.collect())) == before
+    late = {r.source_system: r.late for r in W.behind_watermark(every.unionByName(old), rates).collect()}
+    assert late.pop("erp_system") == 7 and set(late.values()) == {0}
+
+
+def test_stale_decisions_as_a_stream_join(spark):
+    """The refs of the stream join of decisions with the records that land later equal
+    the batch query's; decisions without any come out once the horizon is over."""
+    from ledgermesh.plans import scenarios as SC
+    from ledgermesh.plans.catalog import QUERIES
+    from ledgermesh.streaming.windows import late_records
+    d = tempfile.mkdtemp(prefix="lm-stale-")
+    p1, p2 = SC.two_pass(spark, SF)
+    decided = p2.tables.audit.filter("new_status in ('MATCHED', 'MISMATCHED')").select(
+        REF, F.col("new_status").alias("status"), F.col("created_at").cast("timestamp").alias("decided_at")).checkpoint()
+    recs = FX.f1_records(spark, SF).select(REF, "internal_id", "source_system")
+    hour = dt.timedelta(hours=1)
+    at = lambda t: F.lit(t).cast("timestamp").alias("landed_at")
+    first = SC.pass1_records(recs).select(REF, "internal_id", at(SC.PASS1_AS_OF - hour))
+    second = SC.late_records(recs).select(REF, "internal_id", at(SC.PASS2_AS_OF - hour))
+    end = SC.PASS2_AS_OF + dt.timedelta(days=40)
+    for i, (dec, rec) in enumerate([(decided.filter(F.col("decided_at") == SC.PASS1_AS_OF), first),
+                                    (decided.filter(F.col("decided_at") == SC.PASS2_AS_OF), second),
+                                    (spark.createDataFrame([("end", "MATCHED", end)], decided.schema),
+                                     spark.createDataFrame([("none", "x", end)], first.schema)),
+                                    (spark.createDataFrame([("end2", "MATCHED", end + hour)], decided.schema),
+                                     spark.createDataFrame([("none", "y", end + hour)], first.schema))]):
+        land(dec, f"{d}/decisions/p{i}")
+        land(rec, f"{d}/records/p{i}")
+    read = lambda name, schema: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/{name}/*")
+    q = (late_records(read("decisions", decided.schema), read("records", first.schema)).writeStream.format("parquet")
+         .option("path", f"{d}/out").option("checkpointLocation", f"{d}/ckpt").trigger(availableNow=True).start())
+    q.awaitTermination(600)
+    out = spark.read.parquet(f"{d}/out")
+    stale = {r[REF] for r in out.filter("internal_id is not null").collect()}
+    assert stale == {r[REF] for r in QUERIES["str04_stale_decisions"](spark, SF).collect()} != set()
+    settled = {r[REF] for r in out.filter("internal_id is null").collect()}
+    assert settled == {r[REF] for r in decided.collect()} - stale
+
+
+def test_polling_source_reads_each_row_once(spark):
+    """Three polls and a restart; equals the batch poll. Rows before ``since`` and rows
+    without a time are not due."""
+    from ledgermesh.sources.polling import register_polling
+    register_polling(spark)
+    d = tempfile.mkdtemp(prefix="lm-poll-")
+    o = FX.table(spark, SF, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_totalprice").alias("amount"),
+                                             F.col("o_orderdate").cast("timestamp_ntz").alias("updated_at"))
+    o = o.unionByName(o.limit(3).withColumn("updated_at", F.lit(None).cast("timestamp_ntz"))).checkpoint()
+    at = F.col("updated_at")
+    times = sorted(r.updated_at for r in o.filter(at.isNotNull()).collect())
+    since, *cuts = (times[k * len(times) // 4] for k in (0, 1, 2))
+    assert since < cuts[0] < cuts[1] < times[-1]
+
+    def go():
+        stream = (spark.readStream.format("ledger_poll").option("path", f"{d}/table").option("since", since.isoformat())
+                  .option("columns", "order_id,updated_at").load())
+        assert stream.columns == ["order_id", "updated_at"]
+        q = stream.writeStream.format("parquet").option("path", f"{d}/out").option(
+            "checkpointLocation", f"{d}/ckpt").trigger(availableNow=True).start()
+        q.awaitTermination(300)
+
+    o.filter((at < cuts[0]) | at.isNull()).repartition(2).write.mode("append").parquet(f"{d}/table")
+    go()
+    first = spark.read.parquet(f"{d}/out").count()
+    o.filter((at >= cuts[0]) & (at < cuts[1])).repartition(2).write.mode("append").parquet(f"{d}/table")
+    go()
+    go()  # nothing new
+    o.filter(at >= cuts[1]).repartition(2).write.mode("append").parquet(f"{d}/table")
+    go()
+    from ledgermesh.sources import read_incremental
+    want, _ = read_incremental(o, "updated_at", since=since)
+    got = spark.read.parquet(f"{d}/out")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select("order_id", "updated_at").collect()))
+    assert 0 < first < got.count() < len(times)
+
+
+def test_purge_drops_whole_days(spark):
+    from ledgermesh.operators import idempotency as IDM
+    d = tempfile.mkdtemp(prefix="lm-purge-")
+    lab = IDM.ingest_batch(FX.f2_envelopes(spark, SF), AS_OF, checkpoint=True).labelled
+    idem = IDM.idempotency_table(lab).checkpoint()
+    IDM.write_keys(idem, f"{d}/keys")
+    at = dt.datetime(1998, 1, 1, 12)
+    files = lambda: {f for f in spark.read.parquet(f"{d}/keys").inputFiles()}
+    before = files()
+    gone = IDM.purge_expired_days(spark, f"{d}/keys", at)
+    assert gone and gone[-1] < "1998-01-01" and files() < before  # no file was rewritten
+    assert all("expires_on=" + f.split("expires_on=")[1][:10] not in {f"expires_on={g}" for g in gone} for f in files())
+    pick = lambda df: sorted(r.idempotency_key for r in df.collect())
+    assert pick(IDM.live_keys(spark, f"{d}/keys", at)) == pick(IDM.purge_expired(idem, at)) != []
+
+
+def test_latency_sketches_merge_within_their_bound(spark):
+    """Quantiles over any range of windows, from sketches kept per window, against exact ranks."""
+    from ledgermesh.operators import monitoring as MON
+    n, start = 40_000, dt.datetime(2024, 1, 1)
+    k = F.col("id")
+    latency = ((k * 7919) % 10_007).cast("long")
+    at = F.lit(start).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (k % 3600).cast("decimal(18,6)"))
+    state = spark.range(n).select(F.concat(F.lit("r"), k).alias(REF), F.when(k % 4 > 0, "MATCHED").otherwise("MISMATCHED").alias("status"),
+                                  at.alias("last_processed_at"), latency.alias("l"), k).checkpoint()
+    recs = state.select(REF, (F.col("last_processed_at") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("l").cast("decimal(18,6)")))
+                        .alias("server_received_at"))
+    sketches = MON.latency_sketches(state, recs).checkpoint()
+    assert sketches.count() == 2 * 60
+    for since, until in ((None, None), (start + dt.timedelta(minutes=7), start + dt.timedelta(minutes=31))):
+        inside = state if since is None else state.filter((F.col("last_processed_at") >= F.lit(since)) & (F.col("last_processed_at") < F.lit(until)))
+        exact = {}
+        for r in inside.select("status", "l").collect():
+            exact.setdefault(r.status, []).append(r.l)
+        for r in MON.latency_quantiles(sketches, since, until).collect():
+            values = sorted(exact[r.status])
+            assert r.refs == len(values)
+            for q, got in ((0.5, r.p50_s), (0.95, r.p95_s)):
+                below, upto = sum(v < got for v in values), sum(v <= got for v in values)
+                assert below - 0.02 * len(values) <= q * len(values) <= upto + 0.02 * len(values)
