@@ -51,3 +51,41 @@ def test_write_records_keeps_one_row_per_key(spark):
     base = spark.createDataFrame([("a", "k1")], "internal_id string, idempotency_key string")
     new = spark.createDataFrame([("b", "k1"), ("c", "k2"), ("d", "k2"), ("c", "k2")], base.schema)
     assert sorted(map(tuple, write_records(base, new).collect())) == [("a", "k1"), ("c", "k2")]
+
+
+def test_pages_of_a_written_listing(spark, tmp_path):
+    """Paging and lookups read one chunk of many and equal the pages of the views."""
+    from ledgermesh.operators import pages as PG, retry as RT, views as V
+    from ledgermesh.plans import scenarios as SC
+    from conftest import SF
+    t = SC.f4_tables(spark, SF)
+    mismatched = t.state.filter("status = 'MISMATCHED'").checkpoint()
+    PG.write_listing(mismatched, str(tmp_path / "m"), ["transaction_ref"], rows_per_chunk=25)
+    total = len(set(spark.read.parquet(str(tmp_path / "m" / "rows")).inputFiles()))
+    assert total > 8
+    after, seen = None, []
+    while True:
+        page = PG.read_page(spark, str(tmp_path / "m"), 20, after and {"transaction_ref": after})
+        want = V.list_mismatches(t.state, t.details, size=20, after=after)
+        rows = [r.transaction_ref for r in page.collect()]
+        assert rows == [r.transaction_ref for r in want.collect()]
+        if not rows:
+            break
+        assert len(page.inputFiles()) <= 3 < total
+        seen += rows
+        after = rows[-1]
+    assert len(seen) == mismatched.count()
+    some = PG.look_up(spark, str(tmp_path / "m"), [{"transaction_ref": r} for r in (seen[3], seen[-2], "none")])
+    assert sorted(r.transaction_ref for r in some.collect()) == sorted([seen[3], seen[-2]]) and len(some.inputFiles()) <= 4
+    assert PG.look_up(spark, str(tmp_path / "m"), []).count() == 0
+
+    queue = SC.f4_queue(t.state).filter("status = 'PENDING'").checkpoint()  # many equal times: ties go by the ref
+    PG.write_listing(queue, str(tmp_path / "q"), ["next_retry_at", "transaction_ref"], rows_per_chunk=25)
+    after = None
+    for _ in range(4):
+        key = after and {"next_retry_at": after[0], "transaction_ref": after[1]}
+        got = [(r.next_retry_at, r.transaction_ref) for r in PG.read_page(spark, str(tmp_path / "q"), 30, key).collect()]
+        assert got == [(r.next_retry_at, r.transaction_ref) for r in RT.queue_page(queue, 30, after, "PENDING").collect()] != []
+        after = got[-1]
+    PG.write_listing(queue.limit(0), str(tmp_path / "e"), ["transaction_ref"])
+    assert PG.read_page(spark, str(tmp_path / "e"), 5).count() == 0
