@@ -13,8 +13,8 @@ fitted to those labels. The fit uses at most ``sample_docs`` labelled documents,
 those with the smallest hash of their id; their line features (not texts) come
 to the driver. Whole texts are scored where they lie, 1 MB at a time.
 
-Edge cases: null or blank text has no line and scores 0; repeated rows score
-alike; no usable labels give the score 0.5; an empty table gives no rows.
+Edge cases: null or blank text has no line and scores 0; a null doc_id is never
+learned from and its ``held_out`` is null; repeated rows score alike; no usable labels give the score 0.5; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -14,8 +14,8 @@ that mark toxic documents, both learned from at most ``sample_docs`` labelled
 documents (smallest hash of their id), whatever their language; they are chosen
 by log odds over their standard error, in Spark.
 
-Edge cases: null or empty text has no words and scores as such; repeated rows
-score alike; without labels of both kinds every score is 0.5; an empty table
+Edge cases: null or empty text has no words and scores as such; a null doc_id is
+never learned from and its ``held_out`` is null; repeated rows score alike; without labels of both kinds every score is 0.5; an empty table
 gives no rows.
 """
 

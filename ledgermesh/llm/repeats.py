@@ -1,9 +1,14 @@
-"""Removal of repeated passages by distributed prefix doubling (operator 6).
+"""Removal of repeated passages by anchored fingerprints (operator 6).
+
+This stands in for distributed prefix doubling, which sorts the pair of ranks of
+every byte position in each round: one such round was measured to shuffle 87 times
+the compressed input (sf0.01), against a disk budget of 4 times for the whole job.
 
 A byte goes when it is covered by a string of ``LENGTH`` bytes that starts
-somewhere else too. Start positions are ranked by ever longer prefixes; Spark
-shuffles the pairs of position and rank, positions whose rank is unique drop
-out, the rest are ranked again, until the prefix has reached the threshold:
+somewhere else too. As in doubling, starts are named by ever longer prefixes, starts
+whose name is unique drop out, and the rest are named again until the prefix has
+reached the threshold; but names are hashes of the text, not ranks of rank pairs, and
+they are first taken at anchors, then for runs, blocks and single starts:
 
 1. Prefixes of 200 bytes. Equal 400-byte strings hold the same 200-byte string
    of least hash at the same place, so only these anchors (about one position in
