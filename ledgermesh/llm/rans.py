@@ -16,8 +16,8 @@ payload) and ``table`` (symbol, frequency), as Parquet. Payload: header
 states as 64 bits, then the words of 32 bits.
 
 The tokenizer drops white space and never joins across it, so words are
-encoded once and remembered (a bounded memory in each worker); a trailing run of
-punctuation after a letter is a piece of its own.
+encoded once and remembered in lower case (a bounded memory in each worker); a
+trailing run of punctuation after a letter is a piece of its own.
 
 Edge cases: null text is empty and yields the end id alone; null ids come first;
 rows of equal id stand in order of their text's hash; an empty table gives
@@ -44,40 +44,61 @@ U = np.uint64
 _LOW = U(1 << 31)
 _PLAIN = re.compile(rb"[a-z]+")
 _TAIL = re.compile(rb"(.*[a-z])([!#$%&*.,;:?]+)", re.S)
-_WORDS_KEPT = 1_000_000
+_SPECIAL = b"<|"
+_LETTER, _MARK, _SPACE = (np.isin(np.arange(256), list(x)) for x in (
+    b"abcdefghijklmnopqrstuvwxyz", b"!#$%&*.,;:?", b" \t\n\r\x0b\x0c"))
+_PIECES_KEPT = 1_500_000
 _memory: dict[tuple, dict] = {}
 
 
-def _encode_words(tokenizer, words: list[bytes], known: dict[bytes, bytes], ends: np.ndarray, dtype) -> None:
-    """Put the ids of ``words`` into ``known`` as bytes."""
-    split, plain, other = {}, set(), set()
-    for w in words:
-        # special ids are given to their exact spelling only, so such words stay as they are
-        low = w if b"<|" in w else w.lower()
-        m = None if b"<|" in w else _TAIL.fullmatch(low)
-        split[w] = parts = m.groups() if m else (low,)
-        for p in parts:
-            if p not in known:
-                (plain if _PLAIN.fullmatch(p) else other).add(p)
+def _pieces(texts: list[bytes]) -> list[list[bytes]]:
+    """Each text's words in lower case, a run of punctuation that ends a word after
+    a letter apart; words that may hold special tokens stay as they are, for
+    special ids are given to their exact spelling only."""
+    joined = b"\n".join(texts)
+    if _SPECIAL in joined:
+        out = []
+        for t in texts:
+            mine = []
+            for w in t.split():
+                low = w if _SPECIAL in w else w.lower()
+                m = None if _SPECIAL in w else _TAIL.fullmatch(low)
+                mine += m.groups() if m else (low,)
+            out.append(mine)
+        return out
+    low = np.frombuffer(joined.lower(), np.uint8)
+    mark = np.zeros(len(low) + 2, bool)
+    mark[1:-1] = _MARK[low]
+    edge = np.flatnonzero(mark[1:] != mark[:-1])
+    first, stop = edge[::2], edge[1::2]  # runs of punctuation
+    after = np.append(low, 32)[stop]
+    cut = first[(first > 0) & _LETTER[low[np.maximum(first, 1) - 1]] & _SPACE[after]]
+    data = np.insert(low, cut, 32).tobytes()
+    at = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    at += np.searchsorted(cut, at)
+    return [data[i:j].split() for i, j in zip(at.tolist(), at[1:].tolist())]
+
+
+def _encode_pieces(tokenizer, pieces: set[bytes], known: dict[bytes, bytes], ends: np.ndarray, dtype) -> None:
+    """Put the ids of ``pieces`` into ``known`` as bytes."""
     # plain words are one piece each, and the last id of a piece is marked as a word's end: many go in one call
-    plain = list(plain)
+    plain, other = [], []
+    for p in pieces:
+        (plain if _PLAIN.fullmatch(p) else other).append(p)
+    encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)  # without places in the text
     lines = [plain[i:i + 512] for i in range(0, len(plain), 512)]
-    for line, e in zip(lines, tokenizer.encode_batch([b" ".join(x).decode() for x in lines], add_special_tokens=False),
-                       strict=True):
+    for line, e in zip(lines, encode([b" ".join(x).decode() for x in lines], add_special_tokens=False), strict=True):
         ids = np.array(e.ids, dtype)
         stops = np.flatnonzero(ends[ids]) + 1
         if len(stops) != len(line) or stops[-1] != len(ids):  # a vocabulary without such marks
-            other.update(line)
+            other += line
             continue
         data, k = ids.tobytes(), dtype.itemsize
         at = [0, *(stops * k).tolist()]
         for p, i, j in zip(line, at, at[1:], strict=False):
             known[p] = data[i:j]
-    other = list(other)
-    for p, e in zip(other, tokenizer.encode_batch([p.decode() for p in other], add_special_tokens=False), strict=True):
+    for p, e in zip(other, encode([p.decode() for p in other], add_special_tokens=False), strict=True):
         known[p] = np.array(e.ids, dtype).tobytes()
-    for w, parts in split.items():
-        known[w] = b"".join([known[p] for p in parts])
 
 
 def _tokenize(path: str, end_id: int, dtype):
@@ -89,9 +110,9 @@ def _tokenize(path: str, end_id: int, dtype):
         if path not in _memory:
             from tokenizers import Tokenizer
             tokenizer = Tokenizer.from_file(path)
-            pieces = tokenizer.get_vocab()
-            ends = np.zeros(max(pieces.values()) + 1, bool)
-            ends[[i for p, i in pieces.items() if p.endswith("</w>")]] = True
+            vocabulary = tokenizer.get_vocab()
+            ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            ends[[i for p, i in vocabulary.items() if p.endswith("</w>")]] = True
             _memory[path] = tokenizer, ends, {}
         tokenizer, ends, known = _memory[path]
         end = np.array([end_id], dtype).tobytes()
@@ -99,20 +120,17 @@ def _tokenize(path: str, end_id: int, dtype):
             buf, offsets = utf8(batch.column(2))
             out = []
             for i, j in chunks(offsets):
-                texts = [buf[offsets[r]:offsets[r + 1]].tobytes().split() for r in range(i, j)]
-                words = [w for t in texts for w in t]
-                if len(known) > _WORDS_KEPT:
+                texts = _pieces([buf[offsets[r]:offsets[r + 1]].tobytes() for r in range(i, j)])
+                if len(known) > _PIECES_KEPT:
                     known.clear()
-                ids = list(map(known.get, words))
-                fresh = [k for k, x in enumerate(ids) if x is None]
-                if fresh:
-                    _encode_words(tokenizer, list({words[k] for k in fresh}), known, ends, dtype)
-                    for k in fresh:
-                        ids[k] = known[words[k]]
-                k = 0
-                for t in texts:
-                    out.append(b"".join(ids[k:k + len(t)]) + end)
-                    k += len(t)
+                ids = [list(map(known.get, t)) for t in texts]
+                gaps = [k for k, x in enumerate(ids) if None in x]
+                if gaps:
+                    _encode_pieces(tokenizer, {p for k in gaps for p, x in zip(texts[k], ids[k], strict=True) if x is None},
+                                   known, ends, dtype)
+                    for k in gaps:
+                        ids[k] = map(known.__getitem__, texts[k])
+                out += [b"".join(x) + end for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())],
                                              ["doc_id", "h", "ids"])
     return run
