@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgermesh.llm.common import chunks, discard, scratch, staged, utf8
+from ledgermesh.llm.shingles import mix
 
 SCALE = 20
 LANES, SEGMENT, BLOCK = 1024, 256, 1 << 19
@@ -43,62 +44,150 @@ HEADER, MARK = struct.Struct("<4sIIIII"), struct.Struct("<II")
 U = np.uint64
 _LOW = U(1 << 31)
 _PLAIN = re.compile(rb"[a-z]+")
-_TAIL = re.compile(rb"(.*[a-z])([!#$%&*.,;:?]+)", re.S)
 _SPECIAL = b"<|"
 _LETTER, _MARK, _SPACE = (np.isin(np.arange(256), list(x)) for x in (
     b"abcdefghijklmnopqrstuvwxyz", b"!#$%&*.,;:?", b" \t\n\r\x0b\x0c"))
-_PIECES_KEPT = 1_500_000
-_memory: dict[tuple, dict] = {}
-
-
-def _pieces(texts: list[bytes]) -> list[list[bytes]]:
-    """Each text's words in lower case, a run of punctuation that ends a word after
-    a letter apart; words that may hold special tokens stay as they are, for
-    special ids are given to their exact spelling only."""
-    joined = b"\n".join(texts)
-    if _SPECIAL in joined:
-        out = []
-        for t in texts:
-            mine = []
-            for w in t.split():
-                low = w if _SPECIAL in w else w.lower()
-                m = None if _SPECIAL in w else _TAIL.fullmatch(low)
-                mine += m.groups() if m else (low,)
-            out.append(mine)
+_SLOTS = 22  # bits: 4 M slots, filled by half at most
+_BASES = (U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93))
+_memory: dict[str, tuple] = {}
+
+
+class Pieces:
+    """The ids of word pieces, remembered in an open hash table of arrays that is
+    searched for all pieces of many texts at once. A piece is known by 127 bits
+    of two polynomial hashes; a full table is emptied."""
+
+    def __init__(self, encode, dtype, bits: int = _SLOTS):
+        self.encode, self.dtype, self.bits = encode, dtype, bits
+        self.clear()
+
+    def clear(self) -> None:
+        n = 1 << self.bits
+        self.a, self.b = np.zeros(n, U), np.zeros(n, U)  # a is never 0 in a taken slot
+        self.at, self.n = np.zeros(n, np.int64), np.zeros(n, np.int32)
+        self.ids, self.used, self.count = np.zeros(1 << 16, self.dtype), 0, 0
+
+    def _home(self, a: np.ndarray) -> np.ndarray:
+        return (a >> U(64 - self.bits)).astype(np.int64)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The slot of each key, -1 where it is not known."""
+        slot, out, live = self._home(a), np.full(len(a), -1), np.arange(len(a))
+        while len(live):
+            s = slot[live]
+            k = self.a[s]
+            hit = (k == a[live]) & (self.b[s] == b[live])
+            out[live[hit]] = s[hit]
+            on = ~hit & (k != 0)
+            live = live[on]
+            slot[live] = (s[on] + 1) & (len(self.a) - 1)
         return out
-    low = np.frombuffer(joined.lower(), np.uint8)
+
+    def add(self, a: np.ndarray, b: np.ndarray, pieces: list[bytes]) -> None:
+        """Encode and remember pieces whose keys are not known and differ."""
+        encoded = self.encode(pieces)
+        n = np.array([len(x) for x in encoded]) // self.dtype.itemsize
+        flat = np.frombuffer(b"".join(encoded), self.dtype)
+        if self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids[:self.used], np.zeros(self.used + 2 * len(flat), self.dtype)])
+        self.ids[self.used:self.used + len(flat)] = flat
+        at = self.used + np.cumsum(n) - n
+        self.used += len(flat)
+        self.count += len(a)
+        slot, live = self._home(a), np.arange(len(a))
+        while len(live):  # the first of those that want a free slot gets it, the others go on
+            s = slot[live]
+            free = np.flatnonzero(self.a[s] == 0)
+            won = free[np.unique(s[free], return_index=True)[1]]
+            k, t = live[won], s[won]
+            self.a[t], self.b[t], self.at[t], self.n[t] = a[k], b[k], at[k], n[k]
+            live = np.delete(live, won)
+            slot[live] = (slot[live] + 1) & (len(self.a) - 1)
+
+    def slots(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """The slots of the pieces ``data[start:stop]``, which only white space parts."""
+        data, stops, starts = data[starts[0]:], stops - starts[0], starts - starts[0]
+        size = np.diff(np.append(starts, len(data)))
+        place = np.arange(len(data)) - np.repeat(starts, size)
+        value = data.astype(U) + U(1)
+        value[_SPACE[data]] = 0
+        keys = []
+        for base in _BASES:
+            power = np.full(int(size.max()) + 1, base)
+            power[0] = 1
+            power = np.multiply.accumulate(power)
+            keys.append(mix(np.add.reduceat(value * power[place], starts) + (stops - starts).astype(U)))
+        a, b = keys[0] | U(1), keys[1]
+        slot = self.find(a, b)
+        while (lost := np.flatnonzero(slot < 0)).size:
+            _, first = np.unique(a[lost], return_index=True)  # equal a, other b: in the next turn
+            k = lost[first]
+            if self.count and self.count + len(k) > len(self.a) // 2:
+                self.clear()
+                slot[:] = -1
+                continue
+            self.add(a[k], b[k], [data[i:j].tobytes() for i, j in zip(starts[k].tolist(), stops[k].tolist(), strict=True)])
+            slot[lost] = self.find(a[lost], b[lost])
+        return slot
+
+
+def _split(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts in lower case, one after the other, and their places; a blank parts
+    a run of punctuation that ends a word from the letter before it."""
+    low = np.frombuffer(b"\n".join(texts).lower(), np.uint8)
     mark = np.zeros(len(low) + 2, bool)
     mark[1:-1] = _MARK[low]
     edge = np.flatnonzero(mark[1:] != mark[:-1])
-    first, stop = edge[::2], edge[1::2]  # runs of punctuation
-    after = np.append(low, 32)[stop]
+    first, after = edge[::2], np.append(low, 32)[edge[1::2]]
     cut = first[(first > 0) & _LETTER[low[np.maximum(first, 1) - 1]] & _SPACE[after]]
-    data = np.insert(low, cut, 32).tobytes()
     at = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    at += np.searchsorted(cut, at)
-    return [data[i:j].split() for i, j in zip(at.tolist(), at[1:].tolist())]
-
-
-def _encode_pieces(tokenizer, pieces: set[bytes], known: dict[bytes, bytes], ends: np.ndarray, dtype) -> None:
-    """Put the ids of ``pieces`` into ``known`` as bytes."""
-    # plain words are one piece each, and the last id of a piece is marked as a word's end: many go in one call
-    plain, other = [], []
-    for p in pieces:
-        (plain if _PLAIN.fullmatch(p) else other).append(p)
-    encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)  # without places in the text
-    lines = [plain[i:i + 512] for i in range(0, len(plain), 512)]
-    for line, e in zip(lines, encode([b" ".join(x).decode() for x in lines], add_special_tokens=False), strict=True):
-        ids = np.array(e.ids, dtype)
-        stops = np.flatnonzero(ends[ids]) + 1
-        if len(stops) != len(line) or stops[-1] != len(ids):  # a vocabulary without such marks
-            other += line
-            continue
-        data, k = ids.tobytes(), dtype.itemsize
-        at = [0, *(stops * k).tolist()]
-        for p, i, j in zip(line, at, at[1:], strict=False):
-            known[p] = data[i:j]
-    for p, e in zip(other, encode([p.decode() for p in other], add_special_tokens=False), strict=True):
-        known[p] = np.array(e.ids, dtype).tobytes()
+    return np.insert(low, cut, 32), at + np.searchsorted(cut, at)
+
+
+def _encode_texts(known: Pieces, texts: list[bytes]) -> list[bytes]:
+    """The ids of each text, as bytes."""
+    data, at = _split(texts)
+    word = np.zeros(len(data) + 2, bool)
+    word[1:-1] = ~_SPACE[data]
+    edge = np.flatnonzero(word[1:] != word[:-1])
+    starts, stops = edge[::2], edge[1::2]
+    if not len(starts):
+        return [b""] * len(texts)
+    slot = known.slots(data, starts, stops)
+    n = known.n[slot].astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(n)])
+    flat = known.ids[np.repeat(known.at[slot] - ends[:-1], n) + np.arange(ends[-1])]
+    cuts = ends[np.searchsorted(starts, at)].tolist()
+    return [flat[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)]
+
+
+def _encoder(tokenizer, dtype):
+    """Ids of pieces, each on its own, as bytes."""
+    vocabulary = tokenizer.get_vocab()
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends[[i for p, i in vocabulary.items() if p.endswith("</w>")]] = True
+    batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)  # without places in the text
+
+    def encode(pieces: list[bytes]) -> list[bytes]:
+        out: list = [None] * len(pieces)
+        # plain words are one piece each, and the last id of a piece is marked as a word's end: many go in one call
+        plain = [k for k, p in enumerate(pieces) if _PLAIN.fullmatch(p)]
+        lines = [plain[i:i + 512] for i in range(0, len(plain), 512)]
+        texts = [b" ".join([pieces[k] for k in line]).decode() for line in lines]
+        for line, e in zip(lines, batch(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype)
+            stops = np.flatnonzero(ends[ids]) + 1
+            if len(stops) != len(line) or stops[-1] != len(ids):  # a vocabulary without such marks
+                continue
+            data, width = ids.tobytes(), dtype.itemsize
+            at = [0, *(stops * width).tolist()]
+            for k, i, j in zip(line, at, at[1:], strict=False):
+                out[k] = data[i:j]
+        rest = [k for k, x in enumerate(out) if x is None]
+        for k, e in zip(rest, batch([pieces[k].decode() for k in rest], add_special_tokens=False), strict=True):
+            out[k] = np.array(e.ids, dtype).tobytes()
+        return out
+    return encode
 
 
 def _tokenize(path: str, end_id: int, dtype):
@@ -110,27 +199,20 @@ def _tokenize(path: str, end_id: int, dtype):
         if path not in _memory:
             from tokenizers import Tokenizer
             tokenizer = Tokenizer.from_file(path)
-            vocabulary = tokenizer.get_vocab()
-            ends = np.zeros(max(vocabulary.values()) + 1, bool)
-            ends[[i for p, i in vocabulary.items() if p.endswith("</w>")]] = True
-            _memory[path] = tokenizer, ends, {}
-        tokenizer, ends, known = _memory[path]
+            _memory[path] = tokenizer, Pieces(_encoder(tokenizer, dtype), dtype)
+        tokenizer, known = _memory[path]
         end = np.array([end_id], dtype).tobytes()
         for batch in batches:
             buf, offsets = utf8(batch.column(2))
             out = []
             for i, j in chunks(offsets):
-                texts = _pieces([buf[offsets[r]:offsets[r + 1]].tobytes() for r in range(i, j)])
-                if len(known) > _PIECES_KEPT:
-                    known.clear()
-                ids = [list(map(known.get, t)) for t in texts]
-                gaps = [k for k, x in enumerate(ids) if None in x]
-                if gaps:
-                    _encode_pieces(tokenizer, {p for k in gaps for p, x in zip(texts[k], ids[k], strict=True) if x is None},
-                                   known, ends, dtype)
-                    for k in gaps:
-                        ids[k] = map(known.__getitem__, texts[k])
-                out += [b"".join(x) + end for x in ids]
+                texts = [buf[offsets[r]:offsets[r + 1]].tobytes() for r in range(i, j)]
+                # special ids are given to their exact spelling only, so such texts are encoded as they are
+                odd = [k for k, t in enumerate(texts) if _SPECIAL in t]
+                ids = _encode_texts(known, [b"" if k in odd else t for k, t in enumerate(texts)] if odd else texts)
+                for k in odd:
+                    ids[k] = np.array(tokenizer.encode(texts[k].decode(), add_special_tokens=False).ids, dtype).tobytes()
+                out += [x + end for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())],
                                              ["doc_id", "h", "ids"])
     return run
