@@ -12,9 +12,9 @@ repeated, and the expected shares are the targets and ``keep``.
 Targets are given as shares per value, or as an exponent per margin: share
 proportional to tokens ** exponent (1: as observed, 0: all values equal).
 
-The cell table has one row per combination that occurs; margins are grouped and
-joined as tables, so nothing of it passes through the driver. DataFrame
-functions only.
+The cell table has one row per combination that occurs and carries its goals; a
+margin's sums are a window over it, so a round is three shuffles of a small table
+and nothing of it passes through the driver. DataFrame functions only.
 
 Edge cases: null source, language or topic is a value of its own; null or empty
 text has no tokens and takes its cell's rate (0 for a cell without tokens);
@@ -23,7 +23,7 @@ repeated rows get equal draws; an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgermesh.llm.common import staged
@@ -31,6 +31,7 @@ from ledgermesh.llm.common import staged
 #: Exponents of the production mix: flatten sources and topics, languages less.
 EXPONENTS = {"source": 0.5, "lang": 0.7, "topic": 0.5}
 ROUNDS, KEEP, SEED = 10, 0.7, "mix-1"
+ROUNDS_A_PLAN = 5
 
 TOKEN = r"[^\x20\x09-\x0D]+"
 #: Topic rules, the first that matches; SQL regular expressions.
@@ -52,22 +53,20 @@ def topic(text: Column) -> Column:
 def rates(cells: DataFrame, exponents: dict[str, float], rounds: int = ROUNDS) -> DataFrame:
     """``cells`` (the margins' columns and ``tokens``) with ``rate``, the fitted
     weight of the cell over its tokens, 1 on average."""
-    now = staged(cells.filter("tokens > 0").select(*exponents, "tokens", F.col("tokens").cast("double").alias("w")),
-                 "cells")
-    wanted = {}
+    now = cells.filter("tokens > 0").select(*exponents, "tokens", F.col("tokens").cast("double").alias("w"))
     for name, power in exponents.items():
-        share = now.groupBy(name).agg(F.sum("tokens").cast("double").alias("t")).withColumn("g", F.pow("t", F.lit(power)))
+        share = now.groupBy(F.col(name).alias("__v")).agg(F.sum("tokens").cast("double").alias("t")).withColumn(
+            "g", F.pow("t", F.lit(power)))
         total = share.agg(F.sum("t").alias("all"), F.sum("g").alias("gs"))
-        wanted[name] = staged(share.crossJoin(total).select(  # one row of totals
-            F.col(name).alias("__v"), (F.col("g") / F.col("gs") * F.col("all")).alias("goal")), f"goal-{name}")
-    for _ in range(rounds):
+        goal = share.crossJoin(total).select(  # one row of totals
+            "__v", (F.col("g") / F.col("gs") * F.col("all")).alias(f"__goal_{name}"))
+        now = staged(now.join(goal, F.col(name).eqNullSafe(F.col("__v"))).drop("__v"), "cells")
+    for k in range(rounds):
         for name in exponents:
-            sums = now.groupBy(F.col(name).alias("__v")).agg(F.sum("w").alias("have")).join(
-                wanted[name].withColumnRenamed("__v", "__u"), F.expr("__v <=> __u")).select(
-                "__v", (F.col("goal") / F.col("have")).alias("__f"))
-            now = now.join(sums, F.col(name).eqNullSafe(F.col("__v"))).select(
-                *exponents, "tokens", (F.col("w") * F.col("__f")).alias("w"))
-        now = staged(now, "cells")
+            have = F.sum("w").over(Window.partitionBy(name))
+            now = now.withColumn("w", F.col("w") * (F.col(f"__goal_{name}") / have))
+        if k % ROUNDS_A_PLAN == ROUNDS_A_PLAN - 1 or k == rounds - 1:
+            now = staged(now, "cells")
     return now.select(*exponents, "tokens", (F.col("w") / F.col("tokens")).alias("rate"))
 
 

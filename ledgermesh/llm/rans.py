@@ -47,6 +47,7 @@ _PLAIN = re.compile(rb"[a-z]+")
 _SPECIAL = b"<|"
 _LETTER, _MARK, _SPACE = (np.isin(np.arange(256), list(x)) for x in (
     b"abcdefghijklmnopqrstuvwxyz", b"!#$%&*.,;:?", b" \t\n\r\x0b\x0c"))
+_PART, _BLANK = 1 << 20, re.compile(rb"\s")
 _SLOTS = 22  # bits: 4 M slots, filled by half at most
 _BASES = (U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93))
 _memory: dict[str, tuple] = {}
@@ -55,13 +56,15 @@ _memory: dict[str, tuple] = {}
 class Pieces:
     """The ids of word pieces, remembered in an open hash table of arrays that is
     searched for all pieces of many texts at once. A piece is known by 127 bits
-    of two polynomial hashes; a full table is emptied."""
+    of two polynomial hashes; a full table is emptied, and made larger for texts
+    that hold more pieces at once."""
 
     def __init__(self, encode, dtype, bits: int = _SLOTS):
         self.encode, self.dtype, self.bits = encode, dtype, bits
         self.clear()
 
-    def clear(self) -> None:
+    def clear(self, least: int = 0) -> None:
+        self.bits = max(self.bits, (2 * least).bit_length())
         n = 1 << self.bits
         self.a, self.b = np.zeros(n, U), np.zeros(n, U)  # a is never 0 in a taken slot
         self.at, self.n = np.zeros(n, np.int64), np.zeros(n, np.int32)
@@ -122,8 +125,8 @@ class Pieces:
         while (lost := np.flatnonzero(slot < 0)).size:
             _, first = np.unique(a[lost], return_index=True)  # equal a, other b: in the next turn
             k = lost[first]
-            if self.count and self.count + len(k) > len(self.a) // 2:
-                self.clear()
+            if self.count + len(k) > len(self.a) // 2:
+                self.clear(len(k))
                 slot[:] = -1
                 continue
             self.add(a[k], b[k], [data[i:j].tobytes() for i, j in zip(starts[k].tolist(), stops[k].tolist(), strict=True)])
@@ -145,7 +148,20 @@ def _split(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _encode_texts(known: Pieces, texts: list[bytes]) -> list[bytes]:
-    """The ids of each text, as bytes."""
+    """The ids of each text, as bytes; a long text is encoded in parts that end at
+    white space."""
+    if len(texts) == 1 and len(texts[0]) > _PART:
+        text, parts, i = texts[0], [], 0
+        while i < len(text):
+            blank = _BLANK.search(text, i + _PART)
+            j = blank.end() if blank else len(text)
+            parts += _encode_some(known, [text[i:j]])
+            i = j
+        return [b"".join(parts)]
+    return _encode_some(known, texts)
+
+
+def _encode_some(known: Pieces, texts: list[bytes]) -> list[bytes]:
     data, at = _split(texts)
     word = np.zeros(len(data) + 2, bool)
     word[1:-1] = ~_SPACE[data]

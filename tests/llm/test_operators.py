@@ -85,6 +85,25 @@ def test_words_with_odd_characters_encode_like_whole_texts():
         assert np.frombuffer(ids, "<u2").tolist() == tok.encode(text, add_special_tokens=False).ids + [2], text
 
 
+def test_a_full_table_of_pieces_is_emptied(monkeypatch):
+    """Few slots: keys collide and the table is emptied over and over; ids stay right."""
+    rng = random.Random(3)
+    encode = lambda pieces: [np.array(list(p) * (1 + len(p) % 3), "<u2").tobytes() for p in pieces]
+    known = rans.Pieces(encode, np.dtype("<u2"), bits=5)
+    for _ in range(40):
+        texts = [" ".join("".join(rng.choices("abc", k=rng.randint(1, 4))) for _ in range(rng.randint(0, 8))).encode()
+                 for _ in range(rng.randint(1, 5))]
+        got = rans._encode_texts(known, texts)
+        assert got == [b"".join(encode(t.split())) for t in texts] and known.count <= 1 << known.bits - 1
+    words = [f"w{i}".encode() for i in range(500)]  # more at once than the table holds
+    known = rans.Pieces(encode, np.dtype("<u2"), bits=5)
+    assert rans._encode_texts(known, [b" ".join(words)] * 2 + [b" \n", b""]) == [b"".join(encode(words))] * 2 + [b"", b""]
+    monkeypatch.setattr(rans, "_PART", 50)
+    known = rans.Pieces(encode, np.dtype("<u2"), bits=5)
+    for long in (b"\n ".join(words), b"  " + b"\t".join(words) + b"x" * 300 + b" end", b"y" * 400, b" " * 500):
+        assert rans._encode_texts(known, [long]) == [b"".join(encode(long.split()))]
+
+
 def test_damaged_block_is_noticed():
     freq, cum, symbol = rans._tables(rans.scaled(np.array([5, 0, 90, 1])))
     ids = np.random.default_rng(0).choice([0, 2, 2, 2, 3], 5000)
