@@ -13,8 +13,9 @@ Targets are given as shares per value, or as an exponent per margin: share
 proportional to tokens ** exponent (1: as observed, 0: all values equal).
 
 The cell table has one row per combination that occurs and carries its goals; a
-margin's sums are a window over it, so a round is three shuffles of a small table
-and nothing of it passes through the driver. DataFrame functions only.
+margin's sums are a window over it. A table of at most ``CELLS_IN_A_TASK`` rows
+(counted) is fitted by one task without shuffles, a larger one with three shuffles a
+round; nothing of it passes through the driver. DataFrame functions only.
 
 Edge cases: null source, language or topic is a value of its own; null or empty
 text has no tokens and takes its cell's rate (0 for a cell without tokens);
@@ -31,7 +32,7 @@ from ledgermesh.llm.common import staged
 #: Exponents of the production mix: flatten sources and topics, languages less.
 EXPONENTS = {"source": 0.5, "lang": 0.7, "topic": 0.5}
 ROUNDS, KEEP, SEED = 10, 0.7, "mix-1"
-ROUNDS_A_PLAN = 5
+ROUNDS_A_PLAN, CELLS_IN_A_TASK = 5, 20_000
 
 TOKEN = r"[^\x20\x09-\x0D]+"
 #: Topic rules, the first that matches; SQL regular expressions.
@@ -61,7 +62,10 @@ def rates(cells: DataFrame, exponents: dict[str, float], rounds: int = ROUNDS) -
         goal = share.crossJoin(total).select(  # one row of totals
             "__v", (F.col("g") / F.col("gs") * F.col("all")).alias(f"__goal_{name}"))
         now = staged(now.join(goal, F.col(name).eqNullSafe(F.col("__v"))).drop("__v"), "cells")
+    few = now.count() <= CELLS_IN_A_TASK
     for k in range(rounds):
+        if few and k % ROUNDS_A_PLAN == 0:
+            now = now.coalesce(1)  # the windows of a plan need no shuffle then
         for name in exponents:
             have = F.sum("w").over(Window.partitionBy(name))
             now = now.withColumn("w", F.col("w") * (F.col(f"__goal_{name}") / have))

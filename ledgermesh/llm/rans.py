@@ -48,7 +48,7 @@ _SPECIAL = b"<|"
 _LETTER, _MARK, _SPACE = (np.isin(np.arange(256), list(x)) for x in (
     b"abcdefghijklmnopqrstuvwxyz", b"!#$%&*.,;:?", b" \t\n\r\x0b\x0c"))
 _PART, _BLANK = 1 << 20, re.compile(rb"\s")
-_SLOTS = 22  # bits: 4 M slots, filled by half at most
+_SLOTS = 21  # bits: 2 M slots, filled by half at most; some 60 MB in each worker
 _BASES = (U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93))
 _memory: dict[str, tuple] = {}
 
