@@ -79,9 +79,14 @@ def read_ndjson(spark: SparkSession, path: str, source_system: str, stream: bool
 _CSV = {"ignoreLeadingWhiteSpace": "true", "escape": '"'}
 
 
+def _let(value: F.Column, use) -> F.Column:
+    """``use(value)``, with ``value`` evaluated once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _fields(text: str, width: int) -> F.Column:
     parsed = F.from_csv(F.col(text), ", ".join(f"c{i} string" for i in range(width)), _CSV)
-    return F.transform(F.array(parsed), lambda r: F.array(*[r[f"c{i}"] for i in range(width)]))[0]
+    return _let(parsed, lambda r: F.array(*[r[f"c{i}"] for i in range(width)]))
 
 
 def csv_rows_to_envelopes(rows: DataFrame, source_system: str) -> DataFrame:
@@ -89,14 +94,16 @@ def csv_rows_to_envelopes(rows: DataFrame, source_system: str) -> DataFrame:
     ``_values``. Header names are trimmed and lower-cased (the last of equal names
     counts); each row becomes a JSON object of all header fields (missing ones
     empty) with schema ``csv.v1``; fields beyond the header are ignored."""
-    rows = rows.withColumn("_names", F.transform("_names", lambda x: F.lower(F.trim(x))))
-    pairs = F.transform("_names", lambda name, i: F.struct(
-        name.alias("k"), F.coalesce(F.get("_values", i), F.lit("")).alias("v"), i.alias("i")))
-    last = F.filter(pairs, lambda e: e["k"].isNotNull() & ~F.exists(
-        pairs, lambda o: o["k"].eqNullSafe(e["k"]) & (o["i"] > e["i"])))
-    rows = rows.withColumn("_obj", F.map_from_entries(F.transform(
-        F.array_sort(last), lambda e: F.struct(e["k"].alias("key"), e["v"].alias("value")))))
-    rows = rows.withColumn("_json", F.to_json("_obj"))
+    names = F.transform("_names", lambda x: F.lower(F.trim(x)))
+    obj = _let(F.struct(names.alias("n"), F.col("_values").alias("v")), lambda r: _let(
+        F.array_sort(F.filter(F.transform(r["n"], lambda name, i: F.struct(
+            name.alias("k"), i.alias("i"), F.coalesce(F.get(r["v"], i), F.lit("")).alias("v"))),
+            lambda e: e["k"].isNotNull())),
+        lambda pairs: F.map_from_entries(F.transform(
+            F.filter(pairs, lambda e, j: ~F.get(pairs, j + 1)["k"].eqNullSafe(e["k"])),
+            lambda e: F.struct(e["k"].alias("key"), e["v"].alias("value"))))))
+    # a generator's output is made once a row: filters and uses above it are not replaced by the parsing
+    rows = rows.select("_path", F.explode(F.array(F.to_json(obj))).alias("_json"))
     rows = with_keys(rows, F.get_json_object("_json", "$.idempotency_key"), ["_path", "_json"], source_system)
     return _envelopes(rows, F.get_json_object("_json", "$.transaction_ref"), source_system, "file",
                       F.col("_json"), "csv.v1")

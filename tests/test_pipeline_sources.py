@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgermesh.config import IngestConfig
 from ledgermesh.operators import pipeline as P
-from ledgermesh.sources import (explode_bodies, from_kafka, pick_key, read_csv, read_ndjson, rejected_bodies,
+from ledgermesh.sources import (csv_lines_to_envelopes, explode_bodies, from_kafka, pick_key, read_csv, read_ndjson, rejected_bodies,
                                 route_files)
 
 T0 = dt.datetime(2025, 1, 1)
@@ -109,6 +109,16 @@ def test_csv_files_with_their_own_headers(spark):
     assert route_files(spark, f"file://{d}", "x").count() == 3
 
 
+def test_csv_lines_are_parsed_once_for_own_and_made_keys(spark):
+    df = spark.createDataFrame([("a", "K,k , Ref,idempotency_key", "1,2,,x"), ("a", "K,k , Ref,idempotency_key", "1")],
+                               "_path string, _header string, value string")
+    env = csv_lines_to_envelopes(df, "s", 4)
+    plan = env._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_csv(") == 4, plan  # header and line, for rows with a key and for rows without
+    got = {r.idempotency_key[:1] if r.idempotency_key == "x" else "made": json.loads(r.payload_text) for r in env.collect()}
+    assert got == {"x": {"k": "2", "ref": "", "idempotency_key": "x"}, "made": {"k": "", "ref": "", "idempotency_key": ""}}
+
+
 def test_webhook_whole_objects_repeats_and_rejects(spark):
     pretty = '{\n "transaction_ref": "A",\n "amount": "1"\n}'
     df = spark.createDataFrame([("s", "t", pretty), ("s", "t", '{"transaction_ref":"B"}'), ("s", "t", '{"transaction_ref":"B"}'),
