@@ -16,6 +16,11 @@ def jstr(c: Column) -> Column:
     return F.regexp_extract(arr, r"^\[(.*)\]$", 1)
 
 
+def jdecimal(c: Column) -> Column:
+    """``jstr`` of a decimal, whose text has nothing to escape."""
+    return F.coalesce(F.concat(F.lit('"'), c.cast("string"), F.lit('"')), F.lit("null"))
+
+
 def jnum(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit("null"))
 

@@ -18,5 +18,9 @@ def tolerance_of(a: Column, b: Column, abs_tol: str, pct_factor: Decimal) -> Col
 
 def within(a: Column, b: Column, rules: MatchRules) -> Column:
     """``|a-b| <= max(abs, max(|a|,|b|) * pct/100)``; a zero reference makes
-    the percentage part zero by itself."""
-    return F.abs(a - b) <= tolerance_of(a, b, rules.abs_tolerance, rules.pct_factor)
+    the percentage part zero by itself. The two parts are compared one after the
+    other: the product is made only where the absolute tolerance does not do."""
+    abs_lit = F.lit(Decimal(rules.abs_tolerance)).cast("decimal(22,6)")
+    pct_lit = F.lit(rules.pct_factor).cast("decimal(13,10)")
+    diff = F.abs(a - b)
+    return (diff <= abs_lit) | (diff <= F.greatest(F.abs(a), F.abs(b)) * pct_lit)

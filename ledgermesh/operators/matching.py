@@ -26,7 +26,8 @@ from pyspark.sql.types import StringType
 
 from ledgermesh.config import MatchRules, format_f64
 from ledgermesh.functions.amounts import AMOUNT_SQL, parse_amount
-from ledgermesh.functions.jsonfmt import jarray, jbool, jnum, jobject, jraw, jstr, rust_debug_list
+from ledgermesh.functions.binding import let
+from ledgermesh.functions.jsonfmt import jarray, jbool, jdecimal, jnum, jobject, jraw, jstr, rust_debug_list
 from ledgermesh.functions.times import age_seconds, as_ts
 from ledgermesh.functions.tolerance import within
 
@@ -117,22 +118,22 @@ def _compare_to_reference(recs: Column, ref_amt: Column, rules: MatchRules) -> C
         if rules.strategy == "exact":
             flagged = F.coalesce(a != ref_amt, F.lit(False))
             details = jobject(
-                ("actual", jstr(a)),
-                ("diff", jstr(F.abs(a - ref_amt))),
-                ("reference", jstr(ref_amt)),
+                ("actual", jdecimal(a)),
+                ("diff", jdecimal(F.abs(a - ref_amt))),
+                ("reference", jdecimal(ref_amt)),
                 ("strategy", F.lit('"exact"')),
             )
-        else:
-            flagged = F.coalesce(~within(a, ref_amt, rules), F.lit(False))
+        else:  # equal amounts are within any tolerance: most records need no arithmetic
+            flagged = F.coalesce((a != ref_amt) & ~within(a, ref_amt, rules), F.lit(False))
             details = jobject(
                 ("absolute_tolerance", F.lit('"' + rules.abs_text + '"')),
-                ("actual", jstr(a)),
-                ("diff", jstr(F.abs(a - ref_amt))),
+                ("actual", jdecimal(a)),
+                ("diff", jdecimal(F.abs(a - ref_amt))),
                 ("pct_tolerance", F.lit(repr(float(rules.pct_tolerance)))),
-                ("reference", jstr(ref_amt)),
+                ("reference", jdecimal(ref_amt)),
                 ("strategy", F.lit('"tolerance"')),
             )
-        return _result(x, flagged, F.when(flagged, details))
+        return let(flagged, lambda f: _result(x, f, F.when(f, details)))
     return F.transform(recs, one)
 
 
@@ -276,7 +277,7 @@ def decide(grouped: DataFrame, rules: MatchRules, as_of) -> DataFrame:
     present = F.transform(recs, lambda x: x["source_system"])
     expected = F.array(*[F.lit(s) for s in rules.expected_sources]) if rules.expected_sources \
         else F.array().cast("array<string>")
-    missing = F.filter(expected, lambda e: ~F.array_contains(present, e))
+    missing = F.filter(expected, lambda e: ~F.array_contains(F.col("present_sources"), e))
     age = age_seconds(now, F.col("first_seen_at"))
     if rules.pending_timeout_secs is None:  # escalation disabled
         timed_out = F.lit(False)
@@ -285,26 +286,26 @@ def decide(grouped: DataFrame, rules: MatchRules, as_of) -> DataFrame:
 
     ref_amount = _first_non_null(recs, "amount")
     first_currency = _first_non_null(recs, "currency")
-    cur_bad = F.filter(recs, lambda x: x["currency"].isNotNull() & (x["currency"] != first_currency))
+    cur_bad = F.filter(recs, lambda x: x["currency"].isNotNull() & (x["currency"] != F.col("_first_currency")))
     cur_detail = F.format_string(
-        "expected '%s' (from first source), got: %s", first_currency,
-        F.array_join(F.transform(cur_bad, lambda x: F.concat(x["source_system"], F.lit("="),
-                                                             x["currency"])), ", "))
+        "expected '%s' (from first source), got: %s", F.col("_first_currency"),
+        F.array_join(F.transform("_cur_bad", lambda x: F.concat(x["source_system"], F.lit("="),
+                                                                x["currency"])), ", "))
     bad = F.filter(recs, lambda x: x["amount_text"].isNotNull() & x["amount"].isNull())
 
     g = grouped.select(
         REF, "recs", "record_count", "first_seen_at",
         F.size(recs).alias("source_count"),
         present.alias("present_sources"),
-        missing.alias("missing_sources"),
         age.alias("age_secs"),
         timed_out.alias("timed_out"),
         ref_amount.alias("_ref_amount"),
         first_currency.alias("_first_currency"),
-        (F.size(cur_bad) > 0).alias("_currency_mismatch"),
-        cur_detail.alias("_currency_detail"),
         F.get(bad, 0).alias("_bad"),
     )
+    # projections of their own: what a lambda reads is not worked out again for every element
+    g = g.withColumn("_cur_bad", cur_bad).withColumn("missing_sources", missing)
+    g = g.withColumn("_currency_detail", F.when(F.size("_cur_bad") > 0, cur_detail))  # the text only where it is read
 
     gate = (
         F.when(F.size("missing_sources") > 0, F.when(F.col("timed_out"), F.lit("missing_timeout"))
@@ -312,7 +313,7 @@ def decide(grouped: DataFrame, rules: MatchRules, as_of) -> DataFrame:
         .when(F.col("source_count") < 2, F.when(F.col("timed_out"), F.lit("single_timeout"))
               .otherwise(F.lit("single_wait")))
         .when(F.col("_bad").isNotNull(), F.lit("error"))
-        .when(F.col("_currency_mismatch"), F.lit("currency"))
+        .when(F.size("_cur_bad") > 0, F.lit("currency"))
         .otherwise(F.lit("compare"))
     )
     g = g.withColumn("_gate", gate)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ledgermesh.functions.binding import let
+
 _EMPTY_TAGS = "map<string,string>"
 
 
@@ -79,14 +81,9 @@ def read_ndjson(spark: SparkSession, path: str, source_system: str, stream: bool
 _CSV = {"ignoreLeadingWhiteSpace": "true", "escape": '"'}
 
 
-def _let(value: F.Column, use) -> F.Column:
-    """``use(value)``, with ``value`` evaluated once however often it is used."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _fields(text: str, width: int) -> F.Column:
     parsed = F.from_csv(F.col(text), ", ".join(f"c{i} string" for i in range(width)), _CSV)
-    return _let(parsed, lambda r: F.array(*[r[f"c{i}"] for i in range(width)]))
+    return let(parsed, lambda r: F.array(*[r[f"c{i}"] for i in range(width)]))
 
 
 def csv_rows_to_envelopes(rows: DataFrame, source_system: str) -> DataFrame:
@@ -95,7 +92,7 @@ def csv_rows_to_envelopes(rows: DataFrame, source_system: str) -> DataFrame:
     counts); each row becomes a JSON object of all header fields (missing ones
     empty) with schema ``csv.v1``; fields beyond the header are ignored."""
     names = F.transform("_names", lambda x: F.lower(F.trim(x)))
-    obj = _let(F.struct(names.alias("n"), F.col("_values").alias("v")), lambda r: _let(
+    obj = let(F.struct(names.alias("n"), F.col("_values").alias("v")), lambda r: let(
         F.array_sort(F.filter(F.transform(r["n"], lambda name, i: F.struct(
             name.alias("k"), i.alias("i"), F.coalesce(F.get(r["v"], i), F.lit("")).alias("v"))),
             lambda e: e["k"].isNotNull())),

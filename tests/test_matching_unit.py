@@ -1,6 +1,7 @@
 """Matcher and rule cases of the reference's unit tests, plus added edge cases."""
 
 import datetime as dt
+import re
 from decimal import Decimal
 
 import pytest
@@ -174,3 +175,22 @@ def test_decimal_precision_guard(spark):
     assert out[1].e == "invalid_amount"
     assert out[2].a == Decimal("1000.000000")
     assert out[3].a == Decimal("12.500000") and out[3].e is None
+
+
+def test_what_a_lambda_reads_is_evaluated_once(spark):
+    """The first currency and the comparison are no part of the lambdas that read them."""
+    from ledgermesh.operators.matching import reconcile as run
+    df = spark.createDataFrame([("R", "a", "1", "10.00", "USD"), ("R", "b", "2", "12.50", "USD"), ("Q", "a", "3", "1", None),
+                                ("Q", "b", "4", None, "USD"), ("Q", "c", "5", "1", "EUR")],
+                               "transaction_ref string, source_system string, internal_id string, amount string, currency string"
+                               ).withColumn("server_received_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    rec = run(df, MatchRules(strategy="tolerance", abs_tolerance="0.05", pct_tolerance=0.01), dt.datetime(2024, 1, 2))
+    plan = rec.refs._jdf.queryExecution().optimizedPlan().toString()
+    # once for the reference currency, none within the lambda that compares with it
+    assert len(re.findall(r"isnotnull\(lambda x_\d+#\d+\.currency\), lambda", plan)) == 1, plan
+    assert plan.count("0.0001000000") == 1, plan
+    got = {r.transaction_ref: r for r in rec.refs.collect()}
+    assert got["Q"].gate == "currency" and got["Q"].reason == "currency mismatch: expected 'USD' (from first source), got: c=EUR"
+    assert [r.discrepancy_details for r in got["R"].results] == [None, (
+        '{"absolute_tolerance":"0.05","actual":"12.500000","diff":"2.500000","pct_tolerance":0.01,'
+        '"reference":"10.000000","strategy":"tolerance"}')]
