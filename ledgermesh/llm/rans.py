@@ -47,10 +47,24 @@ _PLAIN = re.compile(rb"[a-z]+")
 _SPECIAL = b"<|"
 _LETTER, _MARK, _SPACE = (np.isin(np.arange(256), list(x)) for x in (
     b"abcdefghijklmnopqrstuvwxyz", b"!#$%&*.,;:?", b" \t\n\r\x0b\x0c"))
-_PART, _BLANK = 1 << 20, re.compile(rb"\s")
+_PART, _BLANK = 1 << 18, re.compile(rb"\s")  # bytes worked on at once: work arrays of a few MB, which caches hold
 _SLOTS = 21  # bits: 2 M slots, filled by half at most; some 60 MB in each worker
 _BASES = (U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93))
+_VALUE = np.where(_SPACE, 0, np.arange(1, 257)).astype(U)  # of a byte in a key; white space counts for nothing
 _memory: dict[str, tuple] = {}
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """``base`` to the powers 0 to ``n`` - 1 at least, modulo 2^64."""
+    have = _powers.get(base)
+    if have is None or len(have) < n:
+        step = np.full(max(n, 2 * _PART), U(base))
+        step[0] = 1
+        have = np.multiply.accumulate(step)
+        if n <= 2 * _PART:  # tables for longer words are not kept
+            _powers[base] = have
+    return have
 
 
 class Pieces:
@@ -109,17 +123,12 @@ class Pieces:
 
     def slots(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
         """The slots of the pieces ``data[start:stop]``, which only white space parts."""
-        data, stops, starts = data[starts[0]:], stops - starts[0], starts - starts[0]
-        size = np.diff(np.append(starts, len(data)))
-        place = np.arange(len(data)) - np.repeat(starts, size)
-        value = data.astype(U) + U(1)
-        value[_SPACE[data]] = 0
-        keys = []
-        for base in _BASES:
-            power = np.full(int(size.max()) + 1, base)
-            power[0] = 1
-            power = np.multiply.accumulate(power)
-            keys.append(mix(np.add.reduceat(value * power[place], starts) + (stops - starts).astype(U)))
+        value, keys = _VALUE[data], []
+        for base in map(int, _BASES):
+            sums = np.zeros(len(data) + 1, U)
+            np.cumsum(value * _power(base, len(data))[:len(data)], out=sums[1:])
+            keys.append(mix((sums[stops] - sums[starts]) * _power(pow(base, -1, 1 << 64), len(data))[starts]
+                            + (stops - starts).astype(U)))
         a, b = keys[0] | U(1), keys[1]
         slot = self.find(a, b)
         while (lost := np.flatnonzero(slot < 0)).size:
@@ -186,8 +195,9 @@ def _encoder(tokenizer, dtype):
 
     def encode(pieces: list[bytes]) -> list[bytes]:
         out: list = [None] * len(pieces)
-        # plain words are one piece each, and the last id of a piece is marked as a word's end: many go in one call
-        plain = [k for k, p in enumerate(pieces) if _PLAIN.fullmatch(p)]
+        # words of letters are one piece each, and the last id of a piece is marked as a word's end: many go in one
+        # call; letters that stop being such in lower case make more ends than words, and those lines go on below
+        plain = [k for k, p in enumerate(pieces) if _PLAIN.fullmatch(p) or p.decode().isalpha()]
         lines = [plain[i:i + 512] for i in range(0, len(plain), 512)]
         texts = [b" ".join([pieces[k] for k in line]).decode() for line in lines]
         for line, e in zip(lines, batch(texts, add_special_tokens=False), strict=True):
@@ -221,7 +231,7 @@ def _tokenize(path: str, end_id: int, dtype):
         for batch in batches:
             buf, offsets = utf8(batch.column(2))
             out = []
-            for i, j in chunks(offsets):
+            for i, j in chunks(offsets, _PART):
                 texts = [buf[offsets[r]:offsets[r + 1]].tobytes() for r in range(i, j)]
                 # special ids are given to their exact spelling only, so such texts are encoded as they are
                 odd = [k for k, t in enumerate(texts) if _SPECIAL in t]

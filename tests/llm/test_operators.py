@@ -538,3 +538,33 @@ def test_toxic_words_with_many_endings(spark):
     got = {r.doc_id: r for r in got.collect() if r.held_out}
     assert np.mean([got[i].predicted for i, _, y in rows if y and i in got]) > 0.9
     assert np.mean([got[i].predicted for i, _, y in rows if not y and i in got]) < 0.05
+
+
+def test_pieces_are_encoded_in_small_parts_and_letters_of_any_script_together():
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from ledgermesh.llm import rans
+    tokenizer, dtype, calls = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), np.dtype("<u2"), []
+
+    class Counted:
+        get_vocab, encode_batch = tokenizer.get_vocab, tokenizer.encode_batch
+
+        @staticmethod
+        def encode_batch_fast(texts, **options):
+            calls.append(len(texts))
+            return tokenizer.encode_batch_fast(texts, **options)
+
+    words = ["stra\u00dfe", "\u00ea\u00f1e", "\u0130stanbul", "e\u0301t\u00e9", "\u0928\u092e\u0938\u094d\u0924\u0947", "\u03a3\u039f\u03a3", "\uac00\u1161", "plain"]
+    want = [tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+    encode = rans._encoder(Counted, dtype)
+    assert [np.frombuffer(x, dtype).tolist() for x in encode([w.encode() for w in words])] == want
+    calls.clear()
+    few = ["stra\u00dfe", "\u00ea\u00f1e", "plain"]
+    assert [np.frombuffer(x, dtype).tolist() for x in encode([w.encode() for w in few])] == [want[words.index(w)] for w in few]
+    assert calls == [1, 0]  # one line of three words, nothing on its own
+    text = " ".join(words * 20_000) + " " + "\u00ea" * 600_000  # several parts, and a word longer than a part
+    known = rans.Pieces(rans._encoder(tokenizer, dtype), dtype)
+    got = np.frombuffer(rans._encode_texts(known, [text.encode()])[0], dtype).tolist()
+    assert got == tokenizer.encode(text, add_special_tokens=False).ids
