@@ -17,7 +17,10 @@ states as 64 bits, then the words of 32 bits.
 
 The tokenizer drops white space and never joins across it, so words are
 encoded once and remembered in lower case (a bounded memory in each worker); a
-trailing run of punctuation after a letter is a piece of its own.
+trailing run of punctuation after a letter is a piece of its own. Pieces of ASCII
+and Latin-1 letters reach the tokenizer's model already split, if its other steps
+are the known ones; all other pieces go through the whole tokenizer. Symbols are
+counted by the pass that tokenizes.
 
 Edge cases: null text is empty and yields the end id alone; null ids come first;
 rows of equal id stand in order of their text's hash; an empty table gives
@@ -26,6 +29,7 @@ empty files.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -43,14 +47,25 @@ MAGIC = b"RNS1"
 HEADER, MARK = struct.Struct("<4sIIIII"), struct.Struct("<II")
 U = np.uint64
 _LOW = U(1 << 31)
-_PLAIN = re.compile(rb"[a-z]+")
+_WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")  # composed letters that lower case leaves such: one part
+_MIXED = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00ff]+|[0-9]|[^a-z\u00df-\u00ff0-9]+")  # of these in lower case
+_BYTES = (("\x9f", "\u0141"), ("\xa0", "\u0142"), ("\xad", "\u0143"))  # the characters of the byte level that are not the byte's own
+_STEPS = [  # the normalizer, and the splitter that these follow
+    {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}]
 _SPECIAL = b"<|"
-_LETTER, _MARK, _SPACE = (np.isin(np.arange(256), list(x)) for x in (
-    b"abcdefghijklmnopqrstuvwxyz", b"!#$%&*.,;:?", b" \t\n\r\x0b\x0c"))
+_OTHER, _SPACE, _MARK, _LETTER = range(4)
+_KIND = np.zeros(256, np.uint8)  # of a byte
+for _k, _bytes in ((_SPACE, b" \t\n\r\x0b\x0c"), (_MARK, b"!#$%&*.,;:?"), (_LETTER, b"abcdefghijklmnopqrstuvwxyz")):
+    _KIND[list(_bytes)] = _k
 _PART, _BLANK = 1 << 18, re.compile(rb"\s")  # bytes worked on at once: work arrays of a few MB, which caches hold
 _SLOTS = 21  # bits: 2 M slots, filled by half at most; some 60 MB in each worker
 _BASES = (U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93))
-_VALUE = np.where(_SPACE, 0, np.arange(1, 257)).astype(U)  # of a byte in a key; white space counts for nothing
 _memory: dict[str, tuple] = {}
 _powers: dict[int, np.ndarray] = {}
 
@@ -81,7 +96,7 @@ class Pieces:
         self.bits = max(self.bits, (2 * least).bit_length())
         n = 1 << self.bits
         self.a, self.b = np.zeros(n, U), np.zeros(n, U)  # a is never 0 in a taken slot
-        self.at, self.n = np.zeros(n, np.int64), np.zeros(n, np.int32)
+        self.place = np.zeros(n, np.int64)  # of the piece's ids: their start times 2^32, and how many
         self.ids, self.used, self.count = np.zeros(1 << 16, self.dtype), 0, 0
 
     def _home(self, a: np.ndarray) -> np.ndarray:
@@ -89,21 +104,26 @@ class Pieces:
 
     def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The slot of each key, -1 where it is not known."""
-        slot, out, live = self._home(a), np.full(len(a), -1), np.arange(len(a))
+        out = self._home(a)
+        k = self.a[out]
+        hit = k == a
+        hit &= self.b[out] == b
+        live = np.flatnonzero(~hit)
+        slot, k = out[live], k[live]
+        out[live] = -1
         while len(live):
-            s = slot[live]
-            k = self.a[s]
-            hit = (k == a[live]) & (self.b[s] == b[live])
-            out[live[hit]] = s[hit]
-            on = ~hit & (k != 0)
-            live = live[on]
-            slot[live] = (s[on] + 1) & (len(self.a) - 1)
+            on = k != 0
+            live, slot = live[on], (slot[on] + 1) & (len(self.a) - 1)
+            k = self.a[slot]
+            hit = (k == a[live]) & (self.b[slot] == b[live])
+            out[live[hit]] = slot[hit]
+            live, slot, k = live[~hit], slot[~hit], k[~hit]
         return out
 
     def add(self, a: np.ndarray, b: np.ndarray, pieces: list[bytes]) -> None:
         """Encode and remember pieces whose keys are not known and differ."""
         encoded = self.encode(pieces)
-        n = np.array([len(x) for x in encoded]) // self.dtype.itemsize
+        n = np.fromiter(map(len, encoded), np.int64, len(encoded)) // self.dtype.itemsize
         flat = np.frombuffer(b"".join(encoded), self.dtype)
         if self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids[:self.used], np.zeros(self.used + 2 * len(flat), self.dtype)])
@@ -117,20 +137,25 @@ class Pieces:
             free = np.flatnonzero(self.a[s] == 0)
             won = free[np.unique(s[free], return_index=True)[1]]
             k, t = live[won], s[won]
-            self.a[t], self.b[t], self.at[t], self.n[t] = a[k], b[k], at[k], n[k]
+            self.a[t], self.b[t], self.place[t] = a[k], b[k], (at[k] << 32) | n[k]
             live = np.delete(live, won)
             slot[live] = (slot[live] + 1) & (len(self.a) - 1)
 
     def slots(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-        """The slots of the pieces ``data[start:stop]``, which only white space parts."""
-        value, keys = _VALUE[data], []
+        """The slots of the pieces ``data[start:stop]``."""
+        value, size, keys = data.astype(U), (stops - starts).astype(U), []
+        value += U(1)
+        sums = np.zeros(len(data) + 1, U)
         for base in map(int, _BASES):
-            sums = np.zeros(len(data) + 1, U)
-            np.cumsum(value * _power(base, len(data))[:len(data)], out=sums[1:])
-            keys.append(mix((sums[stops] - sums[starts]) * _power(pow(base, -1, 1 << 64), len(data))[starts]
-                            + (stops - starts).astype(U)))
+            np.multiply(value, _power(base, len(data))[:len(data)], out=sums[1:])
+            np.cumsum(sums[1:], out=sums[1:])
+            key = sums[stops]
+            key -= sums[starts]
+            key *= _power(pow(base, -1, 1 << 64), len(data))[starts]
+            key += size
+            keys.append(mix(key))
         a, b = keys[0] | U(1), keys[1]
-        slot = self.find(a, b)
+        slot, text = self.find(a, b), data.tobytes()
         while (lost := np.flatnonzero(slot < 0)).size:
             _, first = np.unique(a[lost], return_index=True)  # equal a, other b: in the next turn
             k = lost[first]
@@ -138,22 +163,24 @@ class Pieces:
                 self.clear(len(k))
                 slot[:] = -1
                 continue
-            self.add(a[k], b[k], [data[i:j].tobytes() for i, j in zip(starts[k].tolist(), stops[k].tolist(), strict=True)])
+            self.add(a[k], b[k], [text[i:j] for i, j in zip(starts[k].tolist(), stops[k].tolist(), strict=True)])
             slot[lost] = self.find(a[lost], b[lost])
         return slot
 
 
-def _split(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The texts in lower case, one after the other, and their places; a blank parts
-    a run of punctuation that ends a word from the letter before it."""
+def _split(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts in lower case, one after the other, their places, and where pieces
+    start and stop: words, and runs of punctuation that end a word after a letter."""
     low = np.frombuffer(b"\n".join(texts).lower(), np.uint8)
-    mark = np.zeros(len(low) + 2, bool)
-    mark[1:-1] = _MARK[low]
+    kind = np.full(len(low) + 2, _SPACE, np.uint8)  # of byte i at i + 1
+    kind[1:-1] = _KIND[low]
+    mark, word = kind == _MARK, kind != _SPACE
     edge = np.flatnonzero(mark[1:] != mark[:-1])
-    first, after = edge[::2], np.append(low, 32)[edge[1::2]]
-    cut = first[(first > 0) & _LETTER[low[np.maximum(first, 1) - 1]] & _SPACE[after]]
-    at = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    return np.insert(low, cut, 32), at + np.searchsorted(cut, at)
+    first, after = edge[::2], edge[1::2]
+    cut = first[(kind[first] == _LETTER) & (kind[after + 1] == _SPACE)]
+    starts, stops = word[1:] > word[:-1], word[1:] < word[:-1]
+    starts[cut] = stops[cut] = True
+    return low, np.cumsum([0, *(len(t) + 1 for t in texts)]), np.flatnonzero(starts), np.flatnonzero(stops)
 
 
 def _encode_texts(known: Pieces, texts: list[bytes]) -> list[bytes]:
@@ -171,63 +198,100 @@ def _encode_texts(known: Pieces, texts: list[bytes]) -> list[bytes]:
 
 
 def _encode_some(known: Pieces, texts: list[bytes]) -> list[bytes]:
-    data, at = _split(texts)
-    word = np.zeros(len(data) + 2, bool)
-    word[1:-1] = ~_SPACE[data]
-    edge = np.flatnonzero(word[1:] != word[:-1])
-    starts, stops = edge[::2], edge[1::2]
+    data, at, starts, stops = _split(texts)
     if not len(starts):
         return [b""] * len(texts)
-    slot = known.slots(data, starts, stops)
-    n = known.n[slot].astype(np.int64)
+    slot = known.slots(data, starts, stops)  # may empty the table, so its places are looked up after
+    place = known.place[slot]
+    n = place & 0xFFFFFFFF
     ends = np.concatenate([[0], np.cumsum(n)])
-    flat = known.ids[np.repeat(known.at[slot] - ends[:-1], n) + np.arange(ends[-1])]
+    place >>= 32
+    place -= ends[:-1]
+    where = np.repeat(place, n)
+    where += np.arange(ends[-1])
+    flat = known.ids[where]
     cuts = ends[np.searchsorted(starts, at)].tolist()
     return [flat[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)]
 
 
-def _encoder(tokenizer, dtype):
-    """Ids of pieces, each on its own, as bytes."""
+def _for_parts(tokenizer):
+    """The tokenizer's model alone, for text already split at blanks: the regular
+    expression and the bookkeeping of the steps before it take half of the time. None
+    for a tokenizer whose steps are not those that ``_WORD`` and ``_PARTS`` follow."""
+    from tokenizers import Tokenizer, pre_tokenizers
+    steps = [tokenizer.normalizer, tokenizer.pre_tokenizer]
+    if None in steps or [json.loads(x.__getstate__()) for x in steps] != _STEPS:
+        return None
+    model = Tokenizer(tokenizer.model)  # shared, not a copy
+    model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    return model
+
+
+def _encoder(tokenizer, dtype, for_parts=None):
+    """Ids of pieces, each on its own, as bytes; ``for_parts`` (see ``_for_parts``)
+    encodes those it can."""
     vocabulary = tokenizer.get_vocab()
     ends = np.zeros(max(vocabulary.values()) + 1, bool)
     ends[[i for p, i in vocabulary.items() if p.endswith("</w>")]] = True
-    batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)  # without places in the text
-
-    def encode(pieces: list[bytes]) -> list[bytes]:
-        out: list = [None] * len(pieces)
-        # words of letters are one piece each, and the last id of a piece is marked as a word's end: many go in one
-        # call; letters that stop being such in lower case make more ends than words, and those lines go on below
-        plain = [k for k, p in enumerate(pieces) if _PLAIN.fullmatch(p) or p.decode().isalpha()]
-        lines = [plain[i:i + 512] for i in range(0, len(plain), 512)]
-        texts = [b" ".join([pieces[k] for k in line]).decode() for line in lines]
-        for line, e in zip(lines, batch(texts, add_special_tokens=False), strict=True):
+    width = dtype.itemsize
+
+    def batch(tok):  # without places in the text
+        return getattr(tok, "encode_batch_fast", tok.encode_batch)
+
+    def together(tok, which: list[int], texts: list[str], parts: list[int] | None, out: list) -> None:
+        """Many pieces in one call: the last id of a part is marked as a word's end, so the ids of a piece stop at
+        its last part's mark. Lines with other counts of marks (letters that stop being such in lower case, a
+        vocabulary without marks) are left out."""
+        cuts = range(0, len(which), 512)
+        lines = [" ".join(texts[i:i + 512]) for i in cuts]
+        if tok is for_parts:
+            lines = [x.lower().encode().decode("latin-1") for x in lines]
+            for byte, char in _BYTES:
+                lines = [x.replace(byte, char) for x in lines]
+        for c, e in zip(cuts, batch(tok)(lines, add_special_tokens=False), strict=True):
+            line = which[c:c + 512]
             ids = np.array(e.ids, dtype)
             stops = np.flatnonzero(ends[ids]) + 1
-            if len(stops) != len(line) or stops[-1] != len(ids):  # a vocabulary without such marks
+            last = np.arange(len(line)) if parts is None else np.cumsum(parts[c:c + 512]) - 1
+            if len(stops) != last[-1] + 1 or stops[-1] != len(ids):
                 continue
-            data, width = ids.tobytes(), dtype.itemsize
-            at = [0, *(stops * width).tolist()]
-            for k, i, j in zip(line, at, at[1:], strict=False):
+            data, i = ids.tobytes(), 0
+            for k, j in zip(line, (stops[last] * width).tolist(), strict=True):
                 out[k] = data[i:j]
+                i = j
+
+    def encode(pieces: list[bytes]) -> list[bytes]:
+        out: list = [None] * len(pieces)
+        words = b" ".join(pieces).decode().split(" ")
+        if for_parts is not None:
+            letters = [k for k, w in enumerate(words) if _WORD.fullmatch(w)]
+            together(for_parts, letters, [words[k] for k in letters], None, out)
+            mixed = [k for k, x in enumerate(out) if x is None and _MIXED.fullmatch(words[k])]
+            parts = [_PARTS.findall(words[k].lower()) for k in mixed]
+            together(for_parts, mixed, [" ".join(x) for x in parts], [len(x) for x in parts], out)
+        alpha = [k for k, x in enumerate(out) if x is None and words[k].isalpha()]
+        together(tokenizer, alpha, [words[k] for k in alpha], None, out)
         rest = [k for k, x in enumerate(out) if x is None]
-        for k, e in zip(rest, batch([pieces[k].decode() for k in rest], add_special_tokens=False), strict=True):
+        for k, e in zip(rest, batch(tokenizer)([words[k] for k in rest], add_special_tokens=False), strict=True):
             out[k] = np.array(e.ids, dtype).tobytes()
         return out
     return encode
 
 
-def _tokenize(path: str, end_id: int, dtype):
+def _tokenize(path: str, end_id: int, dtype, vocabulary: int = 49_408):
+    """Rows of documents with their ids, then a row per symbol that the task met, with its count."""
     def run(batches):
         import os
 
         import pyarrow as pa
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        names = ["doc_id", "h", "ids", "symbol", "n"]
         if path not in _memory:
             from tokenizers import Tokenizer
             tokenizer = Tokenizer.from_file(path)
-            _memory[path] = tokenizer, Pieces(_encoder(tokenizer, dtype), dtype)
+            _memory[path] = tokenizer, Pieces(_encoder(tokenizer, dtype, _for_parts(tokenizer)), dtype)
         tokenizer, known = _memory[path]
-        end = np.array([end_id], dtype).tobytes()
+        end, total = np.array([end_id], dtype).tobytes(), np.zeros(vocabulary, np.int64)
         for batch in batches:
             buf, offsets = utf8(batch.column(2))
             out = []
@@ -238,20 +302,15 @@ def _tokenize(path: str, end_id: int, dtype):
                 ids = _encode_texts(known, [b"" if k in odd else t for k, t in enumerate(texts)] if odd else texts)
                 for k in odd:
                     ids[k] = np.array(tokenizer.encode(texts[k].decode(), add_special_tokens=False).ids, dtype).tobytes()
-                out += [x + end for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())],
-                                             ["doc_id", "h", "ids"])
-    return run
-
-
-def _count(size: int, dtype):
-    def run(batches):
-        import pyarrow as pa
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            total += np.bincount(utf8(batch.column(0))[0].view(dtype), minlength=size)
+                ids = [x + end for x in ids]
+                total += np.bincount(np.frombuffer(b"".join(ids), dtype), minlength=vocabulary)
+                out += ids
+            none = pa.nulls(len(out), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary()), none, none], names)
         seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), pa.array(total[seen])], ["symbol", "n"])
+        none = pa.nulls(len(seen), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(seen), pa.binary()), pa.array(seen), pa.array(total[seen])],
+                                         names)
     return run
 
 
@@ -318,23 +377,30 @@ def decode_block(payload: bytes, freq: np.ndarray, cum: np.ndarray, symbol: np.n
         grid = out.reshape(segments, segment, lanes)
         lane = np.arange(lanes)
         length = np.minimum(n - np.arange(segments) * segment * lanes, segment * lanes)
+        whole = int(length.min()) // lanes  # steps that all lanes of all segments take
         for t in range(segment):
-            live = lane < (length - t * lanes)[:, None]  # the last step may be short
-            if not live.any():
-                break
             slot = state & U((1 << SCALE) - 1)
-            s = symbol[slot]
-            x = freq[s] * (state >> U(SCALE)) + slot - cum[s]
+            s = symbol[slot.view(np.int64)]
+            x = state >> U(SCALE)
+            x *= freq[s]
+            x += slot
+            x -= cum[s]
             grid[:, t] = s
-            need = (x < _LOW) & live
-            if need.any():
-                rank = np.cumsum(need, axis=1)
-                take = (pos[:, None] + rank - 1)[need]
-                if take.max() >= n_words:
-                    raise ValueError("token block is cut short")
-                x[need] = (x[need] << U(32)) | stream[take]
-                pos = pos + rank[:, -1]
-            state = np.where(live, x, state)
+            need = x < _LOW
+            if t >= whole:
+                live = lane < (length - t * lanes)[:, None]  # the last step may be short
+                if not live.any():
+                    break
+                need &= live
+                x = np.where(live, x, state)
+            upto = pos + np.count_nonzero(need, axis=1)
+            if upto.max() > n_words:
+                raise ValueError("token block is cut short")
+            at = np.flatnonzero(need)  # the words of a segment are taken one after the other
+            flat = x.reshape(-1)
+            flat[at] = (flat[at] << U(32)) | np.concatenate(
+                [stream[i:j] for i, j in zip(pos.tolist(), upto.tolist(), strict=True)])
+            state, pos = x, upto
     out = out[:n]
     span = lanes * segment
     for g, crc in enumerate(crcs):
@@ -403,17 +469,17 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, vocabulary: int = 4
     if vocabulary > 1 << SCALE:
         raise ValueError(f"at most {1 << SCALE} symbols fit the frequency table")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-    ids = staged(rows.mapInArrow(_tokenize(tokenizer, end_id, dtype), "doc_id long, h long, ids binary"), "ids")
+    ids = staged(rows.mapInArrow(_tokenize(tokenizer, end_id, dtype, vocabulary),
+                                 "doc_id long, h long, ids binary, symbol long, n long"), "ids")
     counts = np.zeros(vocabulary, np.int64)  # one row per symbol of the vocabulary, whatever the input
-    for r in ids.select("ids").mapInArrow(_count(vocabulary, dtype), "symbol long, n long").groupBy("symbol").agg(
-            F.sum("n").alias("n")).collect():
+    for r in ids.filter("symbol is not null").groupBy("symbol").agg(F.sum("n").alias("n")).collect():
         counts[r.symbol] = r.n
     freq = scaled(counts)
     spark = docs.sparkSession
     seen = np.flatnonzero(freq)
     spark.createDataFrame([(int(s), int(freq[s])) for s in seen], "symbol long, frequency long").coalesce(1).write.parquet(
         f"{path}/table")
-    (ids.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "ids")
+    (ids.filter("symbol is null").repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "ids")
      .mapInArrow(_pack(freq, dtype, block), "shard long, block long, n_tokens long, doc_ids array<long>, "
                                             "lengths array<long>, payload binary").write.parquet(f"{path}/blocks"))
     discard(ids)

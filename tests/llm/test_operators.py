@@ -568,3 +568,50 @@ def test_pieces_are_encoded_in_small_parts_and_letters_of_any_script_together():
     known = rans.Pieces(rans._encoder(tokenizer, dtype), dtype)
     got = np.frombuffer(rans._encode_texts(known, [text.encode()])[0], dtype).tolist()
     assert got == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_pieces_of_known_form_are_encoded_by_the_model_alone():
+    import numpy as np
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer, normalizers
+
+    from ledgermesh.llm import rans
+    path, dtype, given = public_tokenizers.path("word_bpe_49k.json"), np.dtype("<u2"), []
+    tokenizer = Tokenizer.from_file(path)
+    model = rans._for_parts(tokenizer)
+
+    class Counted:
+        get_vocab, encode_batch = tokenizer.get_vocab, tokenizer.encode_batch
+
+        @staticmethod
+        def encode_batch_fast(texts, **options):
+            given.extend(texts)
+            return tokenizer.encode_batch_fast(texts, **options)
+
+    letters = [chr(c) for c in (*range(0x41, 0x5b), *range(0x61, 0x7b), *range(0xc0, 0x100)) if chr(c).isalpha()]
+    marks = [chr(c) for c in (*range(0x21, 0x41), *range(0x5b, 0x61), *range(0x7b, 0x7f))]
+    rng = random.Random(5)
+    pieces = [*letters, *marks, "it's", "'tis", "they'll've", "'S", "x=1,234.50", "ÉtÉ!!", "ü,ß.í", "a" * 3000,
+              *("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(1500)),
+              *("".join(rng.choices(letters + marks * 2, k=rng.randint(2, 9))) for _ in range(1500))]
+    pieces = [p for p in pieces if "<|" not in p]
+    got = rans._encoder(Counted, dtype, model)([p.encode() for p in pieces])
+    assert not given  # nothing is left for the slower steps
+    for p, x in zip(pieces, got, strict=True):
+        assert np.frombuffer(x, dtype).tolist() == tokenizer.encode(p, add_special_tokens=False).ids, p
+    odd = ["×", "a×b", "÷", "ª", "µm", "e\u0301", "œuvre", "日本", "\u0130x"]  # not of that form
+    got = rans._encoder(Counted, dtype, model)([p.encode() for p in odd])
+    assert set(" ".join(given).split()) == set(odd)
+    for p, x in zip(odd, got, strict=True):
+        assert np.frombuffer(x, dtype).tolist() == tokenizer.encode(p, add_special_tokens=False).ids, p
+
+    batches = [pa.RecordBatch.from_arrays([pa.array([1, None]), pa.array([1, 2]), pa.array(t)], ["doc_id", "h", "text"])
+               for t in (["a b b", None], ["", "é <|endoftext|>"])]
+    *docs, counts = rans._tokenize(path, 2, dtype)(iter(batches))
+    ids = np.frombuffer(b"".join(x for b in docs for x in b.column(2).to_pylist()), dtype)
+    assert dict(zip(counts.column(3).to_pylist(), counts.column(4).to_pylist(), strict=True)) == collections.Counter(ids.tolist())
+    assert all(b.column(3).null_count == b.num_rows for b in docs)
+
+    tokenizer.normalizer = normalizers.NFC()  # other steps: the whole tokenizer
+    assert rans._for_parts(tokenizer) is None
